@@ -24,7 +24,7 @@ SPLIT_ABOVE = 8
 #: Chained threshold rules up to this depth are planned in one piece.
 PLANNED_LEVELS = 2
 
-_WORK = ("_us", "_seq", "_rule", "_key", "_window_us", "_threshold", "_fired")
+_COUNTING = ("_rule", "_key", "_window_us", "_threshold", "_fired")
 
 
 def _first_of(numbered: list[tuple[int, Rule]], strict: bool) -> Column:
@@ -58,25 +58,47 @@ def _levels(counted: list[tuple[int, Rule]]) -> list[list[tuple[int, Rule]]]:
     ]
 
 
-def _per_rule(level: list[tuple[int, Rule]], value, kind: str) -> Column:
+def _limit(level: list[tuple[int, Rule]], value, kind: str) -> Column:
     out = F.lit(None).cast(kind)
     for number, rule in level:
-        out = F.when(F.col("_rule") == number, value(rule)).otherwise(out)
+        out = F.when(F.col("_rule") == number, F.lit(value(rule))).otherwise(out)
     return out
 
 
-def _with_entry(rows: DataFrame, level: list[tuple[int, Rule]], gate, strict: bool) -> DataFrame:
-    """Add the one rule of this level the row is a candidate for, its key and limits."""
-    entry = F.lit(None).cast("int")
+def _entry(level: list[tuple[int, Rule]], first: Column | None, strict: bool) -> Column:
+    """``(rule, key)`` of the one rule of the level an event is a candidate for.
+
+    With ``first`` (number of the first single-event rule that holds) a rule
+    behind it is no candidate any more.
+    """
+    out = F.lit(None).cast("struct<rule:int,key:string>")
     for number, rule in level:
-        entry = F.when(predicate(rule, strict) & gate(number), number).otherwise(entry)
+        test = predicate(rule, strict)
+        if first is not None:
+            test = test & (first.isNull() | (first > number))
+        entry = F.struct(F.lit(number).alias("rule"), threshold_key(rule).alias("key"))
+        out = F.when(test, entry).otherwise(out)
+    return out
+
+
+def _with_facts(events: DataFrame, **facts: Column) -> DataFrame:
+    """Add ``_f``, a struct of everything the rules say about one event alone.
+
+    It is produced by a one-element explode: filters on it stay above it, so
+    the rule tests run once per row instead of being copied into each filter.
+    """
+    named = [value.alias(name) for name, value in facts.items()]
+    return events.withColumn("_f", F.explode(F.array(F.struct(*named))))
+
+
+def _with_rule(rows: DataFrame, depth: int, level: list[tuple[int, Rule]], free: Column) -> DataFrame:
+    """Put the candidate rule of one level, its key and limits into the counting columns."""
+    entry = F.col("_f")[f"level{depth}"]
     return (
-        rows.withColumn("_rule", entry)
-        .withColumn("_key", _per_rule(level, threshold_key, "string"))
-        .withColumn(
-            "_window_us", _per_rule(level, lambda r: F.lit(r.time_window * 1_000_000), "long")
-        )
-        .withColumn("_threshold", _per_rule(level, lambda r: F.lit(r.threshold), "int"))
+        rows.withColumn("_rule", F.when(free, entry["rule"]))
+        .withColumn("_key", F.when(free, entry["key"]))
+        .withColumn("_window_us", _limit(level, lambda r: r.time_window * 1_000_000, "long"))
+        .withColumn("_threshold", _limit(level, lambda r: r.threshold, "int"))
     )
 
 
@@ -91,11 +113,28 @@ def _top(level: list[tuple[int, Rule]]) -> int:
     return max(r.threshold for _, r in level)
 
 
-def _any(rules: list[tuple[int, Rule]], strict: bool) -> Column:
-    out = F.lit(False)
-    for _, rule in rules:
-        out = out | predicate(rule, strict)
-    return out
+def _may_count(counted: list[tuple[int, Rule]]) -> Column | None:
+    """Equality test every candidate of a threshold rule passes, cheap enough for the scan."""
+    if not all(r.event_id for _, r in counted):
+        return None
+    return F.coalesce(F.col("event_id").isin(*sorted({r.event_id for _, r in counted})), F.lit(False))
+
+
+def _split(
+    events: DataFrame, counted: list[tuple[int, Rule]], depth: int, facts: dict[str, Column]
+) -> tuple[DataFrame, DataFrame]:
+    """(events no threshold rule can take, the others), both with ``_f``."""
+    cheap = _may_count(counted)
+    if cheap is not None:
+        return (
+            _with_facts(events.filter(~cheap), **facts),
+            _with_facts(events.filter(cheap), **facts),
+        )
+    rows = _with_facts(events, **facts)
+    contested = F.lit(False)
+    for d in range(1, depth + 1):
+        contested = contested | F.col("_f")[f"level{d}"].isNotNull()
+    return rows.filter(~contested), rows.filter(contested)
 
 
 def first_match(events: DataFrame, rules: list[Rule], strict_fields: bool = False) -> DataFrame:
@@ -116,33 +155,32 @@ def first_match(events: DataFrame, rules: list[Rule], strict_fields: bool = Fals
     def report(number: Column) -> Column:
         return F.when(number.isNotNull(), F.element_at(results, number))
 
-    first_single = _first_number(singles, strict_fields)
+    first = _first_number(singles, strict_fields)
     if not counted:
         return (
-            events.withColumn("_first", first_single)
-            .withColumn("detection", report(F.col("_first")))
-            .drop("_first")
+            _with_facts(events, first=first)
+            .withColumn("detection", report(F.col("_f.first")))
+            .drop("_f")
         )
-    rows = events.withColumn("_first", first_single)
-    contested = _any(counted, strict_fields)
-    plain = rows.filter(~contested).withColumn("_won", F.lit(None).cast("int"))
-    open_rows = _with_order(rows.filter(contested)).withColumn("_won", F.lit(None).cast("int"))
-
-    def gate(number: int) -> Column:
-        free = F.col("_first").isNull() | (F.col("_first") > number)
-        return free & F.col("_won").isNull()
-
     levels = _levels(counted)
+    events = _with_facts(events, first=first).withColumnRenamed("_f", "_s")
+    seen = F.col("_s.first")
+    facts = {f"level{d}": _entry(lv, seen, strict_fields) for d, lv in enumerate(levels, 1)}
+    plain, open_rows = _split(events, counted, len(levels), facts)
+    nobody = F.lit(None).cast("int")
+    plain = plain.withColumn("_won", nobody)
+    open_rows = _with_order(open_rows).withColumn("_won", nobody)
     for depth, level in enumerate(levels, start=1):
-        entered = _with_entry(open_rows, level, gate, strict_fields)
+        entered = _with_rule(open_rows, depth, level, F.col("_won").isNull())
         marked = counting.mark_fired(entered, _top(level))
-        open_rows = marked.withColumn(
-            "_won", F.coalesce("_won", F.when(F.col("_fired"), F.col("_rule")))
-        ).drop("_rule", "_key", "_window_us", "_threshold", "_fired")
+        won = F.coalesce("_won", F.when(F.col("_fired"), F.col("_rule")))
+        open_rows = marked.withColumn("_won", won).drop(*_COUNTING)
         if PLANNED_LEVELS <= depth < len(levels):
             open_rows = cut_lineage(open_rows)
     both = plain.unionByName(open_rows.drop("_us", "_seq"))
-    return both.withColumn("detection", report(F.least("_won", "_first"))).drop("_won", "_first")
+    return both.withColumn("detection", report(F.least("_won", "_s.first"))).drop(
+        "_won", "_f", "_s"
+    )
 
 
 def all_matches(events: DataFrame, rules: list[Rule], strict_fields: bool = False) -> DataFrame:
@@ -155,29 +193,30 @@ def all_matches(events: DataFrame, rules: list[Rule], strict_fields: bool = Fals
     counted = [(n, r) for n, r in numbered if r.counted]
     results = F.array(*[result_struct(r) for r in ordered])
     tests = [F.when(predicate(r, strict_fields), F.lit(n)) for n, r in singles]
-    simple = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
-    rows = events.withColumn("_numbers", simple)
-    if counted:
-        contested = _any(counted, strict_fields)
-        plain = rows.filter(~contested)
-        open_rows = _with_order(rows.filter(contested))
+    none = F.array().cast("array<int>")
+    facts = {"numbers": F.array_compact(F.array(*tests)) if tests else none}
+    if not counted:
+        rows = _with_facts(events, **facts).withColumn("_numbers", F.col("_f.numbers"))
+    else:
         levels = _levels(counted)
         for depth, level in enumerate(levels, start=1):
-            entered = _with_entry(open_rows, level, lambda n: F.lit(True), strict_fields)
-            marked = counting.mark_fired(entered, _top(level))
-            hit = F.when(F.col("_fired"), F.array("_rule")).otherwise(
-                F.array().cast("array<int>")
-            )
-            open_rows = marked.withColumn("_numbers", F.concat("_numbers", hit)).drop(
-                "_rule", "_key", "_window_us", "_threshold", "_fired"
+            facts[f"level{depth}"] = _entry(level, None, strict_fields)
+        plain, open_rows = _split(events, counted, len(levels), facts)
+        plain = plain.withColumn("_numbers", F.col("_f.numbers"))
+        open_rows = _with_order(open_rows).withColumn("_numbers", F.col("_f.numbers"))
+        for depth, level in enumerate(levels, start=1):
+            marked = counting.mark_fired(
+                _with_rule(open_rows, depth, level, F.lit(True)), _top(level)
             )
+            hit = F.when(F.col("_fired"), F.array("_rule")).otherwise(none)
+            open_rows = marked.withColumn("_numbers", F.concat("_numbers", hit)).drop(*_COUNTING)
             if PLANNED_LEVELS <= depth < len(levels):
                 open_rows = cut_lineage(open_rows)
         rows = plain.unionByName(open_rows.drop("_us", "_seq"))
     return rows.withColumn(
         "detections",
         F.transform(F.array_sort("_numbers"), lambda n: F.element_at(results, n)),
-    ).drop("_numbers")
+    ).drop("_numbers", "_f")
 
 
 def pick_first(matches: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -206,14 +245,19 @@ def threshold_alerts(events: DataFrame, rules: list[Rule], strict_fields: bool =
     ordered = by_file(check_patterns(events.sparkSession, rules))
     numbered = [(n, r) for n, r in enumerate(ordered, start=1) if r.counted]
     results = F.array(*[result_struct(r) for r in ordered])
+    cheap = _may_count(numbered)
+    rows = events if cheap is None else events.filter(cheap)
+    levels = _levels(numbered)
+    facts = {f"level{d}": _entry(lv, None, strict_fields) for d, lv in enumerate(levels, 1)}
+    rows = _with_order(_with_facts(rows, **facts))
     out = None
-    for level in _levels(numbered):
-        entered = _with_entry(_with_order(events), level, lambda n: F.lit(True), strict_fields)
+    for depth, level in enumerate(levels, start=1):
+        entered = _with_rule(rows, depth, level, F.lit(True))
         fired = counting.fired_rows(entered.filter(F.col("_rule").isNotNull()), _top(level))
-        part = (
-            fired.withColumn("detection", F.element_at(results, F.col("_rule")))
-            .withColumnRenamed("_key", "threshold_key")
-            .drop(*[c for c in _WORK if c != "_key"])
+        part = fired.select(
+            *events.columns,
+            F.col("_key").alias("threshold_key"),
+            F.element_at(results, F.col("_rule")).alias("detection"),
         )
         out = part if out is None else out.unionByName(part)
     return out

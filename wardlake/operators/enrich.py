@@ -25,30 +25,44 @@ def with_ips(events: DataFrame, text_col: str = "combined_text") -> DataFrame:
     )
 
 
-def threat_hits(events: DataFrame, feed: DataFrame, inline_rows: int = INLINE_FEED_ROWS) -> DataFrame:
-    """Add ``threat``: the feed entry of the first listed public address, NULL when none.
+def threat_column(feed: DataFrame, inline_rows: int = INLINE_FEED_ROWS) -> Column | None:
+    """The feed entry of the first listed address in ``public_ips``, as an expression.
 
-    ``events`` has ``public_ips`` and the record key.
+    Only for a feed of at most ``inline_rows`` rows, which is checked; None for
+    a larger one.
     """
     head = feed.select("ip", "category", "confidence").limit(inline_rows + 1).collect()
-    if not head:
-        return events.withColumn("threat", F.lit(None).cast(HIT_DDL))
-    if len(head) <= inline_rows:
-        entries = {r["ip"]: r.asDict() for r in head}
-        table = F.from_json(F.lit(json.dumps(entries)), f"map<string,{HIT_DDL}>")
-        found = F.filter(
-            F.transform("public_ips", lambda x: F.try_element_at(table, x)), lambda h: h.isNotNull()
-        )
-        return events.withColumn("threat", F.try_element_at(found, F.lit(1)))
-    # The address pairs are narrow and only hits are grouped, so a text full of
-    # addresses, or an address found everywhere, adds no wide rows anywhere.
+    if len(head) > inline_rows:
+        return None
+    entries = {r["ip"]: r.asDict() for r in head}
+    table = F.from_json(F.lit(json.dumps(entries)), f"map<string,{HIT_DDL}>")
+    found = F.transform("public_ips", lambda x: F.try_element_at(table, x))
+    return F.try_element_at(F.filter(found, lambda h: h.isNotNull()), F.lit(1))
+
+
+def threat_table(events: DataFrame, feed: DataFrame) -> DataFrame:
+    """Record key and ``threat`` of the events with a listed address.
+
+    The address pairs are narrow and only hits are grouped, so a text full of
+    addresses, or an address found everywhere, moves no wide rows.
+    """
     pairs = events.select(*RECORD, F.posexplode(F.array_distinct("public_ips")).alias("pos", "ip"))
-    hits = (
+    return (
         pairs.join(feed.select("ip", "category", "confidence"), "ip")
         .groupBy(*RECORD)
         .agg(F.min_by(F.struct("ip", "category", "confidence"), "pos").alias("threat"))
     )
-    return events.join(hits, list(RECORD), "left")
+
+
+def threat_hits(events: DataFrame, feed: DataFrame, inline_rows: int = INLINE_FEED_ROWS) -> DataFrame:
+    """Add ``threat``: the feed entry of the first listed public address, NULL when none.
+
+    ``events`` has ``public_ips`` and the record key.
+    """
+    inline = threat_column(feed, inline_rows)
+    if inline is not None:
+        return events.withColumn("threat", inline)
+    return events.join(threat_table(events, feed), list(RECORD), "left")
 
 
 def with_knowledge(events: DataFrame, knowledge: DataFrame, event_id: str = "event_id") -> DataFrame:

@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardlake.functions.text import STORED_MESSAGE_CHARS, context_text
 from wardlake.operators.detect import first_match
-from wardlake.operators.enrich import FALLBACK_RISK, fallback_answer, threat_hits, with_ips
+from wardlake.operators.enrich import (
+    FALLBACK_RISK,
+    INLINE_FEED_ROWS,
+    RECORD,
+    fallback_answer,
+    threat_column,
+    threat_table,
+    with_ips,
+)
 from wardlake.operators.fuse import fuse
 from wardlake.operators.respond import new_blocks
 from wardlake.operators.rules import Rule
@@ -15,9 +23,20 @@ from wardlake.sources.events import prepare
 NO_ANSWER = "AI Error: no analysis available"
 
 
-def enriched(raw: DataFrame, feed: DataFrame) -> DataFrame:
-    """Message, process details, addresses and feed hit of every event."""
-    return threat_hits(with_ips(prepare(raw)), feed)
+def detected(
+    raw: DataFrame, rules: list[Rule], feed: DataFrame, inline_rows: int = INLINE_FEED_ROWS
+) -> DataFrame:
+    """Message, process details, addresses, feed hit and detection of every event.
+
+    A large feed is matched on the prepared events, beside the detection and
+    not on top of it, so neither repeats the other's work.
+    """
+    prepared = with_ips(prepare(raw))
+    matched = first_match(prepared, rules)
+    inline = threat_column(feed, inline_rows)
+    if inline is not None:
+        return matched.withColumn("threat", inline)
+    return matched.join(threat_table(prepared, feed), list(RECORD), "left")
 
 
 def with_context(prepared: DataFrame) -> DataFrame:
@@ -50,7 +69,7 @@ def scored_events(
 
     ``answers`` are parsed ones: ``record_id, analysis, analysis_risk``.
     """
-    return fuse(with_answers(first_match(enriched(raw, feed), rules), answers))
+    return fuse(with_answers(detected(raw, rules, feed), answers))
 
 
 def stored_rows(scored: DataFrame) -> DataFrame:
