@@ -40,7 +40,7 @@ def strip(text: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.when(strip(text) != "", text)
+    return F.when(text.rlike(r"(?U)\S"), text)
 
 
 def user_from_message(message: Column) -> Column:
@@ -57,11 +57,6 @@ def non_empty(inserts: Column) -> Column:
     return F.filter(inserts, lambda x: x.isNotNull() & (x != ""))
 
 
-def joined_inserts(inserts: Column) -> Column:
-    """Non-empty inserts as one text, NULL when there are none."""
-    return F.nullif(F.array_join(non_empty(inserts), INSERT_SEPARATOR), F.lit(""))
-
-
 def event_message(message: Column, inserts: Column) -> Column:
     """Formatted text; else all inserts joined; else a fixed text."""
     fallback = F.when(F.size(inserts) > 0, F.array_join(inserts, INSERT_SEPARATOR, "None"))
@@ -80,26 +75,30 @@ def _xml_value(data: Column, name: str) -> Column:
     )
 
 
+def is_process_event(log_source: Column, event_id: Column) -> Column:
+    """Creation ('1') and termination ('5') events of the process channel."""
+    return (log_source == "Sysmon") & event_id.isin("1", "5")
+
+
+def xml_data(log_source: Column, event_id: Column, inserts: Column, xml: Column) -> Column:
+    """``Data`` elements of a process event's XML; NULL for broken XML.
+
+    XML is read for process events only, and only when there are inserts.
+    """
+    wanted = is_process_event(log_source, event_id) & (F.size(inserts) > 0)
+    parsed = F.from_xml(F.when(wanted, xml), EVENT_XML, {"mode": "PERMISSIVE"})
+    return parsed["EventData"]["Data"]
+
+
 def process_details(
-    log_source: Column,
-    event_id: Column,
-    inserts: Column,
-    xml: Column | None = None,
-    positional_strict: bool = False,
+    log_source: Column, event_id: Column, values: Column, data: Column | None = None
 ) -> Column:
     """Process fields of creation ('1') and termination ('5') events; NULL for all others.
 
-    Empty inserts are dropped before positions are counted, so a field may
-    shift; ``positional_strict`` counts positions in the raw list instead. XML
-    values override positions, and XML is read only when there are inserts.
-    Fields an event kind does not have are NULL; fields it should have but
-    lacks are ``'N/A'``.
+    ``values`` are the inserts positions are counted in, ``data`` the XML
+    elements, which override positions. Fields an event kind does not have are
+    NULL; fields it should have but lacks are ``'N/A'``.
     """
-    values = inserts if positional_strict else non_empty(inserts)
-    data = None
-    if xml is not None:
-        parsed = F.from_xml(F.when(F.size(inserts) > 0, xml), EVENT_XML, {"mode": "PERMISSIVE"})
-        data = parsed["EventData"]["Data"]
 
     def fields(positions: dict[str, int]) -> Column:
         columns = []
@@ -141,16 +140,17 @@ def detail_block(event_id: Column, details: Column) -> Column:
     return F.when(details.isNull(), "").when(event_id == "1", created).otherwise(ended)
 
 
-def inserts_block(inserts: Column) -> Column:
-    text = joined_inserts(inserts)
-    return F.when(
-        text.isNotNull(), F.concat(F.lit("\nAdditional Details (StringInserts): "), text)
-    ).otherwise("")
+def inserts_block(values: Column) -> Column:
+    """The non-empty inserts as a line, '' when there are none."""
+    line = F.concat(
+        F.lit("\nAdditional Details (StringInserts): "), F.array_join(values, INSERT_SEPARATOR)
+    )
+    return F.when(F.size(values) > 0, line).otherwise("")
 
 
-def combined_text(message: Column, event_id: Column, details: Column, inserts: Column) -> Column:
+def combined_text(message: Column, event_id: Column, details: Column, values: Column) -> Column:
     """Message, details and inserts: the text searched for IP addresses, never shortened."""
-    return F.concat(message, detail_block(event_id, details), inserts_block(inserts))
+    return F.concat(message, detail_block(event_id, details), inserts_block(values))
 
 
 def context_text(log_source: Column, event_id: Column, event_time: Column, combined: Column) -> Column:

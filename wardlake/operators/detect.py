@@ -65,22 +65,44 @@ def _limit(level: list[tuple[int, Rule]], value, kind: str) -> Column:
     return out
 
 
-def _entry(level: list[tuple[int, Rule]], first: Column | None, strict: bool) -> Column:
+def _rule_and_key(number: int, rule: Rule) -> Column:
+    return F.struct(F.lit(number).alias("rule"), threshold_key(rule).alias("key"))
+
+
+def _entry(level: list[tuple[int, Rule]], first: Column, strict: bool) -> Column:
     """``(rule, key)`` of the one rule of the level an event is a candidate for.
 
-    With ``first`` (number of the first single-event rule that holds) a rule
-    behind it is no candidate any more.
+    A rule behind ``first``, the first single-event rule that holds, is no
+    candidate any more.
     """
     out = F.lit(None).cast("struct<rule:int,key:string>")
     for number, rule in level:
-        test = predicate(rule, strict)
-        if first is not None:
-            test = test & (first.isNull() | (first > number))
-        entry = F.struct(F.lit(number).alias("rule"), threshold_key(rule).alias("key"))
-        out = F.when(test, entry).otherwise(out)
+        test = predicate(rule, strict) & (first.isNull() | (first > number))
+        out = F.when(test, _rule_and_key(number, rule)).otherwise(out)
     return out
 
 
+def _entries(counted: list[tuple[int, Rule]], strict: bool) -> Column:
+    """``(rule, key)`` of every threshold rule an event is a candidate for."""
+    tests = [F.when(predicate(r, strict), _rule_and_key(n, r)) for n, r in counted]
+    return F.array_compact(F.array(*tests))
+
+
+def _candidates(rows: DataFrame, counted: list[tuple[int, Rule]], *keep: str) -> DataFrame:
+    """One row per event and threshold rule it is a candidate for, ready for counting."""
+    each = _with_order(rows).select("_us", "_seq", F.explode("_f.entries").alias("_e"), *keep)
+    return _with_limits(
+        each.select("_us", "_seq", *keep, F.col("_e.rule").alias("_rule"), F.col("_e.key").alias("_key")),
+        counted,
+    )
+
+
+def _with_limits(rows: DataFrame, counted: list[tuple[int, Rule]]) -> DataFrame:
+    return rows.withColumn(
+        "_window_us", _limit(counted, lambda r: r.time_window * 1_000_000, "long")
+    ).withColumn("_threshold", _limit(counted, lambda r: r.threshold, "int"))
+
+
 def _with_facts(events: DataFrame, **facts: Column) -> DataFrame:
     """Add ``_f``, a struct of everything the rules say about one event alone.
 
@@ -94,12 +116,10 @@ def _with_facts(events: DataFrame, **facts: Column) -> DataFrame:
 def _with_rule(rows: DataFrame, depth: int, level: list[tuple[int, Rule]], free: Column) -> DataFrame:
     """Put the candidate rule of one level, its key and limits into the counting columns."""
     entry = F.col("_f")[f"level{depth}"]
-    return (
-        rows.withColumn("_rule", F.when(free, entry["rule"]))
-        .withColumn("_key", F.when(free, entry["key"]))
-        .withColumn("_window_us", _limit(level, lambda r: r.time_window * 1_000_000, "long"))
-        .withColumn("_threshold", _limit(level, lambda r: r.threshold, "int"))
+    entered = rows.withColumn("_rule", F.when(free, entry["rule"])).withColumn(
+        "_key", F.when(free, entry["key"])
     )
+    return _with_limits(entered, level)
 
 
 def _with_order(rows: DataFrame) -> DataFrame:
@@ -121,7 +141,7 @@ def _may_count(counted: list[tuple[int, Rule]]) -> Column | None:
 
 
 def _split(
-    events: DataFrame, counted: list[tuple[int, Rule]], depth: int, facts: dict[str, Column]
+    events: DataFrame, counted: list[tuple[int, Rule]], facts: dict[str, Column]
 ) -> tuple[DataFrame, DataFrame]:
     """(events no threshold rule can take, the others), both with ``_f``."""
     cheap = _may_count(counted)
@@ -132,8 +152,11 @@ def _split(
         )
     rows = _with_facts(events, **facts)
     contested = F.lit(False)
-    for d in range(1, depth + 1):
-        contested = contested | F.col("_f")[f"level{d}"].isNotNull()
+    for name in facts:
+        if name.startswith("level"):
+            contested = contested | F.col("_f")[name].isNotNull()
+        elif name == "entries":
+            contested = contested | (F.size("_f.entries") > 0)
     return rows.filter(~contested), rows.filter(contested)
 
 
@@ -166,23 +189,46 @@ def first_match(events: DataFrame, rules: list[Rule], strict_fields: bool = Fals
     events = _with_facts(events, first=first).withColumnRenamed("_f", "_s")
     seen = F.col("_s.first")
     facts = {f"level{d}": _entry(lv, seen, strict_fields) for d, lv in enumerate(levels, 1)}
-    plain, open_rows = _split(events, counted, len(levels), facts)
-    nobody = F.lit(None).cast("int")
-    plain = plain.withColumn("_won", nobody)
-    open_rows = _with_order(open_rows).withColumn("_won", nobody)
-    for depth, level in enumerate(levels, start=1):
-        entered = _with_rule(open_rows, depth, level, F.col("_won").isNull())
-        marked = counting.mark_fired(entered, _top(level))
-        won = F.coalesce("_won", F.when(F.col("_fired"), F.col("_rule")))
-        open_rows = marked.withColumn("_won", won).drop(*_COUNTING)
-        if PLANNED_LEVELS <= depth < len(levels):
-            open_rows = cut_lineage(open_rows)
+    plain, open_rows = _split(events, counted, facts)
+    open_rows = _with_order(open_rows)
+    if len(levels) == 1:
+        open_rows = _mark_level(open_rows, 1, levels[0], F.lit(True))
+    else:
+        won = _winners(open_rows, levels)
+        same = (F.col("log_source").eqNullSafe(F.col("_c"))) & (F.col("record_id") == F.col("_r"))
+        open_rows = open_rows.join(won, same, "left").drop("_c", "_r")
+    plain = plain.withColumn("_won", F.lit(None).cast("int"))
     both = plain.unionByName(open_rows.drop("_us", "_seq"))
     return both.withColumn("detection", report(F.least("_won", "_s.first"))).drop(
         "_won", "_f", "_s"
     )
 
 
+def _mark_level(rows: DataFrame, depth: int, level: list[tuple[int, Rule]], free: Column) -> DataFrame:
+    """Add ``_won``: the rule of this level that fires on the row."""
+    marked = counting.mark_fired(_with_rule(rows, depth, level, free), _top(level))
+    return marked.withColumn("_won", F.when(F.col("_fired"), F.col("_rule"))).drop(*_COUNTING)
+
+
+def _winners(open_rows: DataFrame, levels: list[list[tuple[int, Rule]]]) -> DataFrame:
+    """Record key and threshold rule of the events a threshold rule takes, level by level.
+
+    A level needs the outcome of the one before twice, so the chain runs on
+    record key, time and candidate rules only, and long chains are cut.
+    """
+    rows = open_rows.select("_us", "_seq", "_f").withColumn("_before", F.lit(None).cast("int"))
+    for depth, level in enumerate(levels, start=1):
+        rows = _mark_level(rows, depth, level, F.col("_before").isNull())
+        rows = rows.withColumn("_before", F.coalesce("_before", "_won")).drop("_won")
+        if PLANNED_LEVELS <= depth < len(levels):
+            rows = cut_lineage(rows)
+    return rows.filter(F.col("_before").isNotNull()).select(
+        F.col("_seq.log_source").alias("_c"),
+        F.col("_seq.record_id").alias("_r"),
+        F.col("_before").alias("_won"),
+    )
+
+
 def all_matches(events: DataFrame, rules: list[Rule], strict_fields: bool = False) -> DataFrame:
     """Add ``detections``: every matching rule in load order; each rule sees every event."""
     ordered = by_file(check_patterns(events.sparkSession, rules))
@@ -198,21 +244,20 @@ def all_matches(events: DataFrame, rules: list[Rule], strict_fields: bool = Fals
     if not counted:
         rows = _with_facts(events, **facts).withColumn("_numbers", F.col("_f.numbers"))
     else:
-        levels = _levels(counted)
-        for depth, level in enumerate(levels, start=1):
-            facts[f"level{depth}"] = _entry(level, None, strict_fields)
-        plain, open_rows = _split(events, counted, len(levels), facts)
-        plain = plain.withColumn("_numbers", F.col("_f.numbers"))
-        open_rows = _with_order(open_rows).withColumn("_numbers", F.col("_f.numbers"))
-        for depth, level in enumerate(levels, start=1):
-            marked = counting.mark_fired(
-                _with_rule(open_rows, depth, level, F.lit(True)), _top(level)
-            )
-            hit = F.when(F.col("_fired"), F.array("_rule")).otherwise(none)
-            open_rows = marked.withColumn("_numbers", F.concat("_numbers", hit)).drop(*_COUNTING)
-            if PLANNED_LEVELS <= depth < len(levels):
-                open_rows = cut_lineage(open_rows)
-        rows = plain.unionByName(open_rows.drop("_us", "_seq"))
+        facts["entries"] = _entries(counted, strict_fields)
+        plain, open_rows = _split(events, counted, facts)
+        fired = counting.fired_rows(_candidates(open_rows, counted), _top(counted))
+        per_record = fired.groupBy("_seq").agg(F.collect_list("_rule").alias("_more"))
+        hits = per_record.select(
+            F.col("_seq.log_source").alias("_c"), F.col("_seq.record_id").alias("_r"), "_more"
+        )
+        same = (F.col("log_source").eqNullSafe(F.col("_c"))) & (F.col("record_id") == F.col("_r"))
+        open_rows = (
+            open_rows.join(hits, same, "left")
+            .withColumn("_numbers", F.concat("_f.numbers", F.coalesce("_more", none)))
+            .drop("_c", "_r", "_more")
+        )
+        rows = plain.withColumn("_numbers", F.col("_f.numbers")).unionByName(open_rows)
     return rows.withColumn(
         "detections",
         F.transform(F.array_sort("_numbers"), lambda n: F.element_at(results, n)),
@@ -247,20 +292,13 @@ def threshold_alerts(events: DataFrame, rules: list[Rule], strict_fields: bool =
     results = F.array(*[result_struct(r) for r in ordered])
     cheap = _may_count(numbered)
     rows = events if cheap is None else events.filter(cheap)
-    levels = _levels(numbered)
-    facts = {f"level{d}": _entry(lv, None, strict_fields) for d, lv in enumerate(levels, 1)}
-    rows = _with_order(_with_facts(rows, **facts))
-    out = None
-    for depth, level in enumerate(levels, start=1):
-        entered = _with_rule(rows, depth, level, F.lit(True))
-        fired = counting.fired_rows(entered.filter(F.col("_rule").isNotNull()), _top(level))
-        part = fired.select(
-            *events.columns,
-            F.col("_key").alias("threshold_key"),
-            F.element_at(results, F.col("_rule")).alias("detection"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = _with_facts(rows, entries=_entries(numbered, strict_fields))
+    fired = counting.fired_rows(_candidates(rows, numbered, *events.columns), _top(numbered))
+    return fired.select(
+        *events.columns,
+        F.col("_key").alias("threshold_key"),
+        F.element_at(results, F.col("_rule")).alias("detection"),
+    )
 
 
 def with_threshold_key(events: DataFrame, rule: Rule, name: str = "threshold_key") -> DataFrame:

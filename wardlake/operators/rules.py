@@ -168,28 +168,28 @@ def spark_pattern(pattern: str) -> str:
 
 def check_patterns(spark: SparkSession, rules: list[Rule]) -> list[Rule]:
     """Mark patterns that cannot be used, instead of letting one fail the whole job."""
-    known: dict[str, bool] = {}
-
-    def usable(pattern: str) -> bool:
-        if pattern not in known:
-            known[pattern] = _compiles(spark, pattern)
-        return known[pattern]
+    patterns = sorted({getattr(r, f) for r in rules for f in REGEX_FIELDS if getattr(r, f)})
+    if _compiles(spark, patterns):
+        return rules
+    known = {p: _compiles(spark, [p]) for p in patterns}
 
     checked = []
     for rule in rules:
-        bad = frozenset(
-            f for f in REGEX_FIELDS if getattr(rule, f) and not usable(getattr(rule, f))
-        )
+        bad = frozenset(f for f in REGEX_FIELDS if not known.get(getattr(rule, f), True))
         for name in bad:
             log.warning("rule %s: %s is not a valid pattern, it never matches", rule.id, name)
         checked.append(replace(rule, broken=bad) if bad else rule)
     return checked
 
 
-def _compiles(spark: SparkSession, pattern: str) -> bool:
+def _compiles(spark: SparkSession, patterns: list[str]) -> bool:
+    """Whether all patterns can be used; one small query for all of them."""
     try:
-        re.compile(pattern)
-        spark.range(1).select(F.lit("").rlike("(?iUd)" + spark_pattern(pattern))).collect()
+        for pattern in patterns:
+            re.compile(pattern)
+        tests = [F.lit("").rlike("(?iUd)" + spark_pattern(p)) for p in patterns]
+        if tests:
+            spark.range(1).select(F.array(*tests)).collect()
         return True
     except (re.error, PySparkException):
         return False

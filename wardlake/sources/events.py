@@ -66,20 +66,26 @@ def in_time_order(events: DataFrame) -> DataFrame:
 
 
 def prepare(events: DataFrame, positional_strict: bool = False) -> DataFrame:
-    """Choose the message, parse process details, build the searched text."""
-    message = text.event_message(F.col("message"), F.col("inserts"))
-    details = text.process_details(
-        F.col("log_source"),
-        F.col("event_id"),
-        F.col("inserts"),
-        F.col("xml") if "xml" in events.columns else None,
-        positional_strict,
-    )
-    combined = text.combined_text(
-        F.col("message"), F.col("event_id"), F.col("details"), F.col("inserts")
+    """Choose the message, parse process details, build the searched text.
+
+    Empty inserts are dropped before positions are counted, so a process field
+    may shift; ``positional_strict`` counts positions in the raw list instead.
+    """
+    source, code, inserts = F.col("log_source"), F.col("event_id"), F.col("inserts")
+    data = F.lit(None).cast("array<struct<_Name:string,_VALUE:string>>")
+    if "xml" in events.columns:
+        data = text.xml_data(source, code, inserts, F.col("xml"))
+    # Used several times below, so they get a projection of their own.
+    once = events.withColumns(
+        {
+            "message": text.event_message(F.col("message"), inserts),
+            "_values": text.non_empty(inserts),
+            "_data": data,
+        }
     )
-    return (
-        events.withColumn("message", message)
-        .withColumn("details", details)
-        .withColumn("combined_text", combined)
+    values = inserts if positional_strict else F.col("_values")
+    detailed = once.withColumn(
+        "details", text.process_details(source, code, values, F.col("_data"))
     )
+    combined = text.combined_text(F.col("message"), code, F.col("details"), F.col("_values"))
+    return detailed.withColumn("combined_text", combined).drop("_values", "_data")
