@@ -86,10 +86,8 @@ def firing_points(candidates: DataFrame, max_threshold: int) -> DataFrame:
             )
         ).alias("_s"),
     ).select("_rule", "_key", "_s.*")
-    # One exchange by cell serves the totals and the running sums.
-    steps = steps.withColumn(
-        "_cell", F.floor(F.col("_at") / F.lit(CELL_SECONDS * 1_000_000)).cast("long")
-    ).repartition("_rule", "_key", "_cell")
+    cell_us = F.lit(CELL_SECONDS * 1_000_000)
+    steps = steps.withColumn("_cell", F.col("_at") - F.pmod(F.col("_at"), cell_us))
     earlier = (
         Window.partitionBy("_rule", "_key")
         .orderBy("_cell")

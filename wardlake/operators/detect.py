@@ -21,9 +21,6 @@ from wardlake.session import cut_lineage
 #: Above this many rules the tests are split by event id, so that a row meets
 #: only the patterns that can apply to it.
 SPLIT_ABOVE = 8
-#: Chained threshold rules up to this depth are planned in one piece.
-PLANNED_LEVELS = 2
-
 _COUNTING = ("_rule", "_key", "_window_us", "_threshold", "_fired")
 
 
@@ -213,14 +210,15 @@ def _mark_level(rows: DataFrame, depth: int, level: list[tuple[int, Rule]], free
 def _winners(open_rows: DataFrame, levels: list[list[tuple[int, Rule]]]) -> DataFrame:
     """Record key and threshold rule of the events a threshold rule takes, level by level.
 
-    A level needs the outcome of the one before twice, so the chain runs on
-    record key, time and candidate rules only, and long chains are cut.
+    A level needs the outcome of the one before twice. The chain therefore runs
+    on record key, time and candidate rules only, and is written out between
+    levels instead of being computed again.
     """
     rows = open_rows.select("_us", "_seq", "_f").withColumn("_before", F.lit(None).cast("int"))
     for depth, level in enumerate(levels, start=1):
         rows = _mark_level(rows, depth, level, F.col("_before").isNull())
         rows = rows.withColumn("_before", F.coalesce("_before", "_won")).drop("_won")
-        if PLANNED_LEVELS <= depth < len(levels):
+        if depth < len(levels):
             rows = cut_lineage(rows)
     return rows.filter(F.col("_before").isNotNull()).select(
         F.col("_seq.log_source").alias("_c"),
