@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ipaddress
-
 from pyspark.sql import Column, functions as F
 
 # Candidate pattern, and octets 0-255 without leading zeros.
@@ -28,12 +26,12 @@ PRIVATE_RANGES = (
     "240.0.0.0/4",
 )
 PUBLIC_EXCEPTIONS = ("192.0.0.9", "192.0.0.10")
-
-
-def private_bounds() -> list[tuple[int, int]]:
-    """The private ranges as (first, last) numbers."""
-    nets = [ipaddress.ip_network(r) for r in PRIVATE_RANGES]
-    return [(int(n.network_address), int(n.broadcast_address)) for n in nets]
+# The same ranges as leading octets of a valid address.
+PRIVATE = (
+    r"^(?:0|10|127|24[0-9]|25[0-5])\."
+    r"|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^192\.0\.[02]\."
+    r"|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\."
+)
 
 
 def is_valid_ipv4(text: Column) -> Column:
@@ -49,13 +47,13 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(is_valid_ipv4(ip), number)
 
 
+def _in_private_range(valid_ip: Column) -> Column:
+    return valid_ip.rlike(PRIVATE) & ~valid_ip.isin(*PUBLIC_EXCEPTIONS)
+
+
 def is_private_ip(ip: Column) -> Column:
     """Private, loopback or link-local; an invalid address is not private."""
-    number = ipv4_number(ip)
-    inside = F.lit(False)
-    for first, last in private_bounds():
-        inside = inside | number.between(first, last)
-    return F.coalesce(inside & ~ip.isin(*PUBLIC_EXCEPTIONS), F.lit(False))
+    return F.coalesce(ip.rlike(VALID) & _in_private_range(ip), F.lit(False))
 
 
 def extract_ips(text: Column) -> Column:
@@ -65,7 +63,8 @@ def extract_ips(text: Column) -> Column:
 
 
 def public_ips(ips: Column) -> Column:
-    return F.filter(ips, lambda x: ~is_private_ip(x))
+    """Those of a list of valid addresses that are public."""
+    return F.filter(ips, lambda x: ~_in_private_range(x))
 
 
 def block_rule_name(ip: Column, prefix: str = "wardlake") -> Column:

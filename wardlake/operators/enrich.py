@@ -46,7 +46,10 @@ def threat_table(events: DataFrame, feed: DataFrame) -> DataFrame:
     The address pairs are narrow and only hits are grouped, so a text full of
     addresses, or an address found everywhere, moves no wide rows.
     """
-    pairs = events.select(*RECORD, F.posexplode(F.array_distinct("public_ips")).alias("pos", "ip"))
+    # The outer form keeps the optimizer from adding a filter that would
+    # evaluate the whole extraction a second time; the join drops the NULLs.
+    distinct = F.array_distinct("public_ips")
+    pairs = events.select(*RECORD, F.posexplode_outer(distinct).alias("pos", "ip"))
     return (
         pairs.join(feed.select("ip", "category", "confidence"), "ip")
         .groupBy(*RECORD)

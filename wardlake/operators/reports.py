@@ -65,7 +65,7 @@ def risk_distribution(logs: DataFrame, label_col: str = "risk_score") -> DataFra
 def technique_counts(logs: DataFrame) -> DataFrame:
     """Rows per technique; a row may list several, separated by commas."""
     listed = logs.select(
-        F.explode(F.split("mitre_technique", r"\s*,\s*")).alias("technique")
+        F.explode_outer(F.split("mitre_technique", r"\s*,\s*")).alias("technique")
     ).filter(F.col("technique") != "")
     return listed.groupBy("technique").agg(F.count(F.lit(1)).alias("log_count"))
 

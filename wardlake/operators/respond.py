@@ -21,8 +21,8 @@ def block_candidates(events: DataFrame, risk_col: str = "final_risk_raw") -> Dat
     the shuffle, so an address found everywhere stays small.
     """
     high = events.filter(is_high(F.col(risk_col)))
-    listed = high.select("event_time", F.explode(F.array_distinct("public_ips")).alias("ip"))
-    return listed.groupBy("ip").agg(
+    listed = high.select("event_time", F.explode_outer(F.array_distinct("public_ips")).alias("ip"))
+    return listed.filter(F.col("ip").isNotNull()).groupBy("ip").agg(
         F.min("event_time").alias("first_seen"), F.count(F.lit(1)).alias("events")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardlake.functions.ip import ipv4_number, is_valid_ipv4
@@ -25,6 +27,12 @@ def counted_values() -> Column:
     return F.filter(pairs, lambda p: (p["value"] != "") & ~zero(p))
 
 
+def _arrival() -> Column:
+    """Time and sequence number as one number, which aggregates by hash where a struct would sort."""
+    micros = F.unix_micros("ts").cast("decimal(19,0)") * F.lit(Decimal(10**19))
+    return micros + F.col("seq").cast("decimal(19,0)")
+
+
 def traffic_counts(packets: DataFrame) -> DataFrame:
     """Packets per source, destination, port and protocol in one pass.
 
@@ -32,11 +40,12 @@ def traffic_counts(packets: DataFrame) -> DataFrame:
     packets costs one row per input task.
     """
     return (
-        packets.select("ts", "seq", F.explode(counted_values()).alias("_c"))
+        packets.select("ts", "seq", F.explode_outer(counted_values()).alias("_c"))
+        .filter(F.col("_c").isNotNull())
         .groupBy(F.col("_c.dimension").alias("dimension"), F.col("_c.value").alias("value"))
         .agg(
             F.count(F.lit(1)).alias("packets"),
-            F.min(F.struct("ts", "seq")).alias("first_seen"),
+            F.min(_arrival()).alias("first_seen"),
         )
     )
 

@@ -40,9 +40,15 @@ def ip_of(u: Column, j: Column) -> Column:
     return _text(1 + u % 223, ".", u % 256, ".", j, ".", 1 + u % 250)
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream."""
+    schema = table(spark, sf_dir, name).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(sf_dir)
+
+
+def _events(e: DataFrame) -> DataFrame:
     """``events`` with its own columns and the raw event columns beside them."""
-    e = table(spark, sf_dir, "events")
     rid, uid, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     user = F.when(rid % 7 == 0, "SYSTEM").when(rid % 7 == 1, "-").otherwise(_text("user", uid % 40))
     ip = ip_of(uid, rid % 4)
@@ -92,9 +98,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_raw_events(events: DataFrame) -> DataFrame:
+    return _events(events).select(*schemas.RAW_EVENT.fieldNames())
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as raw event records of two channels."""
-    return _events(spark, sf_dir).select(*schemas.RAW_EVENT.fieldNames())
+    return as_raw_events(table(spark, sf_dir, "events"))
 
 
 def channel(events: DataFrame, log_source: str) -> DataFrame:
@@ -104,7 +114,7 @@ def channel(events: DataFrame, log_source: str) -> DataFrame:
 def security_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as rows of the stored log table."""
     label = pick(RISK_LABELS, F.floor("value") % 8)
-    return _events(spark, sf_dir).select(
+    return _events(table(spark, sf_dir, "events")).select(
         F.col("record_id").alias("id"),
         F.date_trunc("second", "event_time").alias("timestamp"),
         "event_id",
@@ -163,13 +173,17 @@ def external_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decoded_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as decoded packets, one struct per layer."""
+    return as_decoded_packets(table(spark, sf_dir, "lineitem"))
+
+
+def as_decoded_packets(lineitem: DataFrame) -> DataFrame:
     ok, pk, sk, ln = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     flag = F.col("l_returnflag")
     hw_only = (ln == 7) & (pk % 3 == 0)
     proto = F.when(flag == "A", 6).when(flag == "N", 17).when(ln % 2 == 0, 1).when(pk % 2 == 0, 47).otherwise(0)
     port = pick(PACKET_PORTS, pk % 8)
     seq = ok * 8 + ln
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         seq.alias("seq"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.when(

@@ -563,3 +563,14 @@ UNION ALL SELECT 3, 0, concat('Total Open Ports: ', count(*), chr(10), 'High Ris
 _sql("e9_process_events", ("scored",), f"""
 SELECT record_id AS id, {_TS("date_trunc('second', event_time)")} AS "timestamp", event_id, left(message, 500) AS message,
   md5(final_analysis) AS analysis_md5, final_risk AS risk_score, final_risk_raw AS risk_score_raw, mitre AS mitre_technique FROM scored""")
+
+ORACLE["t2_stream_dedupe"] = ORACLE["u1_channel_union"]
+_sql("t3_stream_first_match", ("first_rule",), "SELECT record_id, rule_id FROM first_rule")
+_sql("t4_stream_enrichment", ("with_ips", "feed", "kb"), """
+SELECT e.record_id, e.ip, feed.category, kb.source AS knowledge_source
+FROM (SELECT DISTINCT record_id, event_id, unnest(CASE WHEN len(public_ips) > 0 THEN public_ips ELSE [NULL] END) AS ip FROM with_ips) e
+LEFT JOIN feed ON e.ip = feed.ip LEFT JOIN kb ON e.event_id = kb.event_id""")
+ORACLE["t5_stream_counters"] = ORACLE["k2_top_talkers"]
+_sql("t9_stream_timeline", ("raw",), f"""
+SELECT {_TS('b')} AS time_interval, count(*) AS log_count FROM (
+  SELECT time_bucket(INTERVAL '15 minutes', event_time) AS b FROM raw) GROUP BY ALL""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,10 +13,11 @@ from wardlake.operators import detect, enrich, fuse, ports, reports, respond, tr
 from wardlake.operators.rules import Rule, rule_from_dict, rules_frame, catalogue_counts
 from wardlake.plans import adapters as A
 from wardlake.plans import digest, process
-from wardlake.session import use_utc
+from wardlake.session import shared_dir, use_utc
 from wardlake.sources import events as ev
 from wardlake.sources import logs as store
 from wardlake.sources import lookups, snapshots
+from wardlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,8 +416,8 @@ def j6_application(spark, d):
 @query
 def j7_not_blocked(spark, d):
     events = enrich.with_ips(_prepared(spark, d))
-    ips = events.select(F.explode("public_ips").alias("ip")).distinct()
-    return respond.not_blocked(ips, A.blocked(spark, d))
+    ips = events.select(F.explode_outer("public_ips").alias("ip")).filter("ip is not null")
+    return respond.not_blocked(ips.distinct(), A.blocked(spark, d))
 
 
 @query
@@ -792,3 +794,79 @@ def e9_process_events(spark, d):
         "id", _time("timestamp").alias("timestamp"), "event_id", "message",
         F.md5("ai_analysis").alias("analysis_md5"), "risk_score", "risk_score_raw", "mitre_technique",
     )
+
+
+# --- streams ---------------------------------------------------------------------
+# The given tables are read as streams until all available files are processed;
+# the result is read back from the tables the stream wrote.
+
+
+def _run_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def t2_stream_dedupe(spark, d):
+    """A record that is read twice counts once."""
+    out = _run_dir(spark, "dedupe")
+    once = A.as_raw_events(A.stream_table(spark, d, "events"))
+    again = A.as_raw_events(A.stream_table(spark, d, "events"))
+    kept = jobs.dedupe(once.unionByName(again), "60 days").select("record_id", "log_source", "event_id")
+    kept.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).format(
+        "parquet"
+    ).start(f"{out}/rows").awaitTermination()
+    rows = spark.read.schema(kept.schema).parquet(f"{out}/rows")
+    return rows.groupBy("log_source", "event_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query
+def t3_stream_first_match(spark, d):
+    """Detection on the event stream, threshold rules included."""
+    out = _run_dir(spark, "detect")
+    stream = A.as_raw_events(A.stream_table(spark, d, "events"))
+    jobs.detect_stream(stream, rules(*ALL_RULES), out, available_now=True).awaitTermination()
+    return spark.read.parquet(f"{out}/detections").select(
+        "record_id", F.col("detection.rule_id").alias("rule_id")
+    )
+
+
+@query
+def t4_stream_enrichment(spark, d):
+    """Feed hits and knowledge found on the event stream."""
+    out = _run_dir(spark, "enrich")
+    stream = A.as_raw_events(A.stream_table(spark, d, "events"))
+    rich = jobs.enrich_stream(stream, _feed(spark, d), _knowledge(spark, d)).select(
+        "record_id", "ip", "category", F.col("knowledge.source").alias("knowledge_source")
+    )
+    rich.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).format(
+        "parquet"
+    ).start(f"{out}/rows").awaitTermination()
+    return spark.read.schema(rich.schema).parquet(f"{out}/rows")
+
+
+@query
+def t5_stream_counters(spark, d):
+    """Packet counters summed over the micro-batches of the packet stream."""
+    out = _run_dir(spark, "traffic")
+    packets = snapshots.flatten_packets(A.as_decoded_packets(A.stream_table(spark, d, "lineitem")))
+    jobs.count_stream(packets, out, available_now=True).awaitTermination()
+    return traffic.top_talkers(jobs.read_counters(spark, out))
+
+
+@query
+def t9_stream_timeline(spark, d):
+    """15-minute counts of the event stream."""
+    out = _run_dir(spark, "timeline")
+    stream = A.as_raw_events(A.stream_table(spark, d, "events"))
+    counts = jobs.timeline_stream(stream.select(F.col("event_time").alias("timestamp")))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
+    counts.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(
+        availableNow=True
+    ).foreachBatch(keep).start().awaitTermination()
+    latest = spark.read.parquet(f"{out}/rows").groupBy("time_interval").agg(
+        F.max_by("log_count", "batch").alias("log_count")
+    )
+    return latest.select(_time("time_interval").alias("time_interval"), "log_count")
