@@ -44,17 +44,17 @@ def severity_to_risk(severity: Column) -> Column:
 
 
 def answer_risk(label: Column) -> Column:
-    """Label of an analysis answer: exact word first, then contained word, default medium.
+    """Label of an analysis answer: a contained word decides, default medium.
+
+    A label that is exactly one of the words contains only that word, so it
+    needs no test of its own.
 
     Gives the vocabulary of the answers themselves; ``canonical_risk`` turns it
     into English.
     """
-    low = F.lower(strip(label))
+    low = F.lower(label)
     return (
-        F.when(low.isin(*LOW), "Düşük")
-        .when(low.isin(*MEDIUM), "Orta")
-        .when(low.isin(*HIGH), "Yüksek")
-        .when(_has(low, HIGH), "Yüksek")
+        F.when(_has(low, HIGH), "Yüksek")
         .when(_has(low, MEDIUM), "Orta")
         .when(_has(low, LOW), "Düşük")
         .otherwise("Orta")
@@ -63,15 +63,14 @@ def answer_risk(label: Column) -> Column:
 
 def display_risk(label: Column) -> Column:
     """English label for tables: NULL → Unspecified, unknown words stay as they are."""
-    text = strip(label)
-    low = F.lower(text)
+    low = F.lower(label)
     return (
         F.when(label.isNull(), "Unspecified")
         .when(_has(low, HIGH), "High")
         .when(_has(low, MEDIUM), "Medium")
         .when(_has(low, LOW), "Low")
         .when(low.contains("critical"), "Critical")
-        .otherwise(text)
+        .otherwise(strip(label))
     )
 
 

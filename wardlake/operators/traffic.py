@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardlake.functions.ip import ipv4_number, is_valid_ipv4
@@ -15,39 +13,30 @@ RECENT = 10
 DIMENSIONS = ("source_ip", "dest_ip", "port", "protocol")
 
 
-def counted_values() -> Column:
-    """(dimension, value) pairs of one packet; absent, empty and zero values are not counted."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
-            for d in DIMENSIONS
-        ]
-    )
-    zero = lambda p: p["dimension"].isin("port", "protocol") & (p["value"] == "0")
-    return F.filter(pairs, lambda p: (p["value"] != "") & ~zero(p))
-
-
-def _arrival() -> Column:
-    """Time and sequence number as one number, which aggregates by hash where a struct would sort."""
-    micros = F.unix_micros("ts").cast("decimal(19,0)") * F.lit(Decimal(10**19))
-    return micros + F.col("seq").cast("decimal(19,0)")
-
-
 def traffic_counts(packets: DataFrame) -> DataFrame:
     """Packets per source, destination, port and protocol in one pass.
 
-    Counts are combined before the shuffle, so a talker with a third of all
-    packets costs one row per input task.
+    Absent, empty and zero values are not counted. ``first_seen`` is the lowest
+    sequence number. Counts are combined before the shuffle, so a talker with a
+    third of all packets costs one row per input task.
     """
-    return (
-        packets.select("ts", "seq", F.explode_outer(counted_values()).alias("_c"))
-        .filter(F.col("_c").isNotNull())
-        .groupBy(F.col("_c.dimension").alias("dimension"), F.col("_c.value").alias("value"))
-        .agg(
-            F.count(F.lit(1)).alias("packets"),
-            F.min(_arrival()).alias("first_seen"),
-        )
+    named = packets.select("seq", *[F.col(d).cast("string").alias(d) for d in DIMENSIONS])
+    sets = named.groupingSets([[d] for d in DIMENSIONS], *DIMENSIONS).agg(
+        F.count(F.lit(1)).alias("packets"),
+        F.min("seq").alias("first_seen"),
+        F.grouping_id().alias("_set"),
     )
+    # The grouping id has a zero bit for the one column a row is grouped by.
+    bits = len(DIMENSIONS)
+    dimension, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, name in enumerate(DIMENSIONS):
+        mine = F.col("_set") == (2**bits - 1) - 2 ** (bits - 1 - i)
+        dimension = F.when(mine, name).otherwise(dimension)
+        value = F.when(mine, F.col(name)).otherwise(value)
+    zero = F.col("dimension").isin("port", "protocol") & (F.col("value") == "0")
+    return sets.select(
+        dimension.alias("dimension"), value.alias("value"), "packets", "first_seen"
+    ).filter((F.col("value") != "") & ~zero)
 
 
 def total_packets(packets: DataFrame) -> DataFrame:

@@ -229,7 +229,7 @@ SELECT l_orderkey * 8 + l_linenumber AS seq, l_shipdate AS ts,
 FROM (SELECT *, l_linenumber = 7 AND l_partkey % 3 = 0 AS hw FROM lineitem)""")
 
 _cte("counts", ("packets",), """
-SELECT dimension, value, count(*) AS packets, min(struct_pack(ts := ts, seq := seq)) AS first_seen FROM (
+SELECT dimension, value, count(*) AS packets, min(seq) AS first_seen FROM (
   SELECT 'source_ip' AS dimension, source_ip AS value, ts, seq FROM packets
   UNION ALL SELECT 'dest_ip', dest_ip, ts, seq FROM packets
   UNION ALL SELECT 'port', CAST(port AS VARCHAR), ts, seq FROM packets WHERE port <> 0

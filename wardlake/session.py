@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution is part of the design: it coalesces small shuffle
 #: partitions, splits skewed join partitions and turns a join into a broadcast
@@ -49,10 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder, so a lost executor costs no recomputation."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    A lost executor then costs a read instead of the whole computation, and
+    whoever uses the rows twice does not compute them twice. The folder is the
+    caller's to clear, like any checkpoint folder.
+    """
     spark = df.sparkSession
-    directory = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(directory)
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
