@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wardlake import schemas
 from wardlake.operators import enrich, ports, reports, respond, traffic
 from wardlake.operators.rules import load_rules, rule_from_dict
+from wardlake.operators.sizes import broadcast_if_small, is_small
 from wardlake.plans import digest, process
 from wardlake.sources import snapshots
 
@@ -162,11 +163,22 @@ def test_traffic(spark):
     assert (recent[0].time, recent[0].dest_ip, recent[0].protocol, recent[0].port) == ("2024-01-01 10:00:00.002", "N/A", "Unknown", "N/A")
 
 
-def test_reputation_with_ranges(spark):
+def test_reputation_with_ranges(spark, monkeypatch):
     table = packets(spark, (0, "1.2.3.4", "9.9.9.9", "TCP", 1), (1, "20.1.77.3", "1.2.3.4", "TCP", 1), (2, "aa:bb", None, "Ethernet", None))
     feed = feed_of(spark, ("1.2.3.4", "Bot", 90), ("20.1.0.0/16", "Net", 50), ("9.9.9.9/33", "bad", 1), ("zz", "bad", 1))
-    got = {(r.seq, r.direction, r.feed_entry) for r in traffic.reputation(table, feed).collect()}
-    assert got == {(0, "source", "1.2.3.4"), (1, "source", "20.1.0.0/16"), (1, "destination", "1.2.3.4")}
+    want = {(0, "source", "1.2.3.4"), (1, "source", "20.1.0.0/16"), (1, "destination", "1.2.3.4")}
+    for choice in (F.broadcast, lambda df: df):
+        monkeypatch.setattr(traffic, "broadcast_if_small", choice)
+        got = {(r.seq, r.direction, r.feed_entry) for r in traffic.reputation(table, feed).collect()}
+        assert got == want
+
+
+def test_broadcast_only_below_the_bound(spark):
+    table = spark.range(10).repartition(2)
+    assert is_small(table, 10) and not is_small(table, 9)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in plan(broadcast_if_small(table, 10))
+    assert "strategy=broadcast" not in plan(broadcast_if_small(table, 9))
 
 
 def test_ports(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wardlake.functions import ip as ipf
 from wardlake.functions.risk import answer_risk
 from wardlake.functions.text import event_id_from_text, strip
+from wardlake.operators.sizes import broadcast_if_small
 
 RECORD = ("log_source", "record_id")
 HIT_DDL = "struct<ip:string,category:string,confidence:int>"
@@ -51,7 +52,7 @@ def threat_table(events: DataFrame, feed: DataFrame) -> DataFrame:
     distinct = F.array_distinct("public_ips")
     pairs = events.select(*RECORD, F.posexplode_outer(distinct).alias("pos", "ip"))
     return (
-        pairs.join(feed.select("ip", "category", "confidence"), "ip")
+        pairs.join(broadcast_if_small(feed.select("ip", "category", "confidence")), "ip")
         .groupBy(*RECORD)
         .agg(F.min_by(F.struct("ip", "category", "confidence"), "pos").alias("threat"))
     )
@@ -71,7 +72,9 @@ def threat_hits(events: DataFrame, feed: DataFrame, inline_rows: int = INLINE_FE
 def with_knowledge(events: DataFrame, knowledge: DataFrame, event_id: str = "event_id") -> DataFrame:
     """Add ``knowledge``: the entry of the event id, NULL when there is none."""
     entry = F.struct("title", "description", "risk_level", "advice", "source")
-    dim = knowledge.select(F.col("event_id").alias("_kid"), entry.alias("knowledge"))
+    dim = broadcast_if_small(
+        knowledge.select(F.col("event_id").alias("_kid"), entry.alias("knowledge"))
+    )
     return events.join(dim, strip(F.col(event_id)) == F.col("_kid"), "left").drop("_kid")
 
 

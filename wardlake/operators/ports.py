@@ -24,6 +24,7 @@ NAMED = " service"
 UNKNOWN_SERVICE = "Unknown service"
 
 DIGEST_PORTS = 10
+MAX_PORT = 65535
 
 
 def port_catalogue(spark: SparkSession, services: DataFrame | None = None) -> DataFrame:
@@ -34,7 +35,8 @@ def port_catalogue(spark: SparkSession, services: DataFrame | None = None) -> Da
     if services is None:
         return fixed
     name = F.upper("service")
-    named = services.select(
+    # Port numbers have 16 bits, which bounds the catalogue whatever the input.
+    named = services.filter(F.col("port").between(0, MAX_PORT)).select(
         F.col("port").cast("int").alias("port"),
         name.alias("service"),
         F.lit("Low").alias("risk"),
@@ -50,7 +52,10 @@ def port_catalogue(spark: SparkSession, services: DataFrame | None = None) -> Da
 
 
 def with_port_info(ports: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Add ``service, risk, description``; a port outside the catalogue is unknown and low."""
+    """Add ``service, risk, description``; a port outside the catalogue is unknown and low.
+
+    The catalogue has one row per port, so at most 65,536, and is broadcast.
+    """
     dim = catalogue.select(
         "port",
         F.col("service").alias("_s"),
@@ -58,7 +63,7 @@ def with_port_info(ports: DataFrame, catalogue: DataFrame) -> DataFrame:
         F.col("description").alias("_d"),
     )
     return (
-        ports.join(dim, "port", "left")
+        ports.join(F.broadcast(dim), "port", "left")
         .withColumn("service", F.coalesce("_s", F.lit("Unknown")))
         .withColumn("risk", F.coalesce("_r", F.lit("Low")))
         .withColumn("description", F.coalesce("_d", F.lit(UNKNOWN_SERVICE)))

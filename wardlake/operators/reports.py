@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wardlake.functions.risk import (
+    canonical_risk,
     display_risk,
     is_high,
     risk_bucket,
@@ -85,7 +86,8 @@ def filter_risk(logs: DataFrame, levels: list[str]) -> DataFrame:
     """Rows whose English label contains one of the chosen ones (any case)."""
     if not levels:
         return logs
-    return logs.filter(F.coalesce(F.col("risk_score").rlike("(?iU)" + "|".join(levels)), F.lit(False)))
+    label = canonical_risk(F.col("risk_score"))
+    return logs.filter(F.coalesce(label.rlike("(?iU)" + "|".join(levels)), F.lit(False)))
 
 
 def filter_event_id(logs: DataFrame, pattern: str | None) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardlake.functions.ip import ipv4_number, is_valid_ipv4
+from wardlake.functions.ip import ipv4_number
+from wardlake.operators.sizes import broadcast_if_small
 
 # Length of top lists and of the recent list.
 TOP = 10
@@ -123,18 +124,19 @@ def split_feed(feed: DataFrame) -> DataFrame:
 
 
 def _leading(number: Column, bits: Column) -> Column:
-    return F.floor(number / F.pow(F.lit(2.0), F.lit(32) - bits)).cast("long")
+    return F.call_function("shiftright", number, F.lit(32) - bits)
 
 
 def reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
     """Packets from or to addresses of the feed, one row per packet, direction and feed row.
 
-    A feed row may be a range ``a.b.c.d/len``. The lengths that occur (at most
-    33) turn the range test into an equality join on (length, leading bits).
-    Addresses are matched once each and only then joined to the packets.
+    Single addresses are compared as they are; a feed of checked size is
+    broadcast and no packet moves. A feed row may also be a range
+    ``a.b.c.d/len``: the lengths that occur (at most 32) turn the range test
+    into an equality join on (length, leading bits), done once per address.
     """
-    ranges = split_feed(feed)
-    lengths = sorted(r["bits"] for r in ranges.select("bits").distinct().limit(33).collect())
+    listed = split_feed(feed).withColumn("_ip", F.split("ip", "/")[0])
+    entry = (F.col("ip").alias("feed_entry"), "category", "confidence")
     ends = packets.select(
         "seq",
         "ts",
@@ -145,13 +147,19 @@ def reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
             )
         ).alias("_e"),
     ).select("seq", "ts", "_e.*")
-    known = ends.select("ip").filter(is_valid_ipv4(F.col("ip"))).distinct()
-    tried = known.withColumn("bits", F.explode(F.array(*[F.lit(b) for b in lengths]).cast("array<int>")))
-    tried = tried.withColumn("net", _leading(ipv4_number(F.col("ip")), F.col("bits")))
-    listed = ranges.select(
-        "bits", "net", F.col("ip").alias("feed_entry"), "category", "confidence"
-    )
-    matched = tried.join(listed, ["bits", "net"]).drop("bits", "net")
-    return ends.join(matched, "ip").select(
-        "seq", "ts", "direction", "ip", "feed_entry", "category", "confidence"
-    )
+    single = listed.filter(F.col("bits") == 32).select(F.col("_ip").alias("key"), *entry)
+    found = ends.join(broadcast_if_small(single), F.col("ip") == F.col("key")).drop("key")
+    ranges = listed.filter(F.col("bits") < 32).select("bits", "net", *entry)
+    lengths = sorted(r["bits"] for r in ranges.select("bits").distinct().limit(32).collect())
+    if lengths:
+        tried = (
+            ends.select("ip")
+            .distinct()
+            .withColumn("_n", ipv4_number(F.col("ip")))
+            .withColumn("bits", F.explode(F.array(*[F.lit(b) for b in lengths])))
+            .withColumn("net", _leading(F.col("_n"), F.col("bits")))
+        )
+        matched = tried.join(broadcast_if_small(ranges), ["bits", "net"])
+        inside = ends.join(matched.drop("bits", "net", "_n"), "ip")
+        found = found.unionByName(inside)
+    return found.select("seq", "ts", "direction", "ip", "feed_entry", "category", "confidence")

@@ -8,11 +8,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wardlake.operators.enrich import threat_hits, with_ips
+from wardlake.operators.enrich import HIT_DDL, threat_hits, with_ips
 from wardlake.operators.fuse import fuse
 from wardlake.operators.reports import TIMELINE_STEP
 from wardlake.operators.respond import empty_block_list, new_blocks
 from wardlake.operators.rules import Rule
+from wardlake.operators.sizes import broadcast_if_small
 from wardlake.operators.traffic import traffic_counts
 from wardlake.plans.process import stored_rows, with_answers
 from wardlake.sources import logs
@@ -61,18 +62,20 @@ def process_stream(
     Everything a micro-batch writes is keyed by its number, so a repeated
     micro-batch replaces its own output.
     """
-    spark = events.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        # Both are used several times below; a micro-batch is bounded.
+        batch.persist()
         prepared = with_ips(prepare(batch))
-        hit = threat_hits(prepared, _now(feed)) if feed is not None else prepared.withColumn(
-            "threat", F.lit(None).cast("struct<ip:string,category:string,confidence:int>")
-        )
+        if feed is None:
+            hit = prepared.withColumn("threat", F.lit(None).cast(HIT_DDL))
+        else:
+            hit = threat_hits(prepared, _now(feed))
         matched = first_match_in_batch(hit, _now(rules), f"{base_dir}/state", batch_id)
-        scored = fuse(with_answers(matched, _now(answers)))
+        scored = fuse(with_answers(matched, _now(answers))).persist()
         tag = f"{name}-{batch_id}"
         logs.append_batch(stored_rows(scored), f"{base_dir}/logs", tag)
-        before = read_blocks(spark, f"{base_dir}/blocks").filter(F.col("batch") != tag)
+        before = read_blocks(batch.sparkSession, f"{base_dir}/blocks").filter(F.col("batch") != tag)
         (
             new_blocks(scored, before)
             .withColumn("batch", F.lit(tag))
@@ -81,6 +84,8 @@ def process_stream(
             .partitionBy("batch")
             .parquet(f"{base_dir}/blocks")
         )
+        scored.unpersist()
+        batch.unpersist()
 
     writer = (
         dedupe(events)
@@ -106,10 +111,12 @@ def detect_stream(
     """Only the detection: every event with its first matching rule, to ``base_dir/detections``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         matched = first_match_in_batch(prepare(batch), _now(rules), f"{base_dir}/state", batch_id)
         matched.select("record_id", "log_source", "event_id", "event_time", "detection").write.mode(
             "overwrite"
         ).parquet(f"{base_dir}/detections/batch={batch_id}")
+        batch.unpersist()
 
     writer = (
         dedupe(events)
@@ -128,10 +135,11 @@ def enrich_stream(events: DataFrame, feed: DataFrame, knowledge: DataFrame) -> D
     """
     ready = with_ips(prepare(events))
     entry = F.struct("title", "description", "risk_level", "advice", "source").alias("knowledge")
-    dim = knowledge.select(F.col("event_id").alias("_kid"), entry)
+    dim = broadcast_if_small(knowledge.select(F.col("event_id").alias("_kid"), entry))
     known = ready.join(dim, F.col("event_id") == F.col("_kid"), "left").drop("_kid")
     each = known.withColumn("ip", F.explode_outer(F.array_distinct("public_ips")))
-    return each.join(feed.select("ip", "category", "confidence"), "ip", "left")
+    listed = broadcast_if_small(feed.select("ip", "category", "confidence"))
+    return each.join(listed, "ip", "left")
 
 
 def running_counts(packets: DataFrame) -> DataFrame:
