@@ -167,8 +167,8 @@ def test_reputation_with_ranges(spark, monkeypatch):
     table = packets(spark, (0, "1.2.3.4", "9.9.9.9", "TCP", 1), (1, "20.1.77.3", "1.2.3.4", "TCP", 1), (2, "aa:bb", None, "Ethernet", None))
     feed = feed_of(spark, ("1.2.3.4", "Bot", 90), ("20.1.0.0/16", "Net", 50), ("9.9.9.9/33", "bad", 1), ("zz", "bad", 1))
     want = {(0, "source", "1.2.3.4"), (1, "source", "20.1.0.0/16"), (1, "destination", "1.2.3.4")}
-    for choice in (F.broadcast, lambda df: df):
-        monkeypatch.setattr(traffic, "broadcast_if_small", choice)
+    for bound in (traffic.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(traffic, "BROADCAST_ROWS", bound)
         got = {(r.seq, r.direction, r.feed_entry) for r in traffic.reputation(table, feed).collect()}
         assert got == want
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardlake.functions.ip import ipv4_number
-from wardlake.operators.sizes import broadcast_if_small
+from wardlake.operators.sizes import BROADCAST_ROWS
 
 # Length of top lists and of the recent list.
 TOP = 10
@@ -147,10 +147,17 @@ def reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
             )
         ).alias("_e"),
     ).select("seq", "ts", "_e.*")
+    # One row per length: how many feed rows have it.
+    sizes = {r["bits"]: r["count"] for r in listed.groupBy("bits").count().collect()}
+    singles = sizes.pop(32, 0)
+    lengths = sorted(sizes)
+
+    def marked(part: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(part) if rows <= BROADCAST_ROWS else part
+
     single = listed.filter(F.col("bits") == 32).select(F.col("_ip").alias("key"), *entry)
-    found = ends.join(broadcast_if_small(single), F.col("ip") == F.col("key")).drop("key")
+    found = ends.join(marked(single, singles), F.col("ip") == F.col("key")).drop("key")
     ranges = listed.filter(F.col("bits") < 32).select("bits", "net", *entry)
-    lengths = sorted(r["bits"] for r in ranges.select("bits").distinct().limit(32).collect())
     if lengths:
         tried = (
             ends.select("ip")
@@ -159,7 +166,7 @@ def reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
             .withColumn("bits", F.explode(F.array(*[F.lit(b) for b in lengths])))
             .withColumn("net", _leading(F.col("_n"), F.col("bits")))
         )
-        matched = tried.join(broadcast_if_small(ranges), ["bits", "net"])
+        matched = tried.join(marked(ranges, sum(sizes.values())), ["bits", "net"])
         inside = ends.join(matched.drop("bits", "net", "_n"), "ip")
         found = found.unionByName(inside)
     return found.select("seq", "ts", "direction", "ip", "feed_entry", "category", "confidence")
