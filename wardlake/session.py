@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,11 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and state, as named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session. Only where it is unset
-    (tests, local runs) a folder of our own is made and remembered.
+    and everything runs in one process (tests, local runs) a folder of our own is
+    made and remembered; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
     own = tempfile.mkdtemp(prefix="wardlake-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
