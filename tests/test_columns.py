@@ -66,10 +66,10 @@ def test_risk_labels(spark):
 
 
 def raw(spark, *rows):
-    data = [(i, s, e, None, m, ins, x) for i, (s, e, m, ins, x) in enumerate(rows)]
+    data = [(None, i, s, e, None, m, ins, x) for i, (s, e, m, ins, x) in enumerate(rows)]
     import datetime as dt
 
-    data = [r[:3] + (dt.datetime(2024, 1, 1),) + r[4:] for r in data]
+    data = [r[:4] + (dt.datetime(2024, 1, 1),) + r[5:] for r in data]
     return spark.createDataFrame(data, schemas.RAW_EVENT)
 
 

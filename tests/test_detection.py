@@ -36,6 +36,28 @@ def every(spark, rows, rules):
     return {r[0]: r[1] for r in out.collect()}
 
 
+def test_repeated_records_count_once_and_agree(spark):
+    rows = [event(i, 10 * i) for i in range(4)] + [event(9, 35, "4624")]
+    rules = [rule("t", event_id="4625", threshold=3), rule("s", severity="low", event_id="4624")]
+    for given in (rows + rows[1:3], rows + rows):
+        df = frame(spark, given)
+        out = detect.first_match(df, rules).select("record_id", "detection.rule_id").collect()
+        assert len(out) == len(given)
+        assert {tuple(r) for r in out} == {(0, None), (1, None), (2, "t"), (3, "t"), (9, "s")}
+        many = detect.all_matches(df, rules)
+        assert many.count() == len(given)
+        ids = many.select("record_id", F.transform("detections", lambda d: d["rule_id"])).collect()
+        assert {(r[0], tuple(r[1])) for r in ids} == {(0, ()), (1, ()), (2, ("t",)), (3, ("t",)), (9, ("s",))}
+
+
+def test_hosts_share_record_numbers(spark):
+    one = frame(spark, [event(i, 10 * i) for i in range(2)]).withColumn("host", F.lit("a"))
+    two = frame(spark, [event(i, 10 * i + 5) for i in range(2)]).withColumn("host", F.lit("b"))
+    out = detect.first_match(one.unionByName(two), [rule("t", event_id="4625", threshold=4)])
+    got = {(r.host, r.record_id): r.rule_id for r in out.select("host", "record_id", "detection.rule_id").collect()}
+    assert got == {("a", 0): None, ("b", 0): None, ("a", 1): None, ("b", 1): "t"}
+
+
 def window_counts(spark, offsets, window, highest):
     """Count inside the window at each event, read from which thresholds fire."""
     rows = [event(i, s) for i, s in enumerate(offsets)]

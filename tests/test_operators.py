@@ -22,14 +22,17 @@ def texts(spark, *values):
     return enrich.with_ips(df)
 
 
-def test_first_listed_address_counts_in_both_forms(spark):
+def test_first_listed_address_counts(spark):
     events = texts(spark, "10.0.0.1 5.6.7.8 1.2.3.4", "1.2.3.4 5.6.7.8 1.2.3.4", "9.9.9.9", "none", "10.0.0.1")
     feed = feed_of(spark, ("1.2.3.4", "Botnet", 100), ("5.6.7.8", "Brute", 90), ("10.0.0.1", "Inside", 80))
     want = {0: "5.6.7.8", 1: "1.2.3.4", 2: None, 3: None, 4: None}
-    for inline_rows in (256, 2):
-        out = enrich.threat_hits(events, feed, inline_rows)
+    doubled = feed.unionByName(feed_of(spark, ("1.2.3.4", "Botnet", 100), ("1.2.3.4", "Older", 60)))
+    nameless = events.withColumn("log_source", F.lit(None).cast("string"))
+    for rows, entries in ((events, feed), (events, doubled), (nameless, feed)):
+        out = enrich.threat_hits(rows, entries)
         assert {r[0]: r[1] for r in out.select("record_id", "threat.ip").collect()} == want
-    empty = enrich.threat_hits(events, feed_of(spark), 2)
+        assert out.count() == 5 and out.filter("threat.category = 'Older'").count() == 0
+    empty = enrich.threat_hits(events, feed_of(spark))
     assert empty.filter("threat is not null").count() == 0
 
 
@@ -55,7 +58,7 @@ def test_answers(spark):
 
 
 def raw(spark, *rows):
-    data = [(i, s, e, T0 + dt.timedelta(seconds=i, microseconds=5), m, None, None) for i, (s, e, m) in enumerate(rows)]
+    data = [(None, i, s, e, T0 + dt.timedelta(seconds=i, microseconds=5), m, None, None) for i, (s, e, m) in enumerate(rows)]
     return spark.createDataFrame(data, schemas.RAW_EVENT)
 
 
@@ -72,7 +75,13 @@ def test_whole_job(spark):
         rule_from_dict({"id": "l", "severity": "low", "mitre": "T9", "match_message": "low", "conditions": {"event_id": 4624}}),
     ]
     feed = feed_of(spark, ("1.2.3.4", "Botnet", 100))
-    answers = spark.createDataFrame([(2, "text", "Yüksek"), (3, "text", "Düşük")], "record_id long, analysis string, analysis_risk string")
+    day = dt.timedelta(days=1)
+    parsed = [
+        (None, "Security", 2, "text", "Yüksek", None, T0), (None, "Security", 3, "old", "High", None, T0 - day),
+        (None, "Security", 3, "text", "Düşük", None, T0), (None, "Sysmon", 0, "other channel", "High", None, T0),
+        (None, "Security", 1, None, "Medium", "broken", T0),
+    ]
+    answers = spark.createDataFrame(parsed, "host string, log_source string, record_id long, analysis string, analysis_risk string, reason string, answered_at timestamp")
     blocked = spark.createDataFrame([("8.8.8.8", "r", T0, 1)], schemas.BLOCK_LIST)
     stored, blocks = process.process_events(raw_events, rules, feed, answers, blocked)
     rows = {r.id: r for r in stored.collect()}
@@ -82,7 +91,8 @@ def test_whole_job(spark):
     notice = "🛡️ [ACTION TAKEN]: IP adres(ler)i engellendi: "
     header = "🚨 [THREAT INTEL MATCH] IP 1.2.3.4 zararlı listede bulundu! Kategori: Botnet, Güven: 100%\n\n"
     assert rows[0].ai_analysis.startswith(notice + "1.2.3.4\n\n" + header) and "low" not in rows[0].ai_analysis
-    assert rows[1].ai_analysis.startswith(notice + "8.8.8.8\n\nhit\n\n---\n\n🆔")
+    assert rows[1].ai_analysis.startswith(notice + "8.8.8.8\n\nhit\n\n---\n\n🆔") and "(4672)" in rows[1].ai_analysis and "broken" in rows[1].ai_analysis
+    assert stored.count() == 4 and "other channel" not in rows[0].ai_analysis
     assert rows[2].ai_analysis == notice + "9.9.9.9\n\ntext" and len(rows[2].message) == 500
     assert rows[3].ai_analysis == "text" and rows[0].timestamp == T0
     # Addresses come from the whole text; what is blocked already is not added again.
@@ -100,7 +110,7 @@ def test_event_without_inserts_is_stored_with_fallback(spark):
 
 
 def logs(spark, *rows):
-    data = [(i, T0 + dt.timedelta(minutes=m), e, msg, a, r, r, t) for i, (m, e, msg, a, r, t) in enumerate(rows)]
+    data = [(None, None, i, T0 + dt.timedelta(minutes=m), e, msg, a, r, r, t) for i, (m, e, msg, a, r, t) in enumerate(rows)]
     return spark.createDataFrame(data, schemas.STORED_LOG)
 
 
@@ -185,14 +195,14 @@ def test_ports(spark):
     rows = [("h", T0, "tcp", "LISTEN", 3389, 1), ("h", T0, "tcp", "LISTEN", 80, None), ("h", T0, "tcp", "LISTEN", 631, 9),
             ("h", T0, "tcp", "LISTEN", 50000, 1), ("h", T0, "udp", "LISTEN", 21, 1), ("h", T0, "tcp", "ESTABLISHED", 21, 1)]
     conns = spark.createDataFrame(rows, schemas.CONNECTION)
-    procs = spark.createDataFrame([("h", 1, "svc"), ("other", 9, "no")], schemas.PROCESS)
+    procs = spark.createDataFrame([("h", 1, "before", T0), ("h", 1, "svc", T0 + dt.timedelta(1)), ("other", 9, "no", T0)], schemas.PROCESS)
     services = spark.createDataFrame([(631, "ipp"), (80, "www")], "port int, service string")
     found = ports.open_ports(conns, ports.port_catalogue(spark, services), procs)
     got = {r.port: (r.application, r.service, r.risk, r.description) for r in found.collect()}
     assert got == {
         3389: ("svc", "RDP", "High", "RDP service - Should be carefully monitored from security perspective"),
         80: ("Unknown", "HTTP", "Low", "HTTP service - Generally safe"),
-        631: ("Unknown", "IPP", "Low", "IPP service"),
+        631: ("Access Denied", "IPP", "Low", "IPP service"),
         50000: ("svc", "Unknown", "Low", "Unknown service"),
     }
     assert [r.port for r in ports.by_port(found).collect()] == [80, 631, 3389, 50000]
@@ -214,7 +224,7 @@ def test_system_digest(spark):
 
 def test_prompts_bind_known_advice(spark):
     kb = spark.createDataFrame([("7", "t", "d", "Orta", "do it", "local")], schemas.KNOWLEDGE)
-    events = spark.createDataFrame([(1, "Event ID: 7 x"), (2, "Event ID: 8"), (3, "none")], "record_id long, context_text string")
+    events = spark.createDataFrame([(1, "Event ID: 7 x"), (2, "Event ID: 8"), (3, "none")], "record_id long, context_text string").withColumn("log_source", F.lit("S"))
     rows = {r.record_id: r for r in enrich.prompts(events, kb, "BASE").collect()}
     assert '"do it"' in rows[1].system_prompt and '"Orta"' in rows[1].system_prompt
     assert rows[2].system_prompt == rows[3].system_prompt == "BASE" and rows[3].event_id is None

@@ -14,7 +14,7 @@ T0 = dt.datetime(2024, 1, 1, 10, 0, 0)
 
 def stored(spark, *rows):
     """(id, seconds, risk) rows of the log table."""
-    data = [(i, T0 + dt.timedelta(seconds=s, microseconds=700000), "4625", "m", None, r, r, None) for i, s, r in rows]
+    data = [(None, None, i, T0 + dt.timedelta(seconds=s, microseconds=700000), "4625", "m", None, r, r, None) for i, s, r in rows]
     return spark.createDataFrame(data, schemas.STORED_LOG)
 
 
@@ -53,6 +53,15 @@ def test_added_column(spark, tmp_path):
     assert got == {1: None, 2: "T1"}
 
 
+def test_days_outside_the_bounds_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    store.append(stored(spark, *[(i, 86400 * i, "High") for i in range(5)]), path)
+    some = store.read_table(spark, path, since=T0 + dt.timedelta(days=1), until=T0 + dt.timedelta(days=3))
+    assert sorted(r.id for r in some.collect()) == [1, 2]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "log_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_scan_with_limit_is_top_k(spark):
     plan = store.scan(stored(spark, (1, 0, "High")), 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan

@@ -19,7 +19,7 @@ def raw_row(row):
     if det is not None:
         inserts = [f"v{i}" for i in range(21)]
         inserts[4], inserts[10], inserts[12], inserts[19] = det[:4]
-    return (rid, source, code, at, message, inserts, None)
+    return (None, rid, source, code, at, message, inserts, None)
 
 
 def write_parts(spark, rows, path, parts):
@@ -37,7 +37,7 @@ def test_stream_equals_replay_over_many_batches(spark, tmp_path):
     stream = ev.stream_channel(spark, str(tmp_path / "in"), max_files=1)
     # One channel name per event comes with the data here.
     out = str(tmp_path / "out")
-    jobs.detect_stream(stream, CHAIN, out, available_now=True).awaitTermination()
+    jobs.detect_stream(stream, CHAIN, out, available_now=True, kept=dt.timedelta(days=1)).awaitTermination()
     found = spark.read.parquet(f"{out}/detections")
     assert found.select("batch").distinct().count() == 3
     got = {r[0]: [r[1]] if r[1] else [] for r in found.select("record_id", "detection.rule_id").collect()}
@@ -46,7 +46,7 @@ def test_stream_equals_replay_over_many_batches(spark, tmp_path):
 
 
 def simple(spark, *rows):
-    data = [(i, s, e, START + dt.timedelta(seconds=t), m, None, None) for i, s, e, t, m in rows]
+    data = [(None, i, s, e, START + dt.timedelta(seconds=t), m, None, None) for i, s, e, t, m in rows]
     return spark.createDataFrame(data, schemas.RAW_EVENT)
 
 
@@ -79,27 +79,132 @@ def test_event_job(spark, tmp_path):
     assert [second[i].risk_score for i in (1, 2, 3, 4)] == ["Medium", "Medium", "High", "High"]
     assert second[3].mitre_technique == "T1110"
     assert store.read_table(spark, f"{out}/logs").count() == 4
-    blocks = {r.ip for r in jobs.read_blocks(spark, f"{out}/blocks").collect()}
+    blocks = {r.ip for r in jobs.read_blocks(spark, out).collect()}
     assert blocks == {"8.8.8.8", "5.5.5.5"}
     # An address that is blocked already is not added a second time.
     simple(spark, (5, "Security", "4624", 4, "5.5.5.5 again")).write.mode("append").parquet(src)
     run()
-    assert jobs.read_blocks(spark, f"{out}/blocks").count() == 2
+    assert jobs.read_blocks(spark, out).count() == 2
 
 
-def test_repeated_batch_gives_the_same(spark, tmp_path):
+def run_batches(spark, folder, *batches, rules=RULES, kept=dt.timedelta(minutes=10)):
+    """Rules found for each record of consecutive micro-batches, and the late records."""
+    from wardlake.operators.detect import Plan, join_record, rule_numbers
+    from wardlake.session import cut_lineage
     from wardlake.sources.events import prepare
 
+    found, late = {}, []
+    for k, batch in enumerate(batches):
+        events, own = batch if isinstance(batch, tuple) else (batch, rules)
+        st = state.EventState(spark, folder, k, own, kept)
+        fresh, behind = st.admit(events)
+        fresh, prepared = fresh.persist(), prepare(fresh)
+        plan = Plan.of(spark, st.rules)
+        facts = cut_lineage(st.facts(prepared, plan))
+        for _ in range(2):  # a repeated attempt changes nothing
+            st.advance(fresh, prepared)
+        rows = join_record(fresh, rule_numbers(facts, plan)).withColumn("d", plan.report(F.col("number")))
+        found |= {r[0]: r[1] for r in rows.select("record_id", "d.rule_id").collect()}
+        late += [r.record_id for r in behind.collect()]
+        fresh.unpersist()
+    return found, late
+
+
+def test_batches_share_history_and_forget(spark, tmp_path):
+    one = simple(spark, (1, "S", "4625", 0, "m"), (2, "S", "4625", 30, "m"))
+    two = simple(spark, (3, "S", "4625", 50, "m"), (4, "S", "4625", 95, "m"), (2, "S", "4625", 30, "m"))
+    three = simple(spark, (5, "S", "4624", 5000, "m"))
     folder = str(tmp_path / "state")
-    one = prepare(simple(spark, (1, "S", "4625", 0, "m"), (2, "S", "4625", 30, "m")))
-    two = prepare(simple(spark, (3, "S", "4625", 50, "m"), (4, "S", "4625", 95, "m")))
-    state.first_match_in_batch(one, RULES, folder, 0).count()
-    for _ in range(2):
-        got = state.first_match_in_batch(two, RULES, folder, 1).select("record_id", "detection.rule_id")
-        assert {tuple(r) for r in got.collect()} == {(3, "t"), (4, None)}
-    kept = spark.read.parquet(f"{folder}/batch=1")
-    assert sorted(r.record_id for r in kept.collect()) == [3, 4]
-    assert state.horizon_seconds(RULES) == 60
+    found, late = run_batches(spark, folder, one, two, three)
+    assert (found, late) == ({1: None, 2: None, 3: "t", 4: None, 5: None}, [])
+    assert spark.read.parquet(f"{folder}/tail/batch=2").count() == 0
+    assert not (tmp_path / "state/tail/batch=0").exists()
+    assert state.horizon(RULES) == dt.timedelta(seconds=60)
+
+
+def test_lagging_channel_and_late_event_lose_nothing(spark, tmp_path):
+    fast = simple(spark, (1, "A", "4625", 7200, "m"), (2, "A", "4625", 7210, "m"))
+    slow = simple(spark, (1, "B", "4625", 0, "m"), (2, "B", "4625", 10, "m"), (3, "B", "4625", 20, "m"))
+    events = simple(spark, (9, "B", "4625", 30, "m"))
+    found, late = run_batches(spark, str(tmp_path / "a"), fast, slow, events)
+    assert late == [] and found[9] == "t" and found[3] == "t"
+    # 80 seconds behind its own channel, with a window of 60
+    first = simple(spark, (1, "S", "4625", 0, "m"), (2, "S", "4625", 5, "m"), (7, "S", "4624", 90, "m"))
+    found, late = run_batches(spark, str(tmp_path / "b"), first, simple(spark, (3, "S", "4625", 10, "m")))
+    assert late == [] and found[3] == "t"
+    # further behind than what is kept: set aside, not lost
+    far = simple(spark, (8, "S", "4625", -4000, "m"))
+    assert run_batches(spark, str(tmp_path / "c"), first, far)[1] == [8]
+
+
+def test_wrong_clock_keeps_the_history(spark, tmp_path):
+    now = int((dt.datetime.now() - START).total_seconds())
+    one = simple(spark, (1, "S", "4625", now, "m"), (2, "S", "4625", now + 1, "m"), (6, "T", "4624", now + 10**8, "m"))
+    found, late = run_batches(spark, str(tmp_path / "s"), one, simple(spark, (3, "S", "4625", now + 2, "m")))
+    assert late == [] and found[3] == "t"
+
+
+def test_rules_gone_for_a_while_and_broken_pattern(spark, tmp_path):
+    bad = rule_from_dict({"id": "bad", "severity": "critical", "conditions": {"event_id": 4625, "message_regex": "(no"}})
+    parts = [simple(spark, (i, "S", "4625", 10 * i, "m")) for i in (1, 2, 3)]
+    found, _ = run_batches(spark, str(tmp_path / "s"), (parts[0], [bad, *RULES]), (parts[1], []), (parts[2], RULES))
+    assert found == {1: None, 2: None, 3: "t"}
+
+
+def test_missing_state_is_an_error(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        run_batches(spark, str(tmp_path / "s"), simple(spark, (1, "S", "1", 0, "m")))
+        state.EventState(spark, str(tmp_path / "s"), 5, RULES, dt.timedelta(0)).tail("record_id long").count()
+
+
+def test_answers_that_come_later(spark, tmp_path):
+    import json
+
+    from wardlake.operators.enrich import parse_answers
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    simple(spark, (1, "Security", "4624", 0, "8.8.8.8"), (2, "Security", "4624", 1, "m")).write.parquet(src)
+    kb = spark.createDataFrame([("4624", "t", "d", "Low", "Look", "local")], schemas.KNOWLEDGE)
+    jobs.process_stream(
+        ev.stream_channel(spark, src), RULES, None, out, available_now=True, knowledge=kb, wait=True
+    ).awaitTermination()
+    prompts = spark.read.parquet(f"{out}/prompts").collect()
+    assert len(prompts) == 2 and all("Look" in r.system_prompt for r in prompts)
+    assert not (tmp_path / "out/logs").exists()
+    text = json.dumps({"risk_score": "High", "user_entity": "u", "summary": "s", "advice": "a"})
+    rows = [(None, "Security", 1, "4624", START, "{"), (None, "Security", 1, "4624", START + dt.timedelta(1), text), (None, "Sysmon", 2, "1", START, text)]
+    answers = spark.createDataFrame(rows, schemas.ANSWER)
+    parse_answers(answers).write.parquet(f"{out}/answers")
+    stream = spark.readStream.schema(spark.read.parquet(f"{out}/answers").schema).parquet(f"{out}/answers")
+    jobs.answer_stream(stream, out, available_now=True).awaitTermination()
+    assert [(r.id, r.risk_score) for r in store.read_table(spark, f"{out}/logs").collect()] == [(1, "High")]
+    assert [r.ip for r in jobs.read_blocks(spark, out).collect()] == ["8.8.8.8"]
+    jobs.expire_pending(spark, out, "end")
+    got = {r.id: r for r in store.read_table(spark, f"{out}/logs").collect()}
+    assert sorted(got) == [1, 2] and "4624" in got[2].ai_analysis and got[2].log_source == "Security"
+    assert jobs.read_pending(spark, out).count() == 0
+
+
+def test_released_address_can_be_blocked_again(spark, tmp_path):
+    from wardlake.operators.respond import not_blocked
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    feed = spark.createDataFrame([("5.5.5.5", "Scan", 70)], schemas.THREAT_FEED)
+
+    def run(rid):
+        simple(spark, (rid, "Security", "4624", rid, "5.5.5.5")).write.mode("append").parquet(src)
+        jobs.process_stream(ev.stream_channel(spark, src), RULES, feed, out, available_now=True).awaitTermination()
+
+    run(1)
+    ips = spark.createDataFrame([("5.5.5.5",)], "ip string")
+    assert not_blocked(ips, jobs.read_blocks(spark, out)).count() == 0
+    jobs.release(ips, out)
+    assert jobs.read_blocks(spark, out).count() == 0 and not_blocked(ips, jobs.read_blocks(spark, out)).count() == 1
+    run(2)
+    assert [r.ip for r in jobs.read_blocks(spark, out).collect()] == ["5.5.5.5"]
 
 
 def test_counters_and_running_counts(spark, tmp_path):
@@ -110,6 +215,10 @@ def test_counters_and_running_counts(spark, tmp_path):
     jobs.count_stream(snapshots.stream_packets(spark, src, max_files=1), out, available_now=True).awaitTermination()
     want = {tuple(r) for r in traffic.traffic_counts(snapshots.read_packets(spark, src)).collect()}
     assert {tuple(r) for r in jobs.read_counters(spark, out).collect()} == want
+    merged = str(tmp_path / "merged")
+    jobs.count_stream(snapshots.stream_packets(spark, src, max_files=1), merged, available_now=True, merge_every=1).awaitTermination()
+    assert {tuple(r) for r in jobs.read_counters(spark, merged).collect()} == want
+    assert [p.name for p in (tmp_path / "merged/counts").iterdir()] == ["batch=1"]
     query = (
         jobs.running_counts(snapshots.stream_packets(spark, src)).writeStream.format("memory").queryName("running")
         .outputMode("update").trigger(availableNow=True).start()

@@ -29,8 +29,7 @@ DETAIL_FIELDS = ("Image", "CommandLine", "User", "ParentImage", "ProcessId")
 EVENT_XML = "EventData struct<Data array<struct<_Name:string,_VALUE:string>>>"
 
 CONTEXT_NOTE = (
-    "Note: Pay special attention to fields like 'Account Name', 'Workstation Name', "
-    "'Source Network Address', 'Logon Type' in the message."
+    "Hint: account, workstation, source address and logon type in the message matter most."
 )
 
 
@@ -83,9 +82,13 @@ def is_process_event(log_source: Column, event_id: Column) -> Column:
 def xml_data(log_source: Column, event_id: Column, inserts: Column, xml: Column) -> Column:
     """``Data`` elements of a process event's XML; NULL for broken XML.
 
-    XML is read for process events only, and only when there are inserts.
+    XML is read for process events only, and only when there are inserts. Names
+    are taken as written: with a default namespace the elements have other names,
+    nothing is found, and the positions stand. ``EventData`` is looked for
+    directly below the root.
     """
-    wanted = is_process_event(log_source, event_id) & (F.size(inserts) > 0)
+    plain = ~F.coalesce(xml.rlike(r"\sxmlns\s*="), F.lit(False))
+    wanted = is_process_event(log_source, event_id) & (F.size(inserts) > 0) & plain
     parsed = F.from_xml(F.when(wanted, xml), EVENT_XML, {"mode": "PERMISSIVE"})
     return parsed["EventData"]["Data"]
 
@@ -119,6 +122,7 @@ def process_details(
 
 def detail_block(event_id: Column, details: Column) -> Column:
     """Readable block of the process fields, '' when there are no details."""
+    # Titles and labels of the block.
     created = F.concat(
         F.lit("\nSysmon Process Creation Details:\n  Image: "),
         details["Image"],

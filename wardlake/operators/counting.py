@@ -5,9 +5,10 @@ included, lie in ``(t - window, t]``; rows of equal time count in sequence
 order. Whether that holds needs neither all rows of a key nor all rows of a
 time span in one place:
 
-1. Only the first ``threshold`` rows of one (key, microsecond) can decide
+1. Only the first ``threshold`` records of one (key, microsecond) can decide
    anything: if there are more, the later ones always fire. A ranked limit,
-   applied before the shuffle as well, keeps just those.
+   applied before the shuffle as well, keeps just those. A record given more
+   than once counts once, and all its rows have the same outcome.
 2. They collapse to one point per (key, microsecond). A point adds its rows at
    ``t`` and takes them away at ``t + window``; the running sum of these steps
    is the count inside the window.
@@ -33,18 +34,18 @@ COUNT_COLS = ("_rule", "_key", "_us")
 
 
 def _first_ties(rows: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` rows, in sequence, of every (rule, key, microsecond)."""
+    """The first ``limit`` records, in sequence, of every (rule, key, microsecond)."""
     narrow = rows.select(*COUNT_COLS, "_seq", "_window_us", "_threshold")
     if limit > RANK_LIMIT_PUSHDOWN:
         salted = Window.partitionBy(*COUNT_COLS, "_salt").orderBy("_seq")
         narrow = (
             narrow.withColumn("_salt", F.pmod(F.xxhash64("_seq"), F.lit(TIE_SALTS)))
-            .withColumn("_rank", F.row_number().over(salted))
+            .withColumn("_rank", F.dense_rank().over(salted))
             .filter(F.col("_rank") <= limit)
             .drop("_salt")
         )
     ties = Window.partitionBy(*COUNT_COLS).orderBy("_seq")
-    return narrow.withColumn("_rank", F.row_number().over(ties)).filter(F.col("_rank") <= limit)
+    return narrow.withColumn("_rank", F.dense_rank().over(ties)).filter(F.col("_rank") <= limit)
 
 
 def firing_points(candidates: DataFrame, max_threshold: int) -> DataFrame:
@@ -58,10 +59,10 @@ def firing_points(candidates: DataFrame, max_threshold: int) -> DataFrame:
         _first_ties(candidates, max_threshold)
         .groupBy(*COUNT_COLS)
         .agg(
-            F.count(F.lit(1)).alias("_rows"),
+            F.size(F.collect_set("_seq")).alias("_rows"),
             F.first("_window_us").alias("_window_us"),
             F.first("_threshold").alias("_threshold"),
-            F.sort_array(F.collect_list("_seq")).alias("_seqs"),
+            F.sort_array(F.collect_set("_seq")).alias("_seqs"),
         )
     )
     steps = points.select(
@@ -88,21 +89,7 @@ def firing_points(candidates: DataFrame, max_threshold: int) -> DataFrame:
     ).select("_rule", "_key", "_s.*")
     cell_us = F.lit(CELL_SECONDS * 1_000_000)
     steps = steps.withColumn("_cell", F.col("_at") - F.pmod(F.col("_at"), cell_us))
-    earlier = (
-        Window.partitionBy("_rule", "_key")
-        .orderBy("_cell")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = (
-        steps.groupBy("_rule", "_key", "_cell")
-        .agg(F.sum("_step").alias("_total"))
-        .select(
-            "_rule",
-            "_key",
-            "_cell",
-            F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carried"),
-        )
-    )
+    carried = _carried(steps.groupBy("_rule", "_key", "_cell").agg(F.sum("_step").alias("_total")))
     inside = (
         Window.partitionBy("_rule", "_key", "_cell")
         .orderBy("_at", "_kind")
@@ -125,6 +112,18 @@ def firing_points(candidates: DataFrame, max_threshold: int) -> DataFrame:
     )
 
 
+def _carried(cells: DataFrame) -> DataFrame:
+    """Sum of all cells before each one, in two levels: days, and cells of a day."""
+    day_us = F.lit(86_400_000_000)
+    cells = cells.withColumn("_day", F.col("_cell") - F.pmod(F.col("_cell"), day_us))
+    before = lambda *keys: Window.partitionBy("_rule", "_key", *keys).rowsBetween(Window.unboundedPreceding, -1)
+    days = cells.groupBy("_rule", "_key", "_day").agg(F.sum("_total").alias("_sum"))
+    days = days.withColumn("_base", F.coalesce(F.sum("_sum").over(before().orderBy("_day")), F.lit(0)))
+    inner = F.coalesce(F.sum("_total").over(before("_day").orderBy("_cell")), F.lit(0))
+    joined = cells.withColumn("_inner", inner).join(days.drop("_sum"), ["_rule", "_key", "_day"])
+    return joined.select("_rule", "_key", "_cell", (F.col("_base") + F.col("_inner")).alias("_carried"))
+
+
 def mark_fired(rows: DataFrame, max_threshold: int) -> DataFrame:
     """Add ``_fired``: True where the row's rule fires, False elsewhere.
 

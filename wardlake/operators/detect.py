@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardlake.operators import counting
 from wardlake.operators.rules import (
@@ -16,6 +18,7 @@ from wardlake.operators.rules import (
     result_struct,
     threshold_key,
 )
+from wardlake.schemas import RECORD
 from wardlake.session import cut_lineage
 
 #: Above this many rules the tests are split by event id, so that a row meets
@@ -112,7 +115,7 @@ def _with_facts(events: DataFrame, **facts: Column) -> DataFrame:
 
 def _with_rule(rows: DataFrame, depth: int, level: list[tuple[int, Rule]], free: Column) -> DataFrame:
     """Put the candidate rule of one level, its key and limits into the counting columns."""
-    entry = F.col("_f")[f"level{depth}"]
+    entry = F.col(f"level{depth}")
     entered = rows.withColumn("_rule", F.when(free, entry["rule"])).withColumn(
         "_key", F.when(free, entry["key"])
     )
@@ -120,12 +123,26 @@ def _with_rule(rows: DataFrame, depth: int, level: list[tuple[int, Rule]], free:
 
 
 def _with_order(rows: DataFrame) -> DataFrame:
-    """Event order: time, then channel and record number."""
+    """Event order: time, then channel, record number and host."""
     return rows.withColumn("_us", counting.micros(F.col("event_time"))).withColumn(
-        "_seq", F.struct("log_source", "record_id")
+        "_seq", F.struct("log_source", "record_id", "host")
     )
 
 
+def with_host(events: DataFrame) -> DataFrame:
+    """Events of a single host may come without the column."""
+    return events if "host" in events.columns else events.withColumn("host", F.lit(None).cast("string"))
+
+
+def join_record(events: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Left join of ``narrow``, one row per record, by the whole record key; its parts may be NULL."""
+    named = narrow.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(RECORD)})
+    same = F.lit(True)
+    for i, c in enumerate(RECORD):
+        same = same & events[c].eqNullSafe(named[f"_k{i}"])
+    return events.join(named, same, "left").drop(*[f"_k{i}" for i in range(len(RECORD))])
+
+
 def _top(level: list[tuple[int, Rule]]) -> int:
     return max(r.threshold for _, r in level)
 
@@ -148,57 +165,95 @@ def _split(
             _with_facts(events.filter(cheap), **facts),
         )
     rows = _with_facts(events, **facts)
-    contested = F.lit(False)
-    for name in facts:
-        if name.startswith("level"):
-            contested = contested | F.col("_f")[name].isNotNull()
-        elif name == "entries":
-            contested = contested | (F.size("_f.entries") > 0)
+    contested = F.size("_f.entries") > 0
     return rows.filter(~contested), rows.filter(contested)
 
 
+@dataclass(frozen=True)
+class Plan:
+    """Rules in the order they are tried, numbered from 1."""
+
+    ordered: list[Rule]
+    singles: list[tuple[int, Rule]]
+    counted: list[tuple[int, Rule]]
+    levels: list[list[tuple[int, Rule]]]
+
+    @staticmethod
+    def of(spark: SparkSession, rules: list[Rule]) -> Plan:
+        ordered = by_severity(check_patterns(spark, rules))
+        numbered = list(enumerate(ordered, start=1))
+        counted = [(n, r) for n, r in numbered if r.counted]
+        singles = [(n, r) for n, r in numbered if not r.counted]
+        return Plan(ordered, singles, counted, _levels(counted) if counted else [])
+
+    def report(self, number: Column) -> Column:
+        """The result of the rule with this number, NULL for none."""
+        if not self.ordered:
+            return F.lit(None).cast(RESULT_DDL)
+        results = F.array(*[result_struct(r) for r in self.ordered])
+        return F.when(number.isNotNull(), F.element_at(results, number))
+
+
+def event_facts(events: DataFrame, plan: Plan, strict_fields: bool = False, **more: Column) -> DataFrame:
+    """Narrow facts of the events that any rule may take or that have one of ``more`` (arrays).
+
+    Record key, time, first single-event rule, candidate threshold rule per
+    level, and ``more``. All rule tests and parses run here, once per event.
+    """
+    first = _first_number(plan.singles, strict_fields)
+    rows = _with_facts(_with_order(with_host(events)), first=first, **more).withColumnRenamed("_f", "_s")
+    levels = {f"level{d}": _entry(lv, F.col("_s.first"), strict_fields) for d, lv in enumerate(plan.levels, 1)}
+    if levels:
+        rows = _with_facts(rows, **levels)
+    named = [F.col(f"_s.{c}").alias(c) for c in ("first", *more)]
+    kept = rows.select(*RECORD, "_us", "_seq", *named, *[F.col("_f")[c].alias(c) for c in levels])
+    useful = F.col("first").isNotNull()
+    for c in levels:
+        useful = useful | F.col(c).isNotNull()
+    for c in more:
+        useful = useful | (F.size(c) > 0)
+    return kept.filter(useful)
+
+
+def rule_numbers(facts: DataFrame, plan: Plan) -> DataFrame:
+    """Record key and ``number`` of the rule that takes each event, for written ``facts``.
+
+    A level of threshold rules needs the outcome of the one before twice, so
+    these narrow rows are written between levels.
+    """
+    rows = facts.select(*RECORD, "_us", "_seq", "first", *[f"level{d}" for d in range(1, len(plan.levels) + 1)])
+    taken = rows.filter(F.col("first").isNotNull()).select(*RECORD, F.col("first").alias("number"))
+    if plan.levels:
+        open_rows = F.lit(False)
+        for d in range(1, len(plan.levels) + 1):
+            open_rows = open_rows | F.col(f"level{d}").isNotNull()
+        rows = rows.filter(open_rows).withColumn("_before", F.lit(None).cast("int"))
+        for depth, level in enumerate(plan.levels, start=1):
+            rows = _mark_level(rows, depth, level, F.col("_before").isNull())
+            rows = rows.withColumn("_before", F.coalesce("_before", "_won")).drop("_won")
+            if depth < len(plan.levels):
+                rows = cut_lineage(rows)
+        won = rows.filter(F.col("_before").isNotNull()).select(*RECORD, F.col("_before").alias("number"))
+        taken = taken.unionByName(won)
+    return taken.groupBy(*RECORD).agg(F.min("number").alias("number"))
+
+
 def first_match(events: DataFrame, rules: list[Rule], strict_fields: bool = False) -> DataFrame:
     """Add ``detection``: the first rule that matches each event, NULL when none does.
 
     Rules are tried by severity, then file, then place in the file. A threshold
     rule counts only the events no earlier rule took. Events need ``record_id,
-    log_source, event_id, event_time, message, details``.
+    log_source, event_id, event_time, message, details``, and ``host`` where
+    there is more than one. A record given more than once counts once; every
+    row comes back, with the same outcome.
     """
-    ordered = by_severity(check_patterns(events.sparkSession, rules))
-    if not ordered:
-        return events.withColumn("detection", F.lit(None).cast(RESULT_DDL))
-    numbered = list(enumerate(ordered, start=1))
-    singles = [(n, r) for n, r in numbered if not r.counted]
-    counted = [(n, r) for n, r in numbered if r.counted]
-    results = F.array(*[result_struct(r) for r in ordered])
-
-    def report(number: Column) -> Column:
-        return F.when(number.isNotNull(), F.element_at(results, number))
-
-    first = _first_number(singles, strict_fields)
-    if not counted:
-        return (
-            _with_facts(events, first=first)
-            .withColumn("detection", report(F.col("_f.first")))
-            .drop("_f")
-        )
-    levels = _levels(counted)
-    events = _with_facts(events, first=first).withColumnRenamed("_f", "_s")
-    seen = F.col("_s.first")
-    facts = {f"level{d}": _entry(lv, seen, strict_fields) for d, lv in enumerate(levels, 1)}
-    plain, open_rows = _split(events, counted, facts)
-    open_rows = _with_order(open_rows)
-    if len(levels) == 1:
-        open_rows = _mark_level(open_rows, 1, levels[0], F.lit(True))
-    else:
-        won = _winners(open_rows, levels)
-        same = (F.col("log_source").eqNullSafe(F.col("_c"))) & (F.col("record_id") == F.col("_r"))
-        open_rows = open_rows.join(won, same, "left").drop("_c", "_r")
-    plain = plain.withColumn("_won", F.lit(None).cast("int"))
-    both = plain.unionByName(open_rows.drop("_us", "_seq"))
-    return both.withColumn("detection", report(F.least("_won", "_s.first"))).drop(
-        "_won", "_f", "_s"
-    )
+    plan = Plan.of(events.sparkSession, rules)
+    if not plan.counted:
+        rows = _with_facts(events, first=_first_number(plan.singles, strict_fields))
+        return rows.withColumn("detection", plan.report(F.col("_f.first"))).drop("_f")
+    facts = cut_lineage(event_facts(events, plan, strict_fields))
+    joined = join_record(with_host(events), rule_numbers(facts, plan))
+    return joined.withColumn("detection", plan.report(F.col("number"))).select(*events.columns, "detection")
 
 
 def _mark_level(rows: DataFrame, depth: int, level: list[tuple[int, Rule]], free: Column) -> DataFrame:
@@ -207,31 +262,12 @@ def _mark_level(rows: DataFrame, depth: int, level: list[tuple[int, Rule]], free
     return marked.withColumn("_won", F.when(F.col("_fired"), F.col("_rule"))).drop(*_COUNTING)
 
 
-def _winners(open_rows: DataFrame, levels: list[list[tuple[int, Rule]]]) -> DataFrame:
-    """Record key and threshold rule of the events a threshold rule takes, level by level.
-
-    A level needs the outcome of the one before twice. The chain therefore runs
-    on record key, time and candidate rules only, and is written out between
-    levels instead of being computed again.
-    """
-    rows = open_rows.select("_us", "_seq", "_f").withColumn("_before", F.lit(None).cast("int"))
-    for depth, level in enumerate(levels, start=1):
-        rows = _mark_level(rows, depth, level, F.col("_before").isNull())
-        rows = rows.withColumn("_before", F.coalesce("_before", "_won")).drop("_won")
-        if depth < len(levels):
-            rows = cut_lineage(rows)
-    return rows.filter(F.col("_before").isNotNull()).select(
-        F.col("_seq.log_source").alias("_c"),
-        F.col("_seq.record_id").alias("_r"),
-        F.col("_before").alias("_won"),
-    )
-
-
 def all_matches(events: DataFrame, rules: list[Rule], strict_fields: bool = False) -> DataFrame:
     """Add ``detections``: every matching rule in load order; each rule sees every event."""
     ordered = by_file(check_patterns(events.sparkSession, rules))
+    given, events = events.columns, with_host(events)
     if not ordered:
-        return events.withColumn("detections", F.array().cast(f"array<{RESULT_DDL}>"))
+        return events.select(given).withColumn("detections", F.array().cast(f"array<{RESULT_DDL}>"))
     numbered = list(enumerate(ordered, start=1))
     singles = [(n, r) for n, r in numbered if not r.counted]
     counted = [(n, r) for n, r in numbered if r.counted]
@@ -245,21 +281,15 @@ def all_matches(events: DataFrame, rules: list[Rule], strict_fields: bool = Fals
         facts["entries"] = _entries(counted, strict_fields)
         plain, open_rows = _split(events, counted, facts)
         fired = counting.fired_rows(_candidates(open_rows, counted), _top(counted))
-        per_record = fired.groupBy("_seq").agg(F.collect_list("_rule").alias("_more"))
-        hits = per_record.select(
-            F.col("_seq.log_source").alias("_c"), F.col("_seq.record_id").alias("_r"), "_more"
-        )
-        same = (F.col("log_source").eqNullSafe(F.col("_c"))) & (F.col("record_id") == F.col("_r"))
-        open_rows = (
-            open_rows.join(hits, same, "left")
-            .withColumn("_numbers", F.concat("_f.numbers", F.coalesce("_more", none)))
-            .drop("_c", "_r", "_more")
-        )
+        hits = fired.groupBy("_seq").agg(F.collect_set("_rule").alias("_more"))
+        hits = hits.select(*[F.col(f"_seq.{c}").alias(c) for c in RECORD], "_more")
+        open_rows = join_record(open_rows, hits)
+        open_rows = open_rows.withColumn("_numbers", F.concat("_f.numbers", F.coalesce("_more", none))).drop("_more")
         rows = plain.withColumn("_numbers", F.col("_f.numbers")).unionByName(open_rows)
     return rows.withColumn(
         "detections",
         F.transform(F.array_sort("_numbers"), lambda n: F.element_at(results, n)),
-    ).drop("_numbers", "_f")
+    ).select(*given, "detections")
 
 
 def pick_first(matches: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -287,13 +317,14 @@ def threshold_alerts(events: DataFrame, rules: list[Rule], strict_fields: bool =
     """
     ordered = by_file(check_patterns(events.sparkSession, rules))
     numbered = [(n, r) for n, r in enumerate(ordered, start=1) if r.counted]
+    given, events = events.columns, with_host(events)
     results = F.array(*[result_struct(r) for r in ordered])
     cheap = _may_count(numbered)
     rows = events if cheap is None else events.filter(cheap)
     rows = _with_facts(rows, entries=_entries(numbered, strict_fields))
     fired = counting.fired_rows(_candidates(rows, numbered, *events.columns), _top(numbered))
     return fired.select(
-        *events.columns,
+        *given,
         F.col("_key").alias("threshold_key"),
         F.element_at(results, F.col("_rule")).alias("detection"),
     )

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardlake.functions import ip as ipf
 from wardlake.functions.risk import answer_risk
 from wardlake.functions.text import event_id_from_text, strip
+from wardlake.operators.detect import join_record, with_host
 from wardlake.operators.sizes import broadcast_if_small
+from wardlake.schemas import RECORD
 
-RECORD = ("log_source", "record_id")
 HIT_DDL = "struct<ip:string,category:string,confidence:int>"
 
-#: A feed of at most this many rows is carried inside the expression and read
-#: without any join; a larger one is joined.
-INLINE_FEED_ROWS = 256
-
 
 def with_ips(events: DataFrame, text_col: str = "combined_text") -> DataFrame:
     """Add ``ips`` (all valid, in order) and ``public_ips``."""
@@ -26,47 +21,39 @@ def with_ips(events: DataFrame, text_col: str = "combined_text") -> DataFrame:
     )
 
 
-def threat_column(feed: DataFrame, inline_rows: int = INLINE_FEED_ROWS) -> Column | None:
-    """The feed entry of the first listed address in ``public_ips``, as an expression.
-
-    Only for a feed of at most ``inline_rows`` rows, which is checked; None for
-    a larger one.
-    """
-    head = feed.select("ip", "category", "confidence").limit(inline_rows + 1).collect()
-    if len(head) > inline_rows:
-        return None
-    entries = {r["ip"]: r.asDict() for r in head}
-    table = F.from_json(F.lit(json.dumps(entries)), f"map<string,{HIT_DDL}>")
-    found = F.transform("public_ips", lambda x: F.try_element_at(table, x))
-    return F.try_element_at(F.filter(found, lambda h: h.isNotNull()), F.lit(1))
+def feed_entries(feed: DataFrame) -> DataFrame:
+    """One row per listed address: of doubled ones the most confident, then by category."""
+    best = F.max_by(F.struct("category", "confidence"), F.struct("confidence", "category"))
+    return feed.groupBy("ip").agg(best.alias("_b")).select("ip", "_b.category", "_b.confidence")
 
 
-def threat_table(events: DataFrame, feed: DataFrame) -> DataFrame:
-    """Record key and ``threat`` of the events with a listed address.
+def threat_table(addresses: DataFrame, feed: DataFrame) -> DataFrame:
+    """Record key and ``threat`` of the records with a listed address in ``public_ips``.
 
     The address pairs are narrow and only hits are grouped, so a text full of
-    addresses, or an address found everywhere, moves no wide rows.
+    addresses, or an address found everywhere, moves no wide rows. Spark turns
+    the join into a broadcast where the feed proves small, and splits an
+    address that is found everywhere where it does not.
     """
     # The outer form keeps the optimizer from adding a filter that would
     # evaluate the whole extraction a second time; the join drops the NULLs.
     distinct = F.array_distinct("public_ips")
-    pairs = events.select(*RECORD, F.posexplode_outer(distinct).alias("pos", "ip"))
+    pairs = addresses.select(*RECORD, F.posexplode_outer(distinct).alias("pos", "ip"))
     return (
-        pairs.join(broadcast_if_small(feed.select("ip", "category", "confidence")), "ip")
+        pairs.join(feed_entries(feed), "ip")
         .groupBy(*RECORD)
-        .agg(F.min_by(F.struct("ip", "category", "confidence"), "pos").alias("threat"))
+        .agg(F.min_by(F.struct("ip", "category", "confidence"), F.struct("pos", "ip")).alias("threat"))
     )
 
 
-def threat_hits(events: DataFrame, feed: DataFrame, inline_rows: int = INLINE_FEED_ROWS) -> DataFrame:
+def threat_hits(events: DataFrame, feed: DataFrame) -> DataFrame:
     """Add ``threat``: the feed entry of the first listed public address, NULL when none.
 
-    ``events`` has ``public_ips`` and the record key.
+    ``events`` has ``public_ips`` and the record key, whose parts may be NULL.
+    A record given more than once gets its hit on every row.
     """
-    inline = threat_column(feed, inline_rows)
-    if inline is not None:
-        return events.withColumn("threat", inline)
-    return events.join(threat_table(events, feed), list(RECORD), "left")
+    hosted = with_host(events)
+    return join_record(hosted, threat_table(hosted, feed)).select(*events.columns, "threat")
 
 
 def with_knowledge(events: DataFrame, knowledge: DataFrame, event_id: str = "event_id") -> DataFrame:
@@ -84,6 +71,9 @@ ANALYSIS = "🕵️‍♂️ Analysis"
 RECOMMENDATION = "💡 Recommendation\n"
 FALLBACK_ADVICE = "Check the log message manually or contact the system administrator."
 FALLBACK_RISK = "Medium"
+# Text where there is no usable answer.
+FALLBACK_EXPLAINED = ("This Event ID (", ") is an event recorded by the Windows security system.\n\n")
+FALLBACK_USER = "\nUser/Entity: Could Not Be Analyzed\nSummary: "
 FENCE = "```"
 
 REQUIRED = ("risk_score", "user_entity", "summary", "advice")
@@ -107,10 +97,10 @@ def render_answer(explanation: Column, user: Column, summary: Column, risk: Colu
 def fallback_answer(event_id: Column, reason: Column) -> Column:
     """Text for an answer that cannot be read."""
     return F.concat(
-        F.lit(EXPLAINED + "This Event ID ("),
+        F.lit(EXPLAINED + FALLBACK_EXPLAINED[0]),
         F.coalesce(event_id, F.lit("Unknown")),
-        F.lit(") is an event recorded by the Windows security system.\n\n"),
-        F.lit(ANALYSIS + "\nUser/Entity: Could Not Be Analyzed\nSummary: "),
+        F.lit(FALLBACK_EXPLAINED[1]),
+        F.lit(ANALYSIS + FALLBACK_USER),
         reason,
         F.lit(f"\nRisk Level: {FALLBACK_RISK}\n\n{RECOMMENDATION}{FALLBACK_ADVICE}"),
     )
@@ -128,11 +118,16 @@ def _unfenced(raw: Column) -> Column:
 
 
 def parse_answers(answers: DataFrame, event_id: str | None = "event_id") -> DataFrame:
-    """Answers as ``record_id, analysis, analysis_risk, parsed``.
+    """Answers as record key, ``analysis, analysis_risk, parsed, reason``, ``answered_at``.
 
     An answer counts only when it is a JSON object whose four required fields
     are texts; otherwise the fallback text and a medium risk stand in.
+    ``reason`` is the unusable answer. Parts of the key that the table lacks are
+    NULL.
     """
+    for name, kind in (("host", "string"), ("log_source", "string"), ("answered_at", "timestamp")):
+        if name not in answers.columns:
+            answers = answers.withColumn(name, F.lit(None).cast(kind))
     eid = F.col(event_id) if event_id else F.lit(None).cast("string")
     cleaned = answers.withColumn("_raw", strip(F.coalesce("raw_response", F.lit("")))).withColumn(
         "_json", _unfenced(F.col("_raw"))
@@ -155,13 +150,21 @@ def parse_answers(answers: DataFrame, event_id: str | None = "event_id") -> Data
     risk = answer_risk(value("risk_score"))
     text = render_answer(value(OPTIONAL), value("user_entity"), value("summary"), risk, value("advice"))
     return cleaned.withColumn("parsed", parsed).select(
-        "record_id",
+        *RECORD,
         F.when(F.col("parsed"), text).otherwise(fallback_answer(eid, F.col("_raw"))).alias("analysis"),
         F.when(F.col("parsed"), risk).otherwise(FALLBACK_RISK).alias("analysis_risk"),
         "parsed",
+        F.when(~F.col("parsed"), F.col("_raw")).alias("reason"),
+        "answered_at",
     )
 
 
+def last_answers(parsed: DataFrame) -> DataFrame:
+    """Record key and ``answer`` (analysis, analysis_risk, reason): the last one of each record."""
+    body = F.struct("analysis", "analysis_risk", "reason")
+    return parsed.groupBy(*RECORD).agg(F.max_by(body, F.struct("answered_at", "analysis")).alias("answer"))
+
+
 INSTRUCTIONS = (
     "You assess Windows security events. Answer with one JSON object and nothing else, with the "
     "fields risk_score (Low, Medium or High), user_entity, summary, advice and, if useful, "
@@ -189,12 +192,12 @@ def knowledge_note(event_id: Column, knowledge: Column) -> Column:
 
 
 def prompts(events: DataFrame, knowledge: DataFrame, instructions: str = INSTRUCTIONS) -> DataFrame:
-    """Prompt rows for an external scorer: ``record_id, event_id, system_prompt, user_prompt``.
+    """Prompt rows for an external scorer: record key, ``event_id, system_prompt, user_prompt``.
 
     The event id is read from the context text. Where it is known, its advice
     and risk are given as binding.
     """
-    keyed = events.withColumn("_eid", event_id_from_text(F.col("context_text")))
+    keyed = with_host(events).withColumn("_eid", event_id_from_text(F.col("context_text")))
     known = with_knowledge(keyed, knowledge, "_eid")
     binding = F.concat(
         F.lit("\n\nA fixed procedure exists for event "),
@@ -206,7 +209,7 @@ def prompts(events: DataFrame, knowledge: DataFrame, instructions: str = INSTRUC
         F.lit('".'),
     )
     return known.select(
-        "record_id",
+        *RECORD,
         F.col("_eid").alias("event_id"),
         F.concat(
             F.lit(instructions), F.when(F.col("knowledge").isNotNull(), binding).otherwise("")

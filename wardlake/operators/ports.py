@@ -72,11 +72,18 @@ def with_port_info(ports: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def with_application(ports: DataFrame, processes: DataFrame) -> DataFrame:
-    """Add ``application`` by host and process id; 'Unknown' without either."""
-    named = processes.select("host", "pid", F.col("application").alias("_a"))
+    """Add ``application`` by host and process id.
+
+    'Unknown' without a process id (or 0), 'Access Denied' where the id names no
+    process. Of several snapshots of one process the last counts.
+    """
+    seen = F.col("ts") if "ts" in processes.columns else F.lit(None).cast("timestamp")
+    last = F.max_by("application", F.struct(seen.alias("ts"), F.col("application").alias("a")))
+    named = processes.groupBy("host", "pid").agg(last.alias("_a"))
+    unnamed = F.when(F.col("pid").isNull() | (F.col("pid") == 0), "Unknown").otherwise("Access Denied")
     return (
         ports.join(named, ["host", "pid"], "left")
-        .withColumn("application", F.coalesce("_a", F.lit("Unknown")))
+        .withColumn("application", F.when(F.col("pid") == 0, "Unknown").otherwise(F.coalesce("_a", unnamed)))
         .drop("_a")
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wardlake.operators.rules import spark_pattern
 from wardlake.functions.risk import (
     canonical_risk,
     display_risk,
@@ -45,7 +46,9 @@ def latest_detection(logs: DataFrame) -> DataFrame:
 
 def timeline(logs: DataFrame, step: str = TIMELINE_STEP, time_col: str = "timestamp") -> DataFrame:
     """Rows per floor bucket; rows without a readable time are left out."""
-    time = F.try_to_timestamp(F.col(time_col).cast("string"))
+    time = F.col(time_col)
+    if logs.schema[time_col].dataType.typeName() == "string":
+        time = F.try_to_timestamp(time)
     return (
         logs.select(time.alias("_t"))
         .filter(F.col("_t").isNotNull())
@@ -87,14 +90,14 @@ def filter_risk(logs: DataFrame, levels: list[str]) -> DataFrame:
     if not levels:
         return logs
     label = canonical_risk(F.col("risk_score"))
-    return logs.filter(F.coalesce(label.rlike("(?iU)" + "|".join(levels)), F.lit(False)))
+    return logs.filter(F.coalesce(label.rlike("(?iU)" + spark_pattern("|".join(levels))), F.lit(False)))
 
 
 def filter_event_id(logs: DataFrame, pattern: str | None) -> DataFrame:
     """Rows whose event id matches a pattern anywhere (any case)."""
     if not pattern:
         return logs
-    return logs.filter(F.coalesce(F.col("event_id").rlike("(?iU)" + pattern), F.lit(False)))
+    return logs.filter(F.coalesce(F.col("event_id").rlike("(?iU)" + spark_pattern(pattern)), F.lit(False)))
 
 
 def search(logs: DataFrame, term: str | None) -> DataFrame:
@@ -104,7 +107,7 @@ def search(logs: DataFrame, term: str | None) -> DataFrame:
         return logs
     hit = F.lit(False)
     for name in ("message", "ai_analysis", "mitre_technique"):
-        hit = hit | F.coalesce(F.lower(name).rlike("(?Ud)" + wanted), F.lit(False))
+        hit = hit | F.coalesce(F.lower(name).rlike("(?Ud)" + spark_pattern(wanted)), F.lit(False))
     return logs.filter(hit)
 
 

@@ -166,12 +166,17 @@ def spark_pattern(pattern: str) -> str:
     return pattern.replace("(?P<", "(?<").replace(r"\Z", r"\z")
 
 
+_known: dict[str, bool] = {}
+
+
 def check_patterns(spark: SparkSession, rules: list[Rule]) -> list[Rule]:
     """Mark patterns that cannot be used, instead of letting one fail the whole job."""
     patterns = sorted({getattr(r, f) for r in rules for f in REGEX_FIELDS if getattr(r, f)})
-    if _compiles(spark, patterns):
-        return rules
-    known = {p: _compiles(spark, [p]) for p in patterns}
+    new = [p for p in patterns if p not in _known]
+    if new:  # each pattern is tried once per process
+        good = _compiles(spark, new)
+        _known.update({p: good or _compiles(spark, [p]) for p in new})
+    known = _known
 
     checked = []
     for rule in rules:

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Lookup tables up to this many rows are sent to every executor.
+#: Lookup tables up to this many rows and characters are sent to every executor.
 BROADCAST_ROWS = 100_000
+BROADCAST_CHARS = 8_000_000
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``max_rows`` rows; looks at no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> bool:
+    """Whether the table is within both bounds; looks at no more than ``max_rows`` + 1 rows."""
+    chars = F.length(F.to_json(F.struct("*")))
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(chars)).first()
+    return n <= max_rows and (size or 0) <= max_chars
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcast when its counted size allows it.
+    """The table marked for broadcast when its measured size allows it.
 
-    Beyond the bound it is returned unmarked: the join is then a shuffle join
+    Beyond the bounds it is returned unmarked: the join is then a shuffle join
     whose skewed partitions adaptive execution splits.
     """
     return F.broadcast(df) if is_small(df, max_rows) else df

@@ -133,7 +133,8 @@ def reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
     Single addresses are compared as they are; a feed of checked size is
     broadcast and no packet moves. A feed row may also be a range
     ``a.b.c.d/len``: the lengths that occur (at most 32) turn the range test
-    into an equality join on (length, leading bits), done once per address.
+    into an equality join on (length, leading bits); beyond the broadcast bound
+    that is done once per address.
     """
     listed = split_feed(feed).withColumn("_ip", F.split("ip", "/")[0])
     entry = (F.col("ip").alias("feed_entry"), "category", "confidence")
@@ -158,7 +159,13 @@ def reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
     single = listed.filter(F.col("bits") == 32).select(F.col("_ip").alias("key"), *entry)
     found = ends.join(marked(single, singles), F.col("ip") == F.col("key")).drop("key")
     ranges = listed.filter(F.col("bits") < 32).select("bits", "net", *entry)
-    if lengths:
+    rows = sum(sizes.values())
+    if lengths and rows <= BROADCAST_ROWS:
+        # the few lengths are tried on the packet rows themselves; no packet moves
+        tried = ends.withColumn("_n", ipv4_number(F.col("ip"))).withColumn("bits", F.explode(F.array(*[F.lit(b) for b in lengths])))
+        tried = tried.withColumn("net", _leading(F.col("_n"), F.col("bits")))
+        found = found.unionByName(tried.join(F.broadcast(ranges), ["bits", "net"]).drop("bits", "net", "_n"))
+    elif lengths:
         tried = (
             ends.select("ip")
             .distinct()
@@ -166,7 +173,7 @@ def reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
             .withColumn("bits", F.explode(F.array(*[F.lit(b) for b in lengths])))
             .withColumn("net", _leading(F.col("_n"), F.col("bits")))
         )
-        matched = tried.join(marked(ranges, sum(sizes.values())), ["bits", "net"])
+        matched = tried.join(ranges, ["bits", "net"])
         inside = ends.join(matched.drop("bits", "net", "_n"), "ip")
         found = found.unionByName(inside)
     return found.select("seq", "ts", "direction", "ip", "feed_entry", "category", "confidence")

@@ -85,6 +85,7 @@ def _events(e: DataFrame) -> DataFrame:
               '.exe</Data><Data Name="User">', user, "</Data></EventData></Event>"),
     ).when(rid % 5 == 1, "<broken")
     return e.select(
+        F.lit(None).cast("string").alias("host"),
         rid.alias("record_id"),
         "user_id",
         "event_type",
@@ -212,15 +213,20 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 9 == 0, "udp").otherwise("tcp").alias("proto"),
         F.when(F.col("o_orderstatus") == "P", "ESTABLISHED").otherwise("LISTEN").alias("state"),
         pick(LISTEN_PORTS, k % 12).alias("port"),
-        F.when(k % 10 != 0, c + F.when(k % 17 == 0, 1000000).otherwise(0)).alias("pid"),
+        F.when(k % 20 == 10, 0).when(k % 10 != 0, c + F.when(k % 17 == 0, 1000000).otherwise(0)).alias("pid"),
     )
 
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``customer`` as processes of many hosts."""
+    """``customer`` as processes of many hosts; every third is seen twice, and was another before."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        _text("h", k % 50).alias("host"), k.alias("pid"), _text("app", k % 20, ".exe").alias("application")
+    seen = F.explode(F.when(k % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("n")
+    twice = table(spark, sf_dir, "customer").select(k.alias("k"), seen)
+    return twice.select(
+        _text("h", F.col("k") % 50).alias("host"),
+        F.col("k").alias("pid"),
+        F.when(F.col("n") == 0, "zz_before.exe").otherwise(_text("app", F.col("k") % 20, ".exe")).alias("application"),
+        F.timestamp_seconds(F.col("n") * 60).alias("ts"),
     )
 
 
@@ -251,7 +257,23 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 2, _text("```\n", body, "\n```"))
         .otherwise(_text(" ", body, "\n"))
     )
-    return table(spark, sf_dir, "conversations").select(k.alias("record_id"), raw.alias("raw_response"))
+    return table(spark, sf_dir, "conversations").select(
+        F.lit(None).cast("string").alias("host"),
+        F.when(k % 2 == 0, "Security").otherwise("Sysmon").alias("log_source"),
+        k.alias("record_id"),
+        raw.alias("raw_response"),
+    )
+
+
+def overlapping(events: DataFrame) -> DataFrame:
+    """Raw events as two reads that overlap: every fifth record comes twice."""
+    return events.unionByName(events.filter(F.col("record_id") % 5 == 0))
+
+
+def two_hosts(events: DataFrame) -> DataFrame:
+    """The events dealt to two hosts whose record numbers are the same."""
+    k = F.col("record_id")
+    return events.withColumn("host", F.when(k % 2 == 0, "h0").otherwise("h1")).withColumn("record_id", F.floor(k / 2).cast("long"))
 
 
 def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import ipaddress
 
-from wardlake.functions.ip import PRIVATE_RANGES, PUBLIC_EXCEPTIONS, VALID
-
 ORACLE: dict[str, str] = {}
 
+# Fixed values, written apart from the code under test: addresses that are not public.
+NOT_PUBLIC = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",)
+BUT_PUBLIC = ("192.0.0.9", "192.0.0.10",)
+OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+VALID = "^" + r"\.".join([OCTET] * 4) + "$"
+
 NL = "chr(10)"
 TAB = "chr(9)"
 
@@ -28,11 +32,11 @@ def _number(x: str) -> str:
 
 
 def _private(x: str) -> str:
-    nets = [ipaddress.ip_network(r) for r in PRIVATE_RANGES]
+    nets = [ipaddress.ip_network(r) for r in NOT_PUBLIC]
     tests = " OR ".join(
         f"({_number(x)}) BETWEEN {int(n[0])} AND {int(n[-1])}" for n in nets
     )
-    keep = ", ".join(f"'{a}'" for a in PUBLIC_EXCEPTIONS)
+    keep = ", ".join(f"'{a}'" for a in BUT_PUBLIC)
     return f"(({tests}) AND {x} NOT IN ({keep}))"
 
 
@@ -172,7 +176,7 @@ FROM (SELECT *, {_ips('combined_text')} AS ips FROM full_text)""")
 _cte("context", ("full_text",), f"""
 SELECT *, concat('Log Source: ', log_source, {NL}, 'Event ID: ', event_id, {NL}, 'Time: ',
   strftime(event_time, '%Y-%m-%d %H:%M:%S'), {NL}, 'Message: ', combined_text, {NL}, {NL},
-  'Note: Pay special attention to fields like ''Account Name'', ''Workstation Name'', ''Source Network Address'', ''Logon Type'' in the message.') AS context_text
+  'Hint: account, workstation, source address and logon type in the message matter most.') AS context_text
 FROM full_text""")
 
 _LABEL = _pick(("High", "Yüksek", "Medium", "Düşük", None, "Low risk", "Critical", "unknown"), "CAST(floor(value) AS BIGINT) % 8")
@@ -243,7 +247,7 @@ WHERE place <= 10""")
 
 _cte("conns", (), f"""
 SELECT concat('h', o_custkey % 50) AS host, {_pick((21, 23, 445, 3389, 80, 443, 22, 5353, 8080, 40001, 40002, 631), "o_orderkey % 12")} AS port,
-  CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey + CASE WHEN o_orderkey % 17 = 0 THEN 1000000 ELSE 0 END END AS pid
+  CASE WHEN o_orderkey % 20 = 10 THEN 0 WHEN o_orderkey % 10 <> 0 THEN o_custkey + CASE WHEN o_orderkey % 17 = 0 THEN 1000000 ELSE 0 END END AS pid
 FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderstatus <> 'P'""")
 
 _cte("catalogue", (), """
@@ -260,7 +264,7 @@ SELECT port, service, risk, description FROM (
       concat(upper(replace(p_name, ' ', '_')), ' service'), 3 FROM part)) WHERE rn = 1""")
 
 _cte("open_ports", ("conns", "catalogue"), """
-SELECT c.host, c.port, c.pid, coalesce(p.application, 'Unknown') AS application, coalesce(k.service, 'Unknown') AS service,
+SELECT c.host, c.port, c.pid, CASE WHEN coalesce(c.pid, 0) = 0 THEN 'Unknown' ELSE coalesce(p.application, 'Access Denied') END AS application, coalesce(k.service, 'Unknown') AS service,
   coalesce(k.risk, 'Low') AS risk, coalesce(k.description, 'Unknown service') AS description
 FROM conns c LEFT JOIN catalogue k ON c.port = k.port
 LEFT JOIN (SELECT concat('h', c_custkey % 50) AS host, c_custkey AS pid, concat('app', c_custkey % 20, '.exe') AS application FROM customer) p
@@ -305,6 +309,7 @@ _BF = "event_id = '4625' AND lower(log_source) = 'security'"
 _cte("facts", ("with_ips",), f"SELECT *, {USER} AS uname FROM with_ips")
 _cte("n_fine", ("facts",), _running(_FINE, "concat(event_id, ':', image)", 14400))
 _cte("n_bf", ("facts",), _running(_BF, "event_id", 7200))
+_cte("n_bf_hosts", ("facts",), _running(_BF, "event_id", 7200).replace("us, log_source, record_id)", "us, log_source, record_id // 2, record_id % 2)"))
 _cte("n_coarse", ("facts",), _running("event_id = '1'", "event_id", 7200))
 _cte("n_coarse_masked", ("facts", "n_fine"), _running(
     "event_id = '1' AND record_id NOT IN (SELECT record_id FROM n_fine WHERE n >= 4)", "event_id", 7200))
@@ -334,15 +339,16 @@ SELECT *, {_display('final_risk_raw')} AS final_risk,
 FROM (SELECT r.*, h.threat, {_MITRE_OF} AS mitre,
     CASE WHEN h.threat IS NOT NULL OR {_RISK_OF} = 'High' THEN 'High' ELSE coalesce(a.analysis_risk, 'Medium') END AS final_risk_raw,
     CASE WHEN a.record_id IS NULL THEN {_fallback('r.event_id', "'AI Error: no analysis available'")}
-         WHEN a.parsed THEN a.good_text ELSE {_fallback("'Unknown'", 'a.raw_response')} END AS analysis
+         WHEN a.parsed THEN a.good_text ELSE {_fallback('r.event_id', 'a.raw_response')} END AS analysis
   FROM first_rule r LEFT JOIN hits h ON r.record_id = h.record_id AND r.log_source = h.log_source
-  LEFT JOIN answers a ON r.record_id = a.record_id)""")
+  LEFT JOIN answers a ON r.record_id = a.record_id AND r.log_source = CASE WHEN a.record_id % 2 = 0 THEN 'Security' ELSE 'Sysmon' END)""")
 
 _cte("blocked", (), f"SELECT DISTINCT {_ip('s_suppkey % 200', '(s_suppkey // 200) % 5')} AS ip FROM supplier")
 
 _cte("labels_in", (), f"""
-SELECT doc_id, {_pick(("important", " HIGH ", "Following", "YÜKSEK risk", "orta", "Critical", "", "n/a", None, "düşük", "Medium-Low"), "doc_id % 11")} AS label
-FROM documents""")
+SELECT doc_id, {_pick(("important", " HIGH ", "Following", "YÜKSEK risk", "orta", "Critical", "", "n/a", None, "düşük", "Medium-Low"), "len(words) % 11")}
+  || CASE WHEN len(words) % 2 = 0 THEN concat(' ', words[-1]) ELSE '' END AS label
+FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents)""")
 
 
 def _with(*names: str) -> str:
@@ -406,11 +412,21 @@ UNION ALL SELECT record_id, 'encoded' FROM facts WHERE {_ENC}""")
 _sql("f8_broken_pattern", ("facts",), f"SELECT 'privileges' AS rule_id, count(*) AS events FROM facts WHERE {_PRIV}")
 
 _sql("j1_first_match", ("first_rule",), f"SELECT record_id, rule_id, {_RISK_OF} AS risk_level, {_MITRE_OF} AS mitre_technique FROM first_rule")
+_sql("j1_overlapping_reads", ("first_rule",), "SELECT record_id, rule_id FROM first_rule, range(CASE WHEN record_id % 5 = 0 THEN 2 ELSE 1 END)")
+_sql("j1_two_hosts", ("facts", "n_bf_hosts"), f"""
+SELECT CASE WHEN record_id % 2 = 0 THEN 'h0' ELSE 'h1' END AS host, record_id // 2 AS record_id,
+  CASE WHEN b.n >= 8 THEN 'bf' WHEN {_ENC} THEN 'encoded' WHEN {_PRIV} THEN 'privileges' END AS rule_id
+FROM facts LEFT JOIN n_bf_hosts b USING (record_id)""")
 _sql("j2_all_matches", ("facts", "n_fine", "n_bf", "n_coarse"), f"""
 SELECT f.record_id, array_to_string(list_filter([CASE WHEN log_source = 'Sysmon' THEN 'any_sysmon' END, CASE WHEN c.n >= 5 THEN 'coarse' END,
   CASE WHEN b.n >= 8 THEN 'bf' END, CASE WHEN a.n >= 4 THEN 'fine' END, CASE WHEN {_PRIV} THEN 'privileges' END, CASE WHEN {_ENC} THEN 'encoded' END],
   lambda x: x IS NOT NULL), ',') AS rule_ids
 FROM facts f LEFT JOIN n_fine a USING (record_id) LEFT JOIN n_coarse c USING (record_id) LEFT JOIN n_bf b USING (record_id)""")
+_sql("j2_overlapping_reads", ("facts", "n_fine", "n_bf", "n_coarse"), f"""
+SELECT f.record_id, array_to_string(list_filter([CASE WHEN log_source = 'Sysmon' THEN 'any_sysmon' END, CASE WHEN c.n >= 5 THEN 'coarse' END,
+  CASE WHEN b.n >= 8 THEN 'bf' END, CASE WHEN a.n >= 4 THEN 'fine' END, CASE WHEN {_PRIV} THEN 'privileges' END, CASE WHEN {_ENC} THEN 'encoded' END],
+  lambda x: x IS NOT NULL), ',') AS rule_ids
+FROM facts f LEFT JOIN n_fine a USING (record_id) LEFT JOIN n_coarse c USING (record_id) LEFT JOIN n_bf b USING (record_id), range(CASE WHEN f.record_id % 5 = 0 THEN 2 ELSE 1 END)""")
 _sql("w1_threshold_alerts", ("facts", "n_bf"), """
 SELECT record_id, us AS event_us, event_id AS threshold_key, 'bf' AS rule_id FROM facts JOIN n_bf USING (record_id) WHERE n >= 8""")
 ORACLE["w1_threshold_ties"] = (
@@ -431,10 +447,17 @@ _sql("w3_rank_choice", ("facts",), f"""
 SELECT record_id, CASE WHEN {_ENC} THEN 'encoded' WHEN {_PRIV} THEN 'privileges' WHEN log_source = 'Sysmon' THEN 'any_sysmon' END AS rule_id FROM facts""")
 
 _sql("j3_threat_hits", ("hits",), "SELECT record_id, threat.ip AS ip, threat.category AS category, threat.confidence AS confidence FROM hits")
-ORACLE["j3_threat_hits_documents"] = f"""
+ORACLE["x1_ips_of_documents"] = f"""
 SELECT log_source, record_id, array_to_string(ips, ',') AS ips, array_to_string(list_filter(ips, lambda a: NOT {_private('a')}), ',') AS public_ips
 FROM (SELECT log_source, record_id, {_ips('text')} AS ips FROM (
   SELECT 'documents' AS log_source, doc_id AS record_id, text FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages)) WHERE len(ips) > 0"""
+ORACLE["j3_threat_hits_documents"] = f"""
+WITH found AS (SELECT log_source, record_id, list_filter({_ips('text')}, lambda a: NOT {_private('a')}) AS ips FROM (
+    SELECT 'documents' AS log_source, doc_id AS record_id, text FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages)),
+  each AS (SELECT log_source, record_id, unnest(ips) AS ip, generate_subscripts(ips, 1) AS pos FROM found),
+  listed AS (SELECT DISTINCT ip FROM each WHERE log_source = 'documents' AND record_id % 2 = 0)
+SELECT log_source, record_id, ip, CAST(length(ip) + 50 AS INTEGER) AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY log_source, record_id ORDER BY pos) AS nth FROM each SEMI JOIN listed USING (ip)) WHERE nth = 1"""
 _sql("j4_knowledge", ("raw", "kb"), "SELECT record_id, title, risk_level, advice, source FROM raw LEFT JOIN kb ON raw.event_id = kb.event_id")
 _sql("u3_knowledge_union", ("kb",), "SELECT * FROM kb")
 _sql("j5_port_catalogue", ("open_ports",), "SELECT port, service, risk, description, count(*) AS sockets FROM open_ports GROUP BY ALL")
@@ -564,12 +587,13 @@ _sql("e9_process_events", ("scored",), f"""
 SELECT record_id AS id, {_TS("date_trunc('second', event_time)")} AS "timestamp", event_id, left(message, 500) AS message,
   md5(final_analysis) AS analysis_md5, final_risk AS risk_score, final_risk_raw AS risk_score_raw, mitre AS mitre_technique FROM scored""")
 
+_sql("e9_rescored", ("scored",), """
+SELECT record_id AS id, md5(final_analysis) AS analysis_md5, final_risk AS risk_score, final_risk_raw AS risk_score_raw FROM scored""")
 ORACLE["t2_stream_dedupe"] = ORACLE["u1_channel_union"]
 _sql("t3_stream_first_match", ("first_rule",), "SELECT record_id, rule_id FROM first_rule")
-_sql("t4_stream_enrichment", ("with_ips", "feed", "kb"), """
-SELECT e.record_id, e.ip, feed.category, kb.source AS knowledge_source
-FROM (SELECT DISTINCT record_id, event_id, unnest(CASE WHEN len(public_ips) > 0 THEN public_ips ELSE [NULL] END) AS ip FROM with_ips) e
-LEFT JOIN feed ON e.ip = feed.ip LEFT JOIN kb ON e.event_id = kb.event_id""")
+_sql("t4_stream_enrichment", ("raw", "hits", "kb"), """
+SELECT e.record_id, h.threat.ip AS ip, h.threat.category AS category, kb.source AS knowledge_source
+FROM raw e LEFT JOIN hits h ON e.record_id = h.record_id LEFT JOIN kb ON e.event_id = kb.event_id""")
 ORACLE["t5_stream_counters"] = ORACLE["k2_top_talkers"]
 _sql("t9_stream_timeline", ("raw",), f"""
 SELECT {_TS('b')} AS time_interval, count(*) AS log_count FROM (

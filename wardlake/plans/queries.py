@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,7 +14,8 @@ from wardlake.operators import detect, enrich, fuse, ports, reports, respond, tr
 from wardlake.operators.rules import Rule, rule_from_dict, rules_frame, catalogue_counts
 from wardlake.plans import adapters as A
 from wardlake.plans import digest, process
-from wardlake.session import shared_dir, use_utc
+from wardlake import schemas
+from wardlake.session import cut_lineage, shared_dir, use_utc
 from wardlake.sources import events as ev
 from wardlake.sources import logs as store
 from wardlake.sources import lookups, snapshots
@@ -320,6 +322,30 @@ def j1_first_match(spark, d):
     )
 
 
+@query
+def j1_overlapping_reads(spark, d):
+    """First match where every fifth record is read twice: it counts once, and all its rows agree."""
+    events = ev.prepare(A.overlapping(A.raw_events(spark, d)))
+    out = detect.first_match(events, rules(*ALL_RULES))
+    return out.select("record_id", F.col("detection.rule_id").alias("rule_id"))
+
+
+@query
+def j1_two_hosts(spark, d):
+    """First match over two hosts with the same record numbers."""
+    events = ev.prepare(A.two_hosts(A.raw_events(spark, d)))
+    out = detect.first_match(events, rules(BRUTE_FORCE, ENCODED, PRIVILEGES))
+    return out.select("host", "record_id", F.col("detection.rule_id").alias("rule_id"))
+
+
+@query
+def j2_overlapping_reads(spark, d):
+    """All matches where every fifth record is read twice."""
+    events = ev.prepare(A.overlapping(A.raw_events(spark, d)))
+    out = detect.all_matches(events, rules(*ALL_RULES))
+    return out.select("record_id", _joined(F.transform("detections", lambda m: m["rule_id"])).alias("rule_ids"))
+
+
 @query
 def j2_all_matches(spark, d):
     """All matching rules per event, in load order."""
@@ -373,9 +399,7 @@ def j3_threat_hits(spark, d):
     return out.filter(F.col("threat").isNotNull()).select("record_id", "threat.*")
 
 
-@query
-def j3_threat_hits_documents(spark, d):
-    """The same over free text: whole documents."""
+def _texts(spark, d) -> DataFrame:
     docs = A.table(spark, d, "documents").select(
         F.lit("documents").alias("log_source"), F.col("doc_id").alias("record_id"), "text"
     )
@@ -383,10 +407,27 @@ def j3_threat_hits_documents(spark, d):
         F.lit("pages").alias("log_source"), F.col("page_id").alias("record_id"),
         F.col("html").alias("text"),
     )
-    found = enrich.with_ips(docs.unionByName(pages), "text").filter(F.size("ips") > 0)
+    return docs.unionByName(pages)
+
+
+@query
+def x1_ips_of_documents(spark, d):
+    """Addresses in free text: whole documents and pages."""
+    found = enrich.with_ips(_texts(spark, d), "text").filter(F.size("ips") > 0)
     return found.select("log_source", "record_id", _joined("ips").alias("ips"), _joined("public_ips").alias("public_ips"))
 
 
+@query
+def j3_threat_hits_documents(spark, d):
+    """Documents and pages that name a listed address; listed are those of every other document."""
+    texts = enrich.with_ips(_texts(spark, d), "text")
+    half = texts.filter((F.col("log_source") == "documents") & (F.col("record_id") % 2 == 0))
+    feed = half.select(F.explode_outer("public_ips").alias("ip")).filter("ip is not null").distinct()
+    feed = feed.withColumns({"category": F.lit("Named"), "confidence": F.length("ip") + 50})
+    out = enrich.threat_hits(texts, feed).filter(F.col("threat").isNotNull())
+    return out.select("log_source", "record_id", "threat.ip", "threat.confidence")
+
+
 @query
 def j4_knowledge(spark, d):
     """Knowledge of each event; own entries win."""
@@ -632,10 +673,11 @@ def x12_severity_risk(spark, d):
 
 
 def _labels(spark, d) -> DataFrame:
-    """Risk words as they occur in free text: one word of each document, and odd labels."""
+    """The last word of each document, with a risk word chosen by the number of words before it."""
     odd = ("important", " HIGH ", "Following", "YÜKSEK risk", "orta", "Critical", "", "n/a", None, "düşük", "Medium-Low")
-    docs = A.table(spark, d, "documents")
-    return docs.select("doc_id", A.pick(odd, F.col("doc_id") % 11).alias("label"))
+    docs = A.table(spark, d, "documents").withColumn("words", F.split("text", " "))
+    label = F.concat(A.pick(odd, F.size("words") % 11), F.when(F.size("words") % 2 == 0, F.concat(F.lit(" "), F.element_at("words", -1))).otherwise(""))
+    return docs.select("doc_id", label.alias("label"))
 
 
 @query
@@ -760,8 +802,9 @@ def e4_render_answers(spark, d):
 
 @query
 def e5_prompts(spark, d):
-    events = process.with_context(_prepared(spark, d))
-    return enrich.prompts(events, _knowledge(spark, d))
+    return process.prompt_rows(A.raw_events(spark, d), _knowledge(spark, d)).select(
+        "record_id", "event_id", "system_prompt", "user_prompt"
+    )
 
 
 @query
@@ -805,6 +848,22 @@ def _run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
+def _event_files(spark: SparkSession, d: str, out: str, parts: int = 4) -> DataFrame:
+    """The events as a stream of several files, one per micro-batch.
+
+    The channel of processes lags behind: its events come one file later than
+    the others of their time, and the last file comes twice.
+    """
+    raw = A.raw_events(spark, d)
+    us = F.unix_micros("event_time")
+    low, high = raw.agg(F.min(us), F.max(us)).first()
+    place = F.floor((us - low) * parts / (high - low + 1)) + F.when(F.col("log_source") == "Sysmon", 1).otherwise(0)
+    cut = cut_lineage(raw.withColumn("part", place.cast("int")))
+    for part in [*range(parts + 1), parts]:
+        cut.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{out}/files")
+    return spark.readStream.schema(schemas.RAW_EVENT).option("maxFilesPerTrigger", 1).parquet(f"{out}/files")
+
+
 @query
 def t2_stream_dedupe(spark, d):
     """A record that is read twice counts once."""
@@ -821,10 +880,12 @@ def t2_stream_dedupe(spark, d):
 
 @query
 def t3_stream_first_match(spark, d):
-    """Detection on the event stream, threshold rules included."""
+    """Detection over several micro-batches: one channel lags, a file repeats, a pattern is broken."""
     out = _run_dir(spark, "detect")
-    stream = A.as_raw_events(A.stream_table(spark, d, "events"))
-    jobs.detect_stream(stream, rules(*ALL_RULES), out, available_now=True).awaitTermination()
+    bad = {"id": "bad", "severity": "critical", "conditions": {"event_id": "4625", "message_regex": "(unclosed"}}
+    jobs.detect_stream(
+        _event_files(spark, d, out), lambda: rules(bad, *ALL_RULES), out, available_now=True, kept=timedelta(days=60)
+    ).awaitTermination()
     return spark.read.parquet(f"{out}/detections").select(
         "record_id", F.col("detection.rule_id").alias("rule_id")
     )
@@ -832,27 +893,43 @@ def t3_stream_first_match(spark, d):
 
 @query
 def t4_stream_enrichment(spark, d):
-    """Feed hits and knowledge found on the event stream."""
+    """Feed hit and knowledge of every event of the stream, also of events with several addresses."""
     out = _run_dir(spark, "enrich")
     stream = A.as_raw_events(A.stream_table(spark, d, "events"))
-    rich = jobs.enrich_stream(stream, _feed(spark, d), _knowledge(spark, d)).select(
-        "record_id", "ip", "category", F.col("knowledge.source").alias("knowledge_source")
-    )
-    rich.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).format(
-        "parquet"
-    ).start(f"{out}/rows").awaitTermination()
-    return spark.read.schema(rich.schema).parquet(f"{out}/rows")
+    jobs.enrich_stream(stream, _feed(spark, d), _knowledge(spark, d), out, available_now=True).awaitTermination()
+    rich = spark.read.parquet(f"{out}/enriched")
+    return rich.select("record_id", "threat.ip", "threat.category", F.col("knowledge.source").alias("knowledge_source"))
 
 
 @query
 def t5_stream_counters(spark, d):
-    """Packet counters summed over the micro-batches of the packet stream."""
+    """Packet counters over several micro-batches, merged on the way."""
     out = _run_dir(spark, "traffic")
-    packets = snapshots.flatten_packets(A.as_decoded_packets(A.stream_table(spark, d, "lineitem")))
-    jobs.count_stream(packets, out, available_now=True).awaitTermination()
+    packets = A.table(spark, d, "lineitem").repartition(5, "l_orderkey")
+    packets.write.parquet(f"{out}/files")
+    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/files")
+    decoded = snapshots.flatten_packets(A.as_decoded_packets(stream))
+    jobs.count_stream(decoded, out, available_now=True, merge_every=2).awaitTermination()
     return traffic.top_talkers(jobs.read_counters(spark, out))
 
 
+@query
+def e9_rescored(spark, d):
+    """Events that wait for their answers: answers come later, the rest is finished without one."""
+    out = _run_dir(spark, "rescored")
+    stream = A.as_raw_events(A.stream_table(spark, d, "events"))
+    jobs.process_stream(
+        stream, rules(*ALL_RULES), _feed(spark, d), out, available_now=True, kept=timedelta(days=60), wait=True
+    ).awaitTermination()
+    enrich.parse_answers(A.raw_answers(spark, d), None).write.parquet(f"{out}/answers")
+    schema = spark.read.parquet(f"{out}/answers").schema
+    answers = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/answers")
+    jobs.answer_stream(answers, out, available_now=True).awaitTermination()
+    jobs.expire_pending(spark, out, "expired")
+    stored = store.read_table(spark, f"{out}/logs")
+    return stored.select("id", F.md5("ai_analysis").alias("analysis_md5"), "risk_score", "risk_score_raw")
+
+
 @query
 def t9_stream_timeline(spark, d):
     """15-minute counts of the event stream."""

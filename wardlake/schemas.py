@@ -14,8 +14,12 @@ PROCESS_DETAILS = T.StructType(
     ]
 )
 
+#: What names an event: record numbers are given per host and channel.
+RECORD = ("host", "log_source", "record_id")
+
 RAW_EVENT = T.StructType(
     [
+        T.StructField("host", T.StringType()),
         T.StructField("record_id", T.LongType(), False),
         T.StructField("log_source", T.StringType()),
         T.StructField("event_id", T.StringType()),
@@ -29,6 +33,8 @@ RAW_EVENT = T.StructType(
 #: ``risk_score`` is canonical English, ``risk_score_raw`` the label as it was given.
 STORED_LOG = T.StructType(
     [
+        T.StructField("host", T.StringType()),
+        T.StructField("log_source", T.StringType()),
         T.StructField("id", T.LongType()),
         T.StructField("timestamp", T.TimestampType(), False),
         T.StructField("event_id", T.StringType()),
@@ -88,6 +94,7 @@ PROCESS = T.StructType(
         T.StructField("host", T.StringType()),
         T.StructField("pid", T.LongType()),
         T.StructField("application", T.StringType()),
+        T.StructField("ts", T.TimestampType()),
     ]
 )
 
@@ -110,9 +117,14 @@ BLOCK_LIST = T.StructType(
     ]
 )
 
+#: ``answered_at`` orders answers to one event; the last one counts.
 ANSWER = T.StructType(
     [
+        T.StructField("host", T.StringType()),
+        T.StructField("log_source", T.StringType()),
         T.StructField("record_id", T.LongType()),
+        T.StructField("event_id", T.StringType()),
+        T.StructField("answered_at", T.TimestampType()),
         T.StructField("raw_response", T.StringType()),
     ]
 )

@@ -65,3 +65,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is; none there is no error."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder, none where it does not exist."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wardlake import schemas
 from wardlake.functions.risk import canonical_risk, severity_label
@@ -65,10 +65,19 @@ def append_batch(logs: DataFrame, path: str, batch: str) -> None:
     )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table, with columns added later filled with NULL in older files."""
-    stored = spark.read.option("mergeSchema", "true").parquet(path)
-    return conform(stored.drop(*PARTITIONS))
+def read_table(spark: SparkSession, path: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """The table, with columns added later filled with NULL in older files.
+
+    ``since`` (included) and ``until`` (excluded) bound the time; only the days
+    between them are read. The schema is declared, so no file is opened for it.
+    """
+    schema = T.StructType([*schemas.STORED_LOG.fields, T.StructField("log_date", T.DateType()), T.StructField("batch", T.StringType())])
+    stored = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in schema])).parquet(path)
+    if since is not None:
+        stored = stored.filter((F.col("log_date") >= F.to_date(F.lit(since))) & (F.col("timestamp") >= F.lit(since)))
+    if until is not None:
+        stored = stored.filter((F.col("log_date") <= F.to_date(F.lit(until))) & (F.col("timestamp") < F.lit(until)))
+    return stored.withColumn("risk_score_raw", F.coalesce("risk_score_raw", "risk_score")).drop(*PARTITIONS)
 
 
 def clear(spark: SparkSession, path: str) -> None:

@@ -1,27 +1,32 @@
-"""Streaming jobs: events to stored rows and blocks, running counters, timeline."""
+"""Streaming jobs: events to stored rows and blocks, late answers, running counters, timeline."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wardlake.operators.enrich import HIT_DDL, threat_hits, with_ips
-from wardlake.operators.fuse import fuse
+from wardlake.operators.detect import Plan, join_record, rule_numbers, with_host
+from wardlake.operators.enrich import threat_hits, with_ips, with_knowledge
 from wardlake.operators.reports import TIMELINE_STEP
 from wardlake.operators.respond import empty_block_list, new_blocks
 from wardlake.operators.rules import Rule
-from wardlake.operators.sizes import broadcast_if_small
 from wardlake.operators.traffic import traffic_counts
-from wardlake.plans.process import stored_rows, with_answers
+from wardlake.plans.process import prompt_rows, rescored, scored_from, stored_rows
+from wardlake.schemas import RECORD
+from wardlake.session import cut_lineage, delete, folders
 from wardlake.sources import logs
 from wardlake.sources.events import POLL_SECONDS, prepare
-from wardlake.streaming.state import first_match_in_batch
+from wardlake.streaming.state import EventState
 
-#: How long a re-read record is recognised, and how late an event may come.
+#: How long a re-read record is recognised at least, and how late an event may
+#: come after others of its channel; never under the longest reach of a rule.
 WATERMARK = "10 minutes"
+KEPT = timedelta(minutes=10)
+#: Parts of a keyed table are merged every so many micro-batches.
+MERGE_EVERY = 20
 
 Rules = list[Rule] | Callable[[], list[Rule]]
 Table = DataFrame | Callable[[], DataFrame] | None
@@ -33,10 +38,13 @@ def _now(value):
 
 
 def dedupe(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Each record once, although reads overlap."""
-    return events.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(
-        ["log_source", "record_id"]
-    )
+    """Each record once, although reads overlap; for one channel with bounded delay.
+
+    Rows behind the watermark are dropped by Spark. Give every channel its own
+    call before the union, and the longest delay it may have; the event jobs
+    below keep their own table of seen records and lose nothing.
+    """
+    return with_host(events).withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(list(RECORD))
 
 
 def _trigger(writer, available_now: bool):
@@ -45,6 +53,25 @@ def _trigger(writer, available_now: bool):
     return writer.trigger(processingTime=f"{POLL_SECONDS} seconds")
 
 
+def _start(source: DataFrame, handle: Callable[[DataFrame, int], None], base_dir: str, name: str, available_now: bool) -> StreamingQuery:
+    """``handle`` for every micro-batch, whose rows are kept while it runs."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            handle(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = source.writeStream.queryName(name).option("checkpointLocation", f"{base_dir}/checkpoints/{name}").foreachBatch(run)
+    return _trigger(writer, available_now).start()
+
+
+def _replace(df: DataFrame, path: str, tag: str) -> None:
+    """Write the rows of one micro-batch so that a repeated attempt replaces its own."""
+    df.withColumn("batch", F.lit(tag)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
 def process_stream(
     events: DataFrame,
     rules: Rules,
@@ -53,93 +80,171 @@ def process_stream(
     answers: Table = None,
     name: str = "events",
     available_now: bool = False,
+    kept: timedelta = KEPT,
+    knowledge: Table = None,
+    wait: bool = False,
+    strict_fields: bool = False,
 ) -> StreamingQuery:
     """Run the event job on a stream of raw events.
 
-    ``rules``, ``feed`` and ``answers`` may be functions; they are then called
-    for every micro-batch, which picks up changed files while running. Stored
-    rows go to ``base_dir/logs``, block-list additions to ``base_dir/blocks``.
+    ``rules``, ``feed``, ``answers`` and ``knowledge`` may be functions; they are
+    then called for every micro-batch, which picks up changed files while
+    running. Stored rows go to ``base_dir/logs``, block-list additions to
+    ``base_dir/blocks``, events that come later than ``kept`` after the newest of
+    their channel to ``base_dir/late``. With ``knowledge``, prompts for an external
+    scorer go to ``base_dir/prompts``; with ``wait``, events are held in
+    ``base_dir/pending`` until ``answer_stream`` or ``expire_pending`` finishes them.
     Everything a micro-batch writes is keyed by its number, so a repeated
     micro-batch replaces its own output.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # Both are used several times below; a micro-batch is bounded.
-        batch.persist()
-        prepared = with_ips(prepare(batch))
-        if feed is None:
-            hit = prepared.withColumn("threat", F.lit(None).cast(HIT_DDL))
-        else:
-            hit = threat_hits(prepared, _now(feed))
-        matched = first_match_in_batch(hit, _now(rules), f"{base_dir}/state", batch_id)
-        scored = fuse(with_answers(matched, _now(answers))).persist()
-        tag = f"{name}-{batch_id}"
+        spark, tag = batch.sparkSession, f"{name}-{batch_id}"
+        state = EventState(spark, f"{base_dir}/state/{name}", batch_id, _now(rules), kept)
+        fresh, late = state.admit(batch)
+        fresh = fresh.persist()
+        try:
+            _replace(late, f"{base_dir}/late", tag)
+            prepared = with_ips(prepare(fresh))
+            plan = Plan.of(spark, state.rules)
+            facts = cut_lineage(state.facts(prepared, plan, strict_fields))
+            state.advance(fresh, prepared)
+            scored = scored_from(fresh, plan, rule_numbers(facts, plan), facts, _now(feed), _now(answers))
+            if knowledge is not None:
+                _replace(prompt_rows(fresh, _now(knowledge)), f"{base_dir}/prompts", tag)
+            if wait:
+                _replace(scored.select(*PENDING), f"{base_dir}/pending", tag)
+            else:
+                _finish(scored, base_dir, tag)
+        finally:
+            fresh.unpersist()
+
+    return _start(events, handle, base_dir, name, available_now)
+
+
+#: What is kept of an event until its answer comes.
+PENDING = (*RECORD, "event_id", "event_time", "message", "detection", "threat", "public_ips")
+
+
+def _finish(scored: DataFrame, base_dir: str, tag: str) -> None:
+    """Stored rows and block-list additions of scored events."""
+    scored = scored.persist()
+    try:
         logs.append_batch(stored_rows(scored), f"{base_dir}/logs", tag)
-        before = read_blocks(batch.sparkSession, f"{base_dir}/blocks").filter(F.col("batch") != tag)
-        (
-            new_blocks(scored, before)
-            .withColumn("batch", F.lit(tag))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(f"{base_dir}/blocks")
-        )
+        before = read_blocks(scored.sparkSession, base_dir).filter(F.col("batch") != tag)
+        added = new_blocks(scored, before).withColumn("added_at", F.current_timestamp())
+        _replace(added, f"{base_dir}/blocks", tag)
+    finally:
         scored.unpersist()
-        batch.unpersist()
 
-    writer = (
-        dedupe(events)
-        .writeStream.queryName(name)
-        .option("checkpointLocation", f"{base_dir}/checkpoints/{name}")
-        .foreachBatch(handle)
-    )
-    return _trigger(writer, available_now).start()
 
+def read_pending(spark: SparkSession, base_dir: str) -> DataFrame:
+    """Events that wait for an answer."""
+    held = spark.read.parquet(f"{base_dir}/pending").drop("batch")
+    done = _finished(spark, base_dir)
+    named = done.withColumnsRenamed({c: f"_{c}" for c in RECORD})
+    same = F.lit(True)
+    for c in RECORD:
+        same = same & held[c].eqNullSafe(named[f"_{c}"])
+    return held.join(named, same, "left_anti")
+
+
+def _finished(spark: SparkSession, base_dir: str, but: str = "") -> DataFrame:
+    if not folders(spark, f"{base_dir}/finished"):
+        return spark.createDataFrame([], "host string, log_source string, record_id long")
+    return spark.read.parquet(f"{base_dir}/finished").filter(F.col("batch").cast("string") != but).select(*RECORD)
+
+
+def answer_stream(answers: DataFrame, base_dir: str, name: str = "answers", available_now: bool = False) -> StreamingQuery:
+    """Finish waiting events as their (parsed) answers come: fusion, stored row, block list.
+
+    An answer to an event that is finished or unknown changes nothing.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark, tag = batch.sparkSession, f"{name}-{batch_id}"
+        delete(spark, f"{base_dir}/finished/batch={tag}")  # of an attempt that broke off
+        waiting = read_pending(spark, base_dir)
+        scored = cut_lineage(rescored(waiting, batch, answered_only=True))
+        _finish(scored, base_dir, tag)
+        _replace(scored.select(*RECORD), f"{base_dir}/finished", tag)
+
+    return _start(answers, handle, base_dir, name, available_now)
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Block list written by the event job, with the batch of each entry."""
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        return empty_block_list(spark).withColumn("batch", F.lit(""))
-    return stored.withColumn("batch", F.col("batch").cast("string"))
+
+def expire_pending(spark: SparkSession, base_dir: str, tag: str, before=None) -> None:
+    """Finish events that wait since before a time (all without one) with the text for a missing answer."""
+    waiting = read_pending(spark, base_dir)
+    if before is not None:
+        waiting = waiting.filter(F.col("event_time") < F.lit(before))
+    scored = cut_lineage(rescored(waiting, None))
+    _finish(scored, base_dir, tag)
+    _replace(scored.select(*RECORD), f"{base_dir}/finished", tag)
+
+
+def read_blocks(spark: SparkSession, base_dir: str) -> DataFrame:
+    """Addresses blocked now: added, and not released since."""
+    if not folders(spark, f"{base_dir}/blocks"):
+        return empty_block_list(spark).withColumns({"added_at": F.current_timestamp(), "batch": F.lit("")})
+    stored = spark.read.parquet(f"{base_dir}/blocks").withColumn("batch", F.col("batch").cast("string"))
+    if not folders(spark, f"{base_dir}/released"):
+        return stored
+    released = spark.read.parquet(f"{base_dir}/released").groupBy("ip").agg(F.max("released_at").alias("_r"))
+    kept = stored.join(released, "ip", "left").filter(F.col("_r").isNull() | (F.col("added_at") > F.col("_r")))
+    return kept.drop("_r")
+
+
+def release(ips: DataFrame, base_dir: str) -> None:
+    """Take addresses off the block list for good; a later event may block them again."""
+    ips.select("ip").distinct().withColumn("released_at", F.current_timestamp()).write.mode("append").parquet(f"{base_dir}/released")
 
 
 def detect_stream(
-    events: DataFrame, rules: Rules, base_dir: str, name: str = "detect", available_now: bool = False
+    events: DataFrame,
+    rules: Rules,
+    base_dir: str,
+    name: str = "detect",
+    available_now: bool = False,
+    kept: timedelta = KEPT,
+    strict_fields: bool = False,
 ) -> StreamingQuery:
     """Only the detection: every event with its first matching rule, to ``base_dir/detections``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        matched = first_match_in_batch(prepare(batch), _now(rules), f"{base_dir}/state", batch_id)
-        matched.select("record_id", "log_source", "event_id", "event_time", "detection").write.mode(
-            "overwrite"
-        ).parquet(f"{base_dir}/detections/batch={batch_id}")
-        batch.unpersist()
-
-    writer = (
-        dedupe(events)
-        .writeStream.queryName(name)
-        .option("checkpointLocation", f"{base_dir}/checkpoints/{name}")
-        .foreachBatch(handle)
-    )
-    return _trigger(writer, available_now).start()
+        spark = batch.sparkSession
+        state = EventState(spark, f"{base_dir}/state/{name}", batch_id, _now(rules), kept)
+        fresh, late = state.admit(batch)
+        fresh = fresh.persist()
+        try:
+            _replace(late, f"{base_dir}/late", f"{name}-{batch_id}")
+            prepared = prepare(fresh)
+            plan = Plan.of(spark, state.rules)
+            facts = cut_lineage(state.facts(prepared, plan, strict_fields))
+            state.advance(fresh, prepared)
+            matched = join_record(fresh, rule_numbers(facts, plan)).withColumn("detection", plan.report(F.col("number")))
+            matched.select(*RECORD, "event_id", "event_time", "detection").write.mode("overwrite").parquet(
+                f"{base_dir}/detections/batch={batch_id}"
+            )
+        finally:
+            fresh.unpersist()
+
+    return _start(events, handle, base_dir, name, available_now)
+
+
+def enrich_stream(
+    events: DataFrame, feed: Table, knowledge: Table, base_dir: str, name: str = "enrich", available_now: bool = False
+) -> StreamingQuery:
+    """Parsing, addresses, feed hit and event knowledge of a stream, to ``base_dir/enriched``.
 
+    One row per event, by the functions of the batch job: ``threat`` is the entry
+    of the first listed address in the text, ``knowledge`` that of the event id.
+    """
 
-def enrich_stream(events: DataFrame, feed: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """Stateless enrichment of a stream: parsing, addresses, feed hits, event knowledge.
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rich = with_knowledge(threat_hits(with_ips(prepare(with_host(batch))), _now(feed)), _now(knowledge))
+        rich.write.mode("overwrite").parquet(f"{base_dir}/enriched/batch={batch_id}")
 
-    Stream-static joins only. One row per event and listed address; events
-    without one appear once with NULL feed columns.
-    """
-    ready = with_ips(prepare(events))
-    entry = F.struct("title", "description", "risk_level", "advice", "source").alias("knowledge")
-    dim = broadcast_if_small(knowledge.select(F.col("event_id").alias("_kid"), entry))
-    known = ready.join(dim, F.col("event_id") == F.col("_kid"), "left").drop("_kid")
-    each = known.withColumn("ip", F.explode_outer(F.array_distinct("public_ips")))
-    listed = broadcast_if_small(feed.select("ip", "category", "confidence"))
-    return each.join(listed, "ip", "left")
+    return _start(events, handle, base_dir, name, available_now)
 
 
 def running_counts(packets: DataFrame) -> DataFrame:
@@ -147,32 +252,51 @@ def running_counts(packets: DataFrame) -> DataFrame:
     return traffic_counts(packets)
 
 
+def _added(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("dimension", "value").agg(F.sum("packets").alias("packets"), F.min("first_seen").alias("first_seen"))
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(f.split("=")[1]) for f in folders(spark, path) if f.startswith("batch="))
+
+
 def count_stream(
-    packets: DataFrame, base_dir: str, name: str = "traffic", available_now: bool = False
+    packets: DataFrame, base_dir: str, name: str = "traffic", available_now: bool = False, merge_every: int = MERGE_EVERY
 ) -> StreamingQuery:
-    """Packet counters per micro-batch; ``read_counters`` adds them up.
+    """Packet counters: a part per micro-batch, merged by key every ``merge_every`` of them.
 
-    Counters are sums, so each micro-batch only writes its own part. No state
-    grows with the number of addresses seen.
+    ``read_counters`` adds the last total and the few parts after it.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         traffic_counts(batch).write.mode("overwrite").parquet(f"{base_dir}/counts/batch={batch_id}")
+        if batch_id % merge_every != merge_every - 1:
+            return
+        total = _counters(spark, base_dir, batch_id)
+        total.write.mode("overwrite").parquet(f"{base_dir}/totals/batch={batch_id}")
+        # what the total before this one covers is asked for by no one, and not by a repeated attempt
+        done = [b for b in _batches(spark, f"{base_dir}/totals") if b < batch_id]
+        for b in _batches(spark, f"{base_dir}/counts"):
+            if done and b <= done[-1]:
+                delete(spark, f"{base_dir}/counts/batch={b}")
+        for b in done[:-1]:
+            delete(spark, f"{base_dir}/totals/batch={b}")
 
-    writer = (
-        packets.writeStream.queryName(name)
-        .option("checkpointLocation", f"{base_dir}/checkpoints/{name}")
-        .foreachBatch(handle)
-    )
-    return _trigger(writer, available_now).start()
+    return _start(packets, handle, base_dir, name, available_now)
+
+
+def _counters(spark: SparkSession, base_dir: str, before: int | None = None) -> DataFrame:
+    totals = [b for b in _batches(spark, f"{base_dir}/totals") if before is None or b < before]
+    paths = [f"{base_dir}/counts/batch={b}" for b in _batches(spark, f"{base_dir}/counts") if not totals or b > totals[-1]]
+    if totals:
+        paths.append(f"{base_dir}/totals/batch={totals[-1]}")
+    return _added(spark.read.parquet(*paths))
 
 
 def read_counters(spark: SparkSession, base_dir: str) -> DataFrame:
     """Counters since the start, in the form ``top_talkers`` takes."""
-    parts = spark.read.parquet(f"{base_dir}/counts")
-    return parts.groupBy("dimension", "value").agg(
-        F.sum("packets").alias("packets"), F.min("first_seen").alias("first_seen")
-    )
+    return _counters(spark, base_dir)
 
 
 def timeline_stream(logs_stream: DataFrame, step: str = TIMELINE_STEP, watermark: str = WATERMARK) -> DataFrame:

@@ -1,63 +1,124 @@
-"""Recent candidate events kept between micro-batches, as a table.
+"""What a stream of events must remember between micro-batches, as tables.
 
-A threshold rule in a micro-batch needs the events of the last window. They
-are kept as files in a shared folder, one sub-folder per micro-batch, so the
-counting itself is the batch operator: nothing is held in one task, and a
-repeated micro-batch reads and writes the same folders again.
+All state is files in a shared folder, one sub-folder per micro-batch: nothing
+is held in one task, a repeated micro-batch reads and writes the same folders
+again, and folders nothing can ask for any more are deleted.
+
+* ``seen``: record keys, so that a record read twice counts once;
+* ``tail``: events a threshold rule may still count;
+* ``newest``: the newest time of every host and channel, no later than the clock
+  of the machine allows, so one wrong clock cannot empty the others' history;
+* ``rules``: the threshold rules the tail was kept for.
+
+An event is late only against its own channel, and history goes back as far as
+the slowest channel that is still alive needs it.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+import json
+from dataclasses import asdict
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardlake.operators.detect import first_match
-from wardlake.operators.rules import Rule, predicate
+from wardlake.operators.detect import Plan, event_facts, with_host
+from wardlake.operators.rules import Rule, check_patterns, predicate
+from wardlake.schemas import RECORD
+from wardlake.session import delete
 
-CARRIED = ("record_id", "log_source", "event_id", "event_time", "message", "details")
+CARRIED = (*RECORD, "event_id", "event_time", "message", "details")
+#: How far an event may lie ahead of this machine's clock and still move the limits.
+SKEW = timedelta(minutes=1)
+#: A channel silent for longer than this, against the newest one, holds nothing back.
+IDLE = timedelta(days=1)
 
 
-def horizon_seconds(rules: list[Rule]) -> int:
+def horizon(rules: list[Rule]) -> timedelta:
     """How far back the outcome of a rule can reach.
 
     A chained rule looks back one window and, through the rule before it,
     another one; the sum of all windows covers any chain.
     """
-    return sum(r.time_window for r in rules if r.enabled and r.counted)
-
-
-def read_tail(events: DataFrame, state_dir: str, batch_id: int) -> DataFrame:
-    """Events kept by the micro-batch before, empty for the first one."""
-    narrow = events.select(*CARRIED)
-    try:
-        return events.sparkSession.read.schema(narrow.schema).parquet(f"{state_dir}/batch={batch_id - 1}")
-    except AnalysisException:
-        return narrow.limit(0)
-
-
-def write_tail(events: DataFrame, tail: DataFrame, rules: list[Rule], state_dir: str, batch_id: int) -> None:
-    """Keep the events a threshold rule may still count."""
-    counted = [r for r in rules if r.enabled and r.counted]
-    may_count = F.lit(False)
-    for rule in counted:
-        may_count = may_count | predicate(rule)
-    known = tail.unionByName(events.select(*CARRIED).filter(may_count))
-    newest = known.agg(F.max("event_time").alias("t")).first()["t"]
-    if newest is not None:
-        cutoff = F.lit(newest) - F.make_interval(secs=F.lit(horizon_seconds(rules)))
-        known = known.filter(F.col("event_time") > cutoff)
-    known.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
-
-
-def first_match_in_batch(
-    events: DataFrame, rules: list[Rule], state_dir: str, batch_id: int
-) -> DataFrame:
-    """``first_match`` for the events of one micro-batch, counting earlier ones too."""
-    if not any(r.enabled and r.counted for r in rules):
-        return first_match(events, rules)
-    tail = read_tail(events, state_dir, batch_id)
-    write_tail(events, tail, rules, state_dir, batch_id)
-    both = events.withColumn("_new", F.lit(True)).unionByName(
-        tail.withColumn("_new", F.lit(False)), allowMissingColumns=True
-    )
-    return first_match(both, rules).filter("_new").drop("_new")
+    return timedelta(seconds=sum(r.time_window for r in rules if r.enabled and r.counted))
+
+
+def _counted(rules: list[Rule]) -> list[Rule]:
+    return [r for r in rules if r.enabled and r.counted]
+
+
+class EventState:
+    """State of one job before and after one micro-batch."""
+
+    def __init__(self, spark: SparkSession, path: str, batch_id: int, rules: list[Rule], watermark: timedelta):
+        self.spark, self.path, self.batch_id = spark, path, batch_id
+        self.rules = check_patterns(spark, rules)
+        #: A batch without threshold rules keeps what the rules before it need.
+        self.kept_for = _counted(self.rules) or self._last_rules()
+        self.keep = max(watermark, horizon(self.kept_for))
+
+    def _read(self, name: str, schema) -> DataFrame:
+        """A table of the micro-batch before; only the first one has none, anything else missing is an error."""
+        if self.batch_id == 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/batch={self.batch_id - 1}")
+
+    def _write(self, df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={self.batch_id}")
+
+    def _last_rules(self) -> list[Rule]:
+        rows = self._read("rules", "rule string").collect()  # one row per threshold rule
+        lists = ("mitre", "tags", "exclude_users", "include_users")
+        return [Rule(**{k: tuple(v) if k in lists else frozenset(v) if k == "broken" else v for k, v in json.loads(r["rule"]).items()}) for r in rows]
+
+    def admit(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(events not seen before, events too late to tell); both once per record."""
+        once = with_host(batch).dropDuplicates(list(RECORD))
+        newest = self._read("newest", "host string, log_source string, newest timestamp")
+        limits = newest.select("host", "log_source", (F.col("newest") - F.make_interval(secs=F.lit(self.keep.total_seconds()))).alias("_limit"))
+        same = once["host"].eqNullSafe(limits["host"]) & once["log_source"].eqNullSafe(limits["log_source"])
+        marked = once.join(limits, same, "left").select(once["*"], "_limit")
+        late = F.coalesce(F.col("event_time") <= F.col("_limit"), F.lit(False))
+        seen = self._read("seen", "host string, log_source string, record_id long, event_time timestamp")
+        fresh = marked.filter(~late).drop("_limit")
+        known = F.lit(True)
+        for c in RECORD:
+            known = known & fresh[c].eqNullSafe(seen[c])
+        return fresh.join(seen, known, "left_anti"), marked.filter(late).drop("_limit")
+
+    def tail(self, schema) -> DataFrame:
+        return self._read("tail", schema)
+
+    def advance(self, fresh: DataFrame, prepared: DataFrame) -> None:
+        """Write the state after this micro-batch and delete what the one before the last left."""
+        newest = self._read("newest", "host string, log_source string, newest timestamp")
+        now = F.lit(datetime.now(timezone.utc) + SKEW)
+        seen_now = fresh.groupBy("host", "log_source").agg(F.max(F.least("event_time", now)).alias("newest"))
+        newest = newest.unionByName(seen_now).groupBy("host", "log_source").agg(F.max("newest").alias("newest"))
+        self._write(newest, "newest")
+        newest = self.spark.read.schema(newest.schema).parquet(f"{self.path}/newest/batch={self.batch_id}")
+        latest = newest.agg(F.max("newest")).first()[0]
+        slowest = None
+        if latest is not None:
+            slowest = newest.filter(F.col("newest") > F.lit(latest - IDLE)).agg(F.min("newest")).first()[0]
+        alive = F.lit(True) if slowest is None else F.col("event_time") > F.lit(slowest - self.keep)
+        before = self._read("seen", "host string, log_source string, record_id long, event_time timestamp")
+        self._write(before.unionByName(fresh.select(*RECORD, "event_time")).filter(alive), "seen")
+        may_count = F.lit(False)
+        for rule in self.kept_for:
+            may_count = may_count | predicate(rule)
+        mine = prepared.select(*CARRIED)
+        self._write(self.tail(mine.schema).unionByName(mine.filter(may_count)).filter(alive), "tail")
+        described = [(json.dumps({k: sorted(v) if isinstance(v, frozenset) else v for k, v in asdict(r).items()}),) for r in self.kept_for]
+        self._write(self.spark.createDataFrame(described, "rule string"), "rules")
+        for name in ("newest", "seen", "tail", "rules"):
+            delete(self.spark, f"{self.path}/{name}/batch={self.batch_id - 2}")
+
+    def facts(self, prepared: DataFrame, plan: Plan, strict_fields: bool = False) -> DataFrame:
+        """Facts of the new events, ``public_ips`` included, and of the events remembered."""
+        ips = F.col("public_ips") if "public_ips" in prepared.columns else F.array().cast("array<string>")
+        new = event_facts(prepared, plan, strict_fields, public_ips=ips)
+        old = self.tail(prepared.select(*CARRIED).schema)
+        return new.unionByName(event_facts(old, plan, strict_fields, public_ips=F.array().cast("array<string>")))
+
+
