@@ -1,5 +1,47 @@
-"""SQL counterparts of those corpus queries that SQL can express."""
+"""SQL counterparts of those corpus queries that SQL can express on whole tables."""
 
 from __future__ import annotations
 
-ORACLE = {}
+import string
+
+ORACLE: dict[str, str] = {}
+
+_LOWERED = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_SPLIT = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+ORACLE["op6_digest_index"] = f"""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {_LOWERED} AS t FROM documents) WINDOW g AS (PARTITION BY t)"""
+
+ORACLE["op7_doubling_windows"] = f"""
+WITH split AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS words FROM documents),
+  windows AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS start, words FROM split WHERE len(words) >= 20),
+  hashed AS (SELECT doc_id, start, array_to_string(words[start : start + 19], ' ') AS w FROM windows),
+  marked AS (SELECT doc_id, start, row_number() OVER (PARTITION BY w ORDER BY doc_id, start) > 1 AS again FROM hashed),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM marked WHERE again),
+  places AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id)
+SELECT s.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM split s LEFT JOIN places p ON s.doc_id = p.doc_id"""
+
+ORACLE["op10_line_spread"] = """
+WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+  keyed AS (SELECT *, trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS k FROM lines),
+  sites AS (SELECT k, count(DISTINCT coalesce('s' || source, '')) AS n, min(struct_pack(d := doc_id, p := pos)) AS first FROM keyed WHERE k <> '' GROUP BY k),
+  marked AS (SELECT doc_id, pos, line, coalesce(n >= 5 AND first <> struct_pack(d := doc_id, p := pos), false) AS gone FROM keyed LEFT JOIN sites USING (k)),
+  texts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS text_sha256
+FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id"""
+
+ORACLE["op8_jaccard_tiles"] = f"""
+WITH RECURSIVE split AS (SELECT doc_id, {_SPLIT.format(_LOWERED)} AS words FROM documents),
+  members AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 3
+    THEN list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i : i + 2], ' ')) ELSE [array_to_string(words, ' ')] END) AS s
+    FROM split WHERE len(words) > 0),
+  sizes AS (SELECT doc_id, count(*) AS n FROM members GROUP BY doc_id),
+  common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM members a JOIN members b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+  links AS (SELECT x, y FROM common JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * c >= 90 * (p.n + q.n - c)),
+  reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT x, min(y) AS least FROM reach GROUP BY x) ON d.doc_id = x""".replace("least FROM documents d", "least AS component_id FROM documents d")
