@@ -32,7 +32,7 @@ from wardlake.llm.shared import Scratch
 
 #: Curves, projected dimensions, bits of each, and the share of a curve a query looks at.
 CURVES, DIMS, BITS, SHARE = 16, 8, 6, 0.125
-#: Vectors in a block at most, about; blocks per curve at least.
+#: Vectors in a block at most, about; blocks per curve at least where the table allows.
 BLOCK_ROWS, MIN_BLOCKS = 4096, 24
 SEED = 5
 
@@ -140,11 +140,13 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, key: str = "vec_id",
     classes = scratch.write(classes, "classes")
     total, longest = classes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     longest = math.sqrt(longest) * (1 + 1e-12)
-    blocks = max(MIN_BLOCKS, math.ceil(total / BLOCK_ROWS))
+    # a block holds twice a result at least, so small tables are searched whole
+    blocks = max(1, min(max(MIN_BLOCKS, math.ceil(total / BLOCK_ROWS)), total // (2 * (k + 1))))
     reach = max(1, round((share * blocks - 1) / 2))
     keys = scratch.write(_keys(classes.select("cls", "v", "ask"), width, longest, curves, "cls"), "keys")
     steps = [i / blocks for i in range(1, blocks)]
-    edges = {r["curve"]: r["e"] for r in keys.groupBy("curve").agg(F.percentile_approx("place", steps, 100 * blocks).alias("e")).collect()}
+    cuts = keys.groupBy("curve").agg(F.percentile_approx("place", steps or [0.5], 100 * blocks).alias("e"))
+    edges = {r["curve"]: r["e"] if steps else [] for r in cuts.collect()}
     placed = _blocks(keys, {c: np.sort(np.array(e, dtype=np.int64)) for c, e in edges.items()})
     base = placed.select("curve", "block", "cls", "v", F.lit(False).alias("ask"))
     near = F.explode(F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(F.lit(blocks - 1), F.col("block") + reach)))

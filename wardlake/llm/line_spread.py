@@ -20,6 +20,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlake.llm.shared import Scratch
 
@@ -80,7 +81,7 @@ def _kept(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(_without(F.when(gone.isNotNull(), text), gone))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     out = []
     for t, g in zip(text.to_pylist(), gone.to_pylist(), strict=True):

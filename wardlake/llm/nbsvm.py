@@ -107,7 +107,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     """From the distinct buckets of each training text and its label (0 or 1)."""
     zero = np.zeros(BUCKETS)
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         return Model(zero, zero, 0.0, 40.0 if share == 1 else -40.0 if share == 0 else 0.0)
     sign = np.where(labels == 1, 1.0, -1.0)
     counts = [np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == k]), minlength=BUCKETS) + 1.0 for k in (1, 0)]

@@ -35,8 +35,8 @@ from pyspark.sql import Window as W
 from wardlake.llm.shared import Scratch
 
 BANDS = 4
-#: Rows of one slice of a sweep, about; items of one size that are opened together.
-SLICE_ROWS, FEW = 50_000, 1000
+#: Rows of one slice of a sweep, about; items of one size whose hashes are looked at one by one.
+SLICE_ROWS, FEW = 50_000, 5000
 #: A round that places a smaller share of its items is followed by new sequences.
 LITTLE = 0.6
 SWEPT = "pair boolean, gap boolean, slice int, place long, item long, size int, seq long, slot int"
@@ -144,25 +144,44 @@ def _sweep(scratch: Scratch, number: int, waiting: DataFrame, gaps: DataFrame, l
     return pairs, lost.select("item", "size"), left
 
 
-def _openers(waiting: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, int]:
-    """The largest waiting items, about as many as sequences their total needs; the others; how many others, about.
+def _openers(waiting: DataFrame, capacity: int, room: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """The largest waiting items, as many as sequences ``room`` (or their total) needs; the others; how many others.
 
-    Of the smallest size taken, all items are taken if they are few, else a
-    share by hash.
+    Of the smallest size taken, those with the smallest hash are taken: exactly
+    where the size has few items, else about a share of them.
     """
+    order = F.xxhash64(F.lit(31), "item")
     sizes = sorted(((r["size"], r["n"]) for r in waiting.groupBy("size").agg(F.count("*").alias("n")).collect()), reverse=True)
-    need, taken, least, share = -(-sum(s * n for s, n in sizes) // capacity), 0, 0, 1.0
+    need, taken, least, bound = -(-(room or sum(s * n for s, n in sizes)) // capacity), 0, 0, None
     for least, n in sizes:
-        share = 1.0 if n <= FEW else min(1.0, need / n)
-        taken += max(1, int(n * share))
-        need -= n
-        if need <= 0:
+        if n >= need:
+            if n <= FEW:
+                bound = sorted(r[0] for r in waiting.filter(F.col("size") == least).select(order).collect())[need - 1]
+                taken += need
+            else:
+                bound = int(-(2**63) + (2**64 - 1) * need / n)
+                taken += max(1, need)
             break
-    picked = F.pmod(F.xxhash64(F.lit(31), "item"), F.lit(1_000_000)) < int(math.ceil(share * 1_000_000))
-    new = (F.col("size") > least) | (F.col("size") == least) & picked
+        taken += n
+        need -= n
+    new = (F.col("size") > least) | (F.col("size") == least) & (order <= F.lit(min(bound, 2**63 - 1)))
     return waiting.filter(new), waiting.filter(~new), sum(n for _, n in sizes) - taken
 
 
+def _lacking(waiting: DataFrame, gaps: DataFrame, lo: int, n: int, left: int) -> int:
+    """Room for which sequences are to be opened now: 0 while gaps are still found, else what waits.
+
+    In the last band items fit nearly anywhere; there the room in all gaps counts,
+    not how many items found a slot in one round.
+    """
+    if n > left and lo and n - left >= LITTLE * n:
+        return 0
+    total = waiting.agg(F.sum("size")).first()[0] or 0
+    if n == left or lo:
+        return total
+    return max(0, total - (gaps.agg(F.sum("cap")).first()[0] or 0))
+
+
 def pack(items: DataFrame, capacity: int) -> DataFrame:
     """item, seq, offset of every row of ``items`` (item long, size int); ``seq`` is the number of the item that opened it.
 
@@ -186,8 +205,9 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
             placed.append(pairs.withColumn("round", F.lit(number)))
             used = pairs.groupBy("seq").agg(F.sum("size").cast("int").alias("used"))
             gaps = gaps.join(used, "seq", "left").select("seq", (F.col("cap") - F.coalesce("used", F.lit(0))).alias("cap"))
-            if left and n - left < LITTLE * n:
-                start, waiting, rest = _openers(waiting, capacity)
+            room = _lacking(waiting, gaps, lo, n, left) if left else 0
+            if room:
+                start, waiting, rest = _openers(waiting, capacity, room)
                 open_gaps += left - rest
                 left = rest
                 start = start.select("item", "size", F.col("item").alias("seq"), F.lit(0).alias("slot"))
