@@ -118,12 +118,14 @@ def test_process_details_from_xml(spark):
         ("Sysmon", "1", "m", inserts(), "<broken"),
         ("Sysmon", "5", "m", inserts(), xml(("ProcessId", "77"), ("CommandLine", "ignored"))),
         ("Sysmon", "1", "m", None, xml(("Image", "x.exe"), ("User", "u"))),
+        ("Sysmon", "1", "m", inserts(), xml(("Image", "x.exe")).replace("<Event>", '<Event xmlns="urn:x">')),
     )
     rows = [tuple(r.details) for r in prepare(df).orderBy("record_id").collect()]
     assert rows[0] == ("y.exe", "v10", "", "v19", None)
     assert rows[1] == ("v4", "v10", "v12", "v19", None)
     assert rows[2] == ("v4", None, None, None, "77")
     assert rows[3] == ("N/A", "N/A", "N/A", "N/A", None)
+    assert rows[4] == ("v4", "v10", "v12", "v19", None)  # names of another namespace
 
 
 def test_combined_and_context_text(spark):

@@ -129,7 +129,7 @@ def test_knowledge_files(spark, tmp_path):
 
 
 def test_channels(spark, tmp_path):
-    row = lambda i, s, at: (i, s, "1", at, "m", None, None)
+    row = lambda i, s, at: (None, i, s, "1", at, "m", None, None)
     one = spark.createDataFrame([row(1, None, T0), row(2, None, T0 + dt.timedelta(seconds=3))], schemas.RAW_EVENT)
     one.write.json(str(tmp_path / "sec"))
     spark.createDataFrame([row(1, None, T0 - dt.timedelta(seconds=5))], schemas.RAW_EVENT).write.parquet(str(tmp_path / "sys"))

@@ -11,7 +11,7 @@ from wardlake.functions import text
 OVERLAP_SECONDS = 5
 POLL_SECONDS = 5
 
-EVENT_ORDER = ("event_time", "log_source", "record_id")
+EVENT_ORDER = ("event_time", "log_source", "record_id", "host")
 
 
 def _columns(df: DataFrame, log_source: str | None) -> DataFrame:
