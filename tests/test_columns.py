@@ -138,7 +138,7 @@ def test_combined_and_context_text(spark):
         "\nAdditional Details (StringInserts): a | b | c | d | e"
     )
     assert rows[1].combined_text == "m"
-    assert rows[1].ctx.startswith("Log Source: Security\nEvent ID: 4625\nTime: 2024-01-01 00:00:00\nMessage: m\n\nNote: ")
+    assert rows[1].ctx.startswith("Log Source: Security\nEvent ID: 4625\nTime: 2024-01-01 00:00:00\nMessage: m\n\nHint: ")
 
 
 @pytest.mark.parametrize("n", [500, 200])
