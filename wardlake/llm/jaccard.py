@@ -11,10 +11,11 @@ own tile and in the one below. First every class is held against the smallest
 class of its tile only (a partial aggregation, no group in memory); links found
 there are joined to components, and only tiles in which at least two components
 meet are compared inside, in blocks of bounded size. Comparison is by hashed
-bitmaps of about two bits per member: a bit set on one side only is a member the
-other side lacks, so counts of such bits bound the overlap from above. What
-passes is decided by intersecting the sorted arrays. No link between different
-components is lost; nothing is capped.
+bitmaps: a bit is the parity of the members hashed to it, so a bit that differs
+is a member one side lacks, and counts of such bits bound the overlap from
+above, closely even for bitmaps much smaller than the sets. What passes is
+decided by intersecting the sorted arrays. No link between different components
+is lost; nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from wardlake.llm.links import components
 from wardlake.llm.shared import Scratch
-from wardlake.llm.words import Words, binary_column, chunks, in_parts, keyed, list_column, mix, packed, signed, unpacked
+from wardlake.llm.words import Words, binary_column, chunks, in_parts, keyed, list_column, mix, signed, texts_of
 
 #: Buckets of the member frequency table: 2 MB, whatever the size of the corpus.
 BUCKET_BITS, BLOCKS = 19, 64
@@ -94,27 +95,30 @@ def _frequency(docs: DataFrame, key: str, text: str, n: int, scratch: Scratch) -
     return np.clip(np.log2(np.maximum(found, 1) / mean) * 4 + 4, 0, 60).astype(np.uint8)
 
 
-def _bits(size: int) -> int:
-    return max(256, 1 << (2 * size - 1).bit_length())
+#: Longs of the signature that tiles compare: 512 bits.
+SIGNATURE = 8
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
-    bits = _bits(len(hashes))
-    out = np.zeros(bits, dtype=np.uint8)
-    out[(mix(hashes) & _U(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out).tobytes()
+    """Parity bits of the members: 512 at least, one for two members in large sets."""
+    bits = max(64 * SIGNATURE, 1 << (len(hashes) // 2).bit_length())
+    counts = np.bincount((mix(hashes) & _U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _needed(size: int, t: int) -> int:
-    """ceil(t/100 * size) without floating point."""
-    return -(-t * size // 100)
+def _fold(bitmap: np.ndarray, longs: int) -> np.ndarray:
+    """A longer bitmap as one of ``longs`` 64-bit words: bit k goes to bit k modulo its length."""
+    while len(bitmap) > longs:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
 
 
-SETS = "doc long, dh long, n long, f1 long, f2 long, prefix array<long>, bitmap binary"
+SETS = "doc long, dh long, n long, f1 long, f2 long, prefix array<long>, bitmap binary, signature binary"
 
 
 def _sets(docs: DataFrame, key: str, text: str, n: int, t: int, level: np.ndarray) -> DataFrame:
-    """doc, dh, n, f1, f2 (128 bits of the set), prefix, bitmap of every row."""
+    """doc, dh, n, f1, f2 (128 bits of the set), prefix, bitmap and its 512-bit fold of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,39 +139,31 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, t: int, level: np.ndarra
                 limit = sizes - (-(-t * sizes // 100)) + 1
                 take = rank < limit[owner]
                 prefix = h[order][take]
-                maps = [_bitmap(h[a:b]) if b > a else b"" for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                columns = [batch.column(0).slice(lo, texts), signed(w.identity()), sizes.astype(np.int64), signed(sums[0]), signed(sums[1])]
+                maps = [_bitmap(h[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                folds = [_fold(np.frombuffer(m, dtype=np.uint64), SIGNATURE).tobytes() for m in maps]
                 counts = np.bincount(owner[take], minlength=texts)
-                yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(c) for c in columns[1:]), list_column(signed(prefix), counts), pa.array(maps, pa.binary())], ["doc", "dh", "n", "f1", "f2", "prefix", "bitmap"])
+                numbers = [pa.array(c) for c in (sizes.astype(np.int64), signed(sums[0]), signed(sums[1]))]
+                made = [list_column(signed(prefix), counts), pa.array(maps, pa.binary()), pa.array(folds, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, texts), batch.column(1).slice(lo, texts), *numbers, *made], ["doc", "dh", "n", "f1", "f2", "prefix", "bitmap", "signature"])
 
     return keyed(docs, key, text).mapInArrow(work, SETS)
 
 
-def _fold(maps: np.ndarray, size: int) -> np.ndarray:
-    """Bitmaps (rows of 64-bit words) folded to ``size`` words; bit k of the long one is bit k modulo the short one."""
-    while maps.shape[1] > size:
-        # packbits writes the lowest bit number first, so the upper half of the row is the upper half of the numbers
-        maps = maps[:, : maps.shape[1] // 2] | maps[:, maps.shape[1] // 2 :]
-    return maps
-
-
-def _may_link(na: np.ndarray, nb: np.ndarray, only_a: np.ndarray, only_b: np.ndarray, t: int) -> np.ndarray:
-    """Whether overlap bounded by bits set on one side only can reach t percent."""
-    most = np.minimum(na - only_a, nb - only_b)
-    return (100 + t) * most >= t * (na + nb)
+def _may_link(na: np.ndarray, nb: np.ndarray, apart: np.ndarray, t: int) -> np.ndarray:
+    """Whether sets with at least ``apart`` members in only one of them can reach t percent."""
+    return 100 * (na + nb - apart) >= t * (na + nb + apart)
 
 
 def _rows_bound(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
     """Pairs with both bitmaps: those the bound lets through."""
     for batch in batches:
         na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        keep = np.zeros(batch.num_rows, dtype=bool)
+        apart = np.zeros(batch.num_rows, dtype=np.int64)
         for i, (x, y) in enumerate(zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)):
-            a, b = np.frombuffer(x, dtype=np.uint64)[None], np.frombuffer(y, dtype=np.uint64)[None]
-            size = min(a.shape[1], b.shape[1])
-            a, b = _fold(a, size), _fold(b, size)
-            keep[i] = _may_link(na[i], nb[i], np.bitwise_count(a & ~b).sum(), np.bitwise_count(b & ~a).sum(), t)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+            a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            size = min(len(a), len(b))
+            apart[i] = np.bitwise_count(_fold(a, size) ^ _fold(b, size)).sum()
+        yield batch.select(["a", "b"]).filter(pa.array(_may_link(na, nb, apart, t)))
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
@@ -181,21 +177,21 @@ def _bounded(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
 def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, n: int, t: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs that are links, by intersecting the sorted arrays of the classes concerned."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    where = classes.select("cls", "doc", "dh").join(wanted, "cls")
+    where = scratch.write(classes.select("cls", "doc", "dh").join(wanted, "cls"), f"{name}-wanted")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, w in in_parts(unpacked(batch), lower=True):
+            for part, w in in_parts(batch, lower=True):
                 owner, h = _members(w, n)
-                ends = np.searchsorted(owner, np.arange(hi - lo + 1))
+                ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 made = [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("cls")).slice(lo, hi - lo), pa.array(made, pa.binary())], ["cls", "members"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["doc", "dh", "members"])
 
-    texts = packed(docs, key, text, lower=True).join(where, ["doc", "dh"]).dropDuplicates(["cls"]).select("cls", "ztext")
-    sets = scratch.write(texts.mapInArrow(arrays, "cls long, members binary"), f"{name}-arrays")
+    made = texts_of(docs, key, text, where).mapInArrow(arrays, "doc long, dh long, members binary")
+    sets = scratch.write(made.join(where, ["doc", "dh"]).select("cls", "members").dropDuplicates(["cls"]), f"{name}-arrays")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
             keep = []
             for x, y in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True):
                 a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -209,7 +205,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text
 
 
 def _tiles(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Tile rows dealt to pairs of blocks: (token, band, x, y) and the class with its bitmap."""
+    """Tile rows dealt to pairs of blocks, (token, tile, first, second), with the class and its signature."""
     rows = members.select("token", "cls", "n", "root", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("tile"), F.lit(True).alias("upper")))).alias("t"))
     rows = rows.select("token", "cls", "n", "root", "t.*")
     sizes = rows.groupBy("token", "tile").agg(F.count("*").alias("rows"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("upper").alias("only_upper"))
@@ -217,40 +213,67 @@ def _tiles(members: DataFrame, classes: DataFrame) -> DataFrame:
     rows = rows.join(sizes, ["token", "tile"]).withColumn("x", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("first", F.least("x", "y")).withColumn("second", F.greatest("x", "y"))
-    return rows.join(classes.select("cls", "bitmap"), "cls").select("token", "tile", "first", "second", "x", "cls", "n", "root", "upper", "bitmap")
-
-
-def _compare(table: pa.Table, t: int) -> pa.Table:
-    """Pairs of one block pair of a tile that the bitmaps let through."""
-    cls, n, root, upper, x = (table.column(c).to_numpy() for c in ("cls", "n", "root", "upper", "x"))
-    own = table.column("first")[0].as_py() != table.column("second")[0].as_py()
-    raw = table.column("bitmap").to_pylist()
-    size = min(len(b) for b in raw) // 8
-    maps = np.vstack([_fold(np.frombuffer(b, dtype=np.uint64)[None], size) for b in raw])
-    a_out, b_out = [], []
-    for i in np.flatnonzero(~upper):
-        # own rows meet own rows once and upper rows always; blocks meet only across
-        ok = (root != root[i]) & (100 * np.minimum(n, n[i]) >= t * np.maximum(n, n[i])) & (upper | (cls > cls[i]))
-        if own:
-            ok &= x != x[i]
-        j = np.flatnonzero(ok)
-        if len(j):
-            only_a = np.bitwise_count(maps[i] & ~maps[j]).sum(axis=1)
-            only_b = np.bitwise_count(maps[j] & ~maps[i]).sum(axis=1)
-            j = j[_may_link(n[i], n[j], only_a.astype(np.int64), only_b.astype(np.int64), t)]
-            a_out.append(np.minimum(cls[i], cls[j]))
-            b_out.append(np.maximum(cls[i], cls[j]))
-    a = np.concatenate(a_out) if a_out else np.zeros(0, np.int64)
-    b = np.concatenate(b_out) if b_out else np.zeros(0, np.int64)
-    return pa.table({"a": a, "b": b})
+    return rows.join(classes.select("cls", "signature"), "cls").select("token", "tile", "first", "second", "x", "cls", "n", "root", "upper", "signature")
+
+
+def _close(i: np.ndarray, j: np.ndarray, c: dict, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of row pairs of one tile, the classes of those that may link: other component, size, bits."""
+    n, cls, sig = c["n"], c["cls"], c["signature"]
+    ok = (c["root"][i] != c["root"][j]) & ~(c["upper"][i] & c["upper"][j])
+    # blocks meet only across; inside one block all rows meet
+    ok &= (c["first"][i] == c["second"][i]) | (c["x"][i] != c["x"][j])
+    i, j = i[ok], j[ok]
+    ok = 100 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j])
+    i, j = i[ok], j[ok]
+    ok = _may_link(n[i], n[j], np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1).astype(np.int64), t)
+    return np.minimum(cls[i][ok], cls[j][ok]), np.maximum(cls[i][ok], cls[j][ok])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that may link of consecutive tiles (rows sorted by tile); a tile's block pair has few rows."""
+    key = ["token", "tile", "first", "second"]
+    rest: pa.Table | None = None
+
+    def tiles(table: pa.Table) -> pa.RecordBatch:
+        c = {name: table.column(name).to_numpy() for name in (*key, "x", "cls", "n", "root", "upper")}
+        c["signature"] = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint64).reshape(-1, SIGNATURE)
+        rows = table.num_rows
+        new = np.ones(rows, dtype=bool)
+        new[1:] = np.any([c[k][1:] != c[k][:-1] for k in key], axis=0)
+        group = np.cumsum(new) - 1
+        left = np.bincount(group)[group] - (np.arange(rows) - np.flatnonzero(new)[group]) - 1  # rows after this one in its tile
+        found = []
+        step, i = 1, np.flatnonzero(left >= 1)
+        while len(i):  # every row with the one `step` behind it
+            found.append(_close(i, i + step, c, t))
+            step += 1
+            i = i[left[i] >= step]
+        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+        one = np.unique(np.stack((a, b)), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(one[0]), pa.array(one[1])], ["a", "b"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        last = [table.column(k)[-1].as_py() for k in key] if table.num_rows else None
+        if last is None:
+            continue
+        same = np.logical_and.reduce([table.column(k).to_numpy() == v for k, v in zip(key, last, strict=True)])
+        cut = int(np.flatnonzero(same)[0])
+        if cut:
+            yield tiles(table.slice(0, cut))
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield tiles(rest)
 
 
 def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """doc, dh, n_shingles, component of every distinct row; component is the smallest doc reachable by links.
+    """doc, dh, n_shingles, component, kept of every distinct row; component is the smallest doc reachable by links.
 
     ``doc`` is the key with NULL as the smallest long. Rows without words have
     n_shingles 0 and are linked with nothing; for a NULL key their component is
-    the smallest long too. Rows with equal key and equal words are one.
+    the smallest long too. ``kept`` holds for one row of each group. Rows with equal key and equal text are one.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     sets = scratch.write(_sets(docs, key, text, n, percent, _frequency(docs, key, text, n, scratch)), "sets")
@@ -259,9 +282,11 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     same = scratch.write(same.withColumn("cls", F.monotonically_increasing_id()), "same")
     first = same.select("cls", F.col("first.doc").alias("doc"), F.col("first.dh").alias("dh"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9)).cast("int")
-    classes = filled.select("doc", "dh", "n", "prefix", "bitmap").join(first, ["doc", "dh"]).dropDuplicates(["cls"]).withColumn("band", band)
+    classes = filled.select("doc", "dh", "n", "prefix", "bitmap", "signature").join(first, ["doc", "dh"]).dropDuplicates(["cls"]).withColumn("band", band)
     classes = scratch.write(classes, "classes")
     members = classes.select("cls", "n", "band", F.explode("prefix").alias("token"))
+    shared = members.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1").select("token")
+    members = scratch.write(members.join(shared, "token", "left_semi"), "members")
     # every class against the smallest of its tile
     tops = members.groupBy("token", "band").agg(F.min("cls").alias("a"), F.count("*").alias("rows")).filter("rows > 1")
     stars = members.join(tops.select("token", "band", "a"), ["token", "band"]).filter("cls > a").select("a", F.col("cls").alias("b"))
@@ -269,14 +294,17 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     links = _exact(stars, docs, classes, key, text, n, percent, scratch, "star")
     roots = scratch.write(components(links, scratch, "star-parts"), "star-roots")
     # what is left are links between components
-    shared = members.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1").select("token")
-    known = members.join(shared, "token", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    pairs = _tiles(known, classes).groupBy("token", "tile", "first", "second").applyInArrow(lambda g: _compare(g, percent), "a long, b long")
-    pairs = scratch.write(pairs.distinct(), "tile-pairs")
+    known = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ["token", "tile", "first", "second"]
+    dealt = _tiles(known, classes).repartition(parts, *place).sortWithinPartitions(*place)
+    pairs = dealt.mapInArrow(lambda x: _compare(x, percent), "a long, b long")
+    pairs = scratch.write(_bounded(pairs, classes, percent), "tile-pairs")
     more = _exact(pairs, docs, classes, key, text, n, percent, scratch, "tile")
     every = scratch.write(components(links.unionByName(more), scratch, "parts"), "roots")
-    joined = same.select("cls", "f1", "f2", "n", F.col("first.doc").alias("doc")).join(every.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = joined.groupBy("root").agg(F.min("doc").alias("component"))
-    found = joined.join(least, "root").select("f1", "f2", "n", "component")
+    joined = same.select("cls", "f1", "f2", "n", "first").join(every.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = joined.groupBy("root").agg(F.min("first").alias("least"))
+    found = joined.join(least, "root").select("f1", "f2", "n", "least")
     rows = sets.select("doc", "dh", "n", "f1", "f2").distinct().join(found, ["f1", "f2", "n"], "left")
-    return rows.select("doc", "dh", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    kept = F.col("least").isNull() | (F.struct("doc", "dh") == F.col("least"))
+    return rows.select("doc", "dh", F.col("n").alias("n_shingles"), F.coalesce("least.doc", "doc").alias("component"), kept.alias("kept"))

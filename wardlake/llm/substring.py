@@ -17,7 +17,7 @@ is extended to full width.
    the first places are compared themselves.
 
 Extensions and windows are 128-bit hashes. A document is (key, hash of its
-words): rows with equal key and equal words are one document and get the same
+text): rows with equal key and equal text are one document and get the same
 result. NULL keys sort first, NULL texts have no words.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.shared import Scratch
-from wardlake.llm.words import NO_KEY, Words, binary_column, chunks, in_parts, keyed, list_column, packed, signed, unpacked
+from wardlake.llm.words import NO_KEY, Words, binary_column, chunks, in_parts, keyed, list_column, signed, texts_of, unpacked
 
 WIDTH = 20
 
@@ -75,7 +75,7 @@ def _scan(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 w = Words(values, offsets)
                 owner, anchor, _, _, h = _anchors(w, width)
                 counts = np.bincount(owner, minlength=hi - lo)
-                columns = [keys.slice(lo, hi - lo), pa.array(signed(w.identity())), pa.array(np.diff(w.first).astype(np.int64)), list_column(signed(h), counts), list_column((anchor - w.first[owner]).astype(np.int32), counts)]
+                columns = [keys.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(w.first).astype(np.int64)), list_column(signed(h), counts), list_column((anchor - w.first[owner]).astype(np.int32), counts)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "dh", "n_words", "h", "place"])
 
     return keyed(docs, key, text).mapInArrow(work, "doc long, dh long, n_words long, h array<long>, place array<int>")
@@ -89,12 +89,12 @@ def _extended(hits: DataFrame, width: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, wanted = unpacked(batch), batch.column(batch.schema.get_field_index("places")).to_pylist()
-            for lo, hi, w in in_parts(raw):
+            for part, w in in_parts(batch):
+                wanted = part.column(part.schema.get_field_index("places")).to_pylist()
                 owner, anchor, first, last, h = _anchors(w, width)
                 base = w.first[owner]
                 place = anchor - base
-                want = np.concatenate([(np.int64(i) << 32) | np.array(sorted(set(p)), dtype=np.int64) for i, p in enumerate(wanted[lo:hi])])
+                want = np.concatenate([(np.int64(i) << 32) | np.array(sorted(set(p)), dtype=np.int64) for i, p in enumerate(wanted)])
                 ok = np.isin((owner.astype(np.int64) << 32) | place, want)
                 owner, place, first, last, h, base = owner[ok], place[ok], first[ok], last[ok], h[ok], base[ok]
                 e1, e2 = w.pair(first, last + width)
@@ -103,8 +103,7 @@ def _extended(hits: DataFrame, width: int) -> DataFrame:
                 e1 = e1 ^ (off * np.uint64(0x9E3779B97F4A7C15))
                 fields = [signed(h), signed(e1), signed(e2), place.astype(np.int32), (first - base).astype(np.int32), (last - base).astype(np.int32)]
                 runs = pa.StructArray.from_arrays([pa.array(f) for f in fields], ["h", "e1", "e2", "place", "lo", "hi"])
-                ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=hi - lo)))).astype(np.int32)
-                part = batch.slice(lo, hi - lo)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(wanted))))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)], ["doc", "dh", "ztext", "runs"])
 
     return hits.select("doc", "dh", "ztext", "places").mapInArrow(work, f"doc long, dh long, ztext binary, runs {RUNS}")
@@ -115,14 +114,14 @@ def _windows(texts: DataFrame, width: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, spans = unpacked(batch), batch.column(batch.schema.get_field_index("spans")).to_pylist()
-            for lo, hi, w in in_parts(raw):
-                starts = [w.first[i] + np.unique(np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans[lo + i]])) for i in range(hi - lo)]
+            for part, w in in_parts(batch):
+                spans = part.column(part.schema.get_field_index("spans")).to_pylist()
+                starts = [w.first[i] + np.unique(np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in spans[i]])) for i in range(len(spans))]
                 counts = [len(s) for s in starts]
                 at = np.concatenate(starts)
-                owner = np.repeat(np.arange(hi - lo), counts)
+                owner = np.repeat(np.arange(len(spans)), counts)
                 w1, w2 = w.pair(at, at + width)
-                part = batch.slice(lo, hi - lo).take(pa.array(owner))
+                part = part.take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), part.column(0), part.column(1), pa.array((at - w.first[owner]).astype(np.int32))], ["w1", "w2", "doc", "dh", "start"])
 
     return texts.select("doc", "dh", "ztext", "spans").mapInArrow(work, "w1 long, w2 long, doc long, dh long, start int")
@@ -133,9 +132,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     scratch = Scratch(docs.sparkSession, "substring")
     places = _scan(docs, key, text, width).select("doc", "dh", F.explode(F.arrays_zip("h", "place")).alias("x")).select("x.h", "doc", "dh", "x.place")
     often = scratch.write(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors")
-    hits = places.join(often, "h", "left_semi").groupBy("doc", "dh").agg(F.collect_set("place").alias("places"))
+    hits = scratch.write(places.join(often, "h", "left_semi").groupBy("doc", "dh").agg(F.collect_set("place").alias("places")), "hits")
     # one row for repeated rows; the join has dealt the rows by this key already
-    texts = packed(docs, key, text).join(hits, ["doc", "dh"]).dropDuplicates(["doc", "dh"])
+    texts = texts_of(docs, key, text, hits).join(hits, ["doc", "dh"]).dropDuplicates(["doc", "dh"])
     cand = scratch.write(_extended(texts, width), "extended")
     runs = cand.select("doc", "dh", F.explode("runs").alias("r")).select("doc", "dh", "r.*")
     here = F.struct("doc", "dh", "place")
@@ -181,18 +180,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         return hashlib.sha256(row).hexdigest().encode() if digest else row
 
     def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             rows = [_kept(raw, g) for raw, g in zip(unpacked(batch), batch.column(3).to_pylist(), strict=True)]
-            n, removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
+            n, removed, kept = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(map(named, kept), pa.binary())], ["doc", "dh", "n_words", "n_removed", "kept"])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, values, offsets in chunks(binary_column(batch, "text")):
-                w = Words(values, offsets)
-                texts = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                kept = [named(b" ".join(x.split())) for x in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(signed(w.identity())), pa.array(np.diff(w.first).astype(np.int64)), pa.array(kept, pa.binary())], ["doc", "dh", "n_words", "kept"])
+                split = [values[a:b].tobytes().split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                kept = [named(b" ".join(x)) for x in split]
+                counts = pa.array([len(x) for x in split], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), counts, pa.array(kept, pa.binary())], ["doc", "dh", "n_words", "kept"])
 
     new = gone.select("doc", "dh", "ztext", "gone").mapInArrow(changed, "doc long, dh long, n_words long, n_removed long, kept binary")
     old = keyed(docs, key, text).mapInArrow(plain, "doc long, dh long, n_words long, kept binary")

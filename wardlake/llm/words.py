@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text worked on at once, unless one text alone is longer.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _U = np.uint64
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -91,10 +91,6 @@ class Words:
         total, inverse = self._sums[base], _powers(base, len(self.hash) + 1)[1]
         return mix(mix((total[stop] - total[start]) * inverse[start]) + (stop - start).astype(np.uint64))
 
-    def identity(self) -> np.ndarray:
-        """One hash per text: of its words in order."""
-        return self.spans(self.first[:-1], self.first[1:])
-
     def pair(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes: 128 bits."""
         return self.spans(start, stop), self.spans(start, stop, _SECOND)
@@ -133,25 +129,40 @@ def list_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 #: Stands for a NULL document key; sorts first.
 NO_KEY = -(2**63)
+#: Keys of wanted documents are broadcast up to this many (16 bytes each).
+BROADCAST_KEYS = 4_000_000
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc (never NULL) and text."""
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("doc"), F.col(text).alias("text"))
+    """doc (never NULL), dh (hash of the text) and text."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("dh"), F.col(text).alias("text"))
 
 
-def packed(docs: DataFrame, key: str, text: str, lower: bool = False) -> DataFrame:
-    """doc, dh (hash of the words) and the text compressed: what is shuffled when texts must move."""
+def packed(rows: DataFrame) -> DataFrame:
+    """doc, dh and the text of ``keyed`` rows compressed: what is shuffled when texts must move."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for lo, hi, values, offsets in chunks(binary_column(batch, "text")):
-                dh = Words(values, offsets, lower).identity()
-                raw = [pack.compress(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(signed(dh)), pa.array(raw, pa.binary())], ["doc", "dh", "ztext"])
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                raw = [pack.compress(x) for x in binary_column(some, "text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(raw, pa.binary())], ["doc", "dh", "ztext"])
+
+    return rows.mapInArrow(work, "doc long, dh long, ztext binary")
+
+
+def texts_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """``packed`` texts of the documents in ``wanted`` (a stored table with doc, dh).
 
-    return keyed(docs, key, text).mapInArrow(work, "doc long, dh long, ztext binary")
+    Few enough keys are sent to the scan and only wanted texts leave it; beyond
+    that bound all texts meet their keys in a shuffle.
+    """
+    keys = wanted.select("doc", "dh")
+    rows = keyed(docs, key, text)
+    if keys.count() <= BROADCAST_KEYS:
+        return packed(rows.join(F.broadcast(keys.distinct()), ["doc", "dh"], "left_semi"))
+    return packed(rows).join(keys.distinct(), ["doc", "dh"], "left_semi")
 
 
 def unpacked(batch: pa.RecordBatch) -> list[bytes]:
@@ -160,9 +171,10 @@ def unpacked(batch: pa.RecordBatch) -> list[bytes]:
     return [unpack.decompress(z) for z in batch.column(batch.schema.get_field_index("ztext")).to_pylist()]
 
 
-def in_parts(raw: list[bytes], rows: int = 64, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
-    """(from, to, words) of a few texts at a time."""
-    for lo in range(0, len(raw), rows):
-        some = raw[lo : lo + rows]
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in some]))).astype(np.int64)
-        yield lo, lo + len(some), Words(np.frombuffer(b"".join(some), dtype=np.uint8), offsets, lower)
+def in_parts(batch: pa.RecordBatch, rows: int = 64, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """A few rows of a batch of ``packed`` rows at a time, with their words."""
+    for lo in range(0, batch.num_rows, rows):
+        part = batch.slice(lo, rows)
+        raw = unpacked(part)
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
+        yield part, Words(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets, lower)
