@@ -34,6 +34,18 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of whole texts that go to a Python worker at once; long texts make large batches.
+TEXT_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches for texts in place of Spark's 10,000 rows; a smaller setting of the session stands."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
+        spark.conf.set(name, str(TEXT_BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

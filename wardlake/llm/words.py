@@ -129,8 +129,8 @@ def list_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 #: Stands for a NULL document key; sorts first.
 NO_KEY = -(2**63)
-#: Keys of wanted documents are broadcast up to this many (16 bytes each).
-BROADCAST_KEYS = 4_000_000
+#: Keys of wanted documents are broadcast up to this many (some 90 MB as a hash table).
+BROADCAST_KEYS = 500_000
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -152,27 +152,32 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "doc long, dh long, ztext binary")
 
 
-def texts_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, pack: bool = True) -> DataFrame:
     """``packed`` texts of the documents in ``wanted`` (a stored table with doc, dh).
 
     Few enough keys are sent to the scan and only wanted texts leave it; beyond
-    that bound all texts meet their keys in a shuffle.
+    that bound all texts meet their keys in a shuffle. Without ``pack`` texts that
+    were not shuffled come as they are, for a caller that reads them in the same
+    stage: two Python steps in one task would hold two workers.
     """
     keys = wanted.select("doc", "dh")
     rows = keyed(docs, key, text)
     if keys.count() <= BROADCAST_KEYS:
-        return packed(rows.join(F.broadcast(keys.distinct()), ["doc", "dh"], "left_semi"))
+        found = rows.join(F.broadcast(keys.distinct()), ["doc", "dh"], "left_semi")
+        return packed(found) if pack else found
     return packed(rows).join(keys.distinct(), ["doc", "dh"], "left_semi")
 
 
 def unpacked(batch: pa.RecordBatch) -> list[bytes]:
-    """The texts of a batch of ``packed`` rows."""
+    """The texts of a batch of ``texts_of`` rows."""
+    if "ztext" not in batch.schema.names:
+        return binary_column(batch, "text").to_pylist()
     unpack = zstandard.ZstdDecompressor()
     return [unpack.decompress(z) for z in batch.column(batch.schema.get_field_index("ztext")).to_pylist()]
 
 
 def in_parts(batch: pa.RecordBatch, rows: int = 64, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """A few rows of a batch of ``packed`` rows at a time, with their words."""
+    """A few rows of a batch of ``texts_of`` rows at a time, with their words."""
     for lo in range(0, batch.num_rows, rows):
         part = batch.slice(lo, rows)
         raw = unpacked(part)
