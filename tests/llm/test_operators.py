@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm import brute
-from wardlake.llm import bpe, curves, digest_index, jaccard, line_spread, nbsvm, packing, pii, sharding, substring, tokens
+from wardlake.llm import bpe, curves, digest_index, jaccard, line_spread, nbsvm, packing, pii, sharding, substring, tokens, words
 from wardlake.llm.links import components
 from wardlake.llm.shared import Scratch
 from wardlake.llm.words import NO_KEY
@@ -30,9 +30,9 @@ def prose(seed: int, n: int) -> str:
 def odd_rows() -> list[tuple]:
     """Copies, near copies, repeated rows, nulls, empty and long texts, ties."""
     base = prose(1, 120)
-    words = base.split()
-    near = " ".join([*words[:60], "changed", *words[61:]])
-    part = " ".join(words[10:70])
+    split = base.split()
+    near = " ".join([*split[:60], "changed", *split[61:]])
+    part = " ".join(split[10:70])
     rows = [
         (5, base), (3, base), (9, base.upper()), (4, near), (7, prose(2, 30) + " " + part + " " + prose(3, 25)),
         (11, None), (12, ""), (13, " \n\t "), (14, "one"), (15, "one"), (16, "two words"), (17, "word " * 400),
@@ -325,6 +325,16 @@ def test_jaccard_on_odd_rows(spark, odd, empty):
     assert jaccard.link_groups(empty).count() == 0
 
 
+def test_texts_that_must_be_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(words, "BROADCAST_KEYS", 0)
+    rows = near_copies(11, 60)
+    docs = Scratch(spark, "test").write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "near")
+    got = {r.doc: (r.n_shingles, r.component) for r in jaccard.link_groups(docs, n=3, percent=90).collect()}
+    assert got == brute.jaccard(rows, 3, 90)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs, digest=True).collect()}
+    assert got == brute.repeats(rows)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
