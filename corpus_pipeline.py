@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wardlake.llm import jaccard, line_spread, nbsvm, pii
 from wardlake.llm.queries import PSEUDONYM_KEY, pack_documents, quality_model
-from wardlake.llm.shared import Scratch, table
+from wardlake.llm.shared import Scratch, small_batches, table
 from wardlake.llm.words import NO_KEY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,32 +28,38 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; fitted on the labelled rows of the corpus it is given."""
+    small_batches(spark)
     model = quality_model(spark, docs, sf_dir)
     return nbsvm.score(docs, model).filter(F.col("score") >= 0.5).select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand on many sources are left in their first place only; every document stays."""
+    small_batches(spark)
     return _measured(line_spread.remove_boilerplate(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id is the group's smallest."""
+    """One document of each group stays: the one whose id is the group's smallest. Repeated rows are one document."""
+    small_batches(spark)
     groups = jaccard.link_groups(docs, n=5, percent=80)
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_KEY))
-    lost = groups.filter("n_shingles > 0 and doc <> component").select("doc").distinct()
-    kept = docs.join(lost, own == F.col("doc"), "left_anti")
-    return kept.select(COLUMNS)
+    lost = groups.filter("not kept").select("doc", "dh")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_KEY)) == F.col("doc")
+    same = F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("dh")
+    return docs.join(lost, own & same, "left_anti").select(COLUMNS)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values give way to pseudonyms of their format."""
+    small_batches(spark)
     return _measured(docs.withColumn("text", pii.pseudonymised(F.col("text"), PSEUDONYM_KEY)["text"]))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and place in it."""
-    return pack_documents(spark, docs)
+    small_batches(spark)
+    # the same workers serve other stages, so they hold little and give it back after each task
+    return pack_documents(spark, docs, memo_words=200_000, keep_model=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

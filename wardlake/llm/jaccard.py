@@ -187,7 +187,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text
                 made = [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["doc", "dh", "members"])
 
-    made = texts_of(docs, key, text, where).mapInArrow(arrays, "doc long, dh long, members binary")
+    made = texts_of(docs, key, text, where, pack=False).mapInArrow(arrays, "doc long, dh long, members binary")
     sets = scratch.write(made.join(where, ["doc", "dh"]).select("cls", "members").dropDuplicates(["cls"]), f"{name}-arrays")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,10 +26,10 @@ def query(name: str) -> Callable:
     return keep
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
-    """Pieces of all documents with their sequence and place in it."""
+def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = SEQUENCE, **memo) -> DataFrame:
+    """Pieces of all documents with their sequence and place in it; ``memo`` goes to ``tokens.pieces``."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    cut = tokens.pieces(docs, path, capacity).withColumn("item", F.monotonically_increasing_id())
+    cut = tokens.pieces(docs, path, capacity, **memo).withColumn("item", F.monotonically_increasing_id())
     cut = Scratch(spark, "pieces").write(cut, "pieces")
     placed = packing.pack(cut.select("item", F.col("length").alias("size")), capacity)
     return cut.join(placed, "item").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")

@@ -37,7 +37,7 @@ def _byte_letters() -> list[str]:
 class WordTokenizer:
     """ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,6 +46,7 @@ class WordTokenizer:
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
+        self.memo_words = memo_words
 
     def _one(self, word: str) -> bytes:
         if word.isalpha() and (word.isascii() and word.islower() or word == word.lower() and unicodedata.is_normalized("NFC", word) and not UNUSUAL.search(word)):
@@ -69,7 +70,7 @@ class WordTokenizer:
         try:
             return b"".join([memo[w] for w in words])
         except KeyError:
-            if len(memo) > MEMO_WORDS:
+            if len(memo) > self.memo_words:
                 memo.clear()
             for w in words:
                 if w not in memo:
@@ -77,28 +78,30 @@ class WordTokenizer:
             return b"".join([memo[w] for w in words])
 
 
-_models: dict[str, WordTokenizer] = {}
+_models: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, memo_words: int = MEMO_WORDS) -> WordTokenizer:
     """One per worker process."""
-    if path not in _models:
-        _models[path] = WordTokenizer(path)
-    return _models[path]
+    if (path, memo_words) not in _models:
+        _models[path, memo_words] = WordTokenizer(path, memo_words)
+    return _models[path, memo_words]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text", end_id: int = 0, with_ids: bool = False, memo_words: int = MEMO_WORDS, keep_model: bool = True) -> DataFrame:
     """Each document's ids and an end id, cut into pieces of at most ``limit`` ids.
 
     NULL texts are empty (one id); the key may be NULL and passes unchanged.
+    ``keep_model`` leaves vocabulary and memo with the worker for its next task.
     ``with_ids`` adds the ids themselves (binary, little-endian 32 bit).
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = word_tokenizer(path), array("I", [end_id]).tobytes()
+        model = word_tokenizer(path, memo_words) if keep_model else WordTokenizer(path, memo_words)
+        end = array("I", [end_id]).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
