@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, train_rows: int =
     chosen = chosen.orderBy(F.xxhash64(F.lit(3), key), key).limit(train_rows).select(F.col(key).alias("k"), "y")
     some = docs.join(F.broadcast(chosen), docs[key] == F.col("k")).select("k", "y", docs[text].alias("text"))
     rows = features(some, "text", "k", "y").toPandas().drop_duplicates("k").sort_values("k")
-    return fit([np.frombuffer(b, dtype="<u4").astype(np.int64) for b in rows["buckets"]], rows["y"].to_numpy().astype(int))
+    return fit([np.frombuffer(b, dtype="<u4") for b in rows["buckets"]], rows["y"].to_numpy().astype(int))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
