@@ -23,8 +23,8 @@ BLANKS = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 #: Texts in which a comma or full stop before a blank may belong to a longer run of
 #: signs, or that hold anything but ASCII and Latin-1 letters.
 UNUSUAL = re.compile(r"[!-/:-@\[-`{-~]{2}|[\x1c-\x1f\x80-\xbf\xd7\xf7]|[^\x00-\xff]")
-#: Words kept by one worker process before it starts anew (about 250 MB).
-MEMO_WORDS = 1_000_000
+#: Words kept by one worker process before it starts anew (about 400 MB).
+MEMO_WORDS = 1_600_000
 
 
 def _byte_letters() -> list[str]:
