@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -71,6 +72,26 @@ def test_op5(spark, documents):
     assert table(spark, "op5_feistel_pseudonyms", "doc_id", "text", "n_replaced") == want
 
 
+def personal_numbers(text):
+    """Numbers with a country code and brackets, and addresses, found without the patterns of ``pii``."""
+    phones = set(re.findall(r"\+[0-9]+ \([0-9]+\) [0-9]+-[0-9]+", text))
+    words = {w.strip(".,;:!?()'\"") for w in text.split()}
+    plain = {w for w in words if w.count(".") == 3 and all(p.isdigit() and p == str(int(p)) and int(p) < 256 for p in w.split("."))}
+    return phones | {w for w in plain if int(w.split(".")[0]) not in (0, 10, 127)}
+
+
+def test_op5_leaves_no_number_of_an_independent_finder(spark, tmp_path):
+    given = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    own = [(-1, "call +1 (017) 555-7713 or +1 (139) 555-2766, +44 (20) 7946-0958"), (-2, "hosts 224.0.0.251 and 255.12.3.4."), (-3, "+1 (239) 155-1234")]
+    spark.createDataFrame([*given, *own], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    new = {r.doc_id: r.text for r in QUERIES["op5_feistel_pseudonyms"](spark, str(tmp_path)).collect()}
+    before = {d: personal_numbers(t) for d, t in [*given, *own]}
+    assert [len(before[d]) for d, _ in own] == [3, 2, 1] and len(new) == len(before)
+    assert {d: f & personal_numbers(new[d]) for d, f in before.items() if f & personal_numbers(new[d])} == {}
+    assert all(len(personal_numbers(new[d])) == len(f) for d, f in before.items())
+    assert all(pii.pseudonymise_text(new[d], PSEUDONYM_KEY.encode(), back=True)[0] == t for d, t in [*given, *own])
+
+
 def test_op6(spark, documents):
     got = table(spark, "op6_digest_index", "doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert got == brute.equal_texts([r[:2] for r in documents])

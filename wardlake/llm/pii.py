@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 DAY0, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049
-#: First bytes of public IPv4 addresses.
+#: First bytes of public IPv4 addresses, and those of multicast and reserved ones; each kind stays among its own.
 FIRST_BYTES = [b for b in range(1, 224) if b not in (10, 127)]
+HIGH_BYTES = list(range(224, 256))
 DIGITS, LOWER, HEX, ALNUM = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 FINDINGS = re.compile(
@@ -34,7 +35,7 @@ FINDINGS = re.compile(
     |(?P<iso>(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-]))
     |(?P<dmy>(?<![\d./])\d{2}(?P<sep>[./])\d{2}(?P=sep)\d{4}(?![\d/]))
     |(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))
-    |(?P<phone>(?<![\d\w])\+?(?:1[ .\-]?)?\([2-9]\d\d\)[ .\-]?[2-9]\d\d[ .\-]\d{4}(?!\d)|(?<![\d\w])(?:\+?1[ .\-])?[2-9]\d\d[ .\-][2-9]\d\d[ .\-]\d{4}(?!\d)|(?<![\d\w])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d))
+    |(?P<phone>(?<![\d\w])\+?(?:1[ .\-]?)?\([2-9]\d\d\)[ .\-]?[2-9]\d\d[ .\-]\d{4}(?!\d)|(?<![\d\w])(?:\+?1[ .\-])?[2-9]\d\d[ .\-][2-9]\d\d[ .\-]\d{4}(?!\d)|(?<![\d\w])\+1[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![\d\w])\+\d{1,3}[ .\-]?\(\d{1,4}\)(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\d\w])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d))
     |(?P<card>(?<![\d\w])\d(?:[ \-]?\d){12,18}(?![\d\w]))""",
     re.VERBOSE,
 )
@@ -117,6 +118,10 @@ def _date(y: int, m: int, d: int, key: bytes, back: bool) -> datetime.date | Non
     return datetime.date.fromordinal(DAY0 + permute(day, DAYS, key, b"date", back))
 
 
+def _american(digits: str) -> bool:
+    return len(digits) in (10, 11) and (len(digits) == 10 or digits[0] == "1") and digits[-10] in "23456789" and digits[-7] in "23456789"
+
+
 def replacement(kind: str, found: str, key: bytes, back: bool = False) -> str:
     """The pseudonym of one finding, or the finding itself where it is not valid."""
     if kind == "email":
@@ -131,10 +136,11 @@ def replacement(kind: str, found: str, key: bytes, back: bool = False) -> str:
         return found[:start] + _characters(value, [HEX] * len(value) if hexadecimal else _by_class(value), key, b"secret", back)
     if kind == "ip":
         parts = [int(p) for p in found.split(".")]
-        if parts[0] not in FIRST_BYTES or max(parts) > 255 or any(p != str(int(p)) for p in found.split(".")):
+        own, tweak = (HIGH_BYTES, b"ip high") if parts[0] >= 224 else (FIRST_BYTES, b"ip")
+        if parts[0] not in own or max(parts) > 255 or any(p != str(int(p)) for p in found.split(".")):
             return found
-        moved = _mixed([FIRST_BYTES.index(parts[0]), *parts[1:]], [len(FIRST_BYTES), 256, 256, 256], key, b"ip", back)
-        return ".".join(map(str, [FIRST_BYTES[moved[0]], *moved[1:]]))
+        moved = _mixed([own.index(parts[0]), *parts[1:]], [len(own), 256, 256, 256], key, tweak, back)
+        return ".".join(map(str, [own[moved[0]], *moved[1:]]))
     if kind == "iso":
         day = _date(int(found[:4]), int(found[5:7]), int(found[8:]), key, back)
         return day.isoformat() if day else found
@@ -157,14 +163,17 @@ def replacement(kind: str, found: str, key: bytes, back: bool = False) -> str:
         moved = _mixed([areas.index(area), group - 1, serial - 1], [898, 99, 9999], key, b"ssn", back)
         return f"{areas[moved[0]]:03d}-{moved[1] + 1:02d}-{moved[2] + 1:04d}"
     if kind == "phone":
-        if len(digits) in (10, 11) and (len(digits) == 10 or digits[0] == "1") and digits[-10] in "23456789" and digits[-7] in "23456789":
+        if _american(digits):
             own = digits[-10:]
             bases = [8, 10, 10, 8, 10, 10, 10, 10, 10, 10]
             moved = _mixed([int(c) - 10 + b for c, b in zip(own, bases, strict=True)], bases, key, b"phone", back)
             return _refill(found, digits[:-10] + "".join(str(v + 10 - b) for v, b in zip(moved, bases, strict=True)))
         if not 8 <= len(digits) <= 15:
             return found
-        return _refill(found, digits[:2] + _characters(digits[2:], [DIGITS] * (len(digits) - 2), key, b"phone", back))
+        while True:  # stays outside the American form, which is moved in another way
+            digits = digits[:2] + _characters(digits[2:], [DIGITS] * (len(digits) - 2), key, b"phone", back)
+            if not _american(digits):
+                return _refill(found, digits)
     if kind == "card":
         if luhn(digits) or len(set(digits)) == 1:
             return found
