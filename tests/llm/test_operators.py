@@ -217,6 +217,36 @@ def test_pseudonyms_keep_the_format_and_come_back(text, shape):
     assert pii.pseudonymise_text(text + " x " + text, b"k")[0] == new + " x " + new
 
 
+NEIGHBOURS = [
+    ("DE89 3704 0044 0532 0130 00", " BIC COBADEFFXXX"),
+    ("DE89 3704 0044 0532 0130 00", " 2024 EUR"),
+    ("4111 1111 1111 1111", " 12/26"),
+    ("4111 1111 1111 1111", " 123"),
+    ("4041894974608795", " 123 x"),
+    ("3782 822463 10005", " 1234"),
+    ("+44 20 7946 0958 20", " 24"),
+    ("+1 (139) 555-2766", " 2024"),
+]
+
+
+@pytest.mark.parametrize("value,after", NEIGHBOURS)
+def test_pseudonyms_of_values_beside_others(value, after):
+    for k in (b"k", *(b"%d" % i for i in range(60))):
+        new, n = pii.pseudonymise_text(f"a {value}{after}", k)
+        assert n == 1 and new.endswith(after) and new != f"a {value}{after}"
+        assert pii.pseudonymise_text(new, k, back=True)[0] == f"a {value}{after}"
+    # usual lengths: the neighbour does not change the pseudonym
+    if not value.startswith(("404", "+44")):
+        assert new == "a " + pii.pseudonymise_text(value, k)[0] + after
+
+
+def test_values_behind_an_invalid_beginning():
+    for text in ("AB12 4111 1111 1111 1111", "4111-11-11 1111 1111 16", "000-12-3456 1999-02-28", "0000 4111 1111 1111 1111"):
+        for k in (b"%d" % i for i in range(60)):
+            new, n = pii.pseudonymise_text(text, k)
+            assert n == 1 and new != text and pii.pseudonymise_text(new, k, back=True)[0] == text
+
+
 def test_invalid_values_stay():
     for text in ("card 4041894974608796", "1999-02-30", "ssn 000-12-3456", "999.1.1.1", "1.2.3.4.5", "10.0.0.1", "0000000000000000", "no digits"):
         assert pii.pseudonymise_text(text, b"k") == (text, 0)
