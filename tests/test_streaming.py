@@ -137,6 +137,45 @@ def test_lagging_channel_and_late_event_lose_nothing(spark, tmp_path):
     assert run_batches(spark, str(tmp_path / "c"), first, far)[1] == [8]
 
 
+def test_channel_two_days_behind_loses_nothing(spark, tmp_path):
+    day = 86400
+    first = simple(spark, (1, "A", "4624", 2 * day, "m"), (1, "B", "4625", 0, "m"))
+    second = simple(spark, (2, "A", "4624", 2 * day + 9, "m"), (2, "B", "4625", 10, "m"))
+    # records 1 and 2 of the slow channel are read once more
+    third = simple(spark, (9, "B", "4625", 20, "m"), (1, "B", "4625", 0, "m"), (2, "B", "4625", 10, "m"))
+    folder = str(tmp_path / "a")
+    found, late = run_batches(spark, folder, first, second, third)
+    assert late == [] and found[9] == "t"
+    seen = spark.read.parquet(f"{folder}/seen/batch=2").filter("log_source = 'B'")
+    assert sorted(r.record_id for r in seen.collect()) == [1, 2, 9]
+
+
+def test_events_without_time_are_seen_once(spark, tmp_path):
+    timeless = simple(spark, (1, "S", "4624", 0, "m")).withColumn("event_time", F.lit(None).cast("timestamp"))
+    timed = simple(spark, (2, "S", "4624", 0, "m"), (3, "S", "4624", 5000, "m"))
+    folder = str(tmp_path / "a")
+    run_batches(spark, folder, timeless.unionByName(timed), timed.limit(0))
+    fresh, late = state.EventState(spark, folder, 2, RULES, dt.timedelta(minutes=10)).admit(timeless)
+    assert (fresh.count(), late.count()) == (0, 0)
+
+
+def test_silent_channel_holds_nothing(spark, tmp_path):
+    from wardlake.sources.events import prepare
+
+    one = simple(spark, (1, "A", "4625", 172800, "m"), (2, "B", "4625", 0, "m"))
+    two = simple(spark, (3, "A", "4624", 172805, "m"))
+
+    def left(folder, idle):
+        for k, batch in enumerate((one, two)):
+            st = state.EventState(spark, folder, k, RULES, dt.timedelta(minutes=10), idle)
+            fresh, _ = st.admit(batch)
+            st.advance(fresh, prepare(fresh))
+        return spark.read.parquet(f"{folder}/tail/batch=1").count()
+
+    assert left(str(tmp_path / "a"), dt.timedelta(0)) == 1
+    assert left(str(tmp_path / "b"), None) == left(str(tmp_path / "c"), state.IDLE) == 2
+
+
 def test_wrong_clock_keeps_the_history(spark, tmp_path):
     now = int((dt.datetime.now() - START).total_seconds())
     one = simple(spark, (1, "S", "4625", now, "m"), (2, "S", "4625", now + 1, "m"), (6, "T", "4624", now + 10**8, "m"))

@@ -19,7 +19,7 @@ from wardlake.schemas import RECORD
 from wardlake.session import cut_lineage, delete, folders
 from wardlake.sources import logs
 from wardlake.sources.events import POLL_SECONDS, prepare
-from wardlake.streaming.state import EventState
+from wardlake.streaming.state import IDLE, EventState
 
 #: How long a re-read record is recognised at least, and how late an event may
 #: come after others of its channel; never under the longest reach of a rule.
@@ -84,6 +84,7 @@ def process_stream(
     knowledge: Table = None,
     wait: bool = False,
     strict_fields: bool = False,
+    idle: timedelta | None = IDLE,
 ) -> StreamingQuery:
     """Run the event job on a stream of raw events.
 
@@ -91,7 +92,8 @@ def process_stream(
     then called for every micro-batch, which picks up changed files while
     running. Stored rows go to ``base_dir/logs``, block-list additions to
     ``base_dir/blocks``, events that come later than ``kept`` after the newest of
-    their channel to ``base_dir/late``. With ``knowledge``, prompts for an external
+    their channel to ``base_dir/late``. A channel that has delivered nothing for
+    ``idle`` no longer holds history for its threshold rules (None: all do). With ``knowledge``, prompts for an external
     scorer go to ``base_dir/prompts``; with ``wait``, events are held in
     ``base_dir/pending`` until ``answer_stream`` or ``expire_pending`` finishes them.
     Everything a micro-batch writes is keyed by its number, so a repeated
@@ -100,7 +102,7 @@ def process_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark, tag = batch.sparkSession, f"{name}-{batch_id}"
-        state = EventState(spark, f"{base_dir}/state/{name}", batch_id, _now(rules), kept)
+        state = EventState(spark, f"{base_dir}/state/{name}", batch_id, _now(rules), kept, idle)
         fresh, late = state.admit(batch)
         fresh = fresh.persist()
         try:
@@ -207,12 +209,13 @@ def detect_stream(
     available_now: bool = False,
     kept: timedelta = KEPT,
     strict_fields: bool = False,
+    idle: timedelta | None = IDLE,
 ) -> StreamingQuery:
-    """Only the detection: every event with its first matching rule, to ``base_dir/detections``."""
+    """Only the detection: every event with its first matching rule, to ``base_dir/detections``; ``kept`` and ``idle`` as for ``process_stream``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = EventState(spark, f"{base_dir}/state/{name}", batch_id, _now(rules), kept)
+        state = EventState(spark, f"{base_dir}/state/{name}", batch_id, _now(rules), kept, idle)
         fresh, late = state.admit(batch)
         fresh = fresh.persist()
         try:

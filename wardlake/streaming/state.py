@@ -7,11 +7,14 @@ again, and folders nothing can ask for any more are deleted.
 * ``seen``: record keys, so that a record read twice counts once;
 * ``tail``: events a threshold rule may still count;
 * ``newest``: the newest time of every host and channel, no later than the clock
-  of the machine allows, so one wrong clock cannot empty the others' history;
+  of the machine allows, so one wrong clock cannot empty the others' history, and
+  when the channel last delivered rows;
 * ``rules``: the threshold rules the tail was kept for.
 
-An event is late only against its own channel, and history goes back as far as
-the slowest channel that is still alive needs it.
+An event is late only against its own channel. Record keys are kept as long as
+their own channel may deliver them again, and history goes back as far as the
+slowest channel that is still alive needs it. A channel is alive by what arrives,
+not by the times of its events: one that is read a year behind holds its history.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ from wardlake.session import delete
 CARRIED = (*RECORD, "event_id", "event_time", "message", "details")
 #: How far an event may lie ahead of this machine's clock and still move the limits.
 SKEW = timedelta(minutes=1)
-#: A channel silent for longer than this, against the newest one, holds nothing back.
+#: A channel that has delivered nothing for so long, by this machine's clock, holds nothing back.
 IDLE = timedelta(days=1)
+NEWEST = "host string, log_source string, newest timestamp, arrived timestamp"
 
 
 def horizon(rules: list[Rule]) -> timedelta:
@@ -50,11 +54,15 @@ def _counted(rules: list[Rule]) -> list[Rule]:
 class EventState:
     """State of one job before and after one micro-batch."""
 
-    def __init__(self, spark: SparkSession, path: str, batch_id: int, rules: list[Rule], watermark: timedelta):
+    def __init__(self, spark: SparkSession, path: str, batch_id: int, rules: list[Rule], watermark: timedelta, idle: timedelta | None = IDLE):
+        """``idle`` None: every channel holds its history for ever."""
         self.spark, self.path, self.batch_id = spark, path, batch_id
         self.rules = check_patterns(spark, rules)
         #: A batch without threshold rules keeps what the rules before it need.
         self.kept_for = _counted(self.rules) or self._last_rules()
+        self.idle = idle
+        #: Channels of the rows given to ``admit``, those that are late or known already too.
+        self.delivered: DataFrame | None = None
         self.keep = max(watermark, horizon(self.kept_for))
 
     def _read(self, name: str, schema) -> DataFrame:
@@ -71,11 +79,15 @@ class EventState:
         lists = ("mitre", "tags", "exclude_users", "include_users")
         return [Rule(**{k: tuple(v) if k in lists else frozenset(v) if k == "broken" else v for k, v in json.loads(r["rule"]).items()}) for r in rows]
 
+    def _limits(self, newest: DataFrame) -> DataFrame:
+        """``_limit``: the time up to which an event of a channel is late."""
+        return newest.select("host", "log_source", (F.col("newest") - F.make_interval(secs=F.lit(self.keep.total_seconds()))).alias("_limit"))
+
     def admit(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(events not seen before, events too late to tell); both once per record."""
         once = with_host(batch).dropDuplicates(list(RECORD))
-        newest = self._read("newest", "host string, log_source string, newest timestamp")
-        limits = newest.select("host", "log_source", (F.col("newest") - F.make_interval(secs=F.lit(self.keep.total_seconds()))).alias("_limit"))
+        self.delivered = once.select("host", "log_source").distinct()
+        limits = self._limits(self._read("newest", NEWEST))
         same = once["host"].eqNullSafe(limits["host"]) & once["log_source"].eqNullSafe(limits["log_source"])
         marked = once.join(limits, same, "left").select(once["*"], "_limit")
         late = F.coalesce(F.col("event_time") <= F.col("_limit"), F.lit(False))
@@ -91,19 +103,25 @@ class EventState:
 
     def advance(self, fresh: DataFrame, prepared: DataFrame) -> None:
         """Write the state after this micro-batch and delete what the one before the last left."""
-        newest = self._read("newest", "host string, log_source string, newest timestamp")
-        now = F.lit(datetime.now(timezone.utc) + SKEW)
-        seen_now = fresh.groupBy("host", "log_source").agg(F.max(F.least("event_time", now)).alias("newest"))
-        newest = newest.unionByName(seen_now).groupBy("host", "log_source").agg(F.max("newest").alias("newest"))
+        clock = datetime.now(timezone.utc)
+        newest = self._read("newest", NEWEST).withColumn("arrived", F.coalesce("arrived", F.lit(clock)))
+        seen_now = fresh.groupBy("host", "log_source").agg(F.max(F.least("event_time", F.lit(clock + SKEW))).alias("newest"))
+        if self.delivered is not None:
+            seen_now = seen_now.unionByName(self.delivered, allowMissingColumns=True)
+        newest = newest.unionByName(seen_now.withColumn("arrived", F.lit(clock)))
+        newest = newest.groupBy("host", "log_source").agg(F.max("newest").alias("newest"), F.max("arrived").alias("arrived"))
         self._write(newest, "newest")
         newest = self.spark.read.schema(newest.schema).parquet(f"{self.path}/newest/batch={self.batch_id}")
-        latest = newest.agg(F.max("newest")).first()[0]
-        slowest = None
-        if latest is not None:
-            slowest = newest.filter(F.col("newest") > F.lit(latest - IDLE)).agg(F.min("newest")).first()[0]
-        alive = F.lit(True) if slowest is None else F.col("event_time") > F.lit(slowest - self.keep)
         before = self._read("seen", "host string, log_source string, record_id long, event_time timestamp")
-        self._write(before.unionByName(fresh.select(*RECORD, "event_time")).filter(alive), "seen")
+        seen = before.unionByName(fresh.select(*RECORD, "event_time"))
+        limits = self._limits(newest)
+        same = seen["host"].eqNullSafe(limits["host"]) & seen["log_source"].eqNullSafe(limits["log_source"])
+        # what ``admit`` would still take, rows without a time included
+        asked_for = ~F.coalesce(F.col("event_time") <= F.col("_limit"), F.lit(False))
+        self._write(seen.join(limits, same, "left").filter(asked_for).select(seen["*"]), "seen")
+        living = newest if self.idle is None else newest.filter(F.col("arrived") >= F.lit(clock - self.idle))
+        slowest = living.agg(F.min("newest")).first()[0]
+        alive = F.lit(True) if slowest is None else F.col("event_time") > F.lit(slowest - self.keep)
         may_count = F.lit(False)
         for rule in self.kept_for:
             may_count = may_count | predicate(rule)
