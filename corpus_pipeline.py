@@ -40,13 +40,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id is the group's smallest. Repeated rows are one document."""
+    """One document of each group stays: the one whose id is the group's smallest.
+
+    Repeated rows, and equal texts without an id, are one document, and one row
+    of it stays. Documents without words are like no other, so all of them stay.
+    """
     small_batches(spark)
-    groups = jaccard.link_groups(docs, n=5, percent=80)
-    lost = groups.filter("not kept").select("doc", "dh")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_KEY)) == F.col("doc")
-    same = F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("dh")
-    return docs.join(lost, own & same, "left_anti").select(COLUMNS)
+    groups = Scratch(spark, "near").write(jaccard.link_groups(docs, n=5, percent=80, every_row=True), "groups")
+    place = ["doc", "dh"]
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_KEY)).alias("doc")
+    rows = docs.select(*COLUMNS, own, F.xxhash64(F.coalesce("text", F.lit(""))).alias("dh"))
+    rows = rows.join(groups.filter("not kept").select(place).distinct(), place, "left_anti")
+    again = groups.filter("kept and n_shingles > 0").groupBy(place).agg(F.count("*").alias("rows")).filter("rows > 1").select(place)
+    again = Scratch(spark, "near").write(again, "again")
+    if again.isEmpty():
+        return rows.select(COLUMNS)
+    # the smallest of equal rows, combined before the shuffle: a document that is there very often is no task's work
+    copies = rows.join(again, place, "left_semi").groupBy(place).agg(F.min(F.struct("doc_id", "source", "lang", "n_chars", "text")).alias("row"))
+    return rows.join(again, place, "left_anti").select(COLUMNS).unionByName(copies.select("row.*").select(COLUMNS))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,6 +106,34 @@ def test_op8(spark, documents):
     assert table(spark, "op8_jaccard_tiles", "doc_id", "n_shingles", "component_id") == brute.jaccard([r[:2] for r in documents])
 
 
+def repeated_rows(spark, path):
+    text = "nine words make a text that is long enough"
+    rows = [(None, text), (None, text), (None, text), (3, "other words stand here and they are six or more"), (4, "")]
+    rows += [(3, "other words stand here and they are six or more"), (4, ""), (None, "some text without an id that is there once")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(d, t, "en", f"s{i}", len(t)) for i, (d, t) in enumerate(rows)], schema).write.parquet(path)
+    return rows
+
+
+def test_op8_has_a_result_for_every_row(spark, tmp_path):
+    rows = repeated_rows(spark, f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_jaccard_tiles"](spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in rows)
+    assert sorted(r.n_shingles for r in got) == sorted(max(len(t.split()) - 2, 0) for _, t in rows)
+
+
+def test_one_row_of_each_document_passes_the_near_duplicate_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = repeated_rows(spark, f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    filled = [(d, t) for d, t, _ in got if t]
+    assert sorted(filled, key=str) == sorted({(d, t) for d, t in rows if t}, key=str)
+    assert [(d, t) for d, t, _ in got if not t] == [(4, ""), (4, "")]
+    assert {s for _, t, s in got if t} == {"s0", "s3", "s7"}
+
+
 def test_op9(spark):
     rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall()
     want = brute.nearest(rows, lambda i: i % 20 == 0, 20)

@@ -268,12 +268,13 @@ def _compare(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBat
         yield tiles(rest)
 
 
-def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, every_row: bool = False) -> DataFrame:
     """doc, dh, n_shingles, component, kept of every distinct row; component is the smallest doc reachable by links.
 
     ``doc`` is the key with NULL as the smallest long. Rows without words have
     n_shingles 0 and are linked with nothing; for a NULL key their component is
-    the smallest long too. ``kept`` holds for one row of each group. Rows with equal key and equal text are one.
+    the smallest long too. ``kept`` holds for one row of each group. Rows with equal key and equal text are one;
+    ``every_row`` returns their result once for each of them.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     sets = scratch.write(_sets(docs, key, text, n, percent, _frequency(docs, key, text, n, scratch)), "sets")
@@ -305,6 +306,7 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     joined = same.select("cls", "f1", "f2", "n", "first").join(every.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     found = joined.join(least, "root").select("f1", "f2", "n", "least")
-    rows = sets.select("doc", "dh", "n", "f1", "f2").distinct().join(found, ["f1", "f2", "n"], "left")
+    rows = sets.select("doc", "dh", "n", "f1", "f2")
+    rows = (rows if every_row else rows.distinct()).join(found, ["f1", "f2", "n"], "left")
     kept = F.col("least").isNull() | (F.struct("doc", "dh") == F.col("least"))
     return rows.select("doc", "dh", F.col("n").alias("n_shingles"), F.coalesce("least.doc", "doc").alias("component"), kept.alias("kept"))

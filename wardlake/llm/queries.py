@@ -111,7 +111,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard_tiles")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    groups = jaccard.link_groups(docs, n=3, percent=90)
+    groups = jaccard.link_groups(docs, n=3, percent=90, every_row=True)
     null = lambda c: F.when(F.col(c) != NO_KEY, F.col(c))
     return groups.select(null("doc").alias("doc_id"), "n_shingles", null("component").alias("component_id"))
 
