@@ -82,6 +82,19 @@ def test_pieces_equal_the_library(spark, odd):
     assert len(by[3]) == 2 * len(by[5])  # a repeated row is packed twice
 
 
+def test_special_tokens_in_texts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(WORDS), tokens.WordTokenizer(WORDS)
+    texts = ["one <|endoftext|> two", "a<|startoftext|>b, c", "<|EndOfText|>", "<|endoftext|><|endoftext|>.", "end <|endoftext |> <|endoftext", "café<|endoftext|>é", "x\n<|startoftext|>\n"]
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", " ", "\n", "Word", "ñ", "e\u0301", ",", ".", "12", "'s", "\u3000"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)]
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert np.frombuffer(own.encode(texts[0]), "<u4").tolist() == [637, 49407, 1237]
+
+
 def checked_packing(spark, sizes, capacity):
     items = Scratch(spark, "test").write(spark.createDataFrame(list(enumerate(sizes)), "item long, size int"), "items")
     rows = packing.pack(items, capacity).collect()

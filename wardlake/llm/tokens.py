@@ -42,7 +42,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
