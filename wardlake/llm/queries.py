@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, curves, digest_index, jaccard, line_spread, nbsvm, packing, pii, sharding, substring, tokens
+from wardlake.llm import bpe, curves, digest_index, jaccard, line_spread, nbsvm, packing, periodic, pii, sharding, substring, tokens
 from wardlake.llm.shared import Scratch, table
 from wardlake.llm.words import NO_KEY
 
@@ -126,3 +126,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on five sources or more go, but for their first place; the text left is given by its digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_spread.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op13_repair_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.with_runs(docs)
+    line = lambda r: F.concat(F.array_join(F.array(r["start"], r["length"], r["period"]), ","), F.lit("\n"))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * strongest.length DIV strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
