@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, curves, digest_index, jaccard, line_spread, nbsvm, packing, periodic, pii, sharding, substring, tokens
+from wardlake.llm import bloom_lm, bpe, curves, digest_index, jaccard, line_spread, nbsvm, packing, periodic, pii, sharding, substring, tokens
 from wardlake.llm.shared import Scratch, table
 from wardlake.llm.words import NO_KEY
 
@@ -145,3 +145,18 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
         "n_words",
     )
+
+
+@query("op12_bloom_lm")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    scores, n = bloom_lm.score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return scores.select(
+        F.col("id").alias("doc_id"),
+        (~F.col("trained")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(n).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
