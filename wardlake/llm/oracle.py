@@ -45,3 +45,27 @@ WITH RECURSIVE split AS (SELECT doc_id, {_SPLIT.format(_LOWERED)} AS words FROM
   reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT x, min(y) AS least FROM reach GROUP BY x) ON d.doc_id = x""".replace("least FROM documents d", "least AS component_id FROM documents d")
+
+ORACLE["op11_pattern_tree"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWERED} AS t FROM documents),
+  words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+  counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+  kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+  groups AS (SELECT DISTINCT lang, source FROM docs),
+  langs AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang),
+  cells AS (SELECT g.lang, source, term, coalesce(n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+  totals AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+  rates AS (SELECT c.lang, c.source, term, n, (1 + 1000000000::HUGEINT * (n + 2) // (total + 2 * v)::HUGEINT) AS p
+    FROM cells c JOIN totals USING (lang, source) JOIN langs USING (lang)),
+  whole AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (sum(n) + 2)::HUGEINT // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * v)::HUGEINT) AS q
+    FROM cells JOIN langs USING (lang) GROUP BY lang, term, v),
+  pair_values AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM rates a JOIN rates b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pair_values x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+  terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+    FROM rates JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""

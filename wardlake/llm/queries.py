@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bloom_lm, bpe, curves, digest_index, jaccard, line_spread, nbsvm, packing, periodic, pii, sharding, substring, tokens
+from wardlake.llm import bloom_lm, bpe, curves, digest_index, divergence, jaccard, line_spread, nbsvm, packing, periodic, pii, sharding, substring, tokens
 from wardlake.llm.shared import Scratch, table
 from wardlake.llm.words import NO_KEY
 
@@ -160,3 +160,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query("op11_pattern_tree")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
