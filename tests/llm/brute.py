@@ -124,3 +124,76 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> int:
         if left:
             bisect.insort(gaps, left)
     return n
+
+
+def runs(words: list) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all stretches of at least 6 words and 4 smallest periods that cannot be extended."""
+    out: dict[tuple[int, int], int] = {}
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(6, 4 * q):
+                out.setdefault((i, j + q - i), q)  # the smallest period comes first
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in out.items()), key=lambda r: (r[0], r[2]))
+
+
+def bigram_model(texts: list[tuple[str | None, bool]], level, value, add: float = 0.1, prior: float = 50.0) -> list[tuple[int, int, float, float]]:
+    """(tokens, known tokens, base, score) of each (text, learnt) with exact counts, scores on their levels."""
+    from collections import Counter
+    from math import log10
+
+    seen = [["<s>", *WORD.findall(lowered(t)), "</s>"] for t, _ in texts]
+    one, two = Counter(), Counter()
+    for tokens, (_, learnt) in zip(seen, texts, strict=True):
+        if learnt:
+            one.update(tokens)
+            two.update(zip(tokens, tokens[1:]))
+    starts = one["<s>"]
+    n, v = sum(one.values()) - starts, len(one) - (starts > 0)
+    near = lambda c: value(level(c))
+    out = []
+    for tokens in seen:
+        base = score = 0.0
+        for a, b in zip(tokens, tokens[1:]):
+            base += log10((one[b] + add) / (n + add * (v + 1)))
+            p = (near(one[b]) + add) / (n + add * (v + 1))
+            score += log10((min(near(two[a, b]), near(one[a])) + prior * p) / (near(one[a]) + prior))
+        out.append((len(tokens) - 1, sum(one[t] > 0 for t in tokens[1:]), base, score))
+    return out
+
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergence(rows: list[tuple[str | None, str | None, str | None]], min_docs: int, top: int) -> set[tuple]:
+    """(lang, source, part, item, value, rank) of rows (lang, source, text)."""
+    from collections import Counter
+
+    counts, docs, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for lang, source, text in ((x or "" for x in r) for r in rows):
+        terms = [re.sub("[A-Z]", lambda m: m.group().lower(), t) for t in TERM.findall(text)]
+        groups[lang].add(source)
+        counts[lang, source].update(terms)
+        docs[lang].update(set(terms))
+    out = set()
+    for lang, sources in groups.items():
+        kept = [t for t, n in docs[lang].items() if n >= min_docs]
+
+        def rates(count):
+            total = sum(count(t) for t in kept)
+            return [1 + 10**9 * (count(t) + 2) // (total + 2 * len(kept)) for t in kept]
+
+        p = {s: rates(lambda t, s=s: counts[lang, s][t]) for s in sources}
+        q = rates(lambda t: sum(counts[lang, s][t] for s in sources))
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pairs = [(sum(map(f, p[s], p[o])), o) for o in sources if o != s]
+            own = [(f(a, b), t) for a, b, t in zip(p[s], q, kept, strict=True) if counts[lang, s][t] and a > b]
+            for part, found in (("pair", pairs), ("term", own)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out |= {(lang, s, part, item, v, k) for k, (v, item) in enumerate(found if part == "pair" else found[:top], 1)}
+    return out

@@ -28,7 +28,7 @@ def table(spark, name, *columns):
 
 
 def test_names():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_op1(spark, documents):

@@ -180,7 +180,7 @@ def _share(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     shift = _U(64 - parts.bit_length() + 1)
     of = (keys >> shift).astype(np.int64) if parts > 1 else np.zeros(len(keys), dtype=np.int64)
     found, begin = np.unique(of, return_index=True)
-    return zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True)
+    return zip(found.tolist(), begin.tolist(), [*begin.tolist(), len(keys)][1:], strict=True)
 
 
 def _parts(n: int, each: int) -> int:
