@@ -26,7 +26,6 @@ probability of 0.0003.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,7 @@ RATIO, BITS, PROBES = 1.25, 10, 6
 #: Texts of one chunk (one document at least), words counted and n-grams held by one task at about.
 CHUNK_BYTES, PART_WORDS, SEGMENT_GRAMS = 8_000_000, 2_000_000, 2_000_000
 #: The filter is broadcast up to this size.
-BROADCAST_BYTES = 192_000_000
+BROADCAST_BYTES = 128_000_000
 
 _U = np.uint64
 END, START = _U(0x2545F4914F6CDD1D), _U(0x9E6C63D0876A9A47)
@@ -261,11 +260,11 @@ def word_counts(texts: DataFrame, parts: int) -> DataFrame:
 SEGMENT = "part long, n_bits long, bits binary"
 
 
-def _spots(keys: np.ndarray, turn: int, probe: int, n_bits: np.ndarray | int) -> np.ndarray:
+def _spots(keys: np.ndarray, turn: int, probe: int, n_bits: int) -> np.ndarray:
     """Place of one bit of (hash, number) pairs."""
     a = mix(keys + _U(turn * _STEP % 2**64))
     b = mix(a) | _U(1)
-    return ((a + _U(probe) * b) % np.asarray(n_bits, dtype=_U)).astype(np.int64)
+    return ((a + _U(probe) * b) % _U(n_bits)).astype(np.int64)
 
 
 def build_filter(texts: DataFrame, order: int, parts: int) -> DataFrame:
@@ -295,36 +294,32 @@ def build_filter(texts: DataFrame, order: int, parts: int) -> DataFrame:
     return texts.mapInArrow(_blocks(per_chunk), BLOCK).groupBy("part").applyInArrow(segment, SEGMENT)
 
 
-@dataclass
+def levels_in(keys: np.ndarray, n_bits: int, bits: bytes) -> np.ndarray:
+    """Levels of hashes in their segment, by probes with 1, 2, ... until one misses."""
+    data = np.frombuffer(bits, dtype=np.uint8)
+    out, open_, turn = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
+    while len(open_):
+        for probe in range(PROBES):
+            spot = _spots(keys[open_], turn, probe, n_bits)
+            open_ = open_[(data[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
+        out[open_] = turn
+        turn += 1
+    return out
+
+
 class Filter:
-    """Segments side by side: ``begin`` and ``n_bits`` of each part, in bits."""
-
-    data: np.ndarray
-    begin: np.ndarray
-    n_bits: np.ndarray
-    parts: int
-
-    @staticmethod
-    def of(rows: list, parts: int) -> Filter:
-        """From rows (part, n_bits, bits); parts without a row are empty."""
-        n_bits, begin, held, at = np.ones(parts, dtype=_U), np.zeros(parts, dtype=np.int64), [np.zeros(8, dtype=np.uint8)], 64
-        for part, n, bits in rows:
-            n_bits[part], begin[part] = n, at
-            held.append(np.frombuffer(bits, dtype=np.uint8))
-            at += 8 * len(held[-1])
-        return Filter(np.concatenate(held), begin, n_bits, parts)
+    """All segments, as they are broadcast: one by one, so nowhere is a second copy of them made."""
+
+    def __init__(self, segments: DataFrame, parts: int):
+        self.parts = parts
+        self.segments = {r["part"]: (r["n_bits"], bytes(r["bits"])) for r in segments.toLocalIterator()}
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of hashes, by probes with 1, 2, ... until one misses."""
-        part = (keys >> _U(64 - self.parts.bit_length() + 1)).astype(np.int64) if self.parts > 1 else np.zeros(len(keys), dtype=np.int64)
-        begin, n_bits = self.begin[part], self.n_bits[part]
-        out, open_, turn = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
-        while len(open_):
-            for probe in range(PROBES):
-                spot = begin[open_] + _spots(keys[open_], turn, probe, n_bits[open_])
-                open_ = open_[(self.data[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
-            out[open_] = turn
-            turn += 1
+        """Levels of sorted hashes; a part without a segment holds nothing."""
+        out = np.zeros(len(keys), dtype=np.int64)
+        for part, a, b in _share(keys, self.parts):
+            if part in self.segments:
+                out[a:b] = levels_in(keys[a:b], *self.segments[part])
         return out
 
 
@@ -337,9 +332,10 @@ def _levels_at_segments(texts: DataFrame, segments: DataFrame, order: int, parts
             yield part, packed_keys(keys[a:b]), None
 
     def look_up(blocks: pa.Table, segment: pa.Table) -> pa.Table:
-        held = Filter.of([(0, n, b) for n, b in zip(segment["n_bits"].to_pylist(), segment["bits"].to_pylist(), strict=True)], 1)
-        payload = [packed(held.levels(unpacked_keys(x.as_py()))) for x in blocks["keys"]]
-        n = len(payload)
+        n = blocks.num_rows
+        held = (segment["n_bits"][0].as_py(), segment["bits"][0].as_py()) if segment.num_rows else None
+        keys = (unpacked_keys(x.as_py()) for x in blocks["keys"])
+        payload = [packed(levels_in(k, *held) if held else np.zeros(len(k))) for k in keys]
         return pa.table({
             "chunk": blocks["chunk"],
             "kind": pa.array([1] * n, pa.int32()),
@@ -400,7 +396,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     filter_bytes = segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     found = known.filter("chunk is not null")
     if filter_bytes <= limit:
-        shared = spark.sparkContext.broadcast(Filter.of(segments.collect(), parts))
+        shared = spark.sparkContext.broadcast(Filter(segments, parts))
     else:
         shared = None
         found = found.unionByName(scratch.write(_levels_at_segments(texts, segments, order, parts), "levels"))
