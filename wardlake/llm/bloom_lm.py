@@ -174,11 +174,16 @@ def _tokens(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, Tokens]]:
         yield row["chunk"], Tokens(row["ids"], row["train"], row["sizes"], row["texts"])
 
 
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Parts, a power of two, are ranges of hashes."""
+    if parts == 1:
+        return np.zeros(len(keys), dtype=np.int64)
+    return (keys >> _U(64 - parts.bit_length() + 1)).astype(np.int64)
+
+
 def _share(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
-    """(part, from, to) of sorted hashes; parts, a power of two, are ranges of hashes."""
-    shift = _U(64 - parts.bit_length() + 1)
-    of = (keys >> shift).astype(np.int64) if parts > 1 else np.zeros(len(keys), dtype=np.int64)
-    found, begin = np.unique(of, return_index=True)
+    """(part, from, to) of sorted hashes."""
+    found, begin = np.unique(_part_of(keys, parts), return_index=True)
     return zip(found.tolist(), begin.tolist(), [*begin.tolist(), len(keys)][1:], strict=True)
 
 
@@ -260,11 +265,18 @@ def word_counts(texts: DataFrame, parts: int) -> DataFrame:
 SEGMENT = "part long, n_bits long, bits binary"
 
 
-def _spots(keys: np.ndarray, turn: int, probe: int, n_bits: int) -> np.ndarray:
-    """Place of one bit of (hash, number) pairs."""
-    a = mix(keys + _U(turn * _STEP % 2**64))
-    b = mix(a) | _U(1)
-    return ((a + _U(probe) * b) % _U(n_bits)).astype(np.int64)
+class _Turn:
+    """Bits of the pairs of some hashes with one number."""
+
+    def __init__(self, keys: np.ndarray, turn: int, n_bits: np.ndarray | int):
+        self.a = mix(keys + _U(turn * _STEP % 2**64))
+        self.b, self.n_bits = mix(self.a) | _U(1), np.broadcast_to(np.asarray(n_bits, dtype=_U), keys.shape)
+
+    def spots(self, probe: int) -> np.ndarray:
+        return ((self.a + _U(probe) * self.b) % self.n_bits).astype(np.int64)
+
+    def only(self, some: np.ndarray) -> None:
+        self.a, self.b, self.n_bits = self.a[some], self.b[some], self.n_bits[some]
 
 
 def build_filter(texts: DataFrame, order: int, parts: int) -> DataFrame:
@@ -285,8 +297,9 @@ def build_filter(texts: DataFrame, order: int, parts: int) -> DataFrame:
         bits = np.zeros(n_bits, dtype=bool)
         turn = 1
         while len(keys):
+            pairs = _Turn(keys, turn, n_bits)
             for probe in range(PROBES):
-                bits[_spots(keys, turn, probe, n_bits)] = True
+                bits[pairs.spots(probe)] = True
             more = levels > turn
             keys, levels, turn = keys[more], levels[more], turn + 1
         return pa.table({"part": group["part"][:1], "n_bits": pa.array([n_bits], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
@@ -294,33 +307,37 @@ def build_filter(texts: DataFrame, order: int, parts: int) -> DataFrame:
     return texts.mapInArrow(_blocks(per_chunk), BLOCK).groupBy("part").applyInArrow(segment, SEGMENT)
 
 
-def levels_in(keys: np.ndarray, n_bits: int, bits: bytes) -> np.ndarray:
-    """Levels of hashes in their segment, by probes with 1, 2, ... until one misses."""
-    data = np.frombuffer(bits, dtype=np.uint8)
+def levels_in(keys: np.ndarray, data: np.ndarray, begin: np.ndarray | int, n_bits: np.ndarray | int) -> np.ndarray:
+    """Levels of hashes, by probes with 1, 2, ... until one misses; their segment begins at bit ``begin``."""
     out, open_, turn = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
+    begin, n_bits = np.broadcast_to(begin, keys.shape), np.broadcast_to(n_bits, keys.shape)
     while len(open_):
+        pairs = _Turn(keys[open_], turn, n_bits[open_])
         for probe in range(PROBES):
-            spot = _spots(keys[open_], turn, probe, n_bits)
-            open_ = open_[(data[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
+            spot = begin[open_] + pairs.spots(probe)
+            hit = (data[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+            open_ = open_[hit]
+            pairs.only(hit)
         out[open_] = turn
         turn += 1
     return out
 
 
 class Filter:
-    """All segments, as they are broadcast: one by one, so nowhere is a second copy of them made."""
+    """All segments side by side, as they are broadcast; filled one by one, so nowhere is a second copy of them."""
 
-    def __init__(self, segments: DataFrame, parts: int):
-        self.parts = parts
-        self.segments = {r["part"]: (r["n_bits"], bytes(r["bits"])) for r in segments.toLocalIterator()}
+    def __init__(self, segments: DataFrame, parts: int, n_bytes: int):
+        self.parts, self.data, at = parts, np.zeros(n_bytes + 8, dtype=np.uint8), 8
+        # a part without a segment has one bit, which is not set
+        self.begin, self.n_bits = np.zeros(parts, dtype=np.int64), np.ones(parts, dtype=_U)
+        for part, n_bits, bits in segments.toLocalIterator():
+            self.data[at : at + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
+            self.begin[part], self.n_bits[part] = 8 * at, n_bits
+            at += len(bits)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of sorted hashes; a part without a segment holds nothing."""
-        out = np.zeros(len(keys), dtype=np.int64)
-        for part, a, b in _share(keys, self.parts):
-            if part in self.segments:
-                out[a:b] = levels_in(keys[a:b], *self.segments[part])
-        return out
+        part = _part_of(keys, self.parts)
+        return levels_in(keys, self.data, self.begin[part], self.n_bits[part])
 
 
 def _levels_at_segments(texts: DataFrame, segments: DataFrame, order: int, parts: int) -> DataFrame:
@@ -333,7 +350,7 @@ def _levels_at_segments(texts: DataFrame, segments: DataFrame, order: int, parts
 
     def look_up(blocks: pa.Table, segment: pa.Table) -> pa.Table:
         n = blocks.num_rows
-        held = (segment["n_bits"][0].as_py(), segment["bits"][0].as_py()) if segment.num_rows else None
+        held = (np.frombuffer(segment["bits"][0].as_py(), dtype=np.uint8), 0, segment["n_bits"][0].as_py()) if segment.num_rows else None
         keys = (unpacked_keys(x.as_py()) for x in blocks["keys"])
         payload = [packed(levels_in(k, *held) if held else np.zeros(len(k))) for k in keys]
         return pa.table({
@@ -396,7 +413,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     filter_bytes = segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     found = known.filter("chunk is not null")
     if filter_bytes <= limit:
-        shared = spark.sparkContext.broadcast(Filter(segments, parts))
+        shared = spark.sparkContext.broadcast(Filter(segments, parts, filter_bytes))
     else:
         shared = None
         found = found.unionByName(scratch.write(_levels_at_segments(texts, segments, order, parts), "levels"))
