@@ -43,7 +43,9 @@ ADD, PRIOR = 0.1, 50.0
 #: Ratio of neighbouring levels, bits per inserted item, bits set by an item.
 RATIO, BITS, PROBES = 1.25, 10, 6
 #: Texts of one chunk (one document at least), words counted and n-grams held by one task at about.
-CHUNK_BYTES, PART_WORDS, SEGMENT_GRAMS = 8_000_000, 2_000_000, 2_000_000
+CHUNK_BYTES, PART_WORDS, SEGMENT_GRAMS = 4_000_000, 2_000_000, 2_000_000
+#: Hashes probed at once.
+PROBED_KEYS = 250_000
 #: The filter is broadcast up to this size.
 BROADCAST_BYTES = 128_000_000
 
@@ -96,7 +98,7 @@ CHUNK = "chunk long, ids array<long>, train array<boolean>, sizes array<long>, n
 
 
 def text_chunks(docs: DataFrame, key: str, text: str, train: Column) -> DataFrame:
-    """Whole texts of consecutive rows, some 8 MB in one row, compressed; to be written before use.
+    """Whole texts of consecutive rows, some 4 MB in one row, compressed; to be written before use.
 
     The number of a chunk is that of its task and its place there.
     """
@@ -336,8 +338,12 @@ class Filter:
             at += len(bits)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        part = _part_of(keys, self.parts)
-        return levels_in(keys, self.data, self.begin[part], self.n_bits[part])
+        out = np.zeros(len(keys), dtype=np.int64)
+        for at in range(0, len(keys), PROBED_KEYS):
+            some = keys[at : at + PROBED_KEYS]
+            part = _part_of(some, self.parts)
+            out[at : at + PROBED_KEYS] = levels_in(some, self.data, self.begin[part], self.n_bits[part])
+        return out
 
 
 def _levels_at_segments(texts: DataFrame, segments: DataFrame, order: int, parts: int) -> DataFrame:
