@@ -103,22 +103,34 @@ def run_batches(spark, folder, *batches, rules=RULES, kept=dt.timedelta(minutes=
         facts = cut_lineage(st.facts(prepared, plan))
         for _ in range(2):  # a repeated attempt changes nothing
             st.advance(fresh, prepared)
-        rows = join_record(fresh, rule_numbers(facts, plan)).withColumn("d", plan.report(F.col("number")))
-        found |= {r[0]: r[1] for r in rows.select("record_id", "d.rule_id").collect()}
+        rows = plan.reported(join_record(fresh, rule_numbers(facts, plan)))
+        found |= {r[0]: r[1] for r in rows.select("record_id", "detection.rule_id").collect()}
         late += [r.record_id for r in behind.collect()]
         fresh.unpersist()
     return found, late
 
 
-def test_batches_share_history_and_forget(spark, tmp_path):
+def state_after(spark, folder, batch_id, events, idle=state.IDLE):
+    """One more micro-batch, of which only the state matters."""
+    from wardlake.sources.events import prepare
+
+    st = state.EventState(spark, folder, batch_id, RULES, dt.timedelta(minutes=10), idle)
+    fresh, _ = st.admit(events)
+    st.advance(fresh, prepare(fresh))
+    return st
+
+
+def test_batches_share_history_and_forget(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "DROP_EVERY", 1)
     one = simple(spark, (1, "S", "4625", 0, "m"), (2, "S", "4625", 30, "m"))
     two = simple(spark, (3, "S", "4625", 50, "m"), (4, "S", "4625", 95, "m"), (2, "S", "4625", 30, "m"))
     three = simple(spark, (5, "S", "4624", 5000, "m"))
     folder = str(tmp_path / "state")
     found, late = run_batches(spark, folder, one, two, three)
     assert (found, late) == ({1: None, 2: None, 3: "t", 4: None, 5: None}, [])
-    assert spark.read.parquet(f"{folder}/tail/batch=2").count() == 0
-    assert not (tmp_path / "state/tail/batch=0").exists()
+    state_after(spark, folder, 3, simple(spark, (6, "S", "4624", 5001, "m")))
+    assert state.EventState(spark, folder, 4, RULES, dt.timedelta(0)).tail.read().count() == 0
+    assert not (tmp_path / "state/tail/rows/0-0").exists()
     assert state.horizon(RULES) == dt.timedelta(seconds=60)
 
 
@@ -146,7 +158,7 @@ def test_channel_two_days_behind_loses_nothing(spark, tmp_path):
     folder = str(tmp_path / "a")
     found, late = run_batches(spark, folder, first, second, third)
     assert late == [] and found[9] == "t"
-    seen = spark.read.parquet(f"{folder}/seen/batch=2").filter("log_source = 'B'")
+    seen = state.EventState(spark, folder, 3, RULES, dt.timedelta(0)).seen.read().filter("log_source = 'B'")
     assert sorted(r.record_id for r in seen.collect()) == [1, 2, 9]
 
 
@@ -159,18 +171,14 @@ def test_events_without_time_are_seen_once(spark, tmp_path):
     assert (fresh.count(), late.count()) == (0, 0)
 
 
-def test_silent_channel_holds_nothing(spark, tmp_path):
-    from wardlake.sources.events import prepare
-
-    one = simple(spark, (1, "A", "4625", 172800, "m"), (2, "B", "4625", 0, "m"))
-    two = simple(spark, (3, "A", "4624", 172805, "m"))
+def test_silent_channel_holds_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "DROP_EVERY", 1)
+    batches = [simple(spark, (2, "B", "4625", 0, "m")), simple(spark, (1, "A", "4625", 172800, "m")), simple(spark, (3, "A", "4624", 172805, "m"))]
 
     def left(folder, idle):
-        for k, batch in enumerate((one, two)):
-            st = state.EventState(spark, folder, k, RULES, dt.timedelta(minutes=10), idle)
-            fresh, _ = st.admit(batch)
-            st.advance(fresh, prepare(fresh))
-        return spark.read.parquet(f"{folder}/tail/batch=1").count()
+        for k, batch in enumerate((*batches, batches[-1])):
+            state_after(spark, folder, k, batch, idle)
+        return state.EventState(spark, folder, 4, RULES, dt.timedelta(0)).tail.read().count()
 
     assert left(str(tmp_path / "a"), dt.timedelta(0)) == 1
     assert left(str(tmp_path / "b"), None) == left(str(tmp_path / "c"), state.IDLE) == 2
@@ -196,7 +204,7 @@ def test_missing_state_is_an_error(spark, tmp_path):
 
     with pytest.raises(AnalysisException):
         run_batches(spark, str(tmp_path / "s"), simple(spark, (1, "S", "1", 0, "m")))
-        state.EventState(spark, str(tmp_path / "s"), 5, RULES, dt.timedelta(0)).tail("record_id long").count()
+        state_after(spark, str(tmp_path / "s"), 5, simple(spark, (2, "S", "1", 0, "m")))
 
 
 def test_answers_that_come_later(spark, tmp_path):

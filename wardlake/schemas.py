@@ -153,3 +153,27 @@ RULE = T.StructType(
         T.StructField("idx", T.IntegerType()),
     ]
 )
+
+#: The entry of the feed that a record meets.
+THREAT = T.StructType(
+    [
+        T.StructField("ip", T.StringType()),
+        T.StructField("category", T.StringType()),
+        T.StructField("confidence", T.IntegerType()),
+    ]
+)
+
+#: What a rule reports where it matches.
+RESULT = T.StructType(
+    [
+        T.StructField("rule_id", T.StringType()),
+        T.StructField("rule_name", T.StringType()),
+        T.StructField("risk_level", T.StringType()),
+        T.StructField("severity", T.StringType()),
+        T.StructField("mitre_technique", T.StringType()),
+        T.StructField("mitre_techniques", T.ArrayType(T.StringType())),
+        T.StructField("tags", T.ArrayType(T.StringType())),
+        T.StructField("match_message", T.StringType()),
+        T.StructField("description", T.StringType()),
+    ]
+)

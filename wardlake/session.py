@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,19 +57,36 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_cuts = threading.local()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read back.
 
     A lost executor then costs a read instead of the whole computation, and
-    whoever uses the rows twice does not compute them twice. The folder is the
-    caller's to clear, like any checkpoint folder.
+    whoever uses the rows twice does not compute them twice. Inside ``cutting``
+    the folder is deleted at its end; elsewhere it is the caller's to clear.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut/{uuid.uuid4().hex}"
+    if getattr(_cuts, "paths", None) is not None:
+        _cuts.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cutting(spark: SparkSession) -> Iterator[None]:
+    """Tables cut by this thread inside the block are deleted when it is left, so use its results inside."""
+    outer, _cuts.paths = getattr(_cuts, "paths", None), []
+    try:
+        yield
+    finally:
+        mine, _cuts.paths = _cuts.paths, outer
+        for path in mine:
+            delete(spark, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is; none there is no error."""
     jvm = spark.sparkContext._jvm
@@ -80,3 +100,10 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     at = jvm.org.apache.hadoop.fs.Path(path)
     store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """A folder that is there already is left alone."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)

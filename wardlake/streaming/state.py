@@ -1,8 +1,7 @@
 """What a stream of events must remember between micro-batches, as tables.
 
-All state is files in a shared folder, one sub-folder per micro-batch: nothing
-is held in one task, a repeated micro-batch reads and writes the same folders
-again, and folders nothing can ask for any more are deleted.
+All state is files in a shared folder: nothing is held in one task, and a repeated
+micro-batch reads and writes the same folders again.
 
 * ``seen``: record keys, so that a record read twice counts once;
 * ``tail``: events a threshold rule may still count;
@@ -11,6 +10,12 @@ again, and folders nothing can ask for any more are deleted.
   when the channel last delivered rows;
 * ``rules``: the threshold rules the tail was kept for.
 
+The first two grow with the events, so each micro-batch adds a part of its own
+rows only (see ``parts``); the other two have a row per channel and per rule.
+Whether a record is known is told by the zones and filters of the parts, and the
+keys themselves are read only where those say so. Of the tail a micro-batch reads
+what lies within the reach of the rules before its first event.
+
 An event is late only against its own channel. Record keys are kept as long as
 their own channel may deliver them again, and history goes back as far as the
 slowest channel that is still alive needs it. A channel is alive by what arrives,
@@ -23,18 +28,26 @@ import json
 from dataclasses import asdict
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wardlake.operators.detect import Plan, event_facts, with_host
 from wardlake.operators.rules import Rule, check_patterns, predicate
-from wardlake.schemas import RECORD
+from wardlake.schemas import PROCESS_DETAILS, RAW_EVENT, RECORD
 from wardlake.session import delete
+from wardlake.streaming.parts import PartTable, without_keys
 
 CARRIED = (*RECORD, "event_id", "event_time", "message", "details")
 #: How far an event may lie ahead of this machine's clock and still move the limits.
 SKEW = timedelta(minutes=1)
 #: A channel that has delivered nothing for so long, by this machine's clock, holds nothing back.
 IDLE = timedelta(days=1)
+SEEN = "host string, log_source string, record_id long, event_time timestamp"
+TAIL = T.StructType([*(f for f in RAW_EVENT.fields if f.name in CARRIED), T.StructField("details", PROCESS_DETAILS)])
+RULES_KEPT = "rule string, bound timestamp"
+#: Files of the table of channels.
+NEWEST_FILES = 4
+#: Parts that nothing asks for are looked for every so many micro-batches.
+DROP_EVERY = 4
 NEWEST = "host string, log_source string, newest timestamp, arrived timestamp"
 
 
@@ -58,6 +71,10 @@ class EventState:
         """``idle`` None: every channel holds its history for ever."""
         self.spark, self.path, self.batch_id = spark, path, batch_id
         self.rules = check_patterns(spark, rules)
+        self.seen = PartTable(spark, f"{path}/seen", SEEN, RECORD, "event_time")
+        self.tail = PartTable(spark, f"{path}/tail", TAIL, time="event_time")
+        #: One row per threshold rule, and one with the time up to which no event counts any more.
+        self._rules_before = self._read("rules", RULES_KEPT).collect()
         #: A batch without threshold rules keeps what the rules before it need.
         self.kept_for = _counted(self.rules) or self._last_rules()
         self.idle = idle
@@ -75,68 +92,82 @@ class EventState:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={self.batch_id}")
 
     def _last_rules(self) -> list[Rule]:
-        rows = self._read("rules", "rule string").collect()  # one row per threshold rule
         lists = ("mitre", "tags", "exclude_users", "include_users")
-        return [Rule(**{k: tuple(v) if k in lists else frozenset(v) if k == "broken" else v for k, v in json.loads(r["rule"]).items()}) for r in rows]
+        given = [json.loads(r["rule"]) for r in self._rules_before if r["rule"] is not None]
+        return [Rule(**{k: tuple(v) if k in lists else frozenset(v) if k == "broken" else v for k, v in d.items()}) for d in given]
 
     def _limits(self, newest: DataFrame) -> DataFrame:
         """``_limit``: the time up to which an event of a channel is late."""
         return newest.select("host", "log_source", (F.col("newest") - F.make_interval(secs=F.lit(self.keep.total_seconds()))).alias("_limit"))
 
+    def _with_limit(self, rows: DataFrame, limits: DataFrame) -> DataFrame:
+        same = rows["host"].eqNullSafe(limits["host"]) & rows["log_source"].eqNullSafe(limits["log_source"])
+        return rows.join(limits, same, "left").select(rows["*"], "_limit")
+
     def admit(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(events not seen before, events too late to tell); both once per record."""
         once = with_host(batch).dropDuplicates(list(RECORD))
         self.delivered = once.select("host", "log_source").distinct()
-        limits = self._limits(self._read("newest", NEWEST))
-        same = once["host"].eqNullSafe(limits["host"]) & once["log_source"].eqNullSafe(limits["log_source"])
-        marked = once.join(limits, same, "left").select(once["*"], "_limit")
-        late = F.coalesce(F.col("event_time") <= F.col("_limit"), F.lit(False))
-        seen = self._read("seen", "host string, log_source string, record_id long, event_time timestamp")
+        marked = self._with_limit(once, self._limits(self._read("newest", NEWEST)))
+        late = _late("event_time")
         fresh = marked.filter(~late).drop("_limit")
-        known = F.lit(True)
-        for c in RECORD:
-            known = known & fresh[c].eqNullSafe(seen[c])
-        return fresh.join(seen, known, "left_anti"), marked.filter(late).drop("_limit")
-
-    def tail(self, schema) -> DataFrame:
-        return self._read("tail", schema)
+        return without_keys(fresh, self.seen.lookup(fresh, self.batch_id), RECORD), marked.filter(late).drop("_limit")
 
     def advance(self, fresh: DataFrame, prepared: DataFrame) -> None:
         """Write the state after this micro-batch and delete what the one before the last left."""
         clock = datetime.now(timezone.utc)
-        newest = self._read("newest", NEWEST).withColumn("arrived", F.coalesce("arrived", F.lit(clock)))
+        before = self._read("newest", NEWEST).withColumn("arrived", F.coalesce("arrived", F.lit(clock)))
         seen_now = fresh.groupBy("host", "log_source").agg(F.max(F.least("event_time", F.lit(clock + SKEW))).alias("newest"))
         if self.delivered is not None:
             seen_now = seen_now.unionByName(self.delivered, allowMissingColumns=True)
-        newest = newest.unionByName(seen_now.withColumn("arrived", F.lit(clock)))
+        newest = before.unionByName(seen_now.withColumn("arrived", F.lit(clock)))
         newest = newest.groupBy("host", "log_source").agg(F.max("newest").alias("newest"), F.max("arrived").alias("arrived"))
-        self._write(newest, "newest")
+        self._write(newest.coalesce(NEWEST_FILES), "newest")
         newest = self.spark.read.schema(newest.schema).parquet(f"{self.path}/newest/batch={self.batch_id}")
-        before = self._read("seen", "host string, log_source string, record_id long, event_time timestamp")
-        seen = before.unionByName(fresh.select(*RECORD, "event_time"))
         limits = self._limits(newest)
-        same = seen["host"].eqNullSafe(limits["host"]) & seen["log_source"].eqNullSafe(limits["log_source"])
         # what ``admit`` would still take, rows without a time included
-        asked_for = ~F.coalesce(F.col("event_time") <= F.col("_limit"), F.lit(False))
-        self._write(seen.join(limits, same, "left").filter(asked_for).select(seen["*"]), "seen")
-        living = newest if self.idle is None else newest.filter(F.col("arrived") >= F.lit(clock - self.idle))
-        slowest = living.agg(F.min("newest")).first()[0]
-        alive = F.lit(True) if slowest is None else F.col("event_time") > F.lit(slowest - self.keep)
+        asked_for = lambda rows, oldest: self._with_limit(rows, limits).filter(~_late("event_time")).drop("_limit")
+        self.seen.add(fresh.select(*RECORD, "event_time"), self.batch_id, asked_for)
         may_count = F.lit(False)
         for rule in self.kept_for:
             may_count = may_count | predicate(rule)
-        mine = prepared.select(*CARRIED)
-        self._write(self.tail(mine.schema).unionByName(mine.filter(may_count)).filter(alive), "tail")
-        described = [(json.dumps({k: sorted(v) if isinstance(v, frozenset) else v for k, v in asdict(r).items()}),) for r in self.kept_for]
-        self._write(self.spark.createDataFrame(described, "rule string"), "rules")
-        for name in ("newest", "seen", "tail", "rules"):
+        bound = self._bound(newest, clock)
+        alive = lambda rows: rows if bound is None else rows.filter(F.col("event_time") > F.lit(bound))
+        self.tail.add(alive(prepared.select(*CARRIED).filter(may_count)), self.batch_id, lambda rows, oldest: alive(rows))
+        bound_before = next((r["bound"] for r in self._rules_before if r["rule"] is None), None)
+        if self.batch_id % DROP_EVERY == DROP_EVERY - 1:
+            self._drop_seen(self._limits(before))
+            if bound_before is not None:
+                self.tail.drop(self.tail.past(bound_before, self.batch_id))
+        described = [json.dumps({k: sorted(v) if isinstance(v, frozenset) else v for k, v in asdict(r).items()}) for r in self.kept_for]
+        rows = [(None, bound), *((d, None) for d in described)]
+        self._write(self.spark.createDataFrame(rows, RULES_KEPT).coalesce(1), "rules")
+        for name in ("newest", "rules"):
             delete(self.spark, f"{self.path}/{name}/batch={self.batch_id - 2}")
 
+    def _bound(self, newest: DataFrame, clock: datetime) -> datetime | None:
+        """The time up to which no event counts any more; None where that is not known."""
+        living = newest if self.idle is None else newest.filter(F.col("arrived") >= F.lit(clock - self.idle))
+        slowest = living.agg(F.min("newest")).first()[0]
+        return None if slowest is None else slowest - self.keep
+
+    def _drop_seen(self, limits: DataFrame) -> None:
+        """Delete parts all of whose keys were late before this micro-batch, so it has not asked for them."""
+        zones = self._with_limit(self.seen.zones(self.batch_id), limits)
+        open_ = F.col("_timeless") | ~_late("_newest")
+        dead = zones.groupBy("_part").agg(F.bool_or(open_).alias("_open")).filter(~F.col("_open"))
+        self.seen.drop([r["_part"] for r in dead.collect()])  # a few parts
+
     def facts(self, prepared: DataFrame, plan: Plan, strict_fields: bool = False) -> DataFrame:
-        """Facts of the new events, ``public_ips`` included, and of the events remembered."""
+        """Facts of the new events, ``public_ips`` included, and of the events remembered that they may count."""
         ips = F.col("public_ips") if "public_ips" in prepared.columns else F.array().cast("array<string>")
         new = event_facts(prepared, plan, strict_fields, public_ips=ips)
-        old = self.tail(prepared.select(*CARRIED).schema)
+        first = prepared.agg(F.min("event_time")).first()[0] if plan.counted else None
+        if first is None:
+            return new
+        old = self.tail.read(self.batch_id).filter(F.col("event_time") > F.lit(first - horizon(self.rules)))
         return new.unionByName(event_facts(old, plan, strict_fields, public_ips=F.array().cast("array<string>")))
 
 
+def _late(time: str) -> Column:
+    return F.coalesce(F.col(time) <= F.col("_limit"), F.lit(False))
