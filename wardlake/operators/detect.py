@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wardlake.operators import counting
+from wardlake.operators import counting, rule_index
 from wardlake.operators.rules import (
     RESULT_DDL,
     Rule,
@@ -90,7 +90,7 @@ def _entries(counted: list[tuple[int, Rule]], strict: bool) -> Column:
 
 def _candidates(rows: DataFrame, counted: list[tuple[int, Rule]], *keep: str) -> DataFrame:
     """One row per event and threshold rule it is a candidate for, ready for counting."""
-    each = _with_order(rows).select("_us", "_seq", F.explode("_f.entries").alias("_e"), *keep)
+    each = rows.select("_us", "_seq", F.explode("_f.entries").alias("_e"), *keep)
     return _with_limits(
         each.select("_us", "_seq", *keep, F.col("_e.rule").alias("_rule"), F.col("_e.key").alias("_key")),
         counted,
@@ -134,13 +134,13 @@ def with_host(events: DataFrame) -> DataFrame:
     return events if "host" in events.columns else events.withColumn("host", F.lit(None).cast("string"))
 
 
-def join_record(events: DataFrame, narrow: DataFrame) -> DataFrame:
-    """Left join of ``narrow``, one row per record, by the whole record key; its parts may be NULL."""
+def join_record(events: DataFrame, narrow: DataFrame, how: str = "left") -> DataFrame:
+    """Join of ``narrow``, for a left join one row per record, by the whole record key; its parts may be NULL."""
     named = narrow.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(RECORD)})
     same = F.lit(True)
     for i, c in enumerate(RECORD):
         same = same & events[c].eqNullSafe(named[f"_k{i}"])
-    return events.join(named, same, "left").drop(*[f"_k{i}" for i in range(len(RECORD))])
+    return events.join(named, same, how).drop(*[f"_k{i}" for i in range(len(RECORD))])
 
 
 def _top(level: list[tuple[int, Rule]]) -> int:
@@ -154,21 +154,6 @@ def _may_count(counted: list[tuple[int, Rule]]) -> Column | None:
     return F.coalesce(F.col("event_id").isin(*sorted({r.event_id for _, r in counted})), F.lit(False))
 
 
-def _split(
-    events: DataFrame, counted: list[tuple[int, Rule]], facts: dict[str, Column]
-) -> tuple[DataFrame, DataFrame]:
-    """(events no threshold rule can take, the others), both with ``_f``."""
-    cheap = _may_count(counted)
-    if cheap is not None:
-        return (
-            _with_facts(events.filter(~cheap), **facts),
-            _with_facts(events.filter(cheap), **facts),
-        )
-    rows = _with_facts(events, **facts)
-    contested = F.size("_f.entries") > 0
-    return rows.filter(~contested), rows.filter(contested)
-
-
 @dataclass(frozen=True)
 class Plan:
     """Rules in the order they are tried, numbered from 1."""
@@ -186,12 +171,16 @@ class Plan:
         singles = [(n, r) for n, r in numbered if not r.counted]
         return Plan(ordered, singles, counted, _levels(counted) if counted else [])
 
-    def report(self, number: Column) -> Column:
-        """The result of the rule with this number, NULL for none."""
+    def reported(self, rows: DataFrame) -> DataFrame:
+        """``detection``, the result of the rule with the number in ``number`` (NULL for none), in its place."""
         if not self.ordered:
-            return F.lit(None).cast(RESULT_DDL)
+            return rows.withColumn("detection", F.lit(None).cast(RESULT_DDL)).drop("number")
+        if len(self.ordered) > rule_index.INDEX_ABOVE:
+            listed = rule_index.results(rows.sparkSession, list(enumerate(self.ordered, start=1)))
+            return rows.join(F.broadcast(listed.withColumnRenamed("result", "detection")), "number", "left").drop("number")
         results = F.array(*[result_struct(r) for r in self.ordered])
-        return F.when(number.isNotNull(), F.element_at(results, number))
+        found = F.when(F.col("number").isNotNull(), F.element_at(results, F.col("number")))
+        return rows.withColumn("detection", found).drop("number")
 
 
 def event_facts(events: DataFrame, plan: Plan, strict_fields: bool = False, **more: Column) -> DataFrame:
@@ -200,8 +189,13 @@ def event_facts(events: DataFrame, plan: Plan, strict_fields: bool = False, **mo
     Record key, time, first single-event rule, candidate threshold rule per
     level, and ``more``. All rule tests and parses run here, once per event.
     """
-    first = _first_number(plan.singles, strict_fields)
-    rows = _with_facts(_with_order(with_host(events)), first=first, **more).withColumnRenamed("_f", "_s")
+    events = with_host(events)
+    if len(plan.singles) > rule_index.INDEX_ABOVE:
+        found = rule_index.matching_rules(events, plan.singles, strict_fields).groupBy(*RECORD).agg(F.min("number").alias("_first"))
+        events, first = join_record(events, found), F.col("_first")
+    else:
+        first = _first_number(plan.singles, strict_fields)
+    rows = _with_facts(_with_order(events), first=first, **more).withColumnRenamed("_f", "_s")
     levels = {f"level{d}": _entry(lv, F.col("_s.first"), strict_fields) for d, lv in enumerate(plan.levels, 1)}
     if levels:
         rows = _with_facts(rows, **levels)
@@ -248,12 +242,12 @@ def first_match(events: DataFrame, rules: list[Rule], strict_fields: bool = Fals
     row comes back, with the same outcome.
     """
     plan = Plan.of(events.sparkSession, rules)
-    if not plan.counted:
+    if not plan.counted and len(plan.singles) <= rule_index.INDEX_ABOVE:
         rows = _with_facts(events, first=_first_number(plan.singles, strict_fields))
-        return rows.withColumn("detection", plan.report(F.col("_f.first"))).drop("_f")
+        return plan.reported(rows.withColumn("number", F.col("_f.first"))).drop("_f")
     facts = cut_lineage(event_facts(events, plan, strict_fields))
     joined = join_record(with_host(events), rule_numbers(facts, plan))
-    return joined.withColumn("detection", plan.report(F.col("number"))).select(*events.columns, "detection")
+    return plan.reported(joined).select(*events.columns, "detection")
 
 
 def _mark_level(rows: DataFrame, depth: int, level: list[tuple[int, Rule]], free: Column) -> DataFrame:
@@ -263,7 +257,11 @@ def _mark_level(rows: DataFrame, depth: int, level: list[tuple[int, Rule]], free
 
 
 def all_matches(events: DataFrame, rules: list[Rule], strict_fields: bool = False) -> DataFrame:
-    """Add ``detections``: every matching rule in load order; each rule sees every event."""
+    """Add ``detections``: every matching rule in load order; each rule sees every event.
+
+    With threshold rules the rule tests run once: their narrow outcome is written,
+    counted, and joined back by record.
+    """
     ordered = by_file(check_patterns(events.sparkSession, rules))
     given, events = events.columns, with_host(events)
     if not ordered:
@@ -271,6 +269,10 @@ def all_matches(events: DataFrame, rules: list[Rule], strict_fields: bool = Fals
     numbered = list(enumerate(ordered, start=1))
     singles = [(n, r) for n, r in numbered if not r.counted]
     counted = [(n, r) for n, r in numbered if r.counted]
+    if len(numbered) > rule_index.INDEX_ABOVE:
+        return join_record(events, _indexed_matches(events, numbered, strict_fields)).select(
+            *given, F.coalesce("detections", F.array().cast(f"array<{RESULT_DDL}>")).alias("detections")
+        )
     results = F.array(*[result_struct(r) for r in ordered])
     tests = [F.when(predicate(r, strict_fields), F.lit(n)) for n, r in singles]
     none = F.array().cast("array<int>")
@@ -278,20 +280,51 @@ def all_matches(events: DataFrame, rules: list[Rule], strict_fields: bool = Fals
     if not counted:
         rows = _with_facts(events, **facts).withColumn("_numbers", F.col("_f.numbers"))
     else:
-        facts["entries"] = _entries(counted, strict_fields)
-        plain, open_rows = _split(events, counted, facts)
-        fired = counting.fired_rows(_candidates(open_rows, counted), _top(counted))
-        hits = fired.groupBy("_seq").agg(F.collect_set("_rule").alias("_more"))
-        hits = hits.select(*[F.col(f"_seq.{c}").alias(c) for c in RECORD], "_more")
-        open_rows = join_record(open_rows, hits)
-        open_rows = open_rows.withColumn("_numbers", F.concat("_f.numbers", F.coalesce("_more", none))).drop("_more")
-        rows = plain.withColumn("_numbers", F.col("_f.numbers")).unionByName(open_rows)
+        narrow = _narrow(events, entries=_entries(counted, strict_fields), **facts)
+        fired = counting.fired_rows(_candidates(narrow, counted, *RECORD), _top(counted))
+        hits = fired.select(*RECORD, F.array("_rule").alias("_numbers")).unionByName(narrow.select(*RECORD, F.col("_f.numbers").alias("_numbers")))
+        hits = hits.groupBy(*RECORD).agg(F.array_distinct(F.flatten(F.collect_set("_numbers"))).alias("_numbers"))
+        rows = join_record(events, hits).withColumn("_numbers", F.coalesce("_numbers", none))
     return rows.withColumn(
         "detections",
         F.transform(F.array_sort("_numbers"), lambda n: F.element_at(results, n)),
     ).select(*given, "detections")
 
 
+def _indexed_matches(events: DataFrame, numbered: list[tuple[int, Rule]], strict: bool) -> DataFrame:
+    """Record key and ``detections`` of the events any rule of a large catalogue matches."""
+    spark = events.sparkSession
+    keyed = _with_order(events).withColumn("_keys", F.array(*[threshold_key(Rule("", **w)) for w in KEY_KINDS]))
+    found = rule_index.matching_rules(keyed, numbered, strict, ("_us", "_seq", "_keys"))
+    found = cut_lineage(found.dropDuplicates([*RECORD, "number"]))
+    singles = found.filter("threshold = 0").select(*RECORD, "number")
+    counted = [r.threshold for _, r in numbered if r.counted]
+    if counted:
+        key = F.element_at("_keys", F.col("kind"))
+        rows = found.filter("threshold > 0").select(
+            *RECORD, "_us", "_seq", F.col("number").alias("_rule"), key.alias("_key"),
+            F.col("window_us").alias("_window_us"), F.col("threshold").alias("_threshold"),
+        )
+        fired = counting.fired_rows(rows, max(counted)).select(*RECORD, F.col("_rule").alias("number"))
+        singles = singles.unionByName(fired)
+    named = singles.join(F.broadcast(rule_index.results(spark, numbered)), "number")
+    listed = named.groupBy(*RECORD).agg(F.array_sort(F.collect_list(F.struct("number", "result"))).alias("_d"))
+    return listed.select(*RECORD, F.col("_d.result").alias("detections"))
+
+
+#: A rule of each kind of counting key.
+KEY_KINDS = ({}, {"image_regex": "x"}, {"parent_image_regex": "x"})
+
+
+def _narrow(events: DataFrame, **facts: Column) -> DataFrame:
+    """Record key, order and ``_f`` (arrays) of the events for which any of it is not empty, written once."""
+    rows = _with_order(_with_facts(events, **facts)).select(*RECORD, "_us", "_seq", "_f")
+    useful = F.lit(False)
+    for name in facts:
+        useful = useful | (F.size(f"_f.{name}") > 0)
+    return cut_lineage(rows.filter(useful))
+
+
 def pick_first(matches: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add ``detection``: of the rules in ``detections``, the one that ranks first.
 
@@ -313,7 +346,8 @@ def pick_first(matches: DataFrame, rules: list[Rule]) -> DataFrame:
 def threshold_alerts(events: DataFrame, rules: list[Rule], strict_fields: bool = False) -> DataFrame:
     """One row per event and threshold rule that fires, each rule on its own.
 
-    Only firing rows come back, so events no rule counts are never shuffled.
+    The rule tests run once, and only narrow rows of the events a rule counts
+    are shuffled; those that fire meet the events by record.
     """
     ordered = by_file(check_patterns(events.sparkSession, rules))
     numbered = [(n, r) for n, r in enumerate(ordered, start=1) if r.counted]
@@ -321,9 +355,10 @@ def threshold_alerts(events: DataFrame, rules: list[Rule], strict_fields: bool =
     results = F.array(*[result_struct(r) for r in ordered])
     cheap = _may_count(numbered)
     rows = events if cheap is None else events.filter(cheap)
-    rows = _with_facts(rows, entries=_entries(numbered, strict_fields))
-    fired = counting.fired_rows(_candidates(rows, numbered, *events.columns), _top(numbered))
-    return fired.select(
+    narrow = _narrow(rows, entries=_entries(numbered, strict_fields))
+    fired = counting.fired_rows(_candidates(narrow, numbered, *RECORD), _top(numbered))
+    fired = fired.select(*RECORD, "_rule", "_key").distinct()
+    return join_record(rows, fired, "inner").select(
         *given,
         F.col("_key").alias("threshold_key"),
         F.element_at(results, F.col("_rule")).alias("detection"),

@@ -64,8 +64,8 @@ def scored_from(
     events = join_record(with_host(raw).withColumn("message", message), merged)
     events = events.withColumn(
         "public_ips", F.coalesce("public_ips", F.array().cast("array<string>"))
-    ).withColumn("detection", plan.report(F.col("number")))
-    return _fused(events.drop("number"))
+    )
+    return _fused(plan.reported(events))
 
 
 def _fused(events: DataFrame) -> DataFrame:
@@ -79,11 +79,14 @@ def _fused(events: DataFrame) -> DataFrame:
     )
 
 
-def rescored(waiting: DataFrame, answers: DataFrame | None, answered_only: bool = False) -> DataFrame:
-    """Events with their detection, feed hit and addresses, fused with (parsed) answers that came later."""
+def rescored(waiting: DataFrame, answers: DataFrame | None, answered_only: bool = False, last: bool = False) -> DataFrame:
+    """Events with their detection, feed hit and addresses, fused with (parsed) answers that came later.
+
+    With ``last``, ``answers`` are the last ones of each record already.
+    """
     if answers is None:
         return _fused(waiting.withColumn("answer", F.lit(None).cast(ANSWER_DDL)))
-    joined = join_record(waiting, last_answers(answers))
+    joined = join_record(waiting, answers if last else last_answers(answers))
     return _fused(joined.filter(F.col("answer").isNotNull()) if answered_only else joined)
 
 
