@@ -183,6 +183,32 @@ def test_reputation_with_ranges(spark, monkeypatch):
         assert got == want
 
 
+def test_ranges_of_any_size(spark):
+    """Every length, nested, at block edges; against the definition."""
+    import ipaddress
+    import random
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(32) for _ in range(6)]
+    nets = {ipaddress.ip_network((b, bits), strict=False) for b in base for bits in range(0, 33)}
+    nets |= {ipaddress.ip_network("10.0.0.0/9"), ipaddress.ip_network("255.255.255.255/32"), ipaddress.ip_network("0.0.0.0/25")}
+    names = [str(n) if n.prefixlen < 32 else str(n[0]) for n in nets if n.prefixlen or rng.random() < 2]
+    near = [b ^ rng.getrandbits(rng.randrange(33)) for b in base for _ in range(30)]
+    ips = [str(ipaddress.ip_address(n)) for n in [*near, 0, 127, 128, 2**32 - 1]]
+    table = packets(spark, *[(i, ip, "aa:bb" if i % 7 else None, "TCP", 1) for i, ip in enumerate(ips)])
+    for chosen in (names, [n for n in names if int((n + "/32").split("/")[1]) >= 24], [n for n in names if "/" in n and int(n.split("/")[1]) < 24]):
+        got = sorted((r.seq, r.feed_entry) for r in traffic.range_reputation(table, feed_of(spark, *[(n, "c", 1) for n in chosen])).collect())
+        assert got == sorted((i, n) for i, ip in enumerate(ips) for n in chosen if ipaddress.ip_address(ip) in ipaddress.ip_network(n))
+
+
+def test_packets_stay_in_place_until_their_block_is_marked(spark):
+    blocks = spark.range(0, 2**24, 1000).withColumnRenamed("id", "block")
+    marks = traffic.block_marks(blocks)
+    assert marks.count() <= 512 and marks.agg({"_marks": "max"}).first() and marks.selectExpr("max(length(_marks)) n").first().n == 4096
+    plan = traffic.range_reputation(packets(spark, (0, "1.2.3.4", None, "TCP", 1)), feed_of(spark, ("1.2.3.0/25", "c", 1)))._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in plan
+
+
 def test_broadcast_only_below_the_bound(spark):
     table = spark.range(10).repartition(2)
     assert is_small(table, 10) and not is_small(table, 9)

@@ -127,53 +127,101 @@ def _leading(number: Column, bits: Column) -> Column:
     return F.call_function("shiftright", number, F.lit(32) - bits)
 
 
+def _ends(packets: DataFrame) -> DataFrame:
+    """One row per packet and direction."""
+    each = F.array(
+        F.struct(F.lit("source").alias("direction"), F.col("source_ip").alias("ip")),
+        F.struct(F.lit("destination").alias("direction"), F.col("dest_ip").alias("ip")),
+    )
+    return packets.select("seq", "ts", F.explode(each).alias("_e")).select("seq", "ts", "_e.*")
+
+
+ENTRY = ("category", "confidence")
+FOUND = ("seq", "ts", "direction", "ip", "feed_entry", *ENTRY)
+
+
 def reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
     """Packets from or to addresses of the feed, one row per packet, direction and feed row.
 
-    Single addresses are compared as they are; a feed of checked size is
-    broadcast and no packet moves. A feed row may also be a range
-    ``a.b.c.d/len``: the lengths that occur (at most 32) turn the range test
-    into an equality join on (length, leading bits); beyond the broadcast bound
-    that is done once per address.
+    Single addresses are compared as they are. A feed row may also be a range
+    ``a.b.c.d/len``: the lengths that occur (at most 32) are tried on the packet
+    rows themselves. A feed of checked size is broadcast and no packet moves;
+    for a larger one see ``range_reputation``.
     """
-    listed = split_feed(feed).withColumn("_ip", F.split("ip", "/")[0])
-    entry = (F.col("ip").alias("feed_entry"), "category", "confidence")
-    ends = packets.select(
-        "seq",
-        "ts",
-        F.explode(
-            F.array(
-                F.struct(F.lit("source").alias("direction"), F.col("source_ip").alias("ip")),
-                F.struct(F.lit("destination").alias("direction"), F.col("dest_ip").alias("ip")),
-            )
-        ).alias("_e"),
-    ).select("seq", "ts", "_e.*")
+    listed = split_feed(feed)
     # One row per length: how many feed rows have it.
     sizes = {r["bits"]: r["count"] for r in listed.groupBy("bits").count().collect()}
-    singles = sizes.pop(32, 0)
-    lengths = sorted(sizes)
-
-    def marked(part: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(part) if rows <= BROADCAST_ROWS else part
-
-    single = listed.filter(F.col("bits") == 32).select(F.col("_ip").alias("key"), *entry)
-    found = ends.join(marked(single, singles), F.col("ip") == F.col("key")).drop("key")
-    ranges = listed.filter(F.col("bits") < 32).select("bits", "net", *entry)
-    rows = sum(sizes.values())
-    if lengths and rows <= BROADCAST_ROWS:
-        # the few lengths are tried on the packet rows themselves; no packet moves
-        tried = ends.withColumn("_n", ipv4_number(F.col("ip"))).withColumn("bits", F.explode(F.array(*[F.lit(b) for b in lengths])))
-        tried = tried.withColumn("net", _leading(F.col("_n"), F.col("bits")))
-        found = found.unionByName(tried.join(F.broadcast(ranges), ["bits", "net"]).drop("bits", "net", "_n"))
-    elif lengths:
-        tried = (
-            ends.select("ip")
-            .distinct()
-            .withColumn("_n", ipv4_number(F.col("ip")))
-            .withColumn("bits", F.explode(F.array(*[F.lit(b) for b in lengths])))
-            .withColumn("net", _leading(F.col("_n"), F.col("bits")))
-        )
-        matched = tried.join(ranges, ["bits", "net"])
-        inside = ends.join(matched.drop("bits", "net", "_n"), "ip")
-        found = found.unionByName(inside)
-    return found.select("seq", "ts", "direction", "ip", "feed_entry", "category", "confidence")
+    if sum(sizes.values()) > BROADCAST_ROWS:
+        return range_reputation(packets, feed)
+    entry = (F.col("ip").alias("feed_entry"), *ENTRY)
+    ends = _ends(packets)
+    single = listed.filter(F.col("bits") == 32).select(F.split("ip", "/")[0].alias("key"), *entry)
+    found = ends.join(F.broadcast(single), F.col("ip") == F.col("key")).drop("key")
+    lengths = sorted(set(sizes) - {32})
+    if lengths:
+        ranges = F.broadcast(listed.filter(F.col("bits") < 32).select("bits", "net", *entry))
+        found = found.unionByName(_by_length(ends.withColumn("_n", ipv4_number(F.col("ip"))), ranges, lengths))
+    return found.select(*FOUND)
+
+
+def _by_length(ends: DataFrame, ranges: DataFrame, lengths: list[int]) -> DataFrame:
+    """Equality of (length, leading bits), each length tried on each row."""
+    tried = ends.withColumn("bits", F.explode(F.array(*[F.lit(b) for b in lengths])))
+    tried = tried.withColumn("net", _leading(F.col("_n"), F.col("bits")))
+    return tried.join(ranges, ["bits", "net"]).drop("bits", "net", "_n")
+
+
+#: Ranges of at least so many bits lie in one block of 256 addresses; blocks are marked by
+#: their leading 24 bits, those of wider ranges by 16.
+NEAR_BITS, FAR_BITS = 24, 16
+
+
+def block_marks(blocks: DataFrame) -> DataFrame:
+    """Numbers (``block``) as bitmaps of 32,768 of them: at most 512 rows and 2 MB for 24-bit numbers, whatever the feed."""
+    place = F.bitmap_bit_position(F.col("block") + 1)
+    return blocks.groupBy(F.bitmap_bucket_number(F.col("block") + 1).alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_marks"))
+
+
+def _marked(ends: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
+    """The rows whose block is marked, with its number; decided where the rows are."""
+    rows = ends.withColumn("block", _leading(F.col("_n"), F.lit(bits)))
+    rows = rows.withColumn("_bucket", F.bitmap_bucket_number(F.col("block") + 1)).withColumn("_place", F.bitmap_bit_position(F.col("block") + 1))
+    met = rows.join(F.broadcast(marks), "_bucket")
+    byte = F.conv(F.hex(F.substring("_marks", F.expr("CAST(_place DIV 8 + 1 AS INT)"), F.lit(1))), 16, 10).cast("long")
+    return met.filter(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1).drop("_bucket", "_place", "_marks")
+
+
+def range_reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
+    """The same for a feed of any size.
+
+    The blocks of addresses that any feed row touches are marked in bitmaps, which
+    have at most 2 MB and are broadcast. They rule out packets where they lie; only
+    those left, narrow, meet the feed. A range of 24 bits or more lies in one block
+    and is compared with the addresses of that block, of which it cuts out an
+    interval; feed rows of one block are few, at most 511 ranges, and a block with
+    very many packets is a skewed join key that adaptive execution splits. Wider ranges are
+    found by length and leading bits.
+    """
+    listed = split_feed(feed).withColumn("bits", F.col("bits").cast("int"))
+    near = listed.filter(F.col("bits") >= NEAR_BITS).select(
+        _leading(F.call_function("shiftleft", F.col("net"), F.lit(32) - F.col("bits")), F.lit(NEAR_BITS)).alias("block"),
+        F.call_function("shiftleft", F.col("net"), F.lit(32) - F.col("bits")).alias("low"),
+        (F.call_function("shiftleft", F.col("net") + 1, F.lit(32) - F.col("bits")) - 1).alias("high"),
+        F.col("ip").alias("feed_entry"),
+        *ENTRY,
+    )
+    far = listed.filter(F.col("bits") < NEAR_BITS).select("bits", "net", F.col("ip").alias("feed_entry"), *ENTRY)
+    ends = _ends(packets).withColumn("_n", ipv4_number(F.col("ip"))).filter(F.col("_n").isNotNull())
+    close = _marked(ends, block_marks(near.select("block").distinct()), NEAR_BITS)
+    found = close.join(near, (close["block"] == near["block"]) & close["_n"].between(near["low"], near["high"])).select(*FOUND)
+    lengths = [r["bits"] for r in far.select("bits").distinct().collect()]  # at most 24
+    if not lengths:
+        return found
+    # the blocks of a range wider than 16 bits, or the one that a narrower range lies in
+    up = lambda by: F.call_function("shiftleft", F.col("net") + by, F.lit(FAR_BITS) - F.col("bits"))
+    inside = F.sequence(up(0), up(1) - 1)
+    blocks = far.select("bits", "net").distinct().select(
+        F.explode(F.when(F.col("bits") <= FAR_BITS, inside).otherwise(F.array(F.call_function("shiftright", F.col("net"), F.col("bits") - FAR_BITS)))).alias("block")
+    )
+    wide = _marked(ends, block_marks(blocks.distinct()), FAR_BITS).drop("block")
+    return found.unionByName(_by_length(wide, far, sorted(lengths)).select(*FOUND))

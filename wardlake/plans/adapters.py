@@ -280,3 +280,16 @@ def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``supplier`` as addresses that are blocked already."""
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(ip_of(k % 200, F.floor(k / 200) % 5).alias("ip")).distinct()
+
+
+def range_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as a feed of nested address ranges of many lengths, and single addresses."""
+    k = F.col("o_orderkey")
+    length = pick((8, 14, 16, 20, 24, 26, 29, 32), k % 8)
+    ip = ip_of(k % 1117, F.floor(k / 1117) % 256)
+    return table(spark, sf_dir, "orders").select(
+        F.when(length == 32, ip).otherwise(_text(ip, "/", length)).alias("ip"),
+        pick(("Botnet", "Malware", "Scan"), k % 3).alias("category"),
+        (1 + k % 100).cast("string").alias("confidence"),
+        k.alias("row_no"),
+    )

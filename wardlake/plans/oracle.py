@@ -422,6 +422,24 @@ SELECT f.record_id, array_to_string(list_filter([CASE WHEN log_source = 'Sysmon'
   CASE WHEN b.n >= 8 THEN 'bf' END, CASE WHEN a.n >= 4 THEN 'fine' END, CASE WHEN {_PRIV} THEN 'privileges' END, CASE WHEN {_ENC} THEN 'encoded' END],
   lambda x: x IS NOT NULL), ',') AS rule_ids
 FROM facts f LEFT JOIN n_fine a USING (record_id) LEFT JOIN n_coarse c USING (record_id) LEFT JOIN n_bf b USING (record_id)""")
+_cte("large_hits", ("facts",), f"""
+SELECT f.record_id, f.us, f.log_source, r.k FROM (SELECT *, regexp_extract(message, 'Source Network Address:\\s+([0-9.]+)', 1) AS address FROM facts) f
+JOIN (SELECT k, {_ip('(k // 4)', 'k % 4')} AS address, CASE WHEN k % 7 % 2 = 0 THEN '4625' ELSE '4624' END AS event_id FROM range(5000) t(k)) r
+  ON f.address = r.address AND f.event_id = r.event_id""")
+_cte("large_fired", ("large_hits",), """
+SELECT record_id, k FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY us, log_source, record_id)
+  - count(*) OVER (PARTITION BY k ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 864000000000 PRECEDING) AS n FROM large_hits)
+WHERE k % 10 <> 3 OR n >= 2""")
+_sql("j1_large_catalogue", ("facts", "large_hits"), f"""
+SELECT f.record_id, coalesce('r' || k, CASE WHEN {_ENC.replace("log_source", "f.log_source")} THEN 'encoded' WHEN {_PRIV} THEN 'privileges' WHEN f.log_source = 'Sysmon' THEN 'any_sysmon' END) AS rule_id
+FROM facts f LEFT JOIN (SELECT record_id, k FROM large_hits WHERE k % 10 <> 3) h ON f.record_id = h.record_id""")
+_sql("j2_large_catalogue", ("facts", "n_fine", "n_bf", "n_coarse", "large_fired"), f"""
+SELECT rule_id, count(*) AS events FROM (
+  SELECT 'r' || k AS rule_id FROM large_fired
+  UNION ALL SELECT unnest([CASE WHEN log_source = 'Sysmon' THEN 'any_sysmon' END, CASE WHEN c.n >= 5 THEN 'coarse' END,
+    CASE WHEN b.n >= 8 THEN 'bf' END, CASE WHEN a.n >= 4 THEN 'fine' END, CASE WHEN {_PRIV} THEN 'privileges' END, CASE WHEN {_ENC} THEN 'encoded' END])
+  FROM facts f LEFT JOIN n_fine a USING (record_id) LEFT JOIN n_coarse c USING (record_id) LEFT JOIN n_bf b USING (record_id))
+WHERE rule_id IS NOT NULL GROUP BY rule_id""")
 _sql("j2_overlapping_reads", ("facts", "n_fine", "n_bf", "n_coarse"), f"""
 SELECT f.record_id, array_to_string(list_filter([CASE WHEN log_source = 'Sysmon' THEN 'any_sysmon' END, CASE WHEN c.n >= 5 THEN 'coarse' END,
   CASE WHEN b.n >= 8 THEN 'bf' END, CASE WHEN a.n >= 4 THEN 'fine' END, CASE WHEN {_PRIV} THEN 'privileges' END, CASE WHEN {_ENC} THEN 'encoded' END],
@@ -471,6 +489,19 @@ JOIN (SELECT *, confidence % 10 = 0 AS wide, regexp_extract(ip, '^(.*)\\.[0-9]+$
   ON (NOT f.wide AND e.ip = f.ip) OR (f.wide AND regexp_extract(e.ip, '^(.*)\\.[0-9]+$', 1) = f.net)
 GROUP BY ALL""")
 
+_cte("range_feed", (), f"""
+SELECT CASE WHEN bits = 32 THEN ip ELSE concat(ip, '/', bits) END AS entry, ({_number('ip')}) >> (32 - bits) AS net, bits, category, confidence
+FROM (SELECT *, row_number() OVER (PARTITION BY ip, bits ORDER BY k DESC) AS rn FROM (
+  SELECT o_orderkey AS k, {_ip('o_orderkey % 1117', '(o_orderkey // 1117) % 256')} AS ip, {_pick((8, 14, 16, 20, 24, 26, 29, 32), 'o_orderkey % 8')} AS bits,
+    {_pick(("Botnet", "Malware", "Scan"), 'o_orderkey % 3')} AS category, 1 + o_orderkey % 100 AS confidence FROM orders)) WHERE rn = 1""")
+_cte("numbered_ends", ("packets",), f"""
+SELECT *, {_number('ip')} AS n FROM (SELECT direction, ip, count(*) AS packets FROM (
+    SELECT 'source' AS direction, source_ip AS ip FROM packets UNION ALL SELECT 'destination', dest_ip FROM packets)
+  WHERE regexp_matches(ip, '{VALID}') GROUP BY ALL)""")
+_sql("j8_range_feed", ("numbered_ends", "range_feed"), """
+SELECT direction, ip, entry AS feed_entry, category, CAST(confidence AS INTEGER) AS confidence, packets
+FROM (SELECT *, n >> (32 - bits) AS net FROM numbered_ends, (SELECT DISTINCT bits FROM range_feed)) JOIN range_feed USING (bits, net)""")
+
 _sql("a1_total_logs", ("logs",), "SELECT count(*) AS total_logs FROM logs")
 _sql("a2_high_risk_logs", ("logs",), "SELECT count(*) AS high_risk_logs FROM logs WHERE risk_score_raw IN ('High', 'Yüksek')")
 _sql("a3_latest_detection", ("logs",), f'SELECT {_TS("max(" + chr(34) + "timestamp" + chr(34) + ")")} AS latest_detection FROM logs')
@@ -591,6 +622,11 @@ _sql("e9_rescored", ("scored",), """
 SELECT record_id AS id, md5(final_analysis) AS analysis_md5, final_risk AS risk_score, final_risk_raw AS risk_score_raw FROM scored""")
 ORACLE["t2_stream_dedupe"] = ORACLE["u1_channel_union"]
 _sql("t3_stream_first_match", ("first_rule",), "SELECT record_id, rule_id FROM first_rule")
+_sql("t8_stream_blocks", ("facts", "hits"), f"""
+SELECT DISTINCT ip, concat('wardlake_Block_', replace(ip, '.', '_')) AS rule_name FROM (
+  SELECT unnest(public_ips) AS ip, us < (SELECT (min(us) + max(us)) // 2 FROM facts) AS early
+  FROM facts f LEFT JOIN hits h ON f.record_id = h.record_id AND f.log_source = h.log_source WHERE h.threat IS NOT NULL OR ({_ENC.replace("log_source", "f.log_source")}))
+WHERE NOT early OR length(ip) % 2 = 1""")
 _sql("t4_stream_enrichment", ("raw", "hits", "kb"), """
 SELECT e.record_id, h.threat.ip AS ip, h.threat.category AS category, kb.source AS knowledge_source
 FROM raw e LEFT JOIN hits h ON e.record_id = h.record_id LEFT JOIN kb ON e.event_id = kb.event_id""")

@@ -21,6 +21,9 @@ from wardlake.sources import logs as store
 from wardlake.sources import lookups, snapshots
 from wardlake.streaming import jobs
 
+#: Files of one part of the events, so that all executors write and read it.
+FILES = 3
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -354,6 +357,34 @@ def j2_all_matches(spark, d):
     return out.select("record_id", ids.alias("rule_ids"))
 
 
+def _large_catalogue() -> list[Rule]:
+    """5,000 rules, each for one address in one kind of event; every tenth one counts."""
+    out = []
+    for k in range(5000):
+        u, j = k // 4, k % 4
+        address = rf"{1 + u % 223}\.{u % 256}\.{j}\.{1 + u % 250}"
+        where = {"event_id": ("4625", "4624")[k % 7 % 2], "message_regex": rf"source network address:\s+{address}(\s|$)"}
+        counted = {"threshold": 2, "time_window": 864000} if k % 10 == 3 else {}
+        out.append({"id": f"r{k}", "severity": ("low", "high", "medium")[k % 3], "conditions": where | counted})
+    return rules(*out)
+
+
+@query
+def j2_large_catalogue(spark, d):
+    """All matches of 5,000 rules and those of the usual queries, by the index of required pieces."""
+    found = detect.all_matches(_prepared(spark, d), rules(*ALL_RULES) + _large_catalogue())
+    hits = found.select(F.explode("detections").alias("m"))
+    return hits.groupBy(F.col("m.rule_id").alias("rule_id")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query
+def j1_large_catalogue(spark, d):
+    """First match of the same rules without those that count."""
+    chosen = [r for r in rules(*ALL_RULES) + _large_catalogue() if not r.counted]
+    out = detect.first_match(_prepared(spark, d), chosen)
+    return out.select("record_id", F.col("detection.rule_id").alias("rule_id"))
+
+
 @query
 def w1_threshold_alerts(spark, d):
     """Events at which the failed-logon rule fires."""
@@ -472,6 +503,14 @@ def j8_packet_reputation(spark, d):
     return out.groupBy("direction", "ip", "feed_entry", "category").agg(F.count(F.lit(1)).alias("packets"))
 
 
+@query
+def j8_range_feed(spark, d):
+    """Packets against a feed of nested ranges of any size: ruled out by marked blocks, then compared."""
+    feed = lookups.clean_feed(A.range_feed(spark, d))
+    out = traffic.range_reputation(_packets(spark, d), feed)
+    return out.groupBy("direction", "ip", "feed_entry", "category", "confidence").agg(F.count(F.lit(1)).alias("packets"))
+
+
 # --- aggregates ------------------------------------------------------------------
 
 
@@ -848,49 +887,68 @@ def _run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def _event_files(spark: SparkSession, d: str, out: str, parts: int = 4) -> DataFrame:
-    """The events as a stream of several files, one per micro-batch.
+def _event_files(spark: SparkSession, d: str, out: str, parts: int = 4, again: bool = True) -> DataFrame:
+    """The events as a stream of several parts, one per micro-batch and each of several files.
 
-    The channel of processes lags behind: its events come one file later than
-    the others of their time, and the last file comes twice.
+    The channel of processes lags behind: its events come one part later than
+    the others of their time; with ``again`` the last part comes twice.
     """
     raw = A.raw_events(spark, d)
     us = F.unix_micros("event_time")
     low, high = raw.agg(F.min(us), F.max(us)).first()
     place = F.floor((us - low) * parts / (high - low + 1)) + F.when(F.col("log_source") == "Sysmon", 1).otherwise(0)
     cut = cut_lineage(raw.withColumn("part", place.cast("int")))
-    for part in [*range(parts + 1), parts]:
-        cut.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{out}/files")
-    return spark.readStream.schema(schemas.RAW_EVENT).option("maxFilesPerTrigger", 1).parquet(f"{out}/files")
+    for part in [*range(parts + 1), *([parts] if again else [])]:
+        rows = cut.filter(F.col("part") == part).drop("part").repartition(FILES, "record_id")
+        rows.write.mode("append").parquet(f"{out}/files")
+    return spark.readStream.schema(schemas.RAW_EVENT).option("maxFilesPerTrigger", FILES).parquet(f"{out}/files")
 
 
 @query
 def t2_stream_dedupe(spark, d):
-    """A record that is read twice counts once."""
-    out = _run_dir(spark, "dedupe")
-    once = A.as_raw_events(A.stream_table(spark, d, "events"))
-    again = A.as_raw_events(A.stream_table(spark, d, "events"))
-    kept = jobs.dedupe(once.unionByName(again), "60 days").select("record_id", "log_source", "event_id")
-    kept.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).format(
-        "parquet"
-    ).start(f"{out}/rows").awaitTermination()
-    rows = spark.read.schema(kept.schema).parquet(f"{out}/rows")
+    """A record that is read twice counts once: several micro-batches, one channel lags, the last part comes twice."""
+    out = _run_dir(spark, "distinct")
+    jobs.distinct_stream(_event_files(spark, d, out), out, available_now=True, kept=timedelta(days=60)).awaitTermination()
+    rows = spark.read.parquet(f"{out}/events")
     return rows.groupBy("log_source", "event_id").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query
 def t3_stream_first_match(spark, d):
-    """Detection over several micro-batches: one channel lags, a file repeats, a pattern is broken."""
+    """Detection over eight micro-batches: one channel lags, the last part repeats, a pattern is broken."""
     out = _run_dir(spark, "detect")
     bad = {"id": "bad", "severity": "critical", "conditions": {"event_id": "4625", "message_regex": "(unclosed"}}
-    jobs.detect_stream(
-        _event_files(spark, d, out), lambda: rules(bad, *ALL_RULES), out, available_now=True, kept=timedelta(days=60)
-    ).awaitTermination()
+    jobs.detect_stream(_event_files(spark, d, out, 6), lambda: rules(bad, *ALL_RULES), out, available_now=True).awaitTermination()
     return spark.read.parquet(f"{out}/detections").select(
         "record_id", F.col("detection.rule_id").alias("rule_id")
     )
 
 
+@query
+def t8_stream_blocks(spark, d):
+    """Block list over eight micro-batches: half-way every other address is released, later events block some again.
+
+    A fifth of the first half is read a second time after the release, and blocks nothing.
+    """
+    out = _run_dir(spark, "blocks")
+    raw = A.raw_events(spark, d)
+    us = F.unix_micros("event_time")
+    low, high = raw.agg(F.min(us), F.max(us)).first()
+    first = us < F.lit((low + high) // 2)
+
+    def run(rows: DataFrame) -> None:
+        rows.repartition(4, "record_id").write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(schemas.RAW_EVENT).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+        jobs.process_stream(
+            stream, rules(*SINGLE_RULES), _feed(spark, d), out, available_now=True, kept=timedelta(days=60)
+        ).awaitTermination()
+
+    run(raw.filter(first))
+    jobs.release(jobs.read_blocks(spark, out).filter(F.length("ip") % 2 == 0), out)
+    run(raw.filter(~first | (F.col("record_id") % 5 == 0)))
+    return jobs.read_blocks(spark, out).select("ip", "rule_name")
+
+
 @query
 def t4_stream_enrichment(spark, d):
     """Feed hit and knowledge of every event of the stream, also of events with several addresses."""
@@ -915,16 +973,24 @@ def t5_stream_counters(spark, d):
 
 @query
 def e9_rescored(spark, d):
-    """Events that wait for their answers: answers come later, the rest is finished without one."""
+    """Events that wait for their answers: a third of these comes before the events, a third with them, a third later.
+
+    The rest of the events is finished without one.
+    """
     out = _run_dir(spark, "rescored")
-    stream = A.as_raw_events(A.stream_table(spark, d, "events"))
+    parsed = cut_lineage(enrich.parse_answers(A.raw_answers(spark, d), None))
+
+    def answer(part: int) -> None:
+        parsed.filter(F.pmod("record_id", F.lit(3)) == part).repartition(2, "record_id").write.mode("append").parquet(f"{out}/answers")
+        answers = spark.readStream.schema(parsed.schema).parquet(f"{out}/answers")
+        jobs.answer_stream(answers, out, available_now=True).awaitTermination()
+
+    answer(0)
     jobs.process_stream(
-        stream, rules(*ALL_RULES), _feed(spark, d), out, available_now=True, kept=timedelta(days=60), wait=True
+        _event_files(spark, d, out, 2, again=False), rules(*ALL_RULES), _feed(spark, d), out, available_now=True, wait=True
     ).awaitTermination()
-    enrich.parse_answers(A.raw_answers(spark, d), None).write.parquet(f"{out}/answers")
-    schema = spark.read.parquet(f"{out}/answers").schema
-    answers = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/answers")
-    jobs.answer_stream(answers, out, available_now=True).awaitTermination()
+    answer(1)
+    answer(2)
     jobs.expire_pending(spark, out, "expired")
     stored = store.read_table(spark, f"{out}/logs")
     return stored.select("id", F.md5("ai_analysis").alias("analysis_md5"), "risk_score", "risk_score_raw")
