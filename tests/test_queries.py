@@ -30,3 +30,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 1000
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("missing", ["ahocorasick", "wardlake.llm", "public_tokenizers", "corpus_pipeline"])
+def test_entry_without_a_part_of_the_corpus_library(missing):
+    """The other queries are there when a library of the corpus part, or the part itself, is not."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        f"import sys; sys.modules[{missing!r}] = None\n"
+        "import __spark_entry__ as e\nprint(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    )
+    root = Path(__file__).resolve().parent.parent
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= len(QUERIES) and int(out[1]) >= len(ORACLE) and out[2] == "False"
