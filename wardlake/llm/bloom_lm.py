@@ -44,8 +44,8 @@ ADD, PRIOR = 0.1, 50.0
 RATIO, BITS, PROBES = 1.25, 10, 6
 #: Texts of one chunk (one document at least), words counted and n-grams held by one task at about.
 CHUNK_BYTES, PART_WORDS, SEGMENT_GRAMS = 4_000_000, 2_000_000, 2_000_000
-#: Hashes probed at once.
-PROBED_KEYS = 250_000
+#: Hashes probed at once; different n-grams a task holds before it passes them on.
+PROBED_KEYS, HELD_GRAMS = 250_000, 3_000_000
 #: The filter is broadcast up to this size.
 BROADCAST_BYTES = 128_000_000
 
@@ -284,12 +284,27 @@ class _Turn:
 def build_filter(texts: DataFrame, order: int, parts: int) -> DataFrame:
     """Segments with the levels of all n-grams of the training texts, one row each."""
 
-    def per_chunk(tokens: Tokens) -> Iterator[tuple[int, bytes, bytes]]:
-        learnt = tokens.train[tokens.doc]
-        grams = np.concatenate([g[learnt & (g != 0)] for g in tokens.grams(order)])
-        keys, counts = _counted(grams)
-        for part, a, b in _share(keys, parts):
-            yield part, packed_keys(keys[a:b]), packed(counts[a:b])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def passed_on() -> pa.RecordBatch:
+            keys, counts = _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            rows = [(part, None, packed_keys(keys[a:b]), packed(counts[a:b])) for part, a, b in _share(keys, parts)]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "chunk", "keys", "counts"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for _, tokens in _tokens(batch.slice(i, 1)):
+                    learnt = tokens.train[tokens.doc]
+                    grams = np.concatenate([g[learnt & (g != 0)] for g in tokens.grams(order)])
+                    held.append(_counted(grams))
+                if sum(len(k) for k, _ in held) > HELD_GRAMS:
+                    yield passed_on()
+                    held.clear()
+        if held:
+            yield passed_on()
 
     def segment(group: pa.Table) -> pa.Table:
         keys = np.concatenate([unpacked_keys(x.as_py()) for x in group["keys"]])
@@ -306,13 +321,17 @@ def build_filter(texts: DataFrame, order: int, parts: int) -> DataFrame:
             keys, levels, turn = keys[more], levels[more], turn + 1
         return pa.table({"part": group["part"][:1], "n_bits": pa.array([n_bits], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    return texts.mapInArrow(_blocks(per_chunk), BLOCK).groupBy("part").applyInArrow(segment, SEGMENT)
+    return texts.mapInArrow(work, BLOCK).groupBy("part").applyInArrow(segment, SEGMENT)
 
 
 def levels_in(keys: np.ndarray, data: np.ndarray, begin: np.ndarray | int, n_bits: np.ndarray | int) -> np.ndarray:
     """Levels of hashes, by probes with 1, 2, ... until one misses; their segment begins at bit ``begin``."""
-    out, open_, turn = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
     begin, n_bits = np.broadcast_to(begin, keys.shape), np.broadcast_to(n_bits, keys.shape)
+    if len(keys) > PROBED_KEYS:
+        cuts = range(PROBED_KEYS, len(keys), PROBED_KEYS)
+        parts = (np.split(x, cuts) for x in (keys, begin, n_bits))
+        return np.concatenate([levels_in(k, data, b, n) for k, b, n in zip(*parts, strict=True)])
+    out, open_, turn = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
     while len(open_):
         pairs = _Turn(keys[open_], turn, n_bits[open_])
         for probe in range(PROBES):
@@ -338,12 +357,8 @@ class Filter:
             at += len(bits)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), dtype=np.int64)
-        for at in range(0, len(keys), PROBED_KEYS):
-            some = keys[at : at + PROBED_KEYS]
-            part = _part_of(some, self.parts)
-            out[at : at + PROBED_KEYS] = levels_in(some, self.data, self.begin[part], self.n_bits[part])
-        return out
+        part = _part_of(keys, self.parts)
+        return levels_in(keys, self.data, self.begin[part], self.n_bits[part])
 
 
 def _levels_at_segments(texts: DataFrame, segments: DataFrame, order: int, parts: int) -> DataFrame:
@@ -357,8 +372,10 @@ def _levels_at_segments(texts: DataFrame, segments: DataFrame, order: int, parts
     def look_up(blocks: pa.Table, segment: pa.Table) -> pa.Table:
         n = blocks.num_rows
         held = (np.frombuffer(segment["bits"][0].as_py(), dtype=np.uint8), 0, segment["n_bits"][0].as_py()) if segment.num_rows else None
-        keys = (unpacked_keys(x.as_py()) for x in blocks["keys"])
-        payload = [packed(levels_in(k, *held) if held else np.zeros(len(k))) for k in keys]
+        keys = [unpacked_keys(x.as_py()) for x in blocks["keys"]]
+        every = np.concatenate(keys)  # probed together: a block alone is small
+        levels = levels_in(every, *held) if held else np.zeros(len(every), dtype=np.int64)
+        payload = [packed(x) for x in np.split(levels, np.cumsum([len(k) for k in keys])[:-1])]
         return pa.table({
             "chunk": blocks["chunk"],
             "kind": pa.array([1] * n, pa.int32()),
