@@ -161,3 +161,20 @@ def test_flatten_packets(spark, layers, want):
     row = (1, T0, 60, "s") + tuple(layers.get(k) for k in ("ip", "tcp", "udp", "icmp", "eth"))
     got = snapshots.flatten_packets(spark.createDataFrame([row], schema)).first()
     assert (got.source_ip, got.dest_ip, got.protocol, got.port) == want
+
+
+def test_newest_rows_read_the_last_days_only(spark, tmp_path):
+    path, start = str(tmp_path / "t"), dt.datetime(2024, 1, 1)
+    times = F.lit(start) + F.make_interval(mins=(F.col("id") * 360).cast("int"))
+    rows = spark.range(60 * 4).select("id", times.alias("timestamp"), F.lit("1").alias("event_id"), F.lit("High").alias("risk_score"))
+    store.append(rows.coalesce(1), path)
+    store.append(rows.filter("id % 97 = 0").withColumn("id", F.col("id") + 10_000).coalesce(1), path, "second")
+    every = store.read_table(spark, path)
+    sizes = (1, 4, 7, 500)
+    want = {n: [r.id for r in store.scan(every, n).collect()] for n in sizes}
+    assert {n: [r.id for r in store.read_newest(spark, path, n).collect()] for n in sizes} == want and len(want[500]) == 243
+    for day in sorted((tmp_path / "t").glob("log_date=*"))[:-2]:
+        for f in day.rglob("*.parquet"):
+            f.write_text("not parquet")
+            (f.parent / f".{f.name}.crc").unlink()
+    assert {n: [r.id for r in store.read_newest(spark, path, n).collect()] for n in sizes[:3]} == {n: want[n] for n in sizes[:3]}

@@ -620,6 +620,12 @@ SELECT record_id AS id, {_TS("date_trunc('second', event_time)")} AS "timestamp"
 
 _sql("e9_rescored", ("scored",), """
 SELECT record_id AS id, md5(final_analysis) AS analysis_md5, final_risk AS risk_score, final_risk_raw AS risk_score_raw FROM scored""")
+ORACLE["k1_newest_of_table"] = ORACLE["k1_newest_logs"]
+ORACLE["s1_read_channel"] = ORACLE["t1_polled_events"] = ORACLE["u1_channel_union"]
+_sql("s7_cleared_table", ("logs",), f"""
+SELECT id, {_TS(chr(34) + "timestamp" + chr(34))} AS "timestamp", event_id, risk_score, mitre_technique FROM logs WHERE id % 2 = 0""")
+_sql("s13_archive_import", ("logs",), f"""
+SELECT id, {_TS(chr(34) + "timestamp" + chr(34))} AS "timestamp", event_id, md5(message) AS message_md5 FROM logs""")
 ORACLE["t2_stream_dedupe"] = ORACLE["u1_channel_union"]
 _sql("t3_stream_first_match", ("first_rule",), "SELECT record_id, rule_id FROM first_rule")
 _sql("t8_stream_blocks", ("facts", "hits"), f"""

@@ -154,6 +154,16 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 # --- sources ---------------------------------------------------------------------
 
 
+@query
+def s1_read_channel(spark, d):
+    """Two channels written and read back, tagged by name."""
+    out, raw = _run_dir(spark, "channels"), A.raw_events(spark, d)
+    for name in ("Security", "Sysmon"):
+        A.channel(raw, name).drop("log_source").withColumn("log_source", F.lit("?")).write.parquet(f"{out}/{name}")
+    both = ev.merge_channels(*[ev.read_channel(spark, f"{out}/{name}", name) for name in ("Security", "Sysmon")])
+    return both.groupBy("log_source", "event_id").agg(F.count(F.lit(1)).alias("events"))
+
+
 @query
 def s2_incremental_read(spark, d):
     """Events after a check time less five seconds, on both channels."""
@@ -207,6 +217,30 @@ def s6_scan_ordered(spark, d):
     )
 
 
+@query
+def s7_cleared_table(spark, d):
+    """A table that is created, filled, cleared, and filled with every other row."""
+    path, logs = _run_dir(spark, "logs"), A.security_logs(spark, d)
+    store.create_table(spark, path)
+    store.append(logs, path)
+    store.clear(spark, path)
+    store.append(logs.filter(F.col("id") % 2 == 0), path)
+    kept = store.read_table(spark, path)
+    return kept.select("id", _time("timestamp").alias("timestamp"), "event_id", "risk_score", "mitre_technique")
+
+
+@query
+def s13_archive_import(spark, d):
+    """Rows as an archive file, whose messages have several lines, and read back."""
+    path, logs = _run_dir(spark, "archive"), A.security_logs(spark, d)
+    columns = ("id", "timestamp", "event_id", "message", "ai_analysis", "risk_score_raw")
+    named = [F.col(c).cast("string").alias(h) for c, h in zip(columns, store.ARCHIVE_HEADER, strict=True)]
+    writer = logs.select(*named).write.options(header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    writer.option("escape", '"').csv(path)
+    back = store.read_archive(spark, path)
+    return back.select("id", _time("timestamp").alias("timestamp"), "event_id", F.md5("message").alias("message_md5"))
+
+
 @query
 def s8_threat_feed(spark, d):
     return _feed(spark, d)
@@ -596,6 +630,14 @@ def k1_newest_logs(spark, d):
     return reports.newest(A.security_logs(spark, d)).select("id", _time("timestamp").alias("timestamp"), "event_id")
 
 
+@query
+def k1_newest_of_table(spark, d):
+    """The newest rows of the stored table, from its last days."""
+    path = _run_dir(spark, "newest")
+    store.append(A.security_logs(spark, d), path)
+    return store.read_newest(spark, path, reports.DASHBOARD_ROWS).select("id", _time("timestamp").alias("timestamp"), "event_id")
+
+
 @query
 def k2_top_talkers(spark, d):
     return traffic.top_talkers(traffic.traffic_counts(_packets(spark, d)))
@@ -904,6 +946,18 @@ def _event_files(spark: SparkSession, d: str, out: str, parts: int = 4, again: b
     return spark.readStream.schema(schemas.RAW_EVENT).option("maxFilesPerTrigger", FILES).parquet(f"{out}/files")
 
 
+@query
+def t1_polled_events(spark, d):
+    """Events polled at intervals, not to the end of what is there, until nothing is left."""
+    out = _run_dir(spark, "polled")
+    job = jobs.distinct_stream(_event_files(spark, d, out, 2, again=False), out)
+    try:
+        job.processAllAvailable()
+    finally:
+        job.stop()
+    return spark.read.parquet(f"{out}/events").groupBy("log_source", "event_id").agg(F.count(F.lit(1)).alias("events"))
+
+
 @query
 def t2_stream_dedupe(spark, d):
     """A record that is read twice counts once: several micro-batches, one channel lags, the last part comes twice."""

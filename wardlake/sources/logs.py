@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wardlake import schemas
 from wardlake.functions.risk import canonical_risk, severity_label
+from wardlake.session import folders
 
 #: Partition columns: day for pruning, batch for repeatable streaming writes.
 PARTITIONS = ("log_date", "batch")
+#: Folder of rows without a time.
+NO_DAY = "log_date=__HIVE_DEFAULT_PARTITION__"
 
 # Header of archived log files, in column order.
 ARCHIVE_HEADER = ("ID", "Zaman", "Event ID", "Mesaj", "AI Analiz", "Risk Seviyesi")
@@ -69,17 +72,44 @@ def read_table(spark: SparkSession, path: str, since: datetime | None = None, un
     """The table, with columns added later filled with NULL in older files.
 
     ``since`` (included) and ``until`` (excluded) bound the time; only the days
-    between them are read. The schema is declared, so no file is opened for it.
+    between them are read.
     """
-    schema = T.StructType([*schemas.STORED_LOG.fields, T.StructField("log_date", T.DateType()), T.StructField("batch", T.StringType())])
-    stored = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in schema])).parquet(path)
+    stored = _stored(spark, path)
     if since is not None:
         stored = stored.filter((F.col("log_date") >= F.to_date(F.lit(since))) & (F.col("timestamp") >= F.lit(since)))
     if until is not None:
         stored = stored.filter((F.col("log_date") <= F.to_date(F.lit(until))) & (F.col("timestamp") < F.lit(until)))
+    return _shown(stored)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """Rows with their partition columns; the schema is declared, so no file is opened for it."""
+    fields = [*schemas.STORED_LOG.fields, T.StructField("log_date", T.DateType()), T.StructField("batch", T.StringType())]
+    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in fields])).parquet(path)
+
+
+def _shown(stored: DataFrame) -> DataFrame:
     return stored.withColumn("risk_score_raw", F.coalesce("risk_score_raw", "risk_score")).drop(*PARTITIONS)
 
 
+def read_newest(spark: SparkSession, path: str, rows: int) -> DataFrame:
+    """The newest rows, ties by id, from as few days as hold them.
+
+    Days are counted from the last one back, by the footers of their files, until
+    there are enough; rows without a time come last. Only those days are read.
+    """
+    names = [f for f in folders(spark, path) if f.startswith("log_date=")]
+    days = sorted((f for f in names if f != NO_DAY), reverse=True) + [f for f in names if f == NO_DAY]
+    chosen, found = F.lit(False), 0
+    for day in days:
+        mine = F.col("log_date").isNull() if day == NO_DAY else F.col("log_date") == F.lit(day.split("=")[1]).cast("date")
+        chosen = chosen | mine
+        found += _stored(spark, path).filter(mine).count()
+        if found >= rows:
+            break
+    return scan(_shown(_stored(spark, path).filter(chosen)), rows)
+
+
 def clear(spark: SparkSession, path: str) -> None:
     """Delete all rows and keep the schema."""
     empty = spark.createDataFrame([], schemas.STORED_LOG)
@@ -96,12 +126,14 @@ def scan(logs: DataFrame, limit: int | None = None, newest_first: bool = True) -
 
 
 def export_csv(logs: DataFrame, directory: str, now: datetime | None = None) -> str:
-    """Write the rows and their severity as CSV files with a header; returns the folder."""
+    """Write the rows and their severity as CSV files with a header, texts as they are; returns the folder."""
     stamp = (now or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S")
     target = f"{directory.rstrip('/')}/logs_{stamp}.csv"
     (
         logs.withColumn("severity", severity_label(F.col("risk_score")))
         .write.option("header", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("quoteAll", True)
         .option("escape", '"')
         .option("encoding", "UTF-8")
