@@ -45,7 +45,7 @@ RATIO, BITS, PROBES = 1.25, 10, 6
 #: Texts of one chunk (one document at least), words counted and n-grams held by one task at about.
 CHUNK_BYTES, PART_WORDS, SEGMENT_GRAMS = 4_000_000, 2_000_000, 2_000_000
 #: Hashes probed at once; different n-grams a task holds before it passes them on.
-PROBED_KEYS, HELD_GRAMS = 250_000, 3_000_000
+PROBED_KEYS, HELD_GRAMS = 250_000, 1_000_000
 #: The filter is broadcast up to this size.
 BROADCAST_BYTES = 128_000_000
 
