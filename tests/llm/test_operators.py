@@ -177,6 +177,30 @@ def test_quality_learns_and_survives(spark, odd, empty):
 # --- 4 ---------------------------------------------------------------------------
 
 
+def test_shards_are_the_same_for_any_layout(spark, tmp_path):
+    """A third of the rows are copies of one; files, partitions and coalescing change nothing, and no bucket holds all copies."""
+    rows = [(i, prose(i, 12), "en", "s", i) for i in range(60)] + [(None, "copy " * 9, "en", None, None)] * 30
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.repartition(6).write.parquet(f"{tmp_path}/a")
+    docs.orderBy("text").coalesce(1).write.parquet(f"{tmp_path}/b")
+    found = []
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for path, partitions, coalesced in (("a", 4, "true"), ("b", 4, "true"), ("b", 11, "false")):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+            out = sharding.shard_rows(spark.read.parquet(f"{tmp_path}/{path}"), 4, bucket_bytes=1500).collect()
+            found.append(sorted((r.shard, r.slot, r.record.doc_id, r.record.text) for r in out))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 90
+    assert [(s, k) for s, k, *_ in found[0]] == sorted((i % 4, i // 4) for i in range(90))
+    numbered = sharding._numbered(spark.read.parquet(f"{tmp_path}/a"), 17)
+    copies = numbered.filter("record.doc_id IS NULL").withColumn("bucket", sharding._bucket(17, 10)).groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in copies) == 30 and max(r["count"] for r in copies) < 12
+
+
 def test_shards_hold_their_law(spark, odd, empty, tmp_path):
     for bucket_bytes in (1 << 30, 2000):
         rows = sharding.shard_rows(odd, 4, bucket_bytes=bucket_bytes).collect()
