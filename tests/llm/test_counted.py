@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm import brute
-from llm.test_operators import SCHEMA, odd_rows, prose
+from llm.test_operators import SCHEMA, odd_rows
 from wardlake.llm import bloom_lm, divergence, periodic
 from wardlake.llm.queries import QUERIES
 from wardlake.llm.shared import Scratch
