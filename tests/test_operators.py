@@ -257,3 +257,29 @@ def test_prompts_bind_known_advice(spark):
     assert rows[1].user_prompt.endswith("\n\nEvent ID: 7 x")
     note = enrich.with_knowledge(events.withColumn("event_id", F.lit(" 7 ")), kb).select(enrich.knowledge_note(F.lit("7"), F.col("knowledge"))).first()[0]
     assert note == "Known facts about event 7\nTitle: t\nDescription: d\nRisk: Orta\nAdvice: do it"
+
+
+def test_feed_versions(spark):
+    """Entries that stay, change, go and come back; events at the edges of versions."""
+    from wardlake.operators import enrich
+
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    rows = [(0, "1.1.1.1", "Bot", 50), (10, "1.1.1.1", "Bot", 50), (20, "1.1.1.1", "Scan", 50), (0, "2.2.2.2", "Bot", 9), (20, "2.2.2.2", "Bot", 9), (10, "3.3.3.3", "x", 1)]
+    versions = spark.createDataFrame([(at(h), *r) for h, *r in rows], "version timestamp, ip string, category string, confidence int")
+    history = enrich.feed_history(versions)
+    got = {(r.ip, r.category, r.valid_from, r.valid_to) for r in history.collect()}
+    assert got == {("1.1.1.1", "Bot", at(0), at(20)), ("1.1.1.1", "Scan", at(20), None), ("2.2.2.2", "Bot", at(0), at(10)),
+                   ("2.2.2.2", "Bot", at(20), None), ("3.3.3.3", "x", at(10), at(20))}
+    times = [-1, 0, 9, 10, 19, 20, 99, None]
+    data = [(i, "S", None if h is None else at(h), ["9.9.9.9", "2.2.2.2", "1.1.1.1", "2.2.2.2"]) for i, h in enumerate(times)]
+    events = spark.createDataFrame(data, "record_id long, log_source string, event_time timestamp, public_ips array<string>")
+    hits = {r.record_id: r.threat and (r.threat.ip, r.threat.category) for r in enrich.threat_hits_at(events, history).collect()}
+    two, one = ("2.2.2.2", "Bot"), ("1.1.1.1", "Bot")
+    assert hits == {0: None, 1: two, 2: two, 3: one, 4: one, 5: two, 6: two, 7: None}
+
+
+def test_size_of_texts_inside_structs(spark):
+    from wardlake.operators.sizes import is_small
+
+    wide = spark.range(10).selectExpr("struct(repeat('x', 1000) AS a, id AS b) AS s", "array('abc') AS l", "id")
+    assert is_small(wide, 10, 10_200) and not is_small(wide, 10, 10_000) and is_small(spark.range(5), 5, 0)

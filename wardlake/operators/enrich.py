@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardlake.functions import ip as ipf
 from wardlake.functions.risk import answer_risk
@@ -56,6 +56,37 @@ def threat_hits(events: DataFrame, feed: DataFrame) -> DataFrame:
     return join_record(hosted, threat_table(hosted, feed)).select(*events.columns, "threat")
 
 
+def feed_history(versions: DataFrame) -> DataFrame:
+    """Listed addresses with the time in which they were: ``ip, category, confidence, valid_from, valid_to``.
+
+    ``versions`` are whole feeds, cleaned, with the time ``version`` from which
+    each one held; it holds until the next one. An entry that stays as it is over
+    several versions is one row; ``valid_to`` (excluded) is NULL in the last one.
+    """
+    times = versions.select("version").distinct()  # one row per change of the feed
+    order = Window.orderBy("version")
+    steps = times.withColumns({"_n": F.row_number().over(order), "_next": F.lead("version").over(order)})
+    entries = versions.dropDuplicates(["version", "ip"]).join(steps, "version")
+    own = Window.partitionBy("ip", "category", "confidence").orderBy("_n")
+    runs = entries.withColumn("_run", F.col("_n") - F.row_number().over(own))
+    return runs.groupBy("ip", "category", "confidence", "_run").agg(
+        F.min("version").alias("valid_from"), F.max_by(F.struct("_next"), "_n")["_next"].alias("valid_to")
+    ).drop("_run")
+
+
+def threat_hits_at(events: DataFrame, history: DataFrame, time: str = "event_time") -> DataFrame:
+    """``threat_hits`` with the feed as it was at the time of each event, so that a replay gives what the live run gave.
+
+    Events before the first version, or without a time, meet no entry.
+    """
+    hosted = with_host(events)
+    pairs = hosted.select(*RECORD, F.col(time).alias("_at"), F.posexplode_outer(F.array_distinct("public_ips")).alias("pos", "ip"))
+    held = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
+    met = pairs.join(history, "ip").filter(held)
+    hits = met.groupBy(*RECORD).agg(F.min_by(F.struct("ip", "category", "confidence"), F.struct("pos", "ip")).alias("threat"))
+    return join_record(hosted, hits).select(*events.columns, "threat")
+
+
 def with_knowledge(events: DataFrame, knowledge: DataFrame, event_id: str = "event_id") -> DataFrame:
     """Add ``knowledge``: the entry of the event id, NULL when there is none."""
     entry = F.struct("title", "description", "risk_level", "advice", "source")

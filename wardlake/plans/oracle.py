@@ -502,6 +502,14 @@ _sql("j8_range_feed", ("numbered_ends", "range_feed"), """
 SELECT direction, ip, entry AS feed_entry, category, CAST(confidence AS INTEGER) AS confidence, packets
 FROM (SELECT *, n >> (32 - bits) AS net FROM numbered_ends, (SELECT DISTINCT bits FROM range_feed)) JOIN range_feed USING (bits, net)""")
 
+_sql("j3_feed_versions", ("with_ips", "feed"), """
+SELECT record_id, arg_min(ip, pos) AS ip, arg_min(category, pos) AS category, CAST(arg_min(rated, pos) AS INTEGER) AS confidence FROM (
+  SELECT e.record_id, e.log_source, e.pos, f.ip, f.category, f.confidence + CASE WHEN f.confidence % 2 = 0 THEN k ELSE 0 END AS rated
+  FROM (SELECT *, CASE WHEN event_time >= TIMESTAMP '2024-01-20 00:00:00' THEN 2 WHEN event_time >= TIMESTAMP '2024-01-12 06:00:00' THEN 1
+        WHEN event_time >= TIMESTAMP '2024-01-05 00:00:00' THEN 0 END AS k FROM (
+      SELECT record_id, log_source, event_time, unnest(public_ips) AS ip, generate_subscripts(public_ips, 1) AS pos FROM with_ips)) e
+  JOIN feed f ON e.ip = f.ip AND (f.confidence + k) % 3 <> 0)
+GROUP BY record_id, log_source""")
 _sql("a1_total_logs", ("logs",), "SELECT count(*) AS total_logs FROM logs")
 _sql("a2_high_risk_logs", ("logs",), "SELECT count(*) AS high_risk_logs FROM logs WHERE risk_score_raw IN ('High', 'Yüksek')")
 _sql("a3_latest_detection", ("logs",), f'SELECT {_TS("max(" + chr(34) + "timestamp" + chr(34) + ")")} AS latest_detection FROM logs')

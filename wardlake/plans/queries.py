@@ -464,6 +464,22 @@ def j3_threat_hits(spark, d):
     return out.filter(F.col("threat").isNotNull()).select("record_id", "threat.*")
 
 
+#: Times from which the versions of the feed hold.
+VERSIONS = ("2024-01-05 00:00:00", "2024-01-12 06:00:00", "2024-01-20 00:00:00")
+
+
+@query
+def j3_feed_versions(spark, d):
+    """Events against the feed as it was at their time; each version drops a third of the entries and rates the others anew."""
+    feed, parts = _feed(spark, d), []
+    for k, at in enumerate(VERSIONS):
+        rated = F.col("confidence") + F.when(F.col("confidence") % 2 == 0, k).otherwise(0)
+        parts.append(feed.filter((F.col("confidence") + k) % 3 != 0).select("ip", "category", rated.alias("confidence"), F.lit(at).cast("timestamp").alias("version")))
+    history = enrich.feed_history(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    out = enrich.threat_hits_at(enrich.with_ips(_prepared(spark, d)), history)
+    return out.filter(F.col("threat").isNotNull()).select("record_id", "threat.*")
+
+
 def _texts(spark, d) -> DataFrame:
     docs = A.table(spark, d, "documents").select(
         F.lit("documents").alias("log_source"), F.col("doc_id").alias("record_id"), "text"
