@@ -189,3 +189,23 @@ def test_distinct_stream(spark, tmp_path):
     assert got == [("S", 1), ("S", 2), ("T", 1)]
     assert [r.record_id for r in spark.read.parquet(f"{out}/late").collect()] == [3]
 
+
+
+def test_rollups_equal_the_reports(spark, tmp_path, monkeypatch):
+    """Kept by what each micro-batch stores, over merges; a repeated attempt counts once."""
+    from wardlake.operators import reports
+
+    monkeypatch.setattr(parts, "FAN", 2)
+    monkeypatch.setattr(jobs, "new_blocks", lambda scored, before: spark.createDataFrame([], jobs.BLOCKS).drop("state", "added_at"))
+    out = str(tmp_path)
+    schema = "host string, log_source string, record_id long, event_time timestamp, event_id string, message string, final_analysis string, final_risk string, final_risk_raw string, detection struct<mitre_technique:string>, public_ips array<string>"
+    rows = [(None, "S", i, START + dt.timedelta(minutes=7 * i), "1", "m", "a", "High", ("High", "Düşük", None)[i % 3], (("T1, T2", None, "T2")[i % 3],), []) for i in range(20)]
+    for k, some in enumerate((rows[:7], rows[7:8], rows[8:15])):
+        for _ in range(1 + k % 2):
+            jobs._finish(spark.createDataFrame(some, schema), out, "one", k, rollups=True)
+    jobs._finish(spark.createDataFrame(rows[15:], schema), out, "two", 0, rollups=True)
+    got = sorted(map(tuple, jobs.read_rollups(spark, out).collect()))
+    stored = store.read_table(spark, f"{out}/logs")
+    assert stored.count() == 20 and got == sorted(map(tuple, jobs.rollup(stored).collect()))
+    assert {r.technique: r.log_count for r in reports.technique_counts(stored).collect()} == {v: n for r, v, n in got if r == "technique"} == {"T1": 7, "T2": 13}
+    assert jobs._rollup_of(spark, out, "one").parts() == [(0, 1), (2, 2)]

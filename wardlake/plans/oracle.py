@@ -329,7 +329,7 @@ _TEXT_OF = """CASE rule_id WHEN 'fine' THEN 'Interpreter started again and again
   WHEN 'coarse' THEN '🔴 Detection Rule Match: Many processes' WHEN 'encoded' THEN '🔴 Detection Rule Match: Encoded command'
   WHEN 'privileges' THEN '🔴 Detection Rule Match: Privileges for some users' WHEN 'any_sysmon' THEN '🔴 Detection Rule Match: Any process event' END"""
 
-_cte("scored", ("first_rule", "hits", "answers"), f"""
+_SCORED = f"""
 SELECT *, {_display('final_risk_raw')} AS final_risk,
   concat(CASE WHEN final_risk_raw IN ('High', 'Yüksek') AND len(public_ips) > 0
       THEN concat('🛡️ [ACTION TAKEN]: IP adres(ler)i engellendi: ', array_to_string(public_ips, ', '), {NL}, {NL}) ELSE '' END,
@@ -341,7 +341,8 @@ FROM (SELECT r.*, h.threat, {_MITRE_OF} AS mitre,
     CASE WHEN a.record_id IS NULL THEN {_fallback('r.event_id', "'AI Error: no analysis available'")}
          WHEN a.parsed THEN a.good_text ELSE {_fallback('r.event_id', 'a.raw_response')} END AS analysis
   FROM first_rule r LEFT JOIN hits h ON r.record_id = h.record_id AND r.log_source = h.log_source
-  LEFT JOIN answers a ON r.record_id = a.record_id AND r.log_source = CASE WHEN a.record_id % 2 = 0 THEN 'Security' ELSE 'Sysmon' END)""")
+  LEFT JOIN answers a ON r.record_id = a.record_id AND r.log_source = CASE WHEN a.record_id % 2 = 0 THEN 'Security' ELSE 'Sysmon' END)"""
+_cte("scored", ("first_rule", "hits", "answers"), _SCORED)
 
 _cte("blocked", (), f"SELECT DISTINCT {_ip('s_suppkey % 200', '(s_suppkey // 200) % 5')} AS ip FROM supplier")
 
@@ -591,6 +592,11 @@ _sql("q4_all_filters", ("logs",), "SELECT id, event_id, risk_score FROM logs WHE
 _sql("q5_log_view", ("logs",), f"""
 SELECT {_TS(chr(34) + "timestamp" + chr(34))} AS "time", event_id, {_bucket('risk_score_raw', 'Critical')} AS severity,
   {_display('risk_score_raw')} AS risk_level, mitre_technique, message FROM logs""")
+
+_cte("single_rule", ("facts",), f"""
+SELECT *, CASE WHEN {_ENC} THEN 'encoded' WHEN {_PRIV} THEN 'privileges' WHEN log_source = 'Sysmon' THEN 'any_sysmon' END AS rule_id FROM facts""")
+_cte("scored_single", ("single_rule", "hits", "answers"), _SCORED.replace("FROM first_rule r", "FROM single_rule r"))
+
 _sql("s12_export_rows", ("logs",), f"""
 SELECT id, risk_score_raw, {_bucket('risk_score_raw', 'Critical')} AS severity, mitre_technique FROM logs WHERE regexp_matches(risk_score, '(?i)High')""")
 
@@ -641,6 +647,11 @@ SELECT DISTINCT ip, concat('wardlake_Block_', replace(ip, '.', '_')) AS rule_nam
   SELECT unnest(public_ips) AS ip, us < (SELECT (min(us) + max(us)) // 2 FROM facts) AS early
   FROM facts f LEFT JOIN hits h ON f.record_id = h.record_id AND f.log_source = h.log_source WHERE h.threat IS NOT NULL OR ({_ENC.replace("log_source", "f.log_source")}))
 WHERE NOT early OR length(ip) % 2 = 1""")
+_sql("t6_running_rollups", ("scored_single",), f"""
+SELECT 'timeline' AS report, {_TS('b')} AS value, count(*) AS log_count FROM (
+  SELECT time_bucket(INTERVAL '15 minutes', date_trunc('second', event_time)) AS b FROM scored_single) GROUP BY ALL
+UNION ALL SELECT 'risk', {_bucket('final_risk_raw')}, count(*) FROM scored_single GROUP BY ALL
+UNION ALL SELECT 'technique', mitre, count(*) FROM scored_single WHERE mitre IS NOT NULL GROUP BY ALL""")
 _sql("t4_stream_enrichment", ("raw", "hits", "kb"), """
 SELECT e.record_id, h.threat.ip AS ip, h.threat.category AS category, kb.source AS knowledge_source
 FROM raw e LEFT JOIN hits h ON e.record_id = h.record_id LEFT JOIN kb ON e.event_id = kb.event_id""")

@@ -1066,6 +1066,21 @@ def e9_rescored(spark, d):
     return stored.select("id", F.md5("ai_analysis").alias("analysis_md5"), "risk_score", "risk_score_raw")
 
 
+@query
+def t6_running_rollups(spark, d):
+    """Counts of the reports, kept by what each micro-batch stores: answered events, then those without an answer."""
+    out = _run_dir(spark, "rollups")
+    jobs.process_stream(
+        _event_files(spark, d, out, 2, again=False), rules(*SINGLE_RULES), _feed(spark, d), out, available_now=True, wait=True
+    ).awaitTermination()
+    parsed = enrich.parse_answers(A.raw_answers(spark, d), None)
+    parsed.write.parquet(f"{out}/answers")
+    answers = spark.readStream.schema(parsed.schema).parquet(f"{out}/answers")
+    jobs.answer_stream(answers, out, available_now=True, rollups=True).awaitTermination()
+    jobs.expire_pending(spark, out, "expired", rollups=True)
+    return jobs.read_rollups(spark, out)
+
+
 @query
 def t9_stream_timeline(spark, d):
     """15-minute counts of the event stream."""

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardlake.operators.detect import Plan, join_record, rule_numbers, with_host
 from wardlake.operators.enrich import threat_hits, with_ips, with_knowledge
-from wardlake.operators.reports import TIMELINE_STEP
+from wardlake.operators.reports import TIMELINE_STEP, risk_distribution, technique_counts, timeline
 from wardlake.operators.respond import block_candidates, manual_blocks, new_blocks
 from wardlake.operators.rules import Rule
 from wardlake.operators.traffic import traffic_counts
@@ -97,6 +97,7 @@ def process_stream(
     strict_fields: bool = False,
     idle: timedelta | None = IDLE,
     positional_strict: bool = False,
+    rollups: bool = False,
 ) -> StreamingQuery:
     """Run the event job on a stream of raw events.
 
@@ -108,7 +109,8 @@ def process_stream(
     ``idle`` no longer holds history for its threshold rules (None: all do). With
     ``wait``, scored events go to ``base_dir/arrived`` for ``answer_stream``, and
     are stored when their answer is there. With ``knowledge``, prompts for an
-    external scorer go to ``base_dir/prompts``, after that.
+    external scorer go to ``base_dir/prompts``, after that. With ``rollups``, the
+    counts of the reports are kept beside the stored rows (``read_rollups``).
     Everything a micro-batch writes is keyed by its number, so a repeated
     micro-batch replaces its own output.
     """
@@ -128,7 +130,7 @@ def process_stream(
             if wait:
                 _replace(scored.select(*PENDING.fieldNames()), f"{base_dir}/arrived", tag)
             else:
-                _finish(scored, base_dir, name, batch_id)
+                _finish(scored, base_dir, name, batch_id, rollups=rollups)
             if knowledge is not None:
                 _replace(prompt_rows(fresh, _now(knowledge)), f"{base_dir}/prompts", tag)
         finally:
@@ -180,11 +182,45 @@ def _by_hand(rows: DataFrame, base_dir: str) -> None:
     table.add(rows.withColumn("added_at", F.current_timestamp()), table.next_batch())
 
 
-def _finish(scored: DataFrame, base_dir: str, name: str, batch_id: int, tag: str | None = None) -> None:
-    """Stored rows and block-list additions of scored events."""
+# --- roll-ups --------------------------------------------------------------------
+
+ROLLUP = "report string, value string, log_count long"
+
+
+def rollup(stored: DataFrame) -> DataFrame:
+    """Counts of the reports on stored rows: per time step, risk and technique."""
+    steps = timeline(stored).withColumn("value", F.date_format("time_interval", "yyyy-MM-dd HH:mm:ss"))
+    labelled = stored.withColumn("risk_score_raw", F.coalesce("risk_score_raw", "risk_score"))  # as the table is read
+    risks = risk_distribution(labelled, "risk_score_raw").withColumn("value", F.col("risk_level"))
+    found = technique_counts(stored).withColumn("value", F.col("technique"))
+    parts = [df.select(F.lit(name).alias("report"), "value", "log_count") for name, df in (("timeline", steps), ("risk", risks), ("technique", found))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("report", "value").agg(F.sum("log_count").alias("log_count"))
+
+
+def _rollup_of(spark: SparkSession, base_dir: str, writer: str) -> PartTable:
+    return PartTable(spark, f"{base_dir}/rollups/{writer}", ROLLUP)
+
+
+def read_rollups(spark: SparkSession, base_dir: str) -> DataFrame:
+    """``report, value, log_count`` of all rows stored by jobs with ``rollups``; no stored row is read."""
+    rows = spark.createDataFrame([], ROLLUP)
+    for writer in folders(spark, f"{base_dir}/rollups"):
+        rows = rows.unionByName(_rollup_of(spark, base_dir, writer).read())
+    return _summed(rows)
+
+
+def _finish(scored: DataFrame, base_dir: str, name: str, batch_id: int, tag: str | None = None, rollups: bool = False) -> None:
+    """Stored rows and block-list additions of scored events, and their counts with ``rollups``."""
     spark, scored = scored.sparkSession, scored.persist()
     try:
         logs.append_batch(stored_rows(scored), f"{base_dir}/logs", tag or f"{name}-{batch_id}")
+        if rollups:
+            counts = rollup(stored_rows(scored))
+            _rollup_of(spark, base_dir, name).add(counts, batch_id, lambda rows, oldest: _summed(rows))
         wanted = block_candidates(scored)
         before = _latest_blocks(spark, base_dir, (name, batch_id), wanted).filter("state = 'blocked'")
         added = new_blocks(scored, before).withColumns({"state": F.lit("blocked"), "added_at": F.current_timestamp()})
@@ -238,6 +274,7 @@ def answer_stream(
     available_now: bool = False,
     answers_kept: timedelta = ANSWERS_KEPT,
     timeout: timedelta | None = None,
+    rollups: bool = False,
 ) -> StreamingQuery:
     """Finish events and their (parsed) answers as both have come: fusion, stored row, block list.
 
@@ -270,7 +307,7 @@ def answer_stream(
             overdue = without_keys(overdue.filter(F.col("event_time") < F.lit(now - timeout)), found, RECORD)
             scored = scored.unionByName(rescored(overdue, None))
         scored = cut_lineage(scored)
-        _finish(scored, base_dir, name, batch_id)
+        _finish(scored, base_dir, name, batch_id, rollups=rollups)
         recent = F.col("at") > F.lit(now - ANSWERS_KEPT)
         waiting = _marked(without_keys(fresh, scored, RECORD), "open", now).unionByName(_done(scored, WAITING, now))
         held.events.add(waiting, batch_id, lambda rows, oldest: rows.filter((F.col("state") == "open") | recent) if oldest else rows)
@@ -301,7 +338,7 @@ def read_pending(spark: SparkSession, base_dir: str, name: str = "answers") -> D
     return without_keys(open_, held.expired.read(), RECORD)
 
 
-def expire_pending(spark: SparkSession, base_dir: str, tag: str, before=None, name: str = "answers") -> None:
+def expire_pending(spark: SparkSession, base_dir: str, tag: str, before=None, name: str = "answers", rollups: bool = False) -> None:
     """Finish events that wait since before a time (all without one) with the text for a missing answer.
 
     For when the answer job does not run; it has ``timeout`` for itself.
@@ -313,7 +350,7 @@ def expire_pending(spark: SparkSession, base_dir: str, tag: str, before=None, na
             waiting = waiting.filter(F.col("event_time") < F.lit(before))
         scored = cut_lineage(rescored(waiting, None))
         batch_id = held.expired.next_batch()
-        _finish(scored, base_dir, f"{name}-expired", batch_id, tag)
+        _finish(scored, base_dir, f"{name}-expired", batch_id, tag, rollups)
         now = datetime.now(timezone.utc)
         recent = F.col("at") > F.lit(now - ANSWERS_KEPT)
         held.expired.add(_done(scored, DONE, now), batch_id, lambda rows, oldest: rows if not oldest else rows.filter(recent))
