@@ -178,3 +178,34 @@ def test_newest_rows_read_the_last_days_only(spark, tmp_path):
             f.write_text("not parquet")
             (f.parent / f".{f.name}.crc").unlink()
     assert {n: [r.id for r in store.read_newest(spark, path, n).collect()] for n in sizes[:3]} == {n: want[n] for n in sizes[:3]}
+
+
+def test_archive_read_by_many_tasks(spark, tmp_path):
+    """Quotes, line ends and empty lines inside fields, over blocks of a few bytes: equal to the reader of whole files."""
+    import random
+
+    rng = random.Random(9)
+    pieces = ("plain", 'say ""hi""', "line\nbreak", "\n\n", "a,b", "", " spaced ", "é漢", '""', "back\\slash", "win\r\nend")
+    paths = [tmp_path / "in" / f"{k}.csv" for k in range(2)]
+    paths[0].parent.mkdir()
+    for k, path in enumerate(paths):
+        end = "\r\n" if k else "\n"
+        rows = [",".join(store.ARCHIVE_HEADER)]
+        for i in range(120):
+            text = " ".join(rng.choice(pieces) for _ in range(rng.randint(1, 9)))
+            rows.append(f'{i},2024-01-0{1 + k} 00:00:00,"4625","{text}","x{text}",High')
+        path.write_text(end.join(rows) + end, encoding="utf-8", newline="")
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    want = sorted((int(r[0]), r[1][:10], r[3], r[4]) for r in reader.csv(str(tmp_path / "in")).collect())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            found = store.read_archive(spark, str(tmp_path / "in"))
+            assert sorted((r.id, str(r.timestamp)[:10], r.message, r.ai_analysis) for r in found.collect()) == want
+            records = store.csv_records(spark, str(tmp_path / "in"))
+            assert records.count() == 240
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

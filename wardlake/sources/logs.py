@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from wardlake import schemas
 from wardlake.functions.risk import canonical_risk, severity_label
@@ -142,15 +142,43 @@ def export_csv(logs: DataFrame, directory: str, now: datetime | None = None) ->
     return target
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of CSV files as texts, headers left out: ``record``; quoted fields may have several lines.
+
+    A file is read by as many tasks as it has blocks. A line begins a record where
+    an even number of quotes stands before it in its file; that number is the sum
+    of those of the blocks before, a small table, and of the lines before in the
+    same block. Lines of one record then come together, whichever blocks they are in.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    lines = lines.withColumn("_quotes", F.length("value") - F.length(F.translate("value", '"', "")))
+    within, places = Window.partitionBy("_file", "_block").orderBy("_line"), Window.partitionBy("_file").orderBy("_block")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def totals(rows: DataFrame, c: str) -> DataFrame:
+        blocks = rows.groupBy("_file", "_block").agg(F.sum(c).alias("_n"))
+        return blocks.select("_file", "_block", before("_n", places).alias("_base"))
+
+    opened = lines.join(totals(lines, "_quotes"), ["_file", "_block"])
+    opened = opened.withColumn("_first", ((F.col("_base") + before("_quotes", within)) % 2 == 0).cast("long")).drop("_base")
+    numbered = opened.join(totals(opened, "_first"), ["_file", "_block"])
+    number = F.col("_base") + F.sum("_first").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = numbered.select("_file", "_block", "_line", "value", number.alias("_record")).filter("_record > 1")
+    parts = numbered.groupBy("_file", "_record").agg(F.array_sort(F.collect_list(F.struct("_block", "_line", "value"))).alias("_p"))
+    text = F.array_join("_p.value", "\n")
+    # the line end of the record goes; inside quotes it becomes the plain one, and others stay
+    whole = F.when(text.endswith("\r"), F.regexp_replace(text, r"\r(?=\n|\z)", "")).otherwise(text)
+    return parts.select(whole.alias("record")).filter("record <> ''")
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Archived logs: CSV with quoted multi-line messages, in the stored schema."""
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .csv(path)
-    )
+    """Archived logs: CSV with quoted multi-line messages, in the stored schema; a large file is read by many tasks."""
+    options = {"escape": '"', "encoding": "UTF-8"}
+    header = spark.read.options(header=True, **options).csv(path).columns
+    raw = csv_records(spark, path).select(F.from_csv("record", ", ".join(f"`{c}` string" for c in header), options | {"multiLine": "true"}).alias("_r")).select("_r.*")
     for have, want in zip(ARCHIVE_HEADER, ("id", "timestamp", "event_id", "message", "ai_analysis", "risk")):
         raw = raw.withColumnRenamed(have, want)
     return conform(
