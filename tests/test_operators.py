@@ -201,6 +201,21 @@ def test_ranges_of_any_size(spark):
         assert got == sorted((i, n) for i, ip in enumerate(ips) for n in chosen if ipaddress.ip_address(ip) in ipaddress.ip_network(n))
 
 
+def test_ranges_meet_addresses_that_are_counted_first(spark):
+    """Many packets of one address meet nested ranges as one row; the numbers are those of the packets."""
+    ips = ["1.2.3.4"] * 300 + ["1.2.3.200", "9.9.9.9", "aa:bb", None]
+    table = packets(spark, *[(i, ip, "1.2.3.4" if i % 100 == 0 else None, "TCP", 1) for i, ip in enumerate(ips)])
+    nets = ["1.0.0.0/8", "1.2.0.0/14", "1.2.0.0/16", "1.2.3.0/24", "1.2.3.0/25", "1.2.3.4", "8.0.0.0/8"]
+    feed = feed_of(spark, *[(n, "c", 1) for n in nets]).unionByName(feed_of(spark, ("1.2.3.4", "c", 1)))  # one row twice
+    counted = traffic.range_reputation(table, feed, counted=True)
+    assert counted.count() == 7 + 7 + 4
+    names = ("direction", "ip", "feed_entry", "category", "confidence")
+    each = traffic.range_reputation(table, feed).groupBy(*names).count()
+    got = counted.groupBy(*names).agg({"packets": "sum"})
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, each.collect()))
+    assert ("source", "1.2.3.4", "1.2.3.4", "c", 1, 600) in set(map(tuple, got.collect()))
+
+
 def test_packets_stay_in_place_until_their_block_is_marked(spark):
     blocks = spark.range(0, 2**24, 1000).withColumnRenamed("id", "block")
     marks = traffic.block_marks(blocks)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardlake.functions.ip import ipv4_number
 from wardlake.operators.sizes import BROADCAST_ROWS
+from wardlake.session import cut_lineage
 
 # Length of top lists and of the recent list.
 TOP = 10
@@ -191,7 +192,7 @@ def _marked(ends: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
     return met.filter(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1).drop("_bucket", "_place", "_marks")
 
 
-def range_reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
+def range_reputation(packets: DataFrame, feed: DataFrame, counted: bool = False) -> DataFrame:
     """The same for a feed of any size.
 
     The blocks of addresses that any feed row touches are marked in bitmaps, which
@@ -201,8 +202,13 @@ def range_reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
     interval; feed rows of one block are few, at most 511 ranges, and a block with
     very many packets is a skewed join key that adaptive execution splits. Wider ranges are
     found by length and leading bits.
+
+    With ``counted`` the packets of an address are counted before it meets the feed: one row
+    per direction, address and feed row, with their number in ``packets``. Nested ranges then
+    multiply addresses, not packets.
     """
-    listed = split_feed(feed).withColumn("bits", F.col("bits").cast("int"))
+    # written before it is parsed: the tests of addresses would move into the making of the feed
+    listed = cut_lineage(split_feed(cut_lineage(feed)).withColumn("bits", F.col("bits").cast("int")))
     near = listed.filter(F.col("bits") >= NEAR_BITS).select(
         _leading(F.call_function("shiftleft", F.col("net"), F.lit(32) - F.col("bits")), F.lit(NEAR_BITS)).alias("block"),
         F.call_function("shiftleft", F.col("net"), F.lit(32) - F.col("bits")).alias("low"),
@@ -211,9 +217,13 @@ def range_reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
         *ENTRY,
     )
     far = listed.filter(F.col("bits") < NEAR_BITS).select("bits", "net", F.col("ip").alias("feed_entry"), *ENTRY)
-    ends = _ends(packets).withColumn("_n", ipv4_number(F.col("ip"))).filter(F.col("_n").isNotNull())
+    ends, names = _ends(packets), FOUND
+    if counted:
+        ends = cut_lineage(ends.groupBy("direction", "ip").agg(F.count(F.lit(1)).alias("packets")))
+        names = ("direction", "ip", "feed_entry", *ENTRY, "packets")
+    ends = ends.withColumn("_n", ipv4_number(F.col("ip"))).filter(F.col("_n").isNotNull())
     close = _marked(ends, block_marks(near.select("block").distinct()), NEAR_BITS)
-    found = close.join(near, (close["block"] == near["block"]) & close["_n"].between(near["low"], near["high"])).select(*FOUND)
+    found = close.join(near, (close["block"] == near["block"]) & close["_n"].between(near["low"], near["high"])).select(*names)
     lengths = [r["bits"] for r in far.select("bits").distinct().collect()]  # at most 24
     if not lengths:
         return found
@@ -224,4 +234,4 @@ def range_reputation(packets: DataFrame, feed: DataFrame) -> DataFrame:
         F.explode(F.when(F.col("bits") <= FAR_BITS, inside).otherwise(F.array(F.call_function("shiftright", F.col("net"), F.col("bits") - FAR_BITS)))).alias("block")
     )
     wide = _marked(ends, block_marks(blocks.distinct()), FAR_BITS).drop("block")
-    return found.unionByName(_by_length(wide, far, sorted(lengths)).select(*FOUND))
+    return found.unionByName(_by_length(wide, far, sorted(lengths)).select(*names))

@@ -557,8 +557,8 @@ def j8_packet_reputation(spark, d):
 def j8_range_feed(spark, d):
     """Packets against a feed of nested ranges of any size: ruled out by marked blocks, then compared."""
     feed = lookups.clean_feed(A.range_feed(spark, d))
-    out = traffic.range_reputation(_packets(spark, d), feed)
-    return out.groupBy("direction", "ip", "feed_entry", "category", "confidence").agg(F.count(F.lit(1)).alias("packets"))
+    out = traffic.range_reputation(_packets(spark, d), feed, counted=True)
+    return out.groupBy("direction", "ip", "feed_entry", "category", "confidence").agg(F.sum("packets").alias("packets"))
 
 
 # --- aggregates ------------------------------------------------------------------
