@@ -101,6 +101,24 @@ def test_required_pieces():
                     assert all(any(t in subject.lower() for t in texts) for texts in need(text)), (text, subject)
 
 
+def test_only_trigrams_that_may_be_indexed_are_looked_up(spark):
+    """A text's keys hold every indexed trigram in it, overlapping ones and those across lines too, and few others."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab1.^]\\-\n é😀") for _ in range(400)) for _ in range(20)] + ["ab", ""]
+    indexed = {"1.1", "ab1", "^]-", "\\a\n", "b1."}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    for r in rows.select("t", rule_index._grams_of(2, F.col("t"), indexed).alias("g"), rule_index._grams_of(2, F.col("t"), set()).alias("n")).collect():
+        if r.t is None:
+            assert r.g == r.n == ["2:"]
+            continue
+        every = {r.t[i : i + 3] for i in range(len(r.t) - 2)}
+        got = [g[2:] for g in r.g]
+        assert r.n == [] and len(got) == len(set(got)) and all(g.startswith("2:") for g in r.g)
+        assert indexed & every <= set(got) <= every and (len(every) < 50 or len(got) < len(every) / 4)
+
+
 def test_plan_does_not_grow_with_the_catalogue(spark):
     events = frame(spark, random_events(random.Random(1), 5))
     rules = lambda n: [rule_from_dict({"id": f"r{i}", "conditions": {"message_regex": f"piece {i}x"}}, "a", i) for i in range(n)]

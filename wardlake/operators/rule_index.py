@@ -110,8 +110,8 @@ def _index(numbered: list[tuple[int, Rule]], strict: bool) -> dict[int, list[tup
     return out
 
 
-def catalogue(spark: SparkSession, numbered: list[tuple[int, Rule]], strict: bool = False) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(rules, their index entries, numbers of those that have neither an entry nor an event id).
+def catalogue(spark: SparkSession, numbered: list[tuple[int, Rule]], strict: bool = False) -> tuple[DataFrame, DataFrame, list[int], dict[int, set[str]]]:
+    """(rules, their index entries, numbers of those that have neither an entry nor an event id, trigrams per field).
 
     Rules and entries are as many as somebody has written; both are broadcast.
     """
@@ -135,7 +135,11 @@ def catalogue(spark: SparkSession, numbered: list[tuple[int, Rule]], strict: boo
             entries.append((-1, rule.event_id, "", number))
         elif not found:
             anywhere.append(number)
-    return spark.createDataFrame(rows, _TABLE), spark.createDataFrame(entries, _ENTRY), anywhere
+    indexed: dict[int, set[str]] = {}
+    for place, gram, _, _ in entries:
+        if place >= 0 and gram:
+            indexed.setdefault(place, set()).add(gram)
+    return spark.createDataFrame(rows, _TABLE), spark.createDataFrame(entries, _ENTRY), anywhere, indexed
 
 
 def _test(strict: bool) -> Column:
@@ -155,14 +159,21 @@ def _test(strict: bool) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def _grams_of(place: int, text: Column) -> Column:
-    """Distinct (field, gram) of one text: its trigrams, or '' where there is no text."""
-    def entry(gram: Column) -> Column:
-        return F.struct(F.lit(place).alias("field"), gram.alias("gram"))
+def _letters(grams: set[str]) -> str:
+    """A pattern that finds, overlapping, the trigrams with letters that some indexed one has at the same place."""
+    places = [sorted({g[i] for g in grams}) for i in range(GRAM)]
+    return "(?=(" + "".join("[" + "".join(f"\\x{ord(c):02x}" for c in letters) + "]" for letters in places) + "))"
 
-    every = F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: entry(F.substr(text, i, F.lit(GRAM))))
-    none = F.array(entry(F.lit("")))
-    return F.when(text.isNull(), none).when(F.length(text) < GRAM, F.slice(none, 1, 0)).otherwise(F.array_distinct(every))
+
+def _grams_of(place: int, text: Column, grams: set[str]) -> Column:
+    """Distinct keys (field, gram) of one text: its trigrams that may be indexed, or '' where there is no text."""
+    none = F.array(F.lit(f"{place}:"))
+    if grams:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(_letters(grams)), F.lit(1)))
+        every = F.transform(found, lambda g: F.concat(F.lit(f"{place}:"), g))
+    else:
+        every = F.slice(none, 1, 0)
+    return F.when(text.isNull(), none).otherwise(every)
 
 
 def matching_rules(events: DataFrame, numbered: list[tuple[int, Rule]], strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -172,17 +183,17 @@ def matching_rules(events: DataFrame, numbered: list[tuple[int, Rule]], strict:
     several pieces comes several times.
     """
     spark = events.sparkSession
-    rules, entries, anywhere = catalogue(spark, numbered, strict)
+    rules, entries, anywhere, indexed = catalogue(spark, numbered, strict)
     needed = dict.fromkeys([*RECORD, "event_id", "message", "details", *keep])
     fold = lambda c: F.lower(F.translate(c, *FOLDED))
     texts = F.array(fold(F.coalesce("message", F.lit(""))), *[fold(F.col("details")[d]) for d in DETAIL_OF.values()])
     rows = events.select(*needed, F.upper(user_from_message(F.col("message"))).alias("_user"), texts.alias("_texts"))
-    grams = [_grams_of(i, F.col("_texts")[i]) for i in range(len(FIELDS))]
-    code = F.array(F.struct(F.lit(-1).alias("field"), F.col("event_id").alias("gram")))
-    met = rows.withColumn("_g", F.explode(F.concat(code, *grams))).withColumns({"field": F.col("_g.field"), "gram": F.col("_g.gram")})
-    met = met.join(F.broadcast(entries), ["field", "gram"])
+    grams = [_grams_of(i, F.col("_texts")[i], indexed.get(i, set())) for i in range(len(FIELDS))]
+    code = F.array(F.concat(F.lit("-1:"), F.coalesce("event_id", F.lit(""))))
+    met = rows.withColumn("_g", F.explode(F.concat(code, *grams)))
+    met = met.join(F.broadcast(entries.withColumn("_g", F.concat_ws(":", "field", "gram")).drop("gram")), "_g")
     text = F.get("_texts", F.greatest(F.col("field"), F.lit(0)))
-    met = met.filter((F.col("piece") == "") | text.contains(F.col("piece"))).drop("_g", "field", "gram", "piece")
+    met = met.filter((F.col("piece") == "") | text.contains(F.col("piece"))).drop("_g", "field", "piece")
     if anywhere:
         met = met.unionByName(rows.withColumn("number", F.explode(F.lit(anywhere))))
     named = rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
