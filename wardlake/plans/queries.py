@@ -23,6 +23,8 @@ from wardlake.streaming import jobs
 
 #: Files of one part of the events, so that all executors write and read it.
 FILES = 3
+#: Rows of one file of packets, which one task writes and reads.
+FILE_ROWS = 1_000_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1033,9 +1035,10 @@ def t4_stream_enrichment(spark, d):
 def t5_stream_counters(spark, d):
     """Packet counters over several micro-batches, merged on the way."""
     out = _run_dir(spark, "traffic")
-    packets = A.table(spark, d, "lineitem").repartition(5, "l_orderkey")
-    packets.write.parquet(f"{out}/files")
-    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/files")
+    packets = A.table(spark, d, "lineitem")
+    files = -(-packets.count() // (5 * FILE_ROWS)) or 1
+    packets.repartition(5 * files, "l_orderkey", "l_linenumber").write.parquet(f"{out}/files")
+    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/files")
     decoded = snapshots.flatten_packets(A.as_decoded_packets(stream))
     jobs.count_stream(decoded, out, available_now=True, merge_every=2).awaitTermination()
     return traffic.top_talkers(jobs.read_counters(spark, out))
