@@ -1007,12 +1007,13 @@ def t8_stream_blocks(spark, d):
     us = F.unix_micros("event_time")
     low, high = raw.agg(F.min(us), F.max(us)).first()
     first = us < F.lit((low + high) // 2)
+    feed = cut_lineage(_feed(spark, d))  # every micro-batch reads it
 
     def run(rows: DataFrame) -> None:
         rows.repartition(4, "record_id").write.mode("append").parquet(f"{out}/in")
         stream = spark.readStream.schema(schemas.RAW_EVENT).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
         jobs.process_stream(
-            stream, rules(*SINGLE_RULES), _feed(spark, d), out, available_now=True, kept=timedelta(days=60)
+            stream, rules(*SINGLE_RULES), feed, out, available_now=True, kept=timedelta(days=60)
         ).awaitTermination()
 
     run(raw.filter(first))
@@ -1060,7 +1061,7 @@ def e9_rescored(spark, d):
 
     answer(0)
     jobs.process_stream(
-        _event_files(spark, d, out, 2, again=False), rules(*ALL_RULES), _feed(spark, d), out, available_now=True, wait=True
+        _event_files(spark, d, out, 2, again=False), rules(*ALL_RULES), cut_lineage(_feed(spark, d)), out, available_now=True, wait=True
     ).awaitTermination()
     answer(1)
     answer(2)
@@ -1074,7 +1075,7 @@ def t6_running_rollups(spark, d):
     """Counts of the reports, kept by what each micro-batch stores: answered events, then those without an answer."""
     out = _run_dir(spark, "rollups")
     jobs.process_stream(
-        _event_files(spark, d, out, 2, again=False), rules(*SINGLE_RULES), _feed(spark, d), out, available_now=True, wait=True
+        _event_files(spark, d, out, 2, again=False), rules(*SINGLE_RULES), cut_lineage(_feed(spark, d)), out, available_now=True, wait=True
     ).awaitTermination()
     parsed = enrich.parse_answers(A.raw_answers(spark, d), None)
     parsed.write.parquet(f"{out}/answers")

@@ -58,9 +58,13 @@ def append(logs: DataFrame, path: str, batch: str = "manual") -> None:
 
 
 def append_batch(logs: DataFrame, path: str, batch: str) -> None:
-    """Write a micro-batch so that a repeated attempt replaces its own rows only."""
+    """Write a micro-batch so that a repeated attempt replaces its own rows only.
+
+    Rows of a day come together, in tasks of even size, so a day has few files.
+    """
     (
         _partitioned(logs, batch)
+        .hint("rebalance", "log_date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)
