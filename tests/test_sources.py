@@ -36,6 +36,16 @@ def test_append_scan_clear(spark, tmp_path):
     assert store.read_table(spark, path).count() == 1
 
 
+def test_a_batch_writes_few_files_a_day(spark, tmp_path):
+    """However many tasks hold the rows of a micro-batch, those of a day come together."""
+    path = tmp_path / "logs"
+    rows = stored(spark, *[(i, 86400 * (i % 5), "Low") for i in range(400)]).repartition(16)
+    store.append_batch(rows, str(path), "a")
+    files = list(path.glob("log_date=*/batch=a/*.parquet"))
+    assert len({f.parent for f in files}) == 5 and len(files) < 10
+    assert sorted(r.id for r in store.read_table(spark, str(path)).collect()) == list(range(400))
+
+
 def test_repeated_batch_replaces_itself(spark, tmp_path):
     path = str(tmp_path / "logs")
     store.append_batch(stored(spark, (1, 0, "High")), path, "s-0")

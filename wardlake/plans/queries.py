@@ -21,10 +21,10 @@ from wardlake.sources import logs as store
 from wardlake.sources import lookups, snapshots
 from wardlake.streaming import jobs
 
-#: Files of one part of the events, so that all executors write and read it.
+#: Files of one part of the events at least, so that all executors write and read it.
 FILES = 3
-#: Rows of one file of packets, which one task writes and reads.
-FILE_ROWS = 1_000_000
+#: Rows of one file of packets, and of one of events, which one task writes and reads.
+FILE_ROWS, EVENT_ROWS = 1_000_000, 200_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -955,13 +955,14 @@ def _event_files(spark: SparkSession, d: str, out: str, parts: int = 4, again: b
     """
     raw = A.raw_events(spark, d)
     us = F.unix_micros("event_time")
-    low, high = raw.agg(F.min(us), F.max(us)).first()
+    low, high, rows = raw.agg(F.min(us), F.max(us), F.count(F.lit(1))).first()
+    files = max(FILES, -(-rows // (parts * EVENT_ROWS)))
     place = F.floor((us - low) * parts / (high - low + 1)) + F.when(F.col("log_source") == "Sysmon", 1).otherwise(0)
     cut = cut_lineage(raw.withColumn("part", place.cast("int")))
     for part in [*range(parts + 1), *([parts] if again else [])]:
-        rows = cut.filter(F.col("part") == part).drop("part").repartition(FILES, "record_id")
-        rows.write.mode("append").parquet(f"{out}/files")
-    return spark.readStream.schema(schemas.RAW_EVENT).option("maxFilesPerTrigger", FILES).parquet(f"{out}/files")
+        one = cut.filter(F.col("part") == part).drop("part").repartition(files, "record_id")
+        one.write.mode("append").parquet(f"{out}/files")
+    return spark.readStream.schema(schemas.RAW_EVENT).option("maxFilesPerTrigger", files).parquet(f"{out}/files")
 
 
 @query
