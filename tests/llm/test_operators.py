@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,6 +382,36 @@ def test_jaccard_groups_equal_brute_force(spark, n, percent, monkeypatch):
     assert got == brute.jaccard(rows, n, percent)
 
 
+def test_jaccard_tile_passes_on_fewer_pairs_than_rows():
+    n = 60
+    bits = jaccard._bitmap(np.arange(300, dtype=np.uint64))
+    key = {"token": [7] * n, "tile": [3] * n, "first": [0] * n, "second": [0] * n}
+    rest = {"x": [0] * n, "cls": list(range(n)), "n": [300] * n, "root": list(range(n)), "upper": [False] * n, "bits": [bits] * n}
+    tile = pa.table(key | rest)
+    near = pa.Table.from_batches(list(jaccard._near_rows(tile, 90)))
+    assert near.num_rows == n
+    (held,) = jaccard._held(tile, 90)
+    assert held.num_rows == n - 1  # and all 1,770 pairs before
+    joined = jaccard._Joined(np.arange(n))
+    for a, b in zip(held.column("a").to_pylist(), held.column("b").to_pylist(), strict=True):
+        joined.join(a, b)
+    assert len({joined.top(i) for i in range(n)}) == 1
+
+
+def test_jaccard_of_sets_larger_than_the_longest_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONGEST", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 3000)
+    rng, rows = random.Random(5), []
+    for i in range(24):
+        w = prose(80 + i % 3, 1500 + 40 * (i % 5)).split()
+        for at in rng.sample(range(len(w)), rng.choice((5, 20, 30, 40))):
+            w[at] = f"w{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    docs = Scratch(spark, "test").write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "long")
+    got = {r.doc: (r.n_shingles, r.component) for r in jaccard.link_groups(docs, n=3, percent=90).collect()}
+    assert got == brute.jaccard(rows, 3, 90)
+
+
 def test_jaccard_on_odd_rows(spark, odd, empty):
     rows = jaccard.link_groups(odd, n=3, percent=90).collect()
     assert len(rows) == len({(d, t or "") for d, t in keys(odd_rows())})

@@ -13,9 +13,12 @@ there are joined to components, and only tiles in which at least two components
 meet are compared inside, in blocks of bounded size. Comparison is by hashed
 bitmaps: a bit is the parity of the members hashed to it, so a bit that differs
 is a member one side lacks, and counts of such bits bound the overlap from
-above, closely even for bitmaps much smaller than the sets. What passes is
-decided by intersecting the sorted arrays. No link between different components
-is lost; nothing is capped.
+above, closely even for bitmaps much smaller than the sets. A tile passes on
+rows, never pairs: those that may link with a row of another component by their
+signatures, and then, by the bitmaps, as many pairs as hold together what may
+link. Groups of classes held together so are compared once more inside, again in
+blocks, by intersecting the sorted arrays of pairs not yet in one component. No
+link between different components is lost; nothing is capped.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from wardlake.llm.words import Words, binary_column, chunks, in_parts, keyed, li
 
 #: Buckets of the member frequency table: 2 MB, whatever the size of the corpus.
 BUCKET_BITS, BLOCKS = 19, 64
-#: Classes of one tile compared by one task with those of another block.
-BLOCK_ROWS = 1024
+#: Classes of one tile or group compared by one task with those of another block, and members of a group's block.
+BLOCK_ROWS, BLOCK_MEMBERS = 1024, 1 << 20
 _U = np.uint64
 
 
@@ -95,13 +98,13 @@ def _frequency(docs: DataFrame, key: str, text: str, n: int, scratch: Scratch) -
     return np.clip(np.log2(np.maximum(found, 1) / mean) * 4 + 4, 0, 60).astype(np.uint8)
 
 
-#: Longs of the signature that tiles compare: 512 bits.
-SIGNATURE = 8
+#: Longs of the signature that tiles compare: 512 bits. Longs of the longest bitmap: 16 KB, so that a block of them fits.
+SIGNATURE, LONGEST = 8, 2048
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
-    """Parity bits of the members: 512 at least, one for two members in large sets."""
-    bits = max(64 * SIGNATURE, 1 << (len(hashes) // 2).bit_length())
+    """Parity bits of the members: 512 at least, one for two members in large sets, up to the longest."""
+    bits = min(max(64 * SIGNATURE, 1 << (len(hashes) // 2).bit_length()), 64 * LONGEST)
     counts = np.bincount((mix(hashes) & _U(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
@@ -174,9 +177,8 @@ def _bounded(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
     return both.mapInArrow(lambda x: _rows_bound(x, t), "a long, b long")
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, n: int, t: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs that are links, by intersecting the sorted arrays of the classes concerned."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+def _arrays(wanted: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, n: int, scratch: Scratch, name: str) -> DataFrame:
+    """The sorted members of the classes wanted (cls), as bytes."""
     where = scratch.write(classes.select("cls", "doc", "dh").join(wanted, "cls"), f"{name}-wanted")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,15 +190,24 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["doc", "dh", "members"])
 
     made = texts_of(docs, key, text, where, pack=False).mapInArrow(arrays, "doc long, dh long, members binary")
-    sets = scratch.write(made.join(where, ["doc", "dh"]).select("cls", "members").dropDuplicates(["cls"]), f"{name}-arrays")
+    return scratch.write(made.join(where, ["doc", "dh"]).select("cls", "members").dropDuplicates(["cls"]), f"{name}-arrays")
+
+
+def _alike(x: bytes, y: bytes, t: int) -> bool:
+    """Whether two sets, as sorted arrays, have a similarity of t percent."""
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= t * (len(a) + len(b) - common)
+
+
+def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, n: int, t: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs that are links, by intersecting the sorted arrays of the classes concerned."""
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = _arrays(wanted, docs, classes, key, text, n, scratch, name)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
-            keep = []
-            for x, y in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * common >= t * (len(a) + len(b) - common))
+            keep = [_alike(x, y, t) for x, y in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b")
@@ -204,68 +215,150 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text
     return scratch.write(both.mapInArrow(meet, "a long, b long"), f"{name}-links")
 
 
+#: A tile's pair of blocks, a group's pair of blocks, and what else their rows have.
+TILE, GROUP = ["token", "tile", "first", "second"], ["cluster", "first", "second"]
+ROW = ["x", "cls", "n", "root", "upper"]
+TILE_ROWS = "token long, tile int, first int, second int, x int, cls long, n long, root long, upper boolean"
+
+
+def _in_blocks(rows: DataFrame, blocks: DataFrame, *key: str) -> DataFrame:
+    """Rows (cls) dealt to pairs of the ``blocks`` of their key: first, second, and x, their own."""
+    rows = rows.join(blocks, list(key)).withColumn("x", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("first", F.least("x", "y")).withColumn("second", F.greatest("x", "y"))
+
+
 def _tiles(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Tile rows dealt to pairs of blocks, (token, tile, first, second), with the class and its signature."""
     rows = members.select("token", "cls", "n", "root", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("tile"), F.lit(True).alias("upper")))).alias("t"))
     rows = rows.select("token", "cls", "n", "root", "t.*")
     sizes = rows.groupBy("token", "tile").agg(F.count("*").alias("rows"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("upper").alias("only_upper"))
     sizes = sizes.filter("r1 <> r2 and not only_upper").select("token", "tile", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(sizes, ["token", "tile"]).withColumn("x", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("first", F.least("x", "y")).withColumn("second", F.greatest("x", "y"))
-    return rows.join(classes.select("cls", "signature"), "cls").select("token", "tile", "first", "second", "x", "cls", "n", "root", "upper", "signature")
-
-
-def _close(i: np.ndarray, j: np.ndarray, c: dict, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of row pairs of one tile, the classes of those that may link: other component, size, bits."""
-    n, cls, sig = c["n"], c["cls"], c["signature"]
-    ok = (c["root"][i] != c["root"][j]) & ~(c["upper"][i] & c["upper"][j])
-    # blocks meet only across; inside one block all rows meet
-    ok &= (c["first"][i] == c["second"][i]) | (c["x"][i] != c["x"][j])
-    i, j = i[ok], j[ok]
-    ok = 100 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j])
-    i, j = i[ok], j[ok]
-    ok = _may_link(n[i], n[j], np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1).astype(np.int64), t)
-    return np.minimum(cls[i][ok], cls[j][ok]), np.maximum(cls[i][ok], cls[j][ok])
-
-
-def _compare(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
-    """Pairs that may link of consecutive tiles (rows sorted by tile); a tile's block pair has few rows."""
-    key = ["token", "tile", "first", "second"]
-    rest: pa.Table | None = None
-
-    def tiles(table: pa.Table) -> pa.RecordBatch:
-        c = {name: table.column(name).to_numpy() for name in (*key, "x", "cls", "n", "root", "upper")}
-        c["signature"] = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint64).reshape(-1, SIGNATURE)
-        rows = table.num_rows
-        new = np.ones(rows, dtype=bool)
-        new[1:] = np.any([c[k][1:] != c[k][:-1] for k in key], axis=0)
-        group = np.cumsum(new) - 1
-        left = np.bincount(group)[group] - (np.arange(rows) - np.flatnonzero(new)[group]) - 1  # rows after this one in its tile
-        found = []
-        step, i = 1, np.flatnonzero(left >= 1)
-        while len(i):  # every row with the one `step` behind it
-            found.append(_close(i, i + step, c, t))
-            step += 1
-            i = i[left[i] >= step]
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-        one = np.unique(np.stack((a, b)), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(one[0]), pa.array(one[1])], ["a", "b"])
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        last = [table.column(k)[-1].as_py() for k in key] if table.num_rows else None
-        if last is None:
-            continue
-        same = np.logical_and.reduce([table.column(k).to_numpy() == v for k, v in zip(key, last, strict=True)])
-        cut = int(np.flatnonzero(same)[0])
-        if cut:
-            yield tiles(table.slice(0, cut))
-        rest = table.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield tiles(rest)
+    return _in_blocks(rows, sizes, "token", "tile").join(classes.select("cls", F.col("signature").alias("bits")), "cls").select(*TILE, *ROW, "bits")
+
+
+def _clusters(held: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes of each group that pairs of ``held`` join (node, root), dealt to pairs of blocks, with their bitmaps."""
+    rows = held.select(F.col("node").alias("cls"), F.col("root").alias("cluster")).join(classes.select("cls", "n", F.col("bitmap").alias("bits")), "cls")
+    rows = rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int")
+    return _in_blocks(rows.withColumn("upper", F.lit(False)), rows.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").select(*GROUP, *ROW, "bits")
+
+
+def _apart(i: np.ndarray, j: np.ndarray, maps: list[np.ndarray], longs: np.ndarray) -> np.ndarray:
+    """Bits in which the bitmaps of row pairs differ, folded to the shorter one's length."""
+    out, size = np.zeros(len(i), dtype=np.int64), np.minimum(longs[i], longs[j])
+    for s in np.unique(size):
+        at = np.flatnonzero(size == s)
+        rows, place = np.unique(np.concatenate((i[at], j[at])), return_inverse=True)
+        folded = np.stack([_fold(maps[r], s) for r in rows])
+        out[at] = np.bitwise_count(folded[place[: len(at)]] ^ folded[place[len(at) :]]).sum(axis=1)
+    return out
+
+
+def _close(table: pa.Table, key: list[str], t: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row pairs of one key that may link, and the bits they differ in: other component, size, bits."""
+    c = {name: table.column(name).to_numpy() for name in (*key, *ROW)}
+    maps = [np.frombuffer(b, dtype=np.uint64) for b in table.column("bits").to_pylist()]
+    longs = np.array([len(m) for m in maps])
+    alike = np.stack(maps) if len(np.unique(longs)) == 1 else None
+    n, rows = c["n"], table.num_rows
+    new = np.ones(rows, dtype=bool)
+    new[1:] = np.any([c[k][1:] != c[k][:-1] for k in key], axis=0)
+    group = np.cumsum(new) - 1
+    left = np.bincount(group)[group] - (np.arange(rows) - np.flatnonzero(new)[group]) - 1  # rows of its key after this one
+    step, all_i = 1, np.flatnonzero(left >= 1)
+    while len(all_i):  # every row with the one `step` behind it
+        i, j = all_i, all_i + step
+        ok = (c["root"][i] != c["root"][j]) & ~(c["upper"][i] & c["upper"][j])
+        # blocks meet only across; inside one block all rows meet
+        ok &= (c["first"][i] == c["second"][i]) | (c["x"][i] != c["x"][j])
+        i, j = i[ok], j[ok]
+        ok = 100 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j])
+        i, j = i[ok], j[ok]
+        apart = _apart(i, j, maps, longs) if alike is None else np.bitwise_count(alike[i] ^ alike[j]).sum(axis=1).astype(np.int64)
+        ok = _may_link(n[i], n[j], apart, t)
+        yield i[ok], j[ok], apart[ok]
+        step += 1
+        all_i = all_i[left[all_i] >= step]
+
+
+class _Joined:
+    """Which of a few rows are joined so far; rows with one value are from the start."""
+
+    def __init__(self, values: np.ndarray):
+        self.node = np.unique(values, return_inverse=True)[1].tolist()
+        self.up = list(range(len(self.node)))
+
+    def top(self, row: int) -> int:
+        at, up = self.node[row], self.up
+        while up[at] != at:
+            up[at] = up[up[at]]
+            at = up[at]
+        return at
+
+    def join(self, i: int, j: int) -> None:
+        self.up[self.top(i)] = self.top(j)
+
+
+def _pairs(cls: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    i, j = (np.array(x, dtype=np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
+
+
+def _near_rows(table: pa.Table, t: int) -> Iterator[pa.RecordBatch]:
+    """The rows of tiles that may link with a row of another component."""
+    near = np.zeros(table.num_rows, dtype=bool)
+    for i, j, _ in _close(table, TILE, t):
+        near[i] = near[j] = True
+    yield from table.select([*TILE, *ROW]).filter(pa.array(near)).to_batches()
+
+
+def _held(table: pa.Table, t: int) -> Iterator[pa.RecordBatch]:
+    """Of the pairs that may link, as many as hold together all that they do: fewer than rows."""
+    cls = table.column("cls").to_numpy()
+    joined, found = _Joined(cls), []
+    for ii, jj, _ in _close(table, TILE, t):
+        for i, j in zip(ii.tolist(), jj.tolist(), strict=True):
+            if joined.top(i) != joined.top(j):
+                joined.join(i, j)
+                found.append((i, j))
+    yield _pairs(cls, found)
+
+
+def _linked(table: pa.Table, t: int) -> Iterator[pa.RecordBatch]:
+    """Links between components, the closest pairs first, until no other pair would join two: fewer than rows."""
+    members = table.column("members").to_pylist()
+    near = [np.concatenate(x) for x in zip(*_close(table, GROUP, t), strict=True)] or [np.zeros(0, np.int64)] * 3
+    joined, found = _Joined(table.column("root").to_numpy()), []
+    order = np.argsort(near[2], kind="stable")
+    for i, j in zip(near[0][order].tolist(), near[1][order].tolist(), strict=True):
+        if joined.top(i) != joined.top(j) and _alike(members[i], members[j], t):
+            joined.join(i, j)
+            found.append((i, j))
+    yield _pairs(table.column("cls").to_numpy(), found)
+
+
+def _whole(rows: DataFrame, key: list[str], work, t: int, schema: str) -> DataFrame:
+    """``work`` on tables with all rows of each key in them; a pair of blocks has few rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            same = np.logical_and.reduce([table.column(k).to_numpy() == table.column(k)[-1].as_py() for k in key])
+            cut = int(np.flatnonzero(same)[0])
+            if cut:
+                yield from work(table.slice(0, cut), t)
+            rest = table.slice(cut)
+        if rest is not None:
+            yield from work(rest, t)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
 def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, every_row: bool = False) -> DataFrame:
@@ -296,12 +389,12 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     roots = scratch.write(components(links, scratch, "star-parts"), "star-roots")
     # what is left are links between components
     known = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = ["token", "tile", "first", "second"]
-    dealt = _tiles(known, classes).repartition(parts, *place).sortWithinPartitions(*place)
-    pairs = dealt.mapInArrow(lambda x: _compare(x, percent), "a long, b long")
-    pairs = scratch.write(_bounded(pairs, classes, percent), "tile-pairs")
-    more = _exact(pairs, docs, classes, key, text, n, percent, scratch, "tile")
+    near = scratch.write(_whole(_tiles(known, classes), TILE, _near_rows, percent, TILE_ROWS), "tile-rows")
+    near = near.join(classes.select("cls", F.col("bitmap").alias("bits")), "cls")
+    held = scratch.write(_whole(near, TILE, _held, percent, "a long, b long"), "tile-held")
+    held = scratch.write(components(held, scratch, "held-parts"), "held")
+    arrays = _arrays(held.select(F.col("node").alias("cls")), docs, classes, key, text, n, scratch, "held")
+    more = scratch.write(_whole(_clusters(held, classes, roots).join(arrays, "cls"), GROUP, _linked, percent, "a long, b long"), "more")
     every = scratch.write(components(links.unionByName(more), scratch, "parts"), "roots")
     joined = same.select("cls", "f1", "f2", "n", "first").join(every.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
