@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm import brute
-from wardlake.llm import bpe, curves, digest_index, jaccard, line_spread, nbsvm, packing, pii, sharding, substring, tokens, words
+from wardlake.llm import bpe, curves, digest_index, jaccard, line_spread, links, nbsvm, packing, pii, sharding, substring, tokens, words
 from wardlake.llm.links import components
 from wardlake.llm.shared import Scratch
 from wardlake.llm.words import NO_KEY
@@ -452,6 +452,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), scratch, "e").count() == 0
 
 
+@pytest.mark.parametrize("chunk", [4, 40, 1 << 18])
+def test_components_of_any_chunks(spark, monkeypatch, chunk):
+    """Links of many chunks come to the same as those of one, which are stored once."""
+    monkeypatch.setattr(links, "CHUNK", chunk)
+    rng, made = random.Random(chunk), []
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, *by: made.append(name) or write(self, df, name, *by))
+    scratch = Scratch(spark, "test")
+    chain = [(i, i + 1) for i in range(60)] + [(200, 100 + i) for i in range(60)] + [(500 + 2 * i, 501 + 2 * i) for i in range(30)]
+    chain = [rng.choice(((a, b), (b, a))) for a, b in chain + [(70, -(2**63)), (70, 71), (71, 71), (3, 4)]]
+    rng.shuffle(chain)
+    stored = write(scratch, spark.createDataFrame(chain, "a long, b long").repartition(5), "links")
+    got = sorted((r.node, r.root) for r in components(stored, scratch, "c").collect())
+    least = -(2**63)
+    want = {i: 0 for i in range(61)} | {100 + i: 100 for i in range(60)} | {200: 100} | {500 + i: 500 + i // 2 * 2 for i in range(60)} | dict.fromkeys((70, 71, least), least)
+    assert got == sorted(want.items())
+    if chunk > len(chain):
+        assert made == ["c-0"]  # and four tables before
+
+
 # --- 9 ---------------------------------------------------------------------------
 
 
